@@ -56,7 +56,7 @@ def running(df: DataFrame, by: str | list[str] | None, order_by: list, aggs: dic
     ``("last", col)`` (last non-null value so far: a forward fill). Rows are
     range-partitioned on (group, order), aggregated locally per partition, and
     each partition adds the carry of the partitions before it; the carry table
-    has one row per (partition, group).
+    has one row per (partition, group). The partitioned rows are checkpointed once.
     """
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
@@ -75,7 +75,9 @@ def running(df: DataFrame, by: str | list[str] | None, order_by: list, aggs: dic
             summary.append(F.max_by(c, F.when(c.isNotNull(), okey)).alias(f"_s_{name}"))
         else:
             raise ValueError(kind)
-    r = r.withColumns(local)
+    # partition ids must come from one evaluation: the summary and the rows are
+    # read from the same materialised copy (two evaluations may coalesce differently)
+    r = materialise(r.withColumns(local))
     s = r.groupBy("_pid", *by).agg(*summary)
     w_prev = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     carry = {}

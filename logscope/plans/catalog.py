@@ -59,7 +59,7 @@ TS_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
 
 
 @register("read_logs", with_views(
-    f"SELECT line_id, {TS_SQL} AS ts, CAST(date AS VARCHAR) AS date, node, level, component, message, "
+    f"SELECT line_id, {TS_SQL} AS ts, CAST(date AS STRING) AS date, node, level, component, message, "
     "round(anomaly_score, 6) AS anomaly_score, label FROM log_view WHERE anomaly_score >= 0.5", "log_view"))
 def q_read_logs(spark, sf):
     df = lv(spark, sf).where(F.col("anomaly_score") >= 0.5)
@@ -105,7 +105,7 @@ def q_ensure_score(spark, sf):
 
 
 _TEXT_SCORE = ("CASE line_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN ' False' "
-               "ELSE CAST(anomaly_score AS VARCHAR) END")
+               "ELSE CAST(anomaly_score AS STRING) END")
 
 
 @register("coerce_score", with_views(
@@ -148,40 +148,27 @@ def q_select(spark, sf):
                                                             F.round("anomaly_score", 6).alias("anomaly_score"))
 
 
-_STRUCTURED = ("line_id AS LineId, CASE level WHEN 'WARNING' THEN 'WARN' ELSE level END AS Level, node AS Process, "
-               "component AS Component, message AS Content, regexp_replace(message, '[0-9]+', '<*>', 'g') AS EventTemplate")
-_STRUCTURED_SPARK = _STRUCTURED.replace(", 'g')", ")")
+# structured-log columns derived from the log view (one expression per column)
+_STRUCTURED_COLS = ["line_id AS LineId", "CASE level WHEN 'WARNING' THEN 'WARN' ELSE level END AS Level",
+                    "node AS Process", "component AS Component", "message AS Content",
+                    "regexp_replace(message, '[0-9]+', '<*>'{flags}) AS EventTemplate"]
+_STRUCTURED = ", ".join(_STRUCTURED_COLS).format(flags=", 'g'")
+_STRUCTURED_SPARK = [c.format(flags="") for c in _STRUCTURED_COLS]
 
 
 @register("select_by_rule", with_views(
     f"SELECT LineId, Level, Content FROM (SELECT {_STRUCTURED} FROM log_view) "
     "WHERE strpos(lower(Content), 'exception') > 0 OR Level = 'WARN' ORDER BY LineId LIMIT 20", "log_view"))
 def q_select_by_rule(spark, sf):
-    df = lv(spark, sf).selectExpr(*[s.strip() for s in _split_top(_STRUCTURED_SPARK)])
+    df = lv(spark, sf).selectExpr(*_STRUCTURED_SPARK)
     return prp.select_by_rule(df, "exception", "WARN", 20).select("LineId", "Level", "Content")
 
 
-def _split_top(s: str) -> list[str]:
-    out, depth, cur = [], 0, ""
-    for ch in s:
-        if ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
-        if ch == "," and depth == 0:
-            out.append(cur)
-            cur = ""
-        else:
-            cur += ch
-    out.append(cur)
-    return out
-
-
-_MIXED_DATE = "CASE WHEN line_id % 2 = 0 THEN CAST(date AS VARCHAR) ELSE replace(CAST(date AS VARCHAR), '-', '.') END"
+_MIXED_DATE = "CASE WHEN line_id % 2 = 0 THEN CAST(date AS STRING) ELSE replace(CAST(date AS STRING), '-', '.') END"
 
 
 @register("date_range", with_views(
-    "SELECT line_id, CAST(date AS VARCHAR) AS date FROM log_view "
+    "SELECT line_id, CAST(date AS STRING) AS date FROM log_view "
     "WHERE date BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'", "log_view"))
 def q_date_range(spark, sf):
     df = lv(spark, sf).select("line_id", F.expr(_MIXED_DATE).alias("date"))
@@ -189,7 +176,7 @@ def q_date_range(spark, sf):
 
 
 @register("limit_date", with_views(
-    "SELECT line_id, CAST(date AS VARCHAR) AS date FROM log_view WHERE date = (SELECT max(date) FROM log_view)",
+    "SELECT line_id, CAST(date AS STRING) AS date FROM log_view WHERE date = (SELECT max(date) FROM log_view)",
     "log_view"))
 def q_limit_date(spark, sf):
     return prp.limit_date(lv(spark, sf), id_col="line_id").select("line_id", F.col("date").cast("string"))
@@ -226,7 +213,7 @@ def q_infer_level(spark, sf):
 
 
 @register("prepare_eval", with_views(
-    "SELECT line_id AS LineId, message AS text, 1.0 AS anomaly_score, CAST(line_id AS VARCHAR) AS context_ids_ref, "
+    "SELECT line_id AS LineId, message AS text, 1.0 AS anomaly_score, CAST(line_id AS STRING) AS context_ids_ref, "
     "lower(label) AS label FROM log_view", "log_view"))
 def q_prepare_eval(spark, sf):
     src = lv(spark, sf).select(F.col("line_id").alias("LineId"), F.col("message").alias("m_message"),
@@ -255,7 +242,7 @@ def q_union(spark, sf):
 
 
 @register("working_set", with_views(
-    "SELECT line_id, CAST(date AS VARCHAR) AS date, message FROM log_view ORDER BY line_id", "log_view"))
+    "SELECT line_id, CAST(date AS STRING) AS date, message FROM log_view ORDER BY line_id", "log_view"))
 def q_working_set(spark, sf):
     return prp.working_set(lv(spark, sf), ["line_id", "date", "message"], "line_id").withColumn(
         "date", F.col("date").cast("string"))
@@ -325,7 +312,7 @@ VBASE_SQL = ("vbase AS (SELECT line_id, embedding, anomaly, row_number() OVER (O
 
 @register("far_semantic", with_views(
     f"SELECT anomaly_id, context_id, 'semantic' AS kind, rank, round(similarity, 6) AS similarity FROM sem",
-    "vector_view").replace("\nSELECT anomaly_id", f",\n{VBASE_SQL},{orc.semantic_ctes()}\nSELECT anomaly_id", 1))
+    "vector_view", extra=f"{VBASE_SQL},{orc.semantic_ctes()}"))
 def q_far_semantic(spark, sf):
     df = with_position(view(spark, sf, "vector_view"), "line_id")
     return edge_out(ctx.far_semantic(df, 5, "embedding", True, "line_id"))
@@ -338,15 +325,14 @@ HBASE_SQL = ("hbase AS (SELECT line_id, message, embedding, anomaly, row_number(
 @register("far_hybrid", with_views(
     "SELECT anomaly_id, context_id, 'semantic' AS kind, rank, round(similarity, 6) AS similarity FROM sem "
     "UNION ALL SELECT anomaly_id, context_id, 'lexical', rank, round(similarity, 6) FROM lex",
-    "hybrid_view").replace("\nSELECT anomaly_id",
-                           f",\n{HBASE_SQL},{orc.semantic_ctes('hbase')},{orc.lexical_ctes('hbase')}\nSELECT anomaly_id", 1))
+    "hybrid_view", extra=f"{HBASE_SQL},{orc.semantic_ctes('hbase')},{orc.lexical_ctes('hbase')}"))
 def q_far_hybrid(spark, sf):
     df = with_position(view(spark, sf, "hybrid_view"), "line_id")
     return edge_out(ctx.far_hybrid(df, 5, "message", "embedding", "line_id"))
 
 
 @register("window_context", with_views(
-    "SELECT l.line_id, CAST(w.a AS VARCHAR) AS context_ids_ref FROM log_view l LEFT JOIN ("
+    "SELECT l.line_id, CAST(w.a AS STRING) AS context_ids_ref FROM log_view l LEFT JOIN ("
     "SELECT r.line_id AS ctx, max(a.line_id) AS a FROM log_view r JOIN log_view a "
     "ON a.anomaly_score >= 0.79 AND r.line_id BETWEEN a.line_id - 5 AND a.line_id + 5 "
     "AND (r.line_id = a.line_id OR r.line_id BETWEEN 1 AND (SELECT count(*) FROM log_view)) GROUP BY r.line_id"
@@ -366,7 +352,7 @@ def q_context_ids(spark, sf):
     return ctx.context_ids(edges, df, "line_id").select("line_id", "context_ids")
 
 
-_CARD_SQL = "'[' || CAST(line_id AS VARCHAR) || '] ' || coalesce(message, 'None')"
+_CARD_SQL = "'[' || CAST(line_id AS STRING) || '] ' || coalesce(message, 'None')"
 
 
 @register("gather_context", _with_base(
@@ -486,8 +472,7 @@ lines AS (SELECT m.*, r.anomaly_score AS pred_ano_proba FROM merged m JOIN raw_v
 
 
 @register("merge_multiline", with_views(
-    "SELECT source_file, line_no, m_message FROM merged", "raw_view").replace(
-    "\nSELECT source_file", "," + _MERGE_SQL + "\nSELECT source_file", 1))
+    "SELECT source_file, line_no, m_message FROM merged", "raw_view", extra=_MERGE_SQL))
 def q_merge(spark, sf):
     raw = view(spark, sf, "raw_view")
     return merge_multiline(raw).select("source_file", "line_no", "m_message")
@@ -498,7 +483,7 @@ _TOKENS_SQL = "len(regexp_extract_all(coalesce(m_message, ''), '\\w+|[^\\w\\s]')
 
 @register("token_count", with_views(
     f"SELECT source_file, CAST(sum({_TOKENS_SQL}) + count(*) - 1 AS BIGINT) AS tokens FROM lines GROUP BY source_file",
-    "raw_view").replace("\nSELECT source_file", "," + _MERGE_SQL + "\nSELECT source_file", 1))
+    "raw_view", extra=_MERGE_SQL))
 def q_token_count(spark, sf):
     return token_count(_file_lines(spark, sf), "m_message", by="source_file")
 
@@ -510,8 +495,7 @@ kept_lines AS (SELECT * FROM ranked WHERE tok <= {_BUDGET})"""
 
 
 @register("trim_to_budget", with_views(
-    "SELECT source_file, line_no, round(pred_ano_proba, 6) AS pred_ano_proba FROM kept_lines", "raw_view").replace(
-    "\nSELECT source_file", "," + _MERGE_SQL + "," + _TRIM_SQL + "\nSELECT source_file", 1))
+    "SELECT source_file, line_no, round(pred_ano_proba, 6) AS pred_ano_proba FROM kept_lines", "raw_view", extra=_MERGE_SQL + "," + _TRIM_SQL))
 def q_trim(spark, sf):
     kept = trim_to_budget(_file_lines(spark, sf), _BUDGET, "source_file")
     return kept.select("source_file", "line_no", F.round("pred_ano_proba", 6).alias("pred_ano_proba"))
@@ -524,8 +508,7 @@ def _file_prompt_sql() -> str:
     body = (f"SELECT source_file, {sql_template(prm.FILE_TEMPLATE, vals)} AS file_prompt FROM "
             f"(SELECT source_file, string_agg({snip}, chr(10) ORDER BY line_no) AS lines_txt FROM kept_lines "
             "GROUP BY source_file)")
-    return with_views(body, "raw_view").replace(
-        "\nSELECT source_file", "," + _MERGE_SQL + "," + _TRIM_SQL + "\nSELECT source_file", 1)
+    return with_views(body, "raw_view", extra=_MERGE_SQL + "," + _TRIM_SQL)
 
 
 @register("file_prompts", _file_prompt_sql())
@@ -563,7 +546,7 @@ def _compact_sql() -> str:
     vals = {"context_str": "coalesce(c.ctx, '')", "anomalous_str": _CARD_SQL.replace("line_id", "b.line_id")
             .replace("message", "b.message")}
     body = (f"SELECT b.line_id AS anomaly_id, {sql_template(prm.COMPACT_TEMPLATE, vals)} AS prompt FROM base b "
-            "LEFT JOIN (SELECT n.anomaly_id, string_agg('[' || CAST(r.line_id AS VARCHAR) || '] ' || "
+            "LEFT JOIN (SELECT n.anomaly_id, string_agg('[' || CAST(r.line_id AS STRING) || '] ' || "
             "coalesce(r.message, 'None'), chr(10) ORDER BY r.pos) AS ctx FROM (SELECT DISTINCT anomaly_id, context_id "
             "FROM near) n JOIN base r ON r.line_id = n.context_id GROUP BY n.anomaly_id) c ON c.anomaly_id = b.line_id "
             "WHERE b.anomaly")
@@ -582,7 +565,7 @@ def q_compact(spark, sf):
     f"'. EventTemplate: ' || coalesce(EventTemplate, 'None') AS card FROM (SELECT {_STRUCTURED} FROM log_view)",
     "log_view"))
 def q_line_cards(spark, sf):
-    df = lv(spark, sf).selectExpr(*[s.strip() for s in _split_top(_STRUCTURED_SPARK)])
+    df = lv(spark, sf).selectExpr(*_STRUCTURED_SPARK)
     return df.select("LineId", prm.line_cards(df).alias("card"))
 
 
@@ -727,7 +710,7 @@ def q_value_counts(spark, sf):
 
 
 @register("anomalies_per_date", with_views(
-    "SELECT CAST(date AS VARCHAR) AS date, count(*) AS anomalies FROM log_view WHERE anomaly_score >= 0.8 "
+    "SELECT CAST(date AS STRING) AS date, count(*) AS anomalies FROM log_view WHERE anomaly_score >= 0.8 "
     "GROUP BY date", "log_view"))
 def q_per_date(spark, sf):
     df = prp.flag_anomalies(lv(spark, sf), 0.8)
@@ -735,7 +718,7 @@ def q_per_date(spark, sf):
 
 
 @register("distinct_messages_per_date", with_views(
-    "SELECT CAST(date AS VARCHAR) AS date, count(DISTINCT message) AS distinct_messages FROM log_view "
+    "SELECT CAST(date AS STRING) AS date, count(DISTINCT message) AS distinct_messages FROM log_view "
     "WHERE anomaly_score >= 0.8 GROUP BY date", "log_view"))
 def q_distinct_per_date(spark, sf):
     df = prp.flag_anomalies(lv(spark, sf), 0.8)
@@ -744,7 +727,7 @@ def q_distinct_per_date(spark, sf):
 
 
 @register("message_counts", with_views(
-    "SELECT CAST(date AS VARCHAR) AS date, message, count(*) AS count FROM log_view WHERE anomaly_score >= 0.8 "
+    "SELECT CAST(date AS STRING) AS date, message, count(*) AS count FROM log_view WHERE anomaly_score >= 0.8 "
     "GROUP BY date, message", "log_view"))
 def q_message_counts(spark, sf):
     df = prp.flag_anomalies(lv(spark, sf), 0.8)
@@ -768,8 +751,7 @@ _PAIRS = "(SELECT label AS t, anomaly_result AS p FROM eval_view WHERE anomaly_r
 @register("confusion_matrix", with_views(
     f"WITH pr AS {_PAIRS}, ls AS (SELECT t AS l FROM pr UNION SELECT p FROM pr) "
     "SELECT a.l AS true_label, b.l AS pred_label, CAST(count(pr.t) AS BIGINT) AS count FROM ls a, ls b "
-    "LEFT JOIN pr ON pr.t = a.l AND pr.p = b.l GROUP BY a.l, b.l", "eval_view").replace(
-    ")\nWITH pr AS", "),\npr AS", 1))
+    "LEFT JOIN pr ON pr.t = a.l AND pr.p = b.l GROUP BY a.l, b.l", "eval_view").replace(")\nWITH pr AS", "),\npr AS", 1))
 def q_confusion(spark, sf):
     return ev.confusion_matrix(view(spark, sf, "eval_view"))
 
@@ -788,8 +770,7 @@ f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (
 
 @register("per_class", with_views(
     "SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, "
-    "CAST(support AS BIGINT) AS support FROM f", "eval_view").replace(")\nSELECT label", "),\n" + _CLASS_SQL +
-                                                                     "\nSELECT label", 1))
+    "CAST(support AS BIGINT) AS support FROM f", "eval_view", extra=_CLASS_SQL))
 def q_per_class(spark, sf):
     return ev.per_class(view(spark, sf, "eval_view"))
 
@@ -798,7 +779,7 @@ def q_per_class(spark, sf):
     "SELECT round(sum(tp) * 1.0 / sum(support), 6) AS accuracy, round(sum(precision * support) / sum(support), 6) "
     "AS weighted_precision, round(sum(recall * support) / sum(support), 6) AS weighted_recall, "
     "round(sum(f1 * support) / sum(support), 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS predictions FROM f",
-    "eval_view").replace(")\nSELECT round", "),\n" + _CLASS_SQL + "\nSELECT round", 1))
+    "eval_view", extra=_CLASS_SQL))
 def q_overall(spark, sf):
     return ev.overall(view(spark, sf, "eval_view"))
 
@@ -817,7 +798,7 @@ def q_detailed(spark, sf):
     return ev.detailed(view(spark, sf, "eval_view"), id_col="line_id")
 
 
-_MODELS = ("SELECT 'model-' || CAST(line_id % 3 AS VARCHAR) AS model, line_id, label, "
+_MODELS = ("SELECT 'model-' || CAST(line_id % 3 AS STRING) AS model, line_id, label, "
            "CASE WHEN line_id % 3 = 2 THEN NULL ELSE anomaly_result END AS pred, anomaly_score / 1e2 AS cost, "
            "anomaly_score AS seconds, CASE WHEN line_id % 3 = 2 THEN 'timeout' END AS error FROM eval_view")
 
@@ -871,7 +852,7 @@ def q_normalise(spark, sf):
 
 
 @register("words", "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), "
-          "x -> x <> ''), '|') AS e_words FROM documents")
+          "lambda x: x <> ''), '|') AS e_words FROM documents")
 def q_words(spark, sf):
     df = table(spark, sf, "documents")
     return df.select("doc_id", F.array_join(txt.words(F.col("text")), "|").alias("e_words"))
@@ -879,13 +860,13 @@ def q_words(spark, sf):
 
 @register("trigrams", with_views(
     "SELECT line_id, CASE WHEN length(message) >= 3 THEN array_to_string(list_transform(range(1, length(message) - 1), "
-    "i -> substring(message, i, 3)), '|') ELSE '' END AS e_trigrams FROM log_view", "log_view"))
+    "lambda i: substring(message, i, 3)), '|') ELSE '' END AS e_trigrams FROM log_view", "log_view"))
 def q_trigrams(spark, sf):
     df = lv(spark, sf)
     return df.select("line_id", F.array_join(txt.trigrams(F.col("message")), "|").alias("e_trigrams"))
 
 
-@register("lengths", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), x -> x <> '')) AS INTEGER) "
+@register("lengths", "SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS INTEGER) "
           "AS e_words_len, CAST(greatest(length(text) - 2, 0) AS INTEGER) AS e_trigrams_len, "
           "CAST(length(text) AS INTEGER) AS e_chars_len, "
           "CAST(len(string_split(text, chr(10))) AS INTEGER) AS e_lines_len FROM documents")
@@ -899,7 +880,7 @@ def q_lengths(spark, sf):
 
 _IPLOM_SQL = """
 tx AS (SELECT DISTINCT message AS t FROM log_view WHERE message IS NOT NULL),
-tk AS (SELECT t, list_filter(regexp_split_to_array(t, '\\s+'), x -> x <> '') AS tok FROM tx),
+tk AS (SELECT t, list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '') AS tok FROM tx),
 tn AS (SELECT t, tok, len(tok) AS n FROM tk),
 ps AS (SELECT t, n, unnest(range(0, n)) AS p FROM tn),
 pw AS (SELECT ps.t, ps.n, ps.p, tn.tok[ps.p + 1] AS w FROM ps JOIN tn USING (t)),
@@ -913,14 +894,14 @@ tpl AS (SELECT n, k, string_agg(w, ' ' ORDER BY p) AS template FROM cst GROUP BY
 
 @register("templates_iplom", with_views(
     "SELECT keyed.t AS message, tpl.template, md5(tpl.template) AS event_id FROM keyed JOIN tpl USING (n, k)",
-    "log_view").replace("\nSELECT keyed.t", "," + _IPLOM_SQL + "\nSELECT keyed.t", 1))
+    "log_view", extra=_IPLOM_SQL))
 def q_iplom(spark, sf):
     df = lv(spark, sf).select("message").distinct()
     return templates_iplom(df, "message").select("message", "template", "event_id")
 
 
-_BGL_LINE = ("CASE WHEN label = '-' THEN '-' ELSE label END || ' ' || CAST(line_id + 1117838570 AS VARCHAR) || ' ' || "
-             "replace(CAST(date AS VARCHAR), '-', '.') || ' ' || node || ' ' || replace(CAST(date AS VARCHAR), '-', '.') "
+_BGL_LINE = ("CASE WHEN label = '-' THEN '-' ELSE label END || ' ' || CAST(line_id + 1117838570 AS STRING) || ' ' || "
+             "replace(CAST(date AS STRING), '-', '.') || ' ' || node || ' ' || replace(CAST(date AS STRING), '-', '.') "
              "|| '-00.00.00.000000 ' || node || ' RAS ' || component || ' ' || level || ' ' || message")
 
 

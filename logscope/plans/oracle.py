@@ -69,13 +69,13 @@ def lexical_ctes(base: str = "base", k: int = 5, text: str = "message") -> str:
 texts AS (SELECT DISTINCT {text} AS t FROM {base} WHERE {text} IS NOT NULL),
 terms AS (SELECT t, term, count(*) AS tf FROM (SELECT t, unnest(regexp_extract_all(lower(t), '\\b\\w\\w+\\b')) AS term FROM texts) GROUP BY t, term),
 norms AS (SELECT t, sqrt(sum(tf * tf)) AS norm FROM terms GROUP BY t),
-dots AS (SELECT a.t AS at, c.t AS ct, sum(a.tf * c.tf) AS dot FROM terms a JOIN terms c ON a.term = c.term
+dots AS (SELECT a.t AS a_t, c.t AS c_t, sum(a.tf * c.tf) AS dot FROM terms a JOIN terms c ON a.term = c.term
          WHERE a.t IN (SELECT {text} FROM {base} WHERE anomaly) GROUP BY a.t, c.t),
-sims AS (SELECT at, ct, round(dot / (na.norm * nc.norm), 12) AS sim FROM dots JOIN norms na ON na.t = at JOIN norms nc ON nc.t = ct),
+sims AS (SELECT a_t, c_t, round(dot / (na.norm * nc.norm), 12) AS sim FROM dots JOIN norms na ON na.t = a_t JOIN norms nc ON nc.t = c_t),
 lexpairs AS (SELECT a.line_id AS anomaly_id, a.pos AS anomaly_pos, c.line_id AS context_id, c.pos AS context_pos,
                     coalesce(s.sim, 0.0) AS similarity
              FROM {base} a JOIN {base} c ON c.line_id < a.line_id
-             LEFT JOIN sims s ON s.at = a.{text} AND s.ct = c.{text}
+             LEFT JOIN sims s ON s.a_t = a.{text} AND s.c_t = c.{text}
              WHERE a.anomaly AND a.{text} IS NOT NULL AND c.{text} IS NOT NULL),
 lex AS (SELECT *, CAST(row_number() OVER (PARTITION BY anomaly_id ORDER BY similarity DESC, context_id) AS INTEGER) AS rank
         FROM lexpairs QUALIFY rank <= {k})"""

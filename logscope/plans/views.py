@@ -121,7 +121,9 @@ def duck_view(name: str) -> str:
     return _PLACEHOLDER.sub(lambda m: m.group(1), sql)
 
 
-def with_views(body: str, *names: str) -> str:
-    """Prefix an oracle query with ``WITH name AS (view), ...``."""
-    ctes = ",\n".join(f"{n} AS ({duck_view(n)})" for n in names)
-    return f"WITH {ctes}\n{body}"
+def with_views(body: str, *names: str, extra: str = "") -> str:
+    """Prefix an oracle query with ``WITH name AS (view), ...`` and further CTEs."""
+    ctes = [f"{n} AS ({duck_view(n)})" for n in names]
+    if extra.strip():
+        ctes.append(extra.strip().strip(","))
+    return "WITH " + ",\n".join(ctes) + "\n" + body
