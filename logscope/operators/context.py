@@ -68,7 +68,7 @@ def _top_k(pairs: DataFrame, k: int) -> DataFrame:
 
 def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col: str = "message",
                 id_col: str = "LineId", pos_col: str = "pos", flag_col: str = "anomaly",
-                max_df: float | None = None) -> DataFrame:
+                max_df: float | None = None, shortlist: int | None = None) -> DataFrame:
     """Top ``k`` earlier rows by cosine of raw term counts (lower-cased ``\\w\\w+`` tokens).
 
     Lossless reductions: similarity depends only on the two texts, so it is
@@ -117,10 +117,36 @@ def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col:
     cands = (rows.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= k)
              .select("_h1", "_h2", "context_id", "context_pos"))
 
-    pairs = anomaly_rows.join(sims, ["_a1", "_a2"]).join(cands, ["_h1", "_h2"])
+    # Exact shortlist: per distinct anomaly text, its best `shortlist` candidate rows
+    # ignoring the id cut. An anomaly row is settled when at least k shortlisted rows
+    # precede it (every row outside the shortlist ranks below all of them) or when
+    # the shortlist holds every candidate of the text. Only unsettled rows (typically
+    # the earliest anomalies) go through the full join.
+    t = max(shortlist or 4 * k, k)
+    firsts = cands.groupBy("_h1", "_h2").agg(F.min("context_id").alias("_first"), F.count(F.lit(1)).alias("_nrows"))
+    ranked = sims.join(firsts, ["_h1", "_h2"])
+    totals = ranked.groupBy("_a1", "_a2").agg((F.sum("_nrows") <= t).alias("_complete"))
+    wt = Window.partitionBy("_a1", "_a2").orderBy(F.col("similarity").desc(), F.col("_first"))
+    top_texts = ranked.withColumn("_tr", F.row_number().over(wt)).where(F.col("_tr") <= t).select(
+        "_a1", "_a2", "_h1", "_h2", "similarity")
+    wr = Window.partitionBy("_a1", "_a2").orderBy(F.col("similarity").desc(), F.col("context_id"))
+    short = (top_texts.join(cands, ["_h1", "_h2"]).withColumn("_sr", F.row_number().over(wr))
+             .where(F.col("_sr") <= t).select("_a1", "_a2", "context_id", "context_pos", "similarity"))
+    p1 = anomaly_rows.join(short, ["_a1", "_a2"])
+    if earlier_only:
+        p1 = p1.where(F.col("context_id") < F.col("anomaly_id"))
+    p1 = p1.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", "similarity")
+    found = p1.groupBy("anomaly_id").agg(F.count(F.lit(1)).alias("_q"))
+    status = (anomaly_rows.join(totals, ["_a1", "_a2"], "left").join(found, "anomaly_id", "left")
+              .withColumn("_settled", (F.coalesce("_q", F.lit(0)) >= k) | F.coalesce("_complete", F.lit(True))))
+    settled = status.where("_settled").select("anomaly_id")
+    open_rows = status.where(~F.col("_settled")).select("anomaly_id", "anomaly_pos", "_a1", "_a2")
+    top1 = _top_k(p1.join(settled, "anomaly_id", "left_semi"), k)
+    pairs = open_rows.join(sims, ["_a1", "_a2"]).join(cands, ["_h1", "_h2"])
     if earlier_only:
         pairs = pairs.where(F.col("context_id") < F.col("anomaly_id"))
-    top = _top_k(pairs.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", "similarity"), k)
+    top2 = _top_k(pairs.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", "similarity"), k)
+    top = top1.unionByName(top2)
     return top.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", F.lit("lexical").alias("kind"),
                       F.col("rank").cast("int"), "similarity")
 

@@ -20,15 +20,22 @@ BROADCAST_ROWS = 200_000
 
 
 def with_position(df: DataFrame, order_by: str | list[str] = "LineId", by: str | list[str] | None = None,
-                  out: str = "pos", num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                  out: str = "pos", num_partitions: int | None = None, checkpoint: bool = True,
+                  unique: bool = False) -> DataFrame:
     """Add a dense 0-based position after sorting by ``order_by`` (within ``by`` groups if given).
 
     Works for any group size: a group (file) holding a third of all rows is
-    split over many range partitions like any other rows.
+    split over many range partitions like any other rows. With ``unique`` (the
+    keys identify a row), positions are computed and checkpointed on the key
+    columns only and joined back, so the lineage cut writes a narrow table
+    instead of a copy of every column.
     """
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
     keys = by + order_by
+    if unique:
+        narrow = with_position(df.select(*keys), order_by, by or None, out, num_partitions, checkpoint)
+        return df.join(narrow, keys, "inner")
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())

@@ -72,8 +72,12 @@ def rendered_columns(df: DataFrame, exclude: Sequence[str] = HIDDEN) -> list[str
     return [c for c in df.columns if c not in skip]
 
 
-def _with_context(df: DataFrame, edges: DataFrame, threshold: float, id_col: str, score_col: str,
-                  mode: str, exclude: Sequence[str], pos_col: str, flag_col: str, compat: bool) -> DataFrame:
+def with_context_text(df: DataFrame, edges: DataFrame, id_col: str = "LineId", mode: str = "member",
+                      exclude: Sequence[str] = HIDDEN, pos_col: str = "pos", flag_col: str = "anomaly",
+                      compat: bool = True) -> DataFrame:
+    """Add ``_row`` (the row rendered) and ``_context`` (its context rows, one per line,
+    or the no-context text). Shared by label and explanation prompts, which render
+    the same columns."""
     cols = rendered_columns(df, exclude)
     base = df.withColumn("_row", render_row(df, cols=cols))
     ctx = gather_context(edges, base, "_row", id_col, pos_col, flag_col, mode, compat)
@@ -89,7 +93,7 @@ def label_prompts(df: DataFrame, edges: DataFrame, threshold: float = 0.79, temp
                   compat: bool = True, out: str = "anomaly_label") -> DataFrame:
     """Label prompt on rows with ``score >= threshold`` (else null): the row rendered as
     ``col: value; ...`` and its context rows, one per line."""
-    x = _with_context(df, edges, threshold, id_col, score_col, mode, exclude, pos_col, flag_col, compat)
+    x = with_context_text(df, edges, id_col, mode, exclude, pos_col, flag_col, compat)
     prompt = fill_template(template, {"log_str": F.col("_row"), "context_str": F.col("_context")})
     return x.withColumn(out, F.when(F.col(score_col) >= F.lit(threshold), prompt)).drop("_row", "_context")
 
@@ -107,8 +111,8 @@ def explanation_prompts(df: DataFrame, edges: DataFrame, threshold: float = 0.79
                         flag_col: str = "anomaly", compat: bool = True, out: str = "explanation_prompt") -> DataFrame:
     """Explanation prompt: as the label prompt, plus ``Anomaly Label: ...``."""
     lab = label_text(df, label_sources)
-    x = _with_context(df.withColumn("_label_str", lab), edges, threshold, id_col, score_col, mode,
-                      tuple(exclude) + ("_label_str",), pos_col, flag_col, compat)
+    x = with_context_text(df.withColumn("_label_str", lab), edges, id_col, mode,
+                          tuple(exclude) + ("_label_str",), pos_col, flag_col, compat)
     prompt = fill_template(template, {"anomalous_log_str": F.col("_row"), "label_str": F.col("_label_str"),
                                       "context_str": F.col("_context")})
     return (x.withColumn(out, F.when(F.col(score_col) >= F.lit(threshold), prompt))

@@ -12,7 +12,9 @@ from logscope.operators import context as ctx
 from logscope.operators import prepare as prp
 from logscope.operators.inference import complete, label_responses
 from logscope.operators.position import with_position
-from logscope.operators.prompts import explanation_prompts, label_prompts
+from logscope.operators.prompts import EXPLANATION_TEMPLATE, LABEL_TEMPLATE, label_text, with_context_text
+from logscope.functions.render import fill_template
+from logscope.session import materialise
 
 
 @dataclass
@@ -60,10 +62,15 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
     """
     cfg = cfg or LineConfig()
     df = prp.flag_anomalies(df, cfg.flag_threshold)
-    df = with_position(df, cfg.id_col)
-    edges = line_edges(df, cfg)
+    df = with_position(df, cfg.id_col, unique=True)
+    # the edge table is small (anomalies x (near + far)) and is read three times:
+    # materialise it once instead of recomputing the similarity joins
+    edges = materialise(line_edges(df, cfg))
     ids = ctx.context_ids(edges, df, cfg.id_col, compat=cfg.compat, out="context_ids_ref")
-    prompts = label_prompts(ids, edges, cfg.threshold, id_col=cfg.id_col, mode=cfg.mode, compat=cfg.compat)
+    x = with_context_text(ids, edges, cfg.id_col, cfg.mode, compat=cfg.compat)
+    asked = F.col("anomaly_score") >= F.lit(cfg.threshold)
+    prompts = x.withColumn("anomaly_label", F.when(asked, fill_template(
+        LABEL_TEMPLATE, {"log_str": F.col("_row"), "context_str": F.col("_context")})))
     msg = F.col(cfg.text_col) if cfg.text_col in df.columns else F.lit(None).cast("string")
     comp = F.col("component") if "component" in df.columns else None
     node = F.col("node") if "node" in df.columns else None
@@ -74,8 +81,9 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
         labelled = label_responses(prompts, client)
         if cfg.on_error == "rules":
             labelled = labelled.withColumn("anomaly_result", F.coalesce("anomaly_result", rule))
-    exp = explanation_prompts(labelled, edges, cfg.threshold, id_col=cfg.id_col, label_sources=("anomaly_result",),
-                              mode=cfg.mode, compat=cfg.compat)
+    exp = labelled.withColumn("explanation_prompt", F.when(asked, fill_template(EXPLANATION_TEMPLATE, {
+        "anomalous_log_str": F.col("_row"), "label_str": label_text(labelled, ("anomaly_result",)),
+        "context_str": F.col("_context")}))).drop("_row", "_context")
     if client is None:
         explained = exp.withColumn("explanation_result", F.when(
             F.col("explanation_prompt").isNotNull(),
