@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logscope.session import materialise
+
 EDGE_COLUMNS = ["anomaly_id", "anomaly_pos", "context_id", "context_pos", "kind", "rank", "similarity"]
 
 # Processing order of edge kinds inside one anomaly.
@@ -66,17 +68,39 @@ def _top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _pair_dots(a_terms: DataFrame, c_terms: DataFrame) -> DataFrame:
+    """Integer dot products of term-count vectors through a join on shared terms:
+    ``a_terms(_a1, _a2, term, _atf)`` x ``c_terms(_h1, _h2, term, tf)`` -> ``(_a1, _a2, _h1, _h2, _dot)``."""
+    return (a_terms.join(c_terms, "term")
+            .groupBy("_a1", "_a2", "_h1", "_h2").agg(F.sum(F.col("_atf") * F.col("tf")).alias("_dot")))
+
+
 def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col: str = "message",
                 id_col: str = "LineId", pos_col: str = "pos", flag_col: str = "anomaly",
-                max_df: float | None = None, shortlist: int | None = None) -> DataFrame:
+                max_df: float | None = None, shortlist: int | None = None, hot_df: int = 64) -> DataFrame:
     """Top ``k`` earlier rows by cosine of raw term counts (lower-cased ``\\w\\w+`` tokens).
 
-    Lossless reductions: similarity depends only on the two texts, so it is
-    computed on distinct texts through a join on shared terms; of each text only
-    its ``k`` earliest rows can be chosen; zero-similarity fill needs only the
-    first ``k`` rows of the table. ``max_df`` (off by default) drops terms in
-    more than that fraction of texts: approximate, for very hot terms.
+    Exact, with lossless reductions:
+
+    * similarity depends only on the two texts, so it is computed on distinct texts;
+    * of each text only its ``k`` earliest rows can be chosen;
+    * zero-similarity fill needs only the first ``k`` rows of the table;
+    * shortlist: per anomaly text only its best ``shortlist`` (default ``4k``)
+      candidate texts and rows are needed for every anomaly row that has at
+      least ``k`` shortlisted rows before it; the other (early) anomaly rows go
+      through a full join restricted to rows before the last of them;
+    * hot terms (in more than ``hot_df`` texts) make an all-pairs term join
+      quadratic. Texts are split into a hot part (their "signature") and a rare
+      part. Without rare-term overlap a candidate's similarity is a function of
+      its signature, norm and first row only, so for each anomaly signature the
+      best ``shortlist`` texts by ``hot dot / norm`` (ties kept) plus the
+      rare-overlap texts and the fill texts contain the true shortlist. Exact
+      similarities are then computed only for those candidates.
+
+    ``max_df`` (off by default) drops terms in more than that fraction of texts:
+    an approximation for extreme vocabularies.
     """
+    spark = df.sparkSession
     rows = df.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("context_id"), F.col(pos_col).alias("context_pos"),
         F.col(flag_col).alias("_flag"), F.col(text_col).alias("_text"), *_text_key(F.col(text_col)))
@@ -84,69 +108,119 @@ def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col:
     texts = rows.select("_h1", "_h2", "_text").dropDuplicates(["_h1", "_h2"])
     terms = (texts.select("_h1", "_h2", F.explode(tokens(F.col("_text"))).alias("term"))
              .groupBy("_h1", "_h2", "term").agg(F.count(F.lit(1)).alias("tf")))
+    dfreq = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     if max_df is not None:
         n_texts = texts.count()
-        df_terms = terms.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-        terms = terms.join(df_terms.where(F.col("_df") <= max_df * n_texts).select("term"), "term", "left_semi")
-    norms = terms.groupBy("_h1", "_h2").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("_norm"))
+        dfreq = dfreq.where(F.col("_df") <= max_df * n_texts)
+    terms = materialise(terms.join(dfreq, "term").withColumn("_hot", F.col("_df") > hot_df).drop("_df"))
 
+    # of each text only its k earliest rows can be chosen
+    wk = Window.partitionBy("_h1", "_h2").orderBy("context_id")
+    cands = materialise(rows.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= k)
+                        .select("_h1", "_h2", "context_id", "context_pos"))
     anomaly_rows = rows.where(F.col("_flag") == F.lit(True)).select(
         F.col("context_id").alias("anomaly_id"), F.col("context_pos").alias("anomaly_pos"),
         F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"))
     a_keys = anomaly_rows.select("_a1", "_a2").distinct()
-    a_terms = terms.join(a_keys, (terms["_h1"] == a_keys["_a1"]) & (terms["_h2"] == a_keys["_a2"]), "left_semi") \
-        .select(F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"), "term", F.col("tf").alias("_atf"))
-    dots = (a_terms.join(terms, "term")
-            .groupBy("_a1", "_a2", "_h1", "_h2").agg(F.sum(F.col("_atf") * F.col("tf")).alias("_dot")))
-    a_norms = norms.select(F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"), F.col("_norm").alias("_anorm"))
-    sims = (dots.join(a_norms, ["_a1", "_a2"]).join(norms, ["_h1", "_h2"])
-            .select("_a1", "_a2", "_h1", "_h2",
-                    F.round(F.col("_dot") / (F.col("_anorm") * F.col("_norm")), SIM_DIGITS).alias("similarity")))
 
-    # zero-similarity fill: only the first k rows of the table can ever be needed
-    first = rows.orderBy("context_id").limit(k).select("_h1", "_h2").distinct().collect()
-    if first:
-        pad_arr = F.array(*[F.struct(F.lit(r["_h1"]).alias("_h1"), F.lit(r["_h2"]).alias("_h2")) for r in first])
-        pads = (a_keys.select("_a1", "_a2", F.explode(pad_arr).alias("_p"))
-                .select("_a1", "_a2", F.col("_p._h1").alias("_h1"), F.col("_p._h2").alias("_h2"),
-                        F.lit(0.0).alias("similarity")))
-        sims = sims.unionByName(pads).groupBy("_a1", "_a2", "_h1", "_h2").agg(F.max("similarity").alias("similarity"))
+    # per text: norm, first row, hot signature (a 128-bit key of its sorted hot terms and counts)
+    sig_txt = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("term", "tf"))),
+                                       lambda x: F.concat(x["term"], F.lit("\u0001"), x["tf"].cast("string"))),
+                           "\u0002")
+    sigs = (terms.where("_hot").groupBy("_h1", "_h2").agg(sig_txt.alias("_sigtxt"))
+            .select("_h1", "_h2", F.xxhash64("_sigtxt").alias("_s1"), F.xxhash64(F.lit("#"), "_sigtxt").alias("_s2")))
+    norms = terms.groupBy("_h1", "_h2").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("_norm"))
+    info = (cands.groupBy("_h1", "_h2").agg(F.min("context_id").alias("_first"))  # every text, tokens or not
+            .join(norms, ["_h1", "_h2"], "left").withColumn("_norm", F.coalesce("_norm", F.lit(0.0)))
+            .join(sigs, ["_h1", "_h2"], "left"))
+    info = materialise(info)
+    a_info = info.join(a_keys.select(F.col("_a1").alias("_h1"), F.col("_a2").alias("_h2")), ["_h1", "_h2"],
+                       "left_semi").select(F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"),
+                                           F.col("_norm").alias("_anorm"), F.col("_s1").alias("_sa1"),
+                                           F.col("_s2").alias("_sa2"))
 
-    # of each text only its k earliest rows can be chosen
-    wk = Window.partitionBy("_h1", "_h2").orderBy("context_id")
-    cands = (rows.withColumn("_r", F.row_number().over(wk)).where(F.col("_r") <= k)
-             .select("_h1", "_h2", "context_id", "context_pos"))
-
-    # Exact shortlist: per distinct anomaly text, its best `shortlist` candidate rows
-    # ignoring the id cut. An anomaly row is settled when at least k shortlisted rows
-    # precede it (every row outside the shortlist ranks below all of them) or when
-    # the shortlist holds every candidate of the text. Only unsettled rows (typically
-    # the earliest anomalies) go through the full join.
     t = max(shortlist or 4 * k, k)
-    firsts = cands.groupBy("_h1", "_h2").agg(F.min("context_id").alias("_first"), F.count(F.lit(1)).alias("_nrows"))
-    ranked = sims.join(firsts, ["_h1", "_h2"])
-    totals = ranked.groupBy("_a1", "_a2").agg((F.sum("_nrows") <= t).alias("_complete"))
+
+    # hot part: dot products between signatures (few distinct), then per anomaly signature
+    # the best t texts by hot dot / norm among each candidate signature's best t texts
+    sig_terms = (terms.where("_hot").join(sigs, ["_h1", "_h2"])
+                 .dropDuplicates(["_s1", "_s2", "term"]).select("_s1", "_s2", "term", "tf"))
+    a_sigs = a_info.select(F.col("_sa1").alias("_s1"), F.col("_sa2").alias("_s2")).where("_s1 IS NOT NULL").distinct()
+    a_sig_terms = sig_terms.join(a_sigs, ["_s1", "_s2"], "left_semi").select(
+        F.col("_s1").alias("_sa1"), F.col("_s2").alias("_sa2"), "term", F.col("tf").alias("_atf"))
+    sig_dots = materialise(a_sig_terms.join(sig_terms, "term").groupBy("_sa1", "_sa2", "_s1", "_s2")
+                           .agg(F.sum(F.col("_atf") * F.col("tf")).alias("_hdot")))
+    wg = Window.partitionBy("_s1", "_s2").orderBy(F.col("_norm").asc(), F.col("_first").asc())
+    g_top = (info.where("_s1 IS NOT NULL AND _norm > 0").withColumn("_gr", F.row_number().over(wg)).where(F.col("_gr") <= t)
+             .select("_s1", "_s2", "_h1", "_h2", "_norm"))
+    wsa = Window.partitionBy("_sa1", "_sa2").orderBy(F.round(F.col("_hdot") / F.col("_norm"), 9).desc())
+    sa_top = (sig_dots.join(g_top, ["_s1", "_s2"]).withColumn("_rk", F.rank().over(wsa))
+              .where(F.col("_rk") <= t).select("_sa1", "_sa2", "_h1", "_h2"))
+    from_sig = a_info.join(sa_top, ["_sa1", "_sa2"]).select("_a1", "_a2", "_h1", "_h2")
+
+    # rare part: texts sharing a rare term with the anomaly text
+    a_rare = (terms.where(~F.col("_hot")).join(a_keys.select(F.col("_a1").alias("_h1"), F.col("_a2").alias("_h2")),
+                                                ["_h1", "_h2"], "left_semi")
+              .select(F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"), "term", F.col("tf").alias("_atf")))
+    rare_dots = _pair_dots(a_rare, terms.where(~F.col("_hot")).select("_h1", "_h2", "term", "tf"))
+
+    # zero-similarity fill: only the first k rows of the table can ever be needed
+    first = rows.orderBy("context_id").limit(k).select("_h1", "_h2").distinct().collect()
+    pad_arr = F.array(*[F.struct(F.lit(r["_h1"]).alias("_h1"), F.lit(r["_h2"]).alias("_h2")) for r in first])
+    pads = (a_keys.select("_a1", "_a2", F.explode(pad_arr).alias("_p"))
+            .select("_a1", "_a2", F.col("_p._h1").alias("_h1"), F.col("_p._h2").alias("_h2")))
+
+    # exact similarities of the candidate texts
+    pairs = (from_sig.unionByName(rare_dots.select("_a1", "_a2", "_h1", "_h2")).unionByName(pads)
+             .dropDuplicates(["_a1", "_a2", "_h1", "_h2"]))
+    pairs = (pairs.join(rare_dots, ["_a1", "_a2", "_h1", "_h2"], "left")
+             .join(a_info, ["_a1", "_a2"]).join(info, ["_h1", "_h2"])
+             .join(sig_dots, ["_sa1", "_sa2", "_s1", "_s2"], "left"))
+    dot = F.coalesce(F.col("_hdot"), F.lit(0)) + F.coalesce(F.col("_dot"), F.lit(0))
+    sims = pairs.select("_a1", "_a2", "_h1", "_h2", "_first",
+                        F.coalesce(F.round(F.try_divide(dot, F.col("_anorm") * F.col("_norm")), SIM_DIGITS),
+                                   F.lit(0.0)).alias("similarity"))
+
+    # shortlist: best t texts, then best t rows of them, per anomaly text
     wt = Window.partitionBy("_a1", "_a2").orderBy(F.col("similarity").desc(), F.col("_first"))
-    top_texts = ranked.withColumn("_tr", F.row_number().over(wt)).where(F.col("_tr") <= t).select(
+    top_texts = sims.withColumn("_tr", F.row_number().over(wt)).where(F.col("_tr") <= t).select(
         "_a1", "_a2", "_h1", "_h2", "similarity")
     wr = Window.partitionBy("_a1", "_a2").orderBy(F.col("similarity").desc(), F.col("context_id"))
-    short = (top_texts.join(cands, ["_h1", "_h2"]).withColumn("_sr", F.row_number().over(wr))
-             .where(F.col("_sr") <= t).select("_a1", "_a2", "context_id", "context_pos", "similarity"))
+    short = materialise(top_texts.join(cands, ["_h1", "_h2"]).withColumn("_sr", F.row_number().over(wr))
+                        .where(F.col("_sr") <= t).select("_a1", "_a2", "context_id", "context_pos", "similarity"))
     p1 = anomaly_rows.join(short, ["_a1", "_a2"])
     if earlier_only:
         p1 = p1.where(F.col("context_id") < F.col("anomaly_id"))
     p1 = p1.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", "similarity")
     found = p1.groupBy("anomaly_id").agg(F.count(F.lit(1)).alias("_q"))
-    status = (anomaly_rows.join(totals, ["_a1", "_a2"], "left").join(found, "anomaly_id", "left")
-              .withColumn("_settled", (F.coalesce("_q", F.lit(0)) >= k) | F.coalesce("_complete", F.lit(True))))
-    settled = status.where("_settled").select("anomaly_id")
+    status = materialise(anomaly_rows.join(found, "anomaly_id", "left")
+                         .withColumn("_settled", F.coalesce("_q", F.lit(0)) >= k))
+    top = _top_k(p1.join(status.where("_settled").select("anomaly_id"), "anomaly_id", "left_semi"), k)
+
+    # unsettled anomaly rows: full candidate lists, restricted to rows before the last of them
     open_rows = status.where(~F.col("_settled")).select("anomaly_id", "anomaly_pos", "_a1", "_a2")
-    top1 = _top_k(p1.join(settled, "anomaly_id", "left_semi"), k)
-    pairs = open_rows.join(sims, ["_a1", "_a2"]).join(cands, ["_h1", "_h2"])
-    if earlier_only:
-        pairs = pairs.where(F.col("context_id") < F.col("anomaly_id"))
-    top2 = _top_k(pairs.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", "similarity"), k)
-    top = top1.unionByName(top2)
+    last = open_rows.agg(F.max("anomaly_id").alias("m"), F.count(F.lit(1)).alias("n")).collect()[0]
+    if last["n"]:
+        early = cands.where(F.col("context_id") < F.lit(last["m"])) if earlier_only else cands
+        early_texts = early.select("_h1", "_h2").distinct()
+        o_keys = open_rows.select("_a1", "_a2").distinct()
+        o_terms = (terms.join(o_keys.select(F.col("_a1").alias("_h1"), F.col("_a2").alias("_h2")), ["_h1", "_h2"],
+                              "left_semi")
+                   .select(F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"), "term", F.col("tf").alias("_atf")))
+        c_terms = terms.join(early_texts, ["_h1", "_h2"], "left_semi").select("_h1", "_h2", "term", "tf")
+        full = _pair_dots(o_terms, c_terms).select("_a1", "_a2", "_h1", "_h2")
+        o_pads = pads.join(o_keys, ["_a1", "_a2"], "left_semi")
+        fp = full.unionByName(o_pads).dropDuplicates(["_a1", "_a2", "_h1", "_h2"])
+        fp = (fp.join(_pair_dots(o_terms, c_terms), ["_a1", "_a2", "_h1", "_h2"], "left")
+              .join(a_info.select("_a1", "_a2", "_anorm"), ["_a1", "_a2"]).join(info.select("_h1", "_h2", "_norm"),
+                                                                                ["_h1", "_h2"]))
+        fsims = fp.select("_a1", "_a2", "_h1", "_h2", F.coalesce(F.round(
+            F.try_divide(F.col("_dot"), F.col("_anorm") * F.col("_norm")), SIM_DIGITS), F.lit(0.0)).alias("similarity"))
+        op = open_rows.join(fsims, ["_a1", "_a2"]).join(early, ["_h1", "_h2"])
+        if earlier_only:
+            op = op.where(F.col("context_id") < F.col("anomaly_id"))
+        top = top.unionByName(_top_k(op.select("anomaly_id", "anomaly_pos", "context_id", "context_pos",
+                                               "similarity"), k))
     return top.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", F.lit("lexical").alias("kind"),
                       F.col("rank").cast("int"), "similarity")
 

@@ -116,3 +116,18 @@ def test_gather_exact_vs_member(spark):
     exact = {r["anomaly_id"]: r["context_rows"] for r in
              ctx.gather_context(edges, df, "_row", mode="exact").collect()}
     assert exact[3] == ["m1", "m2", "m3", "m4", "m5"]
+
+
+@pytest.mark.parametrize("hot_df,shortlist", [(2, None), (1, 5), (3, 12)])
+def test_far_lexical_hot_split_matches_brute_force(spark, hot_df, shortlist):
+    rows = random_rows(9, 90)
+    df = frame(spark, rows, parts=5)
+    got = {}
+    for r in ctx.far_lexical(df, 4, hot_df=hot_df, shortlist=shortlist).collect():
+        got.setdefault(r["anomaly_id"], []).append((r["rank"], r["context_id"], round(r["similarity"], 9)))
+    pairs = [(i, t) for i, t, _ in rows]
+    for idx, (i, t, f) in enumerate(rows):
+        if not f or t is None:
+            continue
+        want = [(cid, round(s, 9)) for cid, s in lexical_topk(pairs, idx, 4)]
+        assert [(c, s) for _, c, s in sorted(got.get(i, []))] == want
