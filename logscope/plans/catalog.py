@@ -936,3 +936,120 @@ _DET = ("SELECT line_id, label <> '-' AS anomaly, anomaly_score AS pred_ano_prob
 def q_detector_metrics(spark, sf):
     df = spark.sql(_DET.replace("FROM log_view", "FROM {lv}"), lv=lv(spark, sf))
     return detector_metrics(df)
+
+
+# ---------------------------------------------------------------- operators checked by rows only
+# (iterative, randomised or model-based: no SQL oracle; pytest checks them against
+# brute-force models on small fixtures)
+
+
+def _enhanced(spark, sf):
+    from logscope.plans.files import enhance
+    return enhance(merge_multiline(view(spark, sf, "raw_view"))).withColumn(
+        "_line_key", F.xxhash64("source_file", "line_no"))
+
+
+@register("templates_drain")
+def q_drain(spark, sf):
+    from logscope.operators.templates import templates_drain
+    df = lv(spark, sf).select(txt.normalise(F.col("message")).alias("e_message_normalized")).distinct()
+    return templates_drain(df).select("e_message_normalized", "template", "event_id")
+
+
+@register("templates_spell")
+def q_spell(spark, sf):
+    from logscope.operators.templates import templates_spell
+    df = lv(spark, sf).select(txt.normalise(F.col("message")).alias("e_message_normalized")).distinct()
+    return templates_spell(df).select("e_message_normalized", "template", "event_id")
+
+
+@register("templates_brain")
+def q_brain(spark, sf):
+    from logscope.operators.templates import templates_brain
+    df = lv(spark, sf).select(F.col("message").alias("e_message_normalized")).distinct()
+    return templates_brain(df).select("e_message_normalized", "template", "event_id")
+
+
+@register("isolation_forest")
+def q_isolation_forest(spark, sf):
+    from logscope.operators.detect import isolation_forest, split
+    from logscope.plans.files import LENGTH_FEATURES
+    x = _enhanced(spark, sf)
+    train, _ = split(x, 0.9, 42, ["_line_key"])
+    out = isolation_forest(train, x, LENGTH_FEATURES, 100, 256, 42, "_line_key")
+    return out.select("source_file", "line_no", "pred_ano", F.round("pred_ano_proba", 6).alias("pred_ano_proba"))
+
+
+@register("lof")
+def q_lof(spark, sf):
+    from logscope.operators.detect import lof, split
+    from logscope.plans.files import LENGTH_FEATURES
+    x = _enhanced(spark, sf)
+    train, _ = split(x, 0.9, 42, ["_line_key"])
+    out = lof(train, x, LENGTH_FEATURES, 20, "_line_key")
+    return out.select("source_file", "line_no", "pred_ano", F.round("pred_ano_proba", 6).alias("pred_ano_proba"))
+
+
+@register("features")
+def q_features(spark, sf):
+    from logscope.operators.detect import split
+    from logscope.operators.vectors import features
+    x = _enhanced(spark, sf)
+    train, _ = split(x, 0.9, 42, ["_line_key"])
+    (out,) = features(train, [x])
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("features")
+    return out.select("source_file", "line_no", F.size(arr).alias("dims"),
+                      F.round(F.aggregate(arr, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+
+
+@register("embed")
+def q_embed(spark, sf):
+    from logscope.operators.vectors import embed
+    df = embed(lv(spark, sf).select("line_id", "message"), "message")
+    return df.select("line_id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v), 6)
+                     .alias("norm2"))
+
+
+@register("explain_files")
+def q_explain_files(spark, sf):
+    from logscope.plans.files import FileConfig, explain_files
+    return explain_files(view(spark, sf, "raw_view"), FileConfig(token_limit=_BUDGET))
+
+
+@register("trim_iterative")
+def q_trim_iterative(spark, sf):
+    kept = trim_to_budget(_file_lines(spark, sf), _BUDGET, "source_file", policy="iterative")
+    return kept.select("source_file", "line_no", F.round("pred_ano_proba", 6).alias("pred_ano_proba"))
+
+
+@register("prompt_variants")
+def q_prompt_variants(spark, sf):
+    strategies = {"zero_shot": "Classify this log line.\n{input}",
+                  "step_by_step": "Think step by step about what failed, then classify.\n{input}",
+                  "hypotheses": "List three possible causes, pick the most likely, then classify.\n{input}"}
+    df = prp.select_anomalies(lv(spark, sf), 0.79).select("line_id", "message")
+    return prm.prompt_variants(df, "message", strategies).select("line_id", "strategy", "variant_prompt")
+
+
+@register("sample_per_group")
+def q_sample_per_group(spark, sf):
+    return prp.sample_per_group(lv(spark, sf), "level", 2, 42, ["line_id"]).select("line_id", "level")
+
+
+@register("label_tree")
+def q_label_tree(spark, sf):
+    # the label tree parser over text lines derived from the conversations table:
+    # a conversation opens an application, a role line opens a failure type, turns are members
+    from logscope.sources.readers import label_tree_rows
+    conv = table(spark, sf, "conversations")
+    lines = conv.select(F.lit("conversations").alias("source_file"), "conv_id", "turn", "role")
+    head = lines.where("turn = 0").select("source_file", "conv_id", F.lit(-2).alias("k"),
+                                          F.concat(F.lit("### conv "), F.col("conv_id").cast("string")).alias("_t"))
+    fail = lines.select("source_file", "conv_id", (F.col("turn") * 2 - 1).alias("k"),
+                        F.concat(F.col("role"), F.lit(":")).alias("_t"))
+    memb = lines.select("source_file", "conv_id", (F.col("turn") * 2).alias("k"),
+                        F.concat(F.lit("+ turn_"), F.col("turn").cast("string")).alias("_t"))
+    allx = head.unionByName(fail).unionByName(memb).withColumn(
+        "line_no", F.col("conv_id") * F.lit(1_000_000) + F.col("k") + 2)
+    return label_tree_rows(allx.select("source_file", "line_no", "_t"))

@@ -66,23 +66,26 @@ def test_token_count(spark):
     assert got == {"f": 4 + 1 + 1, "g": 3}
 
 
-class EchoClient:
-    def complete(self, prompt, max_tokens):
-        if "fail" in prompt:
-            raise RuntimeError("boom")
-        return f" label for {prompt.split()[-1]} "
+def make_echo_client():
+    # defined in a function so that it is shipped to the workers by value
+    class EchoClient:
+        def complete(self, prompt, max_tokens):
+            if "fail" in prompt:
+                raise RuntimeError("boom")
+            return f" label for {prompt.split()[-1]} "
+    return EchoClient()
 
 
 def test_complete_and_attach(spark):
     df = spark.createDataFrame([(1, "p memory"), (2, "p memory"), (3, None), (4, "please fail")],
                                "LineId long, prompt string")
-    out = {r["LineId"]: r["resp"] for r in inf.complete(df, "prompt", "resp", EchoClient).collect()}
+    out = {r["LineId"]: r["resp"] for r in inf.complete(df, "prompt", "resp", make_echo_client).collect()}
     assert out == {1: " label for memory ", 2: " label for memory ", 3: None, 4: "Error: boom"}
     resp = spark.createDataFrame([(1, "b"), (1, "a"), (9, "z")], "LineId long, r string")
     got = {r["LineId"]: r["r"] for r in inf.attach(df, resp, "r").collect()}
     assert got == {1: "a", 2: None, 3: None, 4: None}
     files = spark.createDataFrame([("f1", "x ok"), ("f2", ""), ("f3", "fail now")], "f string, file_prompt string")
-    fr = {r["f"]: r["file_explanation"] for r in inf.file_responses(files, EchoClient).collect()}
+    fr = {r["f"]: r["file_explanation"] for r in inf.file_responses(files, make_echo_client).collect()}
     assert fr == {"f1": "label for ok", "f2": "Error: Invalid prompt provided.", "f3": "Error: boom"}
 
 
@@ -106,3 +109,48 @@ def test_sampling_is_reproducible(spark):
     assert a == b and len(a) == 20
     per = sample_per_group(df, "g", 4, 5).groupBy("g").count().collect()
     assert sorted(r["count"] for r in per) == [4, 4, 4]
+
+
+def test_lof_matches_brute_force(spark):
+    rnd = np.random.default_rng(1)
+    tr = rnd.normal(size=(120, 3))
+    te = np.vstack([rnd.normal(size=(30, 3)), [[6, 6, 6]]])
+    a = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(tr)], "LineId long, a double, b double, c double")
+    b = spark.createDataFrame([(1000 + i, *map(float, r)) for i, r in enumerate(te)],
+                              "LineId long, a double, b double, c double")
+    got = {r["LineId"]: r["pred_ano_proba"] for r in detect.lof(a, b, ["a", "b", "c"], 10).collect()}
+
+    def dist(x, y):
+        return np.sqrt(((x - y) ** 2).sum(-1))
+    d = dist(tr[:, None], tr[None])
+    np.fill_diagonal(d, np.inf)
+    nn = np.argsort(d, 1)[:, :10]
+    kd = np.take_along_axis(d, nn, 1)[:, -1]
+    lrd = 1 / (np.maximum(np.take_along_axis(d, nn, 1), kd[nn]).mean(1) + 1e-10)
+    for i, x in enumerate(te):
+        dx = dist(x[None], tr)
+        n = np.argsort(dx)[:10]
+        assert abs(lrd[n].mean() * (np.maximum(dx[n], kd[n]).mean() + 1e-10) - got[1000 + i]) < 1e-9
+    assert got[1030] > 1.5
+
+
+def test_embed_distinct_texts(spark):
+    from logscope.operators.vectors import embed
+    df = spark.createDataFrame([(1, "disk full"), (2, "disk full"), (3, None)], "LineId long, message string")
+    out = {r["LineId"]: r["embedding"] for r in embed(df).collect()}
+    assert out[1] == out[2] and abs(sum(v * v for v in out[1]) - 1) < 1e-6 and out[3] is None
+
+
+def test_label_stream(spark, tmp_path):
+    from logscope.streaming.rules import label_stream, write_micro_batches
+    src = tmp_path / "in"
+    spark.createDataFrame([(1, "out of memory", 0.9, "KERNEL", "n1"), (2, "ok", 0.1, "APP", "n2")],
+                          "row_nr long, m_message string, pred_ano_proba double, component string, node string") \
+        .write.parquet(str(src))
+    stream = spark.readStream.schema("row_nr long, m_message string, pred_ano_proba double, component string, "
+                                     "node string").parquet(str(src))
+    got = []
+    q = write_micro_batches(label_stream(stream), lambda b, _: got.extend(b.collect()), str(tmp_path / "ck"))
+    q.awaitTermination(120)
+    by = {r["LineId"]: r["anomaly_label_final"] for r in got}
+    assert by == {1: "memory", 2: None}
