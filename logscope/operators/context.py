@@ -365,18 +365,26 @@ def _kind_no(kind):
 
 
 def context_ids(edges: DataFrame, df: DataFrame, id_col: str = "LineId", pos_col: str = "pos",
-                flag_col: str = "anomaly", compat: bool = True, out: str = "context_ids") -> DataFrame:
+                flag_col: str = "anomaly", compat: bool = True, out: str = "context_ids",
+                bucket_rows: int = 1 << 20) -> DataFrame:
     """Render the per-row list of anomaly ids (``"5,9"``), in processing order:
     anomaly position, then near before semantic before lexical, then rank.
-    ``compat=False`` keeps edges into anomalies and removes repeated ids."""
+    ``compat=False`` keeps edges into anomalies and removes repeated ids.
+
+    A popular row (e.g. the earliest copy of a frequent message) can be context
+    for a great many anomalies. Its list is built in two steps: ordered partial
+    lists per (row, block of ``bucket_rows`` anomaly positions), spread over tasks,
+    then a concatenation of the few partials in block order."""
     e = kept_edges(edges, df, id_col, pos_col, flag_col, compat)
-    e = e.select("context_id", F.struct("anomaly_pos", _kind_no(F.col("kind")).alias("kind_no"),
-                                        "rank", "anomaly_id").alias("_e"))
-    lists = e.groupBy("context_id").agg(F.sort_array(F.collect_list("_e")).alias("_l"))
-    ids = F.transform(F.col("_l"), lambda x: x["anomaly_id"].cast("string"))
+    e = e.select("context_id", F.floor(F.col("anomaly_pos") / F.lit(bucket_rows)).alias("_b"),
+                 F.struct("anomaly_pos", _kind_no(F.col("kind")).alias("kind_no"), "rank", "anomaly_id").alias("_e"))
+    ids = F.transform(F.sort_array(F.collect_list("_e")), lambda x: x["anomaly_id"].cast("string"))
     if not compat:
-        ids = F.array_distinct(ids)
-    lists = lists.select(F.col("context_id").alias("_cid"), F.array_join(ids, ",").alias(out))
+        ids = F.array_distinct(ids)  # repeats come from one anomaly, hence one block
+    part = e.groupBy("context_id", "_b").agg(F.array_join(ids, ",").alias("_s"))
+    lists = part.groupBy("context_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("_b", "_s"))), lambda x: x["_s"]), ",").alias(out))
+    lists = lists.withColumnRenamed("context_id", "_cid")
     return df.join(lists, df[id_col] == lists["_cid"], "left").drop("_cid")
 
 

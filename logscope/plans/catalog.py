@@ -1053,3 +1053,42 @@ def q_label_tree(spark, sf):
     allx = head.unionByName(fail).unionByName(memb).withColumn(
         "line_no", F.col("conv_id") * F.lit(1_000_000) + F.col("k") + 2)
     return label_tree_rows(allx.select("source_file", "line_no", "_t"))
+
+
+# ---------------------------------------------------------------- further oracle-backed variants
+
+
+@register("gather_context_exact", _with_base(
+    "SELECT g.anomaly_id, string_agg(r.row, chr(10) ORDER BY r.pos, r.line_id) AS context_rows FROM kept g "
+    "JOIN (SELECT context_id FROM kept GROUP BY context_id HAVING count(*) = 1) one USING (context_id) "
+    "JOIN rendered r ON r.line_id = g.context_id GROUP BY g.anomaly_id",
+    orc.near_cte() + "," + orc.kept_cte() + f", rendered AS (SELECT line_id, pos, {_CARD_SQL} AS row FROM base)"))
+def q_gather_exact(spark, sf):
+    df = ctx_base(spark, sf).withColumn("_card", F.expr(_CARD_SQL))
+    g = ctx.gather_context(ctx.near_context(df, 6, "line_id"), df, "_card", "line_id", mode="exact")
+    return g.select("anomaly_id", F.array_join("context_rows", "\n").alias("context_rows"))
+
+
+@register("context_ids_dedup", _with_base(
+    "SELECT b.line_id, d.context_ids FROM base b LEFT JOIN (SELECT context_id, string_agg(CAST(anomaly_id AS VARCHAR), "
+    "',' ORDER BY p) AS context_ids FROM (SELECT context_id, anomaly_id, min(struct_pack(a := anomaly_pos, k := kind_no, "
+    "r := rank)) AS p FROM kept GROUP BY context_id, anomaly_id) GROUP BY context_id) d ON d.context_id = b.line_id",
+    orc.near_cte() + "," + orc.lexical_ctes() + "," + orc.kept_cte(parts=(("near", 1), ("lex", 3)), compat=False)))
+def q_context_ids_dedup(spark, sf):
+    df = ctx_base(spark, sf)
+    edges = ctx.near_context(df, 6, "line_id").unionByName(ctx.far_lexical(df, 5, True, "message", "line_id"))
+    return ctx.context_ids(edges, df, "line_id", compat=False).select("line_id", "context_ids")
+
+
+def _best_match_sql() -> str:
+    # the notebook variant: the single most similar row of the whole table (itself included)
+    lex = orc.lexical_ctes().replace("ON c.line_id < a.line_id", "ON true").replace("QUALIFY rank <= 5",
+                                                                                     "QUALIFY rank <= 1")
+    return _with_base("SELECT anomaly_id, context_id, rank, round(similarity, 6) AS similarity FROM lex", lex)
+
+
+@register("far_lexical_best", _best_match_sql())
+def q_far_lexical_best(spark, sf):
+    df = ctx_base(spark, sf)
+    e = ctx.far_lexical(df, 1, False, "message", "line_id")
+    return e.select("anomaly_id", "context_id", "rank", F.round("similarity", 6).alias("similarity"))
