@@ -80,7 +80,7 @@ def snippet(message: Column, score: Column, width: int = 150) -> Column:
     """``(Score: 0.1234) Msg: text``; text trimmed and cut to ``width`` chars plus ``...``."""
     msg = F.trim(F.coalesce(message, F.lit(NONE)))
     cut = F.when(F.char_length(msg) > width, F.concat(F.substring(msg, 1, width), F.lit("..."))).otherwise(msg)
-    score_txt = F.coalesce(F.format_string("%.4f", score.cast("double")), F.lit(NONE))
+    score_txt = F.when(score.isNull(), F.lit(NONE)).otherwise(F.format_string("%.4f", score.cast("double")))
     return F.concat(F.lit("(Score: "), score_txt, F.lit(") Msg: "), cut)
 
 

@@ -17,15 +17,19 @@ def _tokens(text):
 
 def templates_iplom(df: DataFrame, text_col: str = "e_message_normalized") -> DataFrame:
     """IPLoM-style templates, set-based: partition by token count, split each partition
-    by the token at its least-varying position (cardinality > 1, leftmost on ties),
+    by the token at its least-varying position (more than one value but not one per
+    message; leftmost on ties),
     then positions with one distinct token are constant, the others ``<*>``.
     -> ``df + (event_id, template)``; ``event_id`` is the md5 of the template."""
     texts = df.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
     texts = texts.withColumn("_tok", _tokens(F.col("_text"))).withColumn("_n", F.size("_tok"))
     pos = texts.select("_text", "_n", F.posexplode("_tok").alias("_p", "_w"))
     card = pos.groupBy("_n", "_p").agg(F.count_distinct("_w").alias("_c"))
+    size = texts.groupBy("_n").agg(F.count(F.lit(1)).alias("_size"))
     w = Window.partitionBy("_n").orderBy(F.col("_c").asc(), F.col("_p").asc())
-    split = (card.where(F.col("_c") > 1).withColumn("_r", F.row_number().over(w)).where("_r = 1")
+    # a position where every message differs is a variable, not a split criterion
+    split = (card.join(size, "_n").where((F.col("_c") > 1) & (F.col("_c") < F.col("_size")))
+             .withColumn("_r", F.row_number().over(w)).where("_r = 1")
              .select("_n", F.col("_p").alias("_sp")))
     t = texts.join(split, "_n", "left")
     t = t.withColumn("_key", F.when(F.col("_sp").isNull(), F.lit("")).otherwise(F.element_at("_tok", F.col("_sp") + 1)))

@@ -885,7 +885,8 @@ tn AS (SELECT t, tok, len(tok) AS n FROM tk),
 ps AS (SELECT t, n, unnest(range(0, n)) AS p FROM tn),
 pw AS (SELECT ps.t, ps.n, ps.p, tn.tok[ps.p + 1] AS w FROM ps JOIN tn USING (t)),
 card AS (SELECT n, p, count(DISTINCT w) AS c FROM pw GROUP BY n, p),
-sp AS (SELECT n, p AS sp FROM card WHERE c > 1 QUALIFY row_number() OVER (PARTITION BY n ORDER BY c, p) = 1),
+sz AS (SELECT n, count(*) AS size FROM tn GROUP BY n),
+sp AS (SELECT n, p AS sp FROM card JOIN sz USING (n) WHERE c > 1 AND c < size QUALIFY row_number() OVER (PARTITION BY n ORDER BY c, p) = 1),
 keyed AS (SELECT tn.t, tn.n, CASE WHEN sp.sp IS NULL THEN '' ELSE tn.tok[sp.sp + 1] END AS k FROM tn LEFT JOIN sp USING (n)),
 pk AS (SELECT pw.*, keyed.k FROM pw JOIN keyed USING (t, n)),
 cst AS (SELECT n, k, p, CASE WHEN count(DISTINCT w) = 1 THEN min(w) ELSE '<*>' END AS w FROM pk GROUP BY n, k, p),

@@ -90,8 +90,7 @@ def label_tree_rows(lines: DataFrame, text_col: str = "_t") -> DataFrame:
 
 def read_runs(spark: SparkSession, root: str, prefixes=("WordCount", "PageRank")) -> DataFrame:
     """One row per container log: ``{job}_{issue}_{run_id...}/{container}.log`` with its whole content."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.log").text(root)
+    df = (spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log")
           .select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("Content")))
     parts = F.split(F.col("_path"), "/")
     run_dir = F.element_at(parts, -2)

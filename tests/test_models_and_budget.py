@@ -1,4 +1,5 @@
 import random
+import sys
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -10,6 +11,11 @@ from logscope.operators import templates as tpl
 from logscope.operators.prepare import sample_n, sample_per_group
 from tests.models import iterative_trim
 
+from pyspark import cloudpickle
+
+# test-local clients and helpers are shipped to the Python workers by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def test_split_is_deterministic(spark):
     df = spark.range(1, 2001).withColumnRenamed("id", "LineId")
