@@ -1093,3 +1093,29 @@ def q_far_lexical_best(spark, sf):
     df = ctx_base(spark, sf)
     e = ctx.far_lexical(df, 1, False, "message", "line_id")
     return e.select("anomaly_id", "context_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+_TIME_SQL = orc.q(txt.TIME_PATTERN)
+
+
+@register("extract_timestamp", with_views(
+    "SELECT source_file, line_no, CASE WHEN raw = '' THEN NULL ELSE strftime(try_strptime('1970-01-01 ' || "
+    "rpad(CASE WHEN regexp_matches(raw, '^\\d:') THEN '0' || raw ELSE raw END, 12, '0'), '%Y-%m-%d %H:%M:%S.%g'), "
+    "'%H:%M:%S.%g') END AS m_timestamp, "
+    f"regexp_replace(value, {_TIME_SQL}, '') AS m_message FROM (SELECT *, regexp_extract(value, {_TIME_SQL}, 1) AS raw "
+    "FROM raw_view)", "raw_view"))
+def q_extract_timestamp(spark, sf):
+    df = view(spark, sf, "raw_view")
+    return df.select("source_file", "line_no",
+                     F.date_format(txt.extract_time(F.col("value")), "HH:mm:ss.SSS").alias("m_timestamp"),
+                     txt.strip_time(F.col("value")).alias("m_message"))
+
+
+@register("one_class_svm")
+def q_one_class_svm(spark, sf):
+    from logscope.operators.detect import one_class_svm, split
+    from logscope.plans.files import LENGTH_FEATURES
+    x = _enhanced(spark, sf)
+    train, _ = split(x, 0.9, 42, ["_line_key"])
+    out = one_class_svm(train, x, LENGTH_FEATURES, nu=0.1)
+    return out.select("source_file", "line_no", "pred_ano", F.round("pred_ano_proba", 6).alias("pred_ano_proba"))

@@ -160,3 +160,24 @@ def test_label_stream(spark, tmp_path):
     q.awaitTermination(120)
     by = {r["LineId"]: r["anomaly_label_final"] for r in got}
     assert by == {1: "memory", 2: None}
+
+
+def test_one_class_svm_flags_outliers(spark):
+    rnd = np.random.default_rng(2)
+    pts = rnd.normal(size=(400, 2)).tolist() + [[7.0, 7.0], [-8.0, 6.0]]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "LineId long, x double, y double")
+    out = {r["LineId"]: r for r in detect.one_class_svm(df, df, ["x", "y"], nu=0.1).collect()}
+    assert out[400]["pred_ano"] == 1 and out[401]["pred_ano"] == 1
+    inliers = sum(out[i]["pred_ano"] == 0 for i in range(400))
+    assert inliers > 280
+
+
+def test_chain_and_columns(spark):
+    from logscope.operators.prepare import ensure_columns
+    df = spark.createDataFrame([(1, "disk")], "LineId long, m string")
+    out = ensure_columns(df, {"m": "string", "context_ids_ref": "string", "anomaly_score": 0.0})
+    assert out.columns == ["LineId", "m", "context_ids_ref", "anomaly_score"]
+    steps = [(lambda d: d.withColumn("_step0", F.concat(F.lit("first "), "m")), "r1"),
+             (lambda d: d.withColumn("_step1", F.concat(F.lit("second "), F.trim("r1"))), "r2")]
+    r = inf.chain(df, steps, make_echo_client).collect()[0]
+    assert r["r1"] == " label for disk " and r["r2"] == " label for disk "
