@@ -239,11 +239,12 @@ def one_class_svm(train: DataFrame, test: DataFrame, features: Sequence[str], nu
     aggregate would. ``gamma`` defaults to ``1 / (n_features * var(X))`` (sklearn's
     ``scale``). Adds ``pred_ano_proba`` (``rho - w.phi(x)``, higher is more anomalous)
     and ``pred_ano`` (decision below zero)."""
+    from logscope.session import materialise
     features = list(features)
     vec = F.array(*[F.col(c).cast("double") for c in features])
-    tr = train.select(vec.alias("_x"))
+    tr = materialise(train.select(vec.alias("_x")))  # read by every step
     if gamma is None:
-        stats = train.select(F.explode(vec).alias("_v")).agg(F.var_pop("_v").alias("v")).collect()[0]["v"] or 1.0
+        stats = tr.select(F.explode("_x").alias("_v")).agg(F.var_pop("_v").alias("v")).collect()[0]["v"] or 1.0
         gamma = 1.0 / (len(features) * stats) if stats > 0 else 1.0
     rng = np.random.default_rng(seed)
     W = rng.normal(scale=math.sqrt(2 * gamma), size=(len(features), dims))
