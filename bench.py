@@ -24,7 +24,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "1"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
-    spark = local_session(cpus, shuffle_partitions=int(cpus) * 2, app="logscope-bench")
+    spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", int(cpus) * 2)), app="logscope-bench")
     # warm-up: JVM, Python workers, parquet footers
     catalog.QUERIES["run_summary"](spark, sf_dir).collect()
     times = {}

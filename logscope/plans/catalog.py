@@ -99,7 +99,7 @@ def q_dash_to_normal(spark, sf):
 
 
 @register("ensure_score", with_views(
-    "SELECT line_id, CASE WHEN anomaly THEN 1.0 ELSE 0.0 END AS anomaly_score FROM vector_view", "vector_view"))
+    "SELECT line_id, CASE WHEN anomaly THEN 1e0 ELSE 0e0 END AS anomaly_score FROM vector_view", "vector_view"))
 def q_ensure_score(spark, sf):
     return prp.ensure_score(view(spark, sf, "vector_view")).select("line_id", "anomaly_score")
 
@@ -213,7 +213,7 @@ def q_infer_level(spark, sf):
 
 
 @register("prepare_eval", with_views(
-    "SELECT line_id AS LineId, message AS text, 1.0 AS anomaly_score, CAST(line_id AS STRING) AS context_ids_ref, "
+    "SELECT line_id AS LineId, message AS text, 1e0 AS anomaly_score, CAST(line_id AS STRING) AS context_ids_ref, "
     "lower(label) AS label FROM log_view", "log_view"))
 def q_prepare_eval(spark, sf):
     src = lv(spark, sf).select(F.col("line_id").alias("LineId"), F.col("message").alias("m_message"),
