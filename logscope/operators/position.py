@@ -18,6 +18,24 @@ from logscope.session import materialise
 # A summary larger than this is joined with a shuffle instead of a broadcast.
 BROADCAST_ROWS = 200_000
 
+# Target input bytes per range partition.
+PARTITION_BYTES = 64 << 20
+
+
+def range_partitions(df: DataFrame, explicit: int | None = None) -> int:
+    """Number of range partitions: explicit, else the optimizer's size estimate at about
+    ``PARTITION_BYTES`` per partition, capped by ``spark.sql.shuffle.partitions``
+    (an explicit range partitioning is not coalesced by AQE, so tiny inputs must
+    not get hundreds of empty partitions)."""
+    if explicit:
+        return explicit
+    cap = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:
+        return cap
+    return max(1, min(cap, -(-size // PARTITION_BYTES)))
+
 
 def with_position(df: DataFrame, order_by: str | list[str] = "LineId", by: str | list[str] | None = None,
                   out: str = "pos", num_partitions: int | None = None, checkpoint: bool = True,
@@ -36,7 +54,7 @@ def with_position(df: DataFrame, order_by: str | list[str] = "LineId", by: str |
     if unique:
         narrow = with_position(df.select(*keys), order_by, by or None, out, num_partitions, checkpoint)
         return df.join(narrow, keys, "inner")
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = range_partitions(df, num_partitions)
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_local", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("long"), 33)))
@@ -67,7 +85,7 @@ def running(df: DataFrame, by: str | list[str] | None, order_by: list, aggs: dic
     """
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = range_partitions(df, num_partitions)
     r = df.repartitionByRange(n, *[F.col(b) for b in by], *order_cols).withColumn("_pid", F.spark_partition_id())
     w_local = Window.partitionBy("_pid", *by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     local, summary = {}, []

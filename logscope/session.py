@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -50,17 +50,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint directory.
+    """Cut lineage by writing the rows as a table in the shared checkpoint directory
+    and reading them back.
 
     Used where later steps must see one fixed evaluation of a non-deterministic
-    expression (positions, paid model responses). Survives executor loss,
-    unlike a local checkpoint.
+    expression (positions, paid model responses) or read an intermediate several
+    times. The plan is evaluated once, adaptive execution still sizes the output,
+    the copy survives executor loss (unlike a local checkpoint), and the read-back
+    carries real size statistics for the optimizer.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    # persist first: a reliable checkpoint otherwise evaluates the plan twice
-    # (once for the action, once more to write the checkpoint files)
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return cached.checkpoint(eager=True)
-    finally:
-        cached.unpersist()
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/logscope-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
