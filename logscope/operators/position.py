@@ -24,7 +24,8 @@ PARTITION_BYTES = 64 << 20
 
 def range_partitions(df: DataFrame, explicit: int | None = None) -> int:
     """Number of range partitions: explicit, else the optimizer's size estimate at about
-    ``PARTITION_BYTES`` per partition, capped by ``spark.sql.shuffle.partitions``
+    ``PARTITION_BYTES`` per partition (at least the default parallelism), capped by
+    ``spark.sql.shuffle.partitions``
     (an explicit range partitioning is not coalesced by AQE, so tiny inputs must
     not get hundreds of empty partitions)."""
     if explicit:
@@ -34,7 +35,8 @@ def range_partitions(df: DataFrame, explicit: int | None = None) -> int:
         size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     except Exception:
         return cap
-    return max(1, min(cap, -(-size // PARTITION_BYTES)))
+    floor = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    return max(1, min(cap, max(floor, -(-size // PARTITION_BYTES))))
 
 
 def with_position(df: DataFrame, order_by: str | list[str] = "LineId", by: str | list[str] | None = None,
