@@ -140,17 +140,17 @@ def detector_metrics(df: DataFrame, label_col: str = "anomaly", score_col: str =
     """
     lab = F.col(label_col).cast("boolean")
     pred = F.col(pred_col).cast("boolean")
-    conf = df.agg(
-        F.count_if(lab & pred).alias("tp"), F.count_if(~lab & pred).alias("fp"),
-        F.count_if(lab & ~pred).alias("fn"), F.count_if(~lab & ~pred).alias("tn"))
-    per = df.groupBy(F.col(score_col).alias("_s")).agg(F.count_if(lab).alias("_pos"), F.count_if(~lab).alias("_neg"))
+    per = df.groupBy(F.col(score_col).alias("_s")).agg(
+        F.count_if(lab).alias("_pos"), F.count_if(~lab).alias("_neg"),
+        F.count_if(lab & pred).alias("_tp"), F.count_if(~lab & pred).alias("_fp"),
+        F.count_if(lab & ~pred).alias("_fn"), F.count_if(~lab & ~pred).alias("_tn"))
     per = running(per, None, ["_s"], {"_negcum": ("sum", "_neg")})
-    auc = per.agg(F.sum(F.col("_pos") * (F.col("_negcum") - F.col("_neg") + 0.5 * F.col("_neg"))).alias("_num"),
-                  F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    x = per.agg(F.sum(F.col("_pos") * (F.col("_negcum") - F.col("_neg") + 0.5 * F.col("_neg"))).alias("_num"),
+                F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"),
+                *[F.sum(f"_{c}").alias(c) for c in ("tp", "fp", "fn", "tn")])
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     prec = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
     rec = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
-    x = conf.withColumn("_k", F.lit(1)).join(auc.withColumn("_k", F.lit(1)), "_k")  # two one-row aggregates
     return x.select(
         F.round((tp + tn) / (tp + tn + fp + fn), 6).alias("accuracy"),
         F.round(prec, 6).alias("precision"), F.round(rec, 6).alias("recall"),
