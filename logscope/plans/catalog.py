@@ -1119,3 +1119,11 @@ def q_one_class_svm(spark, sf):
     train, _ = split(x, 0.9, 42, ["_line_key"])
     out = one_class_svm(train, x, LENGTH_FEATURES, nu=0.1)
     return out.select("source_file", "line_no", "pred_ano", F.round("pred_ano_proba", 6).alias("pred_ano_proba"))
+
+
+@register("explain_lines_semantic")
+def q_explain_lines_semantic(spark, sf):
+    # semantic context as the original's default: texts embedded on the fly (offline hashed encoder)
+    df = prepare(lv(spark, sf), id="line_id")
+    out = explain_lines(df, LineConfig(strategy="semantic", threshold=0.79, flag_threshold=0.8))
+    return out.select("LineId", "context_ids_ref", "anomaly_label_final", "anomaly_explanation")

@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logscope.functions.labels import rule_explain, rule_label
+from logscope.functions.labels import LABELS, parse_label, rule_explain, rule_label
 from logscope.operators import context as ctx
 from logscope.operators import prepare as prp
-from logscope.operators.inference import complete, label_responses
+from logscope.operators.inference import complete
 from logscope.operators.position import with_position
-from logscope.operators.prompts import EXPLANATION_TEMPLATE, LABEL_TEMPLATE, label_text, with_context_text
+from logscope.operators.prompts import EXPLANATION_TEMPLATE, HIDDEN, LABEL_TEMPLATE, label_text, with_context_text
 from logscope.functions.render import fill_template
 from logscope.session import materialise
 
@@ -32,6 +32,7 @@ class LineConfig:
     clean: bool = False
     on_error: str = "value"          # "value": keep error text; "rules": fall back to the rule labeller
     seed: int = 0
+    encoder: object = None           # factory for on-the-fly embeddings when vec_col is absent
 
 
 def prepare(df: DataFrame, score: str | None = None, id: str | None = None, message: str | None = None) -> DataFrame:
@@ -62,12 +63,18 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
     """
     cfg = cfg or LineConfig()
     df = prp.flag_anomalies(df, cfg.flag_threshold)
+    added_vec = cfg.strategy in ("semantic", "hybrid") and cfg.vec_col not in df.columns
+    if added_vec:
+        # as the original does, embed the context column when no vectors are given
+        from logscope.operators.vectors import HashingEncoder, embed
+        df = embed(df, cfg.text_col, cfg.vec_col, cfg.encoder or HashingEncoder)
     df = with_position(df, cfg.id_col, unique=True)
     # the edge table is small (anomalies x (near + far)) and is read three times:
     # materialise it once instead of recomputing the similarity joins
     edges = materialise(line_edges(df, cfg))
     ids = ctx.context_ids(edges, df, cfg.id_col, compat=cfg.compat, out="context_ids_ref")
-    x = with_context_text(ids, edges, cfg.id_col, cfg.mode, compat=cfg.compat)
+    # vectors are not log fields: never rendered into prompts
+    x = with_context_text(ids, edges, cfg.id_col, cfg.mode, exclude=HIDDEN + (cfg.vec_col,), compat=cfg.compat)
     asked = F.col("anomaly_score") >= F.lit(cfg.threshold)
     prompts = x.withColumn("anomaly_label", F.when(asked, fill_template(
         LABEL_TEMPLATE, {"log_str": F.col("_row"), "context_str": F.col("_context")})))
@@ -78,9 +85,14 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
     if client is None:
         labelled = prompts.withColumn("anomaly_result", F.when(F.col("anomaly_label").isNotNull(), rule))
     else:
-        labelled = label_responses(prompts, client)
+        raw = complete(prompts, "anomaly_label", "_raw_label", client, 1000)
+        failed = F.col("_raw_label").isNull() | F.col("_raw_label").startswith("Error:") | \
+            F.col("_raw_label").startswith("API Error:")
+        parsed = parse_label(F.col("_raw_label"), LABELS, "compat")
         if cfg.on_error == "rules":
-            labelled = labelled.withColumn("anomaly_result", F.coalesce("anomaly_result", rule))
+            parsed = F.when(failed, rule).otherwise(parsed)
+        labelled = raw.withColumn("anomaly_result", F.when(F.col("anomaly_label").isNotNull(), parsed)) \
+            .drop("_raw_label")
     exp = labelled.withColumn("explanation_prompt", F.when(asked, fill_template(EXPLANATION_TEMPLATE, {
         "anomalous_log_str": F.col("_row"), "label_str": label_text(labelled, ("anomaly_result",)),
         "context_str": F.col("_context")}))).drop("_row", "_context")
@@ -95,4 +107,5 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
             explained = explained.withColumn("explanation_result", F.when(
                 bad, rule_explain(F.col("anomaly_result"), F.col(cfg.id_col), node, comp, cfg.seed))
                 .otherwise(F.col("explanation_result")))
-    return prp.finalise(explained.drop("pos"), cfg.clean)
+    out = explained.drop("pos", cfg.vec_col) if added_vec else explained.drop("pos")
+    return prp.finalise(out, cfg.clean)

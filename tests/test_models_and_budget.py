@@ -181,3 +181,40 @@ def test_chain_and_columns(spark):
              (lambda d: d.withColumn("_step1", F.concat(F.lit("second "), F.trim("r1"))), "r2")]
     r = inf.chain(df, steps, make_echo_client).collect()[0]
     assert r["r1"] == " label for disk " and r["r2"] == " label for disk "
+
+
+def make_label_client():
+    class LabelClient:
+        def complete(self, prompt, max_tokens):
+            line = prompt.split("Anomalous line:\n")[1].split("\n")[0]
+            if "Anomaly Label:" in prompt:
+                if "timeout" in line:
+                    raise RuntimeError("down")
+                return "The cause is likely the component shown."
+            return "Network" if "timeout" in line else "memory"
+    return LabelClient()
+
+
+def test_explain_lines_with_client(spark):
+    from logscope.plans.pipeline import LineConfig, explain_lines
+    rows = [(i, f"m{i}" if i % 3 else "connection timeout", 0.9 if i % 4 == 0 else 0.1, "APP") for i in range(1, 21)]
+    df = spark.createDataFrame(rows, "LineId long, message string, anomaly_score double, component string")
+    out = {r["LineId"]: r for r in explain_lines(df, LineConfig(strategy="lexical", on_error="rules"),
+                                                   client=make_label_client).collect()}
+    assert out[4]["anomaly_label_final"] == "memory" and out[12]["anomaly_label_final"] == "network"
+    assert out[4]["anomaly_explanation"] == "The cause is likely the component shown."
+    assert out[12]["anomaly_explanation"] is not None and not out[12]["anomaly_explanation"].startswith("Error")
+    assert out[1]["anomaly_label_final"] is None
+
+
+def test_running_spreads_a_hot_file(spark):
+    from logscope.operators.position import running
+    from pyspark.sql import Window
+    rows = [("hot", i, i if i % 7 == 0 else None) for i in range(1, 3001)] + \
+           [(f"f{j}", i, i if i % 2 else None) for j in range(5) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "f string, n long, v long").repartition(6)
+    got = running(df, "f", ["n"], {"ff": ("last", "v"), "cs": ("sum", F.lit(1))}, num_partitions=9)
+    w = Window.partitionBy("f").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    ref = df.withColumn("rf", F.last("v", ignorenulls=True).over(w)).withColumn("rc", F.count(F.lit(1)).over(w))
+    bad = got.join(ref, ["f", "n"]).where(~F.col("ff").eqNullSafe(F.col("rf")) | (F.col("cs") != F.col("rc")))
+    assert bad.count() == 0
