@@ -268,25 +268,49 @@ def far_semantic(df: DataFrame, k: int = 5, vec_col: str = "embedding", earlier_
                  anomaly_block: int = 4096, candidate_block: int = 32768) -> DataFrame:
     """Top ``k`` earlier rows by cosine of dense vectors.
 
-    Exact all-pairs work is split into bounded tiles: anomalies are hashed into
-    blocks of about ``anomaly_block`` rows, candidates into blocks of about
-    ``candidate_block``; each (anomaly block, candidate block) tile is one
-    cogroup whose size is bounded by the two block sizes. A tile emits its local
-    top ``k`` per anomaly, and a final ``row_number() <= k`` keeps the global top.
+    Exact all-pairs work is split into bounded tiles: blocks of at most
+    ``anomaly_block`` anomalies and ``candidate_block`` candidates; each (anomaly
+    block, candidate block) tile is one cogroup whose size is bounded by the two
+    block sizes. With ``earlier_only`` the blocks follow position and tiles
+    whose candidates all come after the anomalies are never built (about half of
+    the all-pairs work); otherwise blocks are hashed. A tile emits its local top
+    ``k`` per anomaly, and a final ``row_number() <= k`` keeps the global top.
     """
     base = df.where(F.col(vec_col).isNotNull())
     a = base.where(F.col(flag_col) == F.lit(True)).select(
-        F.col(id_col).alias("anomaly_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
-    c = base.select(F.col(id_col).alias("context_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
+        F.col(id_col).alias("anomaly_id"), F.col(pos_col).alias("_apos"), F.col(vec_col).cast("array<double>").alias("_vec"))
+    c = base.select(F.col(id_col).alias("context_id"), F.col(pos_col).alias("_cpos"),
+                    F.col(vec_col).cast("array<double>").alias("_vec"))
     n_a, n_c = a.count(), c.count()
     if n_a == 0 or n_c == 0:
         return df.sparkSession.createDataFrame([], _edge_schema())
-    nb_a = max(1, math.ceil(n_a / anomaly_block))
-    nb_c = max(1, math.ceil(n_c / candidate_block))
-    a = (a.withColumn("_ab", F.pmod(F.xxhash64("anomaly_id"), F.lit(nb_a)))
-         .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(nb_c - 1)))))
-    c = (c.withColumn("_cb", F.pmod(F.xxhash64("context_id"), F.lit(nb_c)))
-         .withColumn("_ab", F.explode(F.sequence(F.lit(0), F.lit(nb_a - 1)))))
+    if earlier_only and (n_a > anomaly_block or n_c > candidate_block):
+        # Blocks follow position (positions follow ids): anomaly blocks hold exactly
+        # `anomaly_block` anomalies, candidate blocks a range of `candidate_block`
+        # positions, and a tile is built only if some candidate precedes some anomaly.
+        from logscope.operators.position import with_position
+        ranked = with_position(a.select("anomaly_id", "_apos"), "_apos", out="_ar")
+        blocks = ranked.select("anomaly_id", F.floor(F.col("_ar") / F.lit(anomaly_block)).cast("int").alias("_ab"),
+                               "_apos")
+        his = [r["hi"] for r in blocks.groupBy("_ab").agg(F.max("_apos").alias("hi")).orderBy("_ab").collect()]
+        nb_a = len(his)
+        hi_arr = F.array(*[F.lit(int(h)) for h in his])
+        a = a.join(blocks.select("anomaly_id", "_ab"), "anomaly_id")
+        last_cb = F.floor((F.element_at(hi_arr, F.col("_ab") + 1) - 1) / F.lit(candidate_block)).cast("int")
+        a = a.withColumn("_cb", F.explode(F.when(last_cb >= 0, F.sequence(F.lit(0), last_cb))
+                                          .otherwise(F.array().cast("array<int>"))))
+        c = c.withColumn("_cb", F.floor(F.col("_cpos") / F.lit(candidate_block)).cast("int"))
+        first_ab = F.size(F.filter(hi_arr, lambda h: h <= F.col("_cb") * F.lit(candidate_block)))
+        c = c.withColumn("_ab", F.explode(F.when(first_ab <= nb_a - 1, F.sequence(first_ab, F.lit(nb_a - 1)))
+                                          .otherwise(F.array().cast("array<int>"))))
+        a, c = a.drop("_apos"), c.drop("_cpos")
+    else:
+        nb_a = max(1, math.ceil(n_a / anomaly_block))
+        nb_c = max(1, math.ceil(n_c / candidate_block))
+        a = (a.drop("_apos").withColumn("_ab", F.pmod(F.xxhash64("anomaly_id"), F.lit(nb_a)))
+             .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(nb_c - 1)))))
+        c = (c.drop("_cpos").withColumn("_cb", F.pmod(F.xxhash64("context_id"), F.lit(nb_c)))
+             .withColumn("_ab", F.explode(F.sequence(F.lit(0), F.lit(nb_a - 1)))))
     local = (a.groupBy("_ab", "_cb").cogroup(c.groupBy("_ab", "_cb"))
              .applyInPandas(_block_top_k(k, earlier_only), _PAIR_SCHEMA))
     top = _top_k(local, k)
