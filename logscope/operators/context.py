@@ -166,9 +166,12 @@ def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col:
 
     # zero-similarity fill: only the first k rows of the table can ever be needed
     first = rows.orderBy("context_id").limit(k).select("_h1", "_h2").distinct().collect()
-    pad_arr = F.array(*[F.struct(F.lit(r["_h1"]).alias("_h1"), F.lit(r["_h2"]).alias("_h2")) for r in first])
-    pads = (a_keys.select("_a1", "_a2", F.explode(pad_arr).alias("_p"))
-            .select("_a1", "_a2", F.col("_p._h1").alias("_h1"), F.col("_p._h2").alias("_h2")))
+    if first:
+        pad_arr = F.array(*[F.struct(F.lit(r["_h1"]).alias("_h1"), F.lit(r["_h2"]).alias("_h2")) for r in first])
+        pads = (a_keys.select("_a1", "_a2", F.explode(pad_arr).alias("_p"))
+                .select("_a1", "_a2", F.col("_p._h1").alias("_h1"), F.col("_p._h2").alias("_h2")))
+    else:  # no text at all: nothing to fill with
+        pads = a_keys.select("_a1", "_a2", F.col("_a1").alias("_h1"), F.col("_a2").alias("_h2")).where(F.lit(False))
 
     # exact similarities of the candidate texts
     pairs = (from_sig.unionByName(rare_dots.select("_a1", "_a2", "_h1", "_h2")).unionByName(pads)

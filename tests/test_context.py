@@ -131,3 +131,17 @@ def test_far_lexical_hot_split_matches_brute_force(spark, hot_df, shortlist):
             continue
         want = [(cid, round(s, 9)) for cid, s in lexical_topk(pairs, idx, 4)]
         assert [(c, s) for _, c, s in sorted(got.get(i, []))] == want
+
+
+def test_edge_cases(spark):
+    none_flagged = frame(spark, [(i, f"disk {i}", False) for i in range(1, 6)])
+    assert ctx.far_lexical(none_flagged, 3).count() == 0
+    assert ctx.near_context(none_flagged, 4).count() == 0
+    null_text = frame(spark, [(i, None, i == 3) for i in range(1, 6)])
+    assert ctx.far_lexical(null_text, 3).count() == 0
+    assert ctx.near_context(null_text, 0).count() == 0
+    empty = spark.createDataFrame([], "LineId long, message string, anomaly boolean")
+    pos = with_position(empty, "LineId")
+    assert pos.count() == 0 and ctx.far_lexical(pos, 3).count() == 0
+    ids = ctx.context_ids(ctx.near_context(pos, 6), pos)
+    assert ids.count() == 0
