@@ -97,3 +97,26 @@ def test_nested_counts(spark):
                                "date string, e_message_normalized string, count long")
     got = {r["date"]: dict(r["messages"]) for r in sinks.nested_counts(df).collect()}
     assert got == {"2024-01-01": {"a": 2, "b": 1}, "2024-01-02": {"a": 5}}
+
+
+def test_structured_csv_vocabulary_labelled(spark, tmp_path):
+    csv_path = tmp_path / "s.csv"
+    csv_path.write_text('LineId,Level,Content\n1,WARN,"multi\nline ""quoted"""\n2,INFO,plain\n')
+    rows = rd.read_structured_csv(spark, str(csv_path), "LineId long, Level string, Content string").collect()
+    assert rows[0]["Content"] == 'multi\nline "quoted"' and rows[1]["LineId"] == 2
+    voc = tmp_path / "labels.txt"
+    voc.write_text("delete user 404 no user\n\nget token 404\n")
+    got = {r["label"]: (r["status_code"], r["tokens"]) for r in rd.read_vocabulary(spark, str(voc)).collect()}
+    assert got == {"delete user 404 no user": ("404", ["delete", "user", "404", "no", "user"]),
+                   "get token 404": ("404", ["get", "token", "404"])}
+    lab = tmp_path / "l.csv"
+    lab.write_text("text,labels\nboom,IO\n")
+    assert rd.read_labelled(spark, str(lab)).collect()[0]["labels"] == "IO"
+
+
+def test_write_evaluation(spark, tmp_path):
+    from logscope.operators import evaluate as ev
+    df = spark.createDataFrame([(1, "io", "io"), (2, "memory", "io")], "LineId long, label string, anomaly_result string")
+    sinks.write_evaluation(ev.detailed(df), ev.per_class(df), ev.overall(df), str(tmp_path / "ev"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "ev" / "overall")).collect()[0]
+    assert back["accuracy"] == "0.5" and back["predictions"] == "2"
