@@ -14,6 +14,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _driver_memory() -> str:
+    """About half of physical memory, between 1 and 16 GiB (local mode: the driver is the executor)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    return f"{max(1, min(16, total // (2 << 30)))}g"
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "logscope") -> SparkSession:
     """A local session configured the way the tests and the benchmark expect."""
     spark = (
@@ -27,7 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", _driver_memory())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
