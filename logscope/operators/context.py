@@ -247,17 +247,21 @@ def _block_top_k(k: int, earlier_only: bool):
         sim = np.round(av @ cv.T, SIM_DIGITS)
         aid = anomalies["anomaly_id"].to_numpy()
         cid = cands["context_id"].to_numpy()
-        valid = cid[None, :] < aid[:, None] if earlier_only else np.ones(sim.shape, dtype=bool)
+        if earlier_only:
+            sim = np.where(cid[None, :] < aid[:, None], sim, -np.inf)
+        kk = min(k, sim.shape[1])
+        # k-th best value per anomaly; everything at or above it (ties included) is sorted exactly
+        kth = -np.partition(-sim, kk - 1, axis=1)[:, kk - 1]
         out_a, out_c, out_s = [], [], []
         for i in range(len(aid)):
-            ok = np.nonzero(valid[i])[0]
-            if ok.size == 0:
+            sel = np.nonzero((sim[i] >= kth[i]) & np.isfinite(sim[i]))[0]
+            if sel.size == 0:
                 continue
-            s = sim[i, ok]
-            order = np.lexsort((cid[ok], -s))[:k]  # similarity desc, then earliest
+            s_sel = sim[i, sel]
+            order = np.lexsort((cid[sel], -s_sel))[:k]  # similarity desc, then earliest
             out_a.append(np.full(order.size, aid[i]))
-            out_c.append(cid[ok][order])
-            out_s.append(s[order])
+            out_c.append(cid[sel][order])
+            out_s.append(s_sel[order])
         if not out_a:
             return pd.DataFrame({"anomaly_id": [], "context_id": [], "similarity": []})
         return pd.DataFrame({"anomaly_id": np.concatenate(out_a).astype("int64"),

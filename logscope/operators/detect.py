@@ -172,14 +172,11 @@ def _tile_knn(k: int, exclude_self: bool):
         qi, oi = q["_id"].to_numpy(), o["_id"].to_numpy()
         if exclude_self:
             d = np.where(qi[:, None] == oi[None, :], np.inf, d)
+        d = np.round(d, 12)
         kk = min(k, d.shape[1])
-        idx = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-        rows = np.repeat(np.arange(d.shape[0]), kk)
-        cols = idx.ravel()
-        dd = d[rows, cols]
-        keep = np.isfinite(dd)
-        return pd.DataFrame({"_q": qi[rows][keep].astype("int64"), "_o": oi[cols][keep].astype("int64"),
-                             "_d": np.round(dd[keep], 12)})
+        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]  # k-th smallest; ties at it are all kept
+        rows, cols = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+        return pd.DataFrame({"_q": qi[rows].astype("int64"), "_o": oi[cols].astype("int64"), "_d": d[rows, cols]})
     return run
 
 
