@@ -145,3 +145,14 @@ def test_edge_cases(spark):
     assert pos.count() == 0 and ctx.far_lexical(pos, 3).count() == 0
     ids = ctx.context_ids(ctx.near_context(pos, 6), pos)
     assert ids.count() == 0
+
+
+def test_semantic_tiles_agree_on_driver_vectors(spark):
+    from logscope.plans.views import view
+    from tests.conftest import SF_MID
+    df = with_position(view(spark, SF_MID, "vector_view"), "line_id")
+    one = ctx.far_semantic(df, 5, "embedding", True, "line_id")
+    many = ctx.far_semantic(df, 5, "embedding", True, "line_id", anomaly_block=4, candidate_block=37)
+    a = sorted(((r["anomaly_id"], r["rank"], r["context_id"], round(r["similarity"], 9)) for r in one.collect()))
+    b = sorted(((r["anomaly_id"], r["rank"], r["context_id"], round(r["similarity"], 9)) for r in many.collect()))
+    assert a == b and len(a) > 0
