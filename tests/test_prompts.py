@@ -77,3 +77,14 @@ def test_prompt_variants_and_vocabulary(spark):
     hints = spark.createDataFrame([("delete user 404",), ("get token",)], "error_type string")
     m = {r["error_type"]: r["matched_label"] for r in prm.match_known_label(hints, vocab).collect()}
     assert m == {"delete user 404": "delete user 404 no user", "get token": "get token 404"}
+
+
+def test_canonicalise_priority(spark):
+    from logscope.operators.prepare import canonicalise
+    df = spark.createDataFrame([(1, 0.5, 0.9, "x", "-")], "row_nr long, pred_ano_proba double, my_score double, "
+                               "m_message string, label string")
+    ours = canonicalise(df, score="my_score")
+    assert ours.select("anomaly_score").first()[0] == 0.9 and "pred_ano_proba" in ours.columns
+    ref = canonicalise(df, score="my_score", compat=True)
+    assert ref.select("anomaly_score").first()[0] == 0.5 and "my_score" in ref.columns
+    assert set(ours.columns) >= {"LineId", "message", "true_label"}
