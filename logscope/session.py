@@ -73,3 +73,25 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{base}/logscope-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path)
+
+
+def release_materialised(spark: SparkSession) -> int:
+    """Delete the tables ``materialise`` wrote for this application (call when the
+    results built on them are no longer needed). The checkpoint directory Spark
+    hands out is per application, so other jobs' files are untouched. Returns the
+    number of tables removed."""
+    base = spark.sparkContext.getCheckpointDir()
+    if not base:
+        return 0
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return 0
+    removed = 0
+    for status in fs.listStatus(path):
+        p = status.getPath()
+        if p.getName().startswith("logscope-"):
+            fs.delete(p, True)
+            removed += 1
+    return removed

@@ -120,3 +120,10 @@ def test_write_evaluation(spark, tmp_path):
     sinks.write_evaluation(ev.detailed(df), ev.per_class(df), ev.overall(df), str(tmp_path / "ev"))
     back = spark.read.option("header", True).csv(str(tmp_path / "ev" / "overall")).collect()[0]
     assert back["accuracy"] == "0.5" and back["predictions"] == "2"
+
+
+def test_release_materialised(spark):
+    from logscope.session import materialise, release_materialised
+    m = materialise(spark.range(10))
+    assert m.count() == 10
+    assert release_materialised(spark) >= 1
