@@ -66,8 +66,8 @@ def with_position(df: DataFrame, order_by: str | list[str] = "LineId", by: str |
     stats = ranged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_local").alias("_first"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    n_stats = stats.count()
-    if n_stats <= BROADCAST_ROWS:
+    # without groups the summary has at most one row per range partition: a known bound
+    if (not by and n <= BROADCAST_ROWS) or stats.count() <= BROADCAST_ROWS:
         stats = F.broadcast(stats)
     joined = ranged.join(stats, ["_pid", *by], "inner")
     return (joined.withColumn(out, F.col("_offset") + F.col("_local") - F.col("_first"))
@@ -114,7 +114,7 @@ def running(df: DataFrame, by: str | list[str] | None, order_by: list, aggs: dic
         else:
             carry[f"_c_{name}"] = F.last(f"_s_{name}", ignorenulls=True).over(w_prev)
     s = s.withColumns(carry).select("_pid", *by, *carry.keys())
-    if s.count() <= BROADCAST_ROWS:
+    if (not by and n <= BROADCAST_ROWS) or s.count() <= BROADCAST_ROWS:
         s = F.broadcast(s)
     out = r.join(s, ["_pid", *by], "inner")
     final = {}
