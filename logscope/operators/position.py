@@ -46,9 +46,9 @@ def with_position(df: DataFrame, order_by: str | list[str] = "LineId", by: str |
 
     Works for any group size: a group (file) holding a third of all rows is
     split over many range partitions like any other rows. With ``unique`` (the
-    keys identify a row), positions are computed and checkpointed on the key
-    columns only and joined back, so the lineage cut writes a narrow table
-    instead of a copy of every column.
+    keys identify a row and are not null: a precondition, as line ids are),
+    positions are computed and materialised on the key columns only and joined
+    back, so the lineage cut writes a narrow table instead of a copy of every column.
     """
     order_by = [order_by] if isinstance(order_by, str) else list(order_by)
     by = [] if by is None else ([by] if isinstance(by, str) else list(by))

@@ -60,6 +60,7 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
 
     ``client=None`` uses the rule labeller and rule explainer (offline). With a
     client, ``on_error='rules'`` replaces error replies with the rule results.
+    Precondition: ``cfg.id_col`` is unique and non-null (line ids).
     """
     cfg = cfg or LineConfig()
     df = prp.flag_anomalies(df, cfg.flag_threshold)
