@@ -79,7 +79,9 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
     asked = F.col("anomaly_score") >= F.lit(cfg.threshold)
     prompts = x.withColumn("anomaly_label", F.when(asked, fill_template(
         LABEL_TEMPLATE, {"log_str": F.col("_row"), "context_str": F.col("_context")})))
-    msg = F.col(cfg.text_col) if cfg.text_col in df.columns else F.lit(None).cast("string")
+    # rules read the message itself; the similarity column may be a normalised copy
+    msg_col = "message" if "message" in df.columns else cfg.text_col
+    msg = F.col(msg_col) if msg_col in df.columns else F.lit(None).cast("string")
     comp = F.col("component") if "component" in df.columns else None
     node = F.col("node") if "node" in df.columns else None
     rule = rule_label(msg, comp)
