@@ -19,7 +19,7 @@ LENGTH_FEATURES = ["e_words_len", "e_trigrams_len", "e_chars_len", "e_lines_len"
 
 @dataclass
 class FileConfig:
-    detector: str = "IF"             # "IF" (isolation forest) or "LOF"
+    detector: str = "LOF"            # "LOF" (the original default) or "IF" (isolation forest)
     token_limit: int = 100_000
     test_frac: float = 0.9
     seed: int = 42
