@@ -69,7 +69,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand (a prefix polynomial)."""
+    """64-bit hashes of spans of bytes or of 64-bit tokens, equal for equal contents wherever they stand
+    (a prefix polynomial). Spans come in the order of their starts and of their ends."""
     out = np.zeros(len(starts), U64)
     step = 1 << 20  # bytes at a time, so that scratch stays bounded for very long texts
     if not len(starts):
@@ -79,7 +80,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         base = starts[lo]
         hi = max(lo + 1, int(np.searchsorted(ends, base + step, "right")))
         top = int(ends[hi - 1])
-        part = _BYTE[data[base:top]] * _powers(BASE, top - base)
+        part = (_BYTE[data[base:top]] if data.dtype == np.uint8 else data[base:top]) * _powers(BASE, top - base)
         pre = np.zeros(len(part) + 1, U64)
         np.cumsum(part, out=pre[1:])
         s, e = starts[lo:hi] - base, ends[lo:hi] - base

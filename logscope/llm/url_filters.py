@@ -84,24 +84,24 @@ def dated_entries(pages: DataFrame) -> DataFrame:
 
 
 ORACLE = r"""
-with p as (select page_id, url, date '2024-01-01' + ((page_id * 37) % 365)::int as at, row_number() over () as r from pages),
+with p as (select page_id, url, date '2024-01-01' + ((page_id * 37) % 365)::int as tm, row_number() over () as r from pages),
 s as (select *, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) as host,
       regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), '^$', '') as path,
       regexp_extract(url, '^[a-z]+://[^/?#]*/([a-z]+)/', 1) as lang from p),
 pats as (select distinct 'd:' || host as pattern from s union select distinct 'p:' || host || '/' || lang from s),
 dig as (select pattern, ('0x' || substr(md5(pattern), 1, 2))::int as a, ('0x' || substr(md5(pattern), 3, 2))::int as b,
         ('0x' || substr(md5(pattern), 5, 2))::int as c from pats),
-e as (select pattern, 'add' as action, date '2024-01-01' + b as at from dig where a < 64
+e as (select pattern, 'add' as action, date '2024-01-01' + b as tm from dig where a < 64
       union select pattern, 'remove', date '2024-01-01' + (b + c) from dig where a < 64
       union select pattern, 'add', date '2024-01-01' + (b + 2 * c) from dig where a < 64),
-e1 as (select pattern, at, bool_or(action = 'remove') as off from e group by pattern, at),
-iv as (select pattern, off, at as f, lead(at) over (partition by pattern order by at) as u from e1),
-hs as (select r, at, 'd:' || array_to_string(list_slice(string_split(host, '.'), i, 99), '.') as k
+e1 as (select pattern, tm, bool_or(action = 'remove') as is_off from e group by pattern, tm),
+iv as (select pattern, is_off, tm as f, lead(tm) over (partition by pattern order by tm) as u from e1),
+hs as (select r, tm, 'd:' || array_to_string(list_slice(string_split(host, '.'), i, 99), '.') as k
        from (select *, unnest(range(1, len(string_split(host, '.')) + 1)) as i from s)),
-ps as (select r, at, 'p:' || host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/') as k
+ps as (select r, tm, 'p:' || host || array_to_string(list_slice(string_split(path, '/'), 1, i), '/') as k
        from (select *, unnest(range(1, len(string_split(path, '/')) + 1)) as i from s)),
 hit as (select x.r, list_sort(list(distinct x.k)) as m from (select * from hs union all select * from ps) x
-        join iv on iv.pattern = x.k and not off and x.at >= f and (u is null or x.at < u) group by x.r)
+        join iv on iv.pattern = x.k and not is_off and x.tm >= f and (u is null or x.tm < u) group by x.r)
 select page_id, coalesce(len(m), 0)::bigint as n_matches, coalesce(len(m), 0) > 0 as blocked,
        coalesce(array_to_string(m, ','), '') as matched
 from p left join hit using (r)
