@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import fm_dedup, quality_classifier, quality_rules, suffix_dedup, url_filters
+from logscope.llm import fm_dedup, ngram_lm, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.substring_dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filters": op4_url_filters,
         "op6_quality_classifier": op6_quality_classifier,
         "op8_substring_dedup": op8_substring_dedup,
+        "op9_lm_scoring": op9_lm_scoring,
     }
 
 

@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 
 from logscope.llm.textnp import U64
 
-GROUP_BYTES = 2 << 20
-BUCKET_BYTES = 8 << 20
-LEAST = 64
+LEAST = 64  # groups and buckets, so that small inputs still use many tasks
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -33,15 +31,21 @@ def text_size(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def grouped(docs: DataFrame, size: int, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(doc_id, text, _g): every row in one of about size / group_bytes groups. A null id is spread by its text."""
-    n = max(LEAST, size // group_bytes)
+def group_bytes(size: int) -> int:
+    """Text in a group: 2 MB, more for a large corpus (so that packed values stay long), 64 MB at most."""
+    return min(64 << 20, max(2 << 20, size // 2000))
+
+
+def grouped(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text, _g): every row in one of about size / group_bytes(size) groups. A null id is spread by its text."""
+    n = max(LEAST, size // group_bytes(size))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return d.withColumn("_g", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)))
 
 
-def buckets(size: int, bucket_bytes: int = BUCKET_BYTES) -> int:
-    return int(max(LEAST, size // bucket_bytes))
+def buckets(size: int) -> int:
+    """Buckets for keys: one for 8 MB of text, for more text in a large corpus, for 256 MB at most."""
+    return int(max(LEAST, size // min(256 << 20, max(8 << 20, size // 1000))))
 
 
 def in_order(tbl: pa.Table) -> pa.Table:
@@ -95,6 +99,18 @@ def each(tbl: pa.Table) -> list[tuple[int, int, bytes]]:
     return sorted(zip(tbl.column("_g").to_pylist(), tbl.column("_b").to_pylist(), tbl.column("_x").to_pylist(), strict=True))
 
 
+def small_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as one byte each, and those of 255 and more by themselves."""
+    large = counts >= 255
+    return np.where(large, 255, counts).astype(np.uint8), counts[large].astype(np.uint32)
+
+
+def full_counts(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    out = small.astype(np.int64)
+    out[small == 255] = large
+    return out
+
+
 # --- which keys occur at least twice -----------------------------------------------------------
 
 

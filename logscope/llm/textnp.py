@@ -62,10 +62,19 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
+_KNOWN: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(max(n, 1), base, U64)
-    p[0] = 1
-    return np.multiply.accumulate(p)[:n]
+    """1, base, base^2, ... modulo 2^64; the first 2^21 are kept."""
+    if n > (1 << 21) or base not in _KNOWN:
+        p = np.full(max(n, 1 << 21), base, U64)
+        p[0] = 1
+        p = np.multiply.accumulate(p)
+        if n > (1 << 21):
+            return p[:n]
+        _KNOWN[base] = p
+    return _KNOWN[base][:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
