@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import fm_dedup, ngram_lm, quality_classifier, quality_rules, suffix_dedup, url_filters
+from logscope.llm import fm_dedup, jaccard_join, ngram_lm, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "n_matches", "blocked", F.array_join("matched", ",").alias("matched"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_suffix_dedup": op2_suffix_dedup,
         "op4_url_filters": op4_url_filters,
+        "op5_jaccard_join": op5_jaccard_join,
         "op6_quality_classifier": op6_quality_classifier,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_lm_scoring": op9_lm_scoring,
