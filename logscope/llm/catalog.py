@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import decontaminate, fm_dedup, jaccard_join, ngram_lm, quality_classifier, quality_rules, suffix_dedup, url_filters
+from logscope.llm import decontaminate, fm_dedup, gumbel_pieces, jaccard_join, ngram_lm, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gumbel_pieces.encode(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -60,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_classifier": op6_quality_classifier,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_lm_scoring": op9_lm_scoring,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
