@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import decontaminate, fm_dedup, gumbel_pieces, jaccard_join, ngram_lm, quality_classifier, quality_rules, suffix_dedup, url_filters
+from logscope.llm import decontaminate, fm_dedup, gumbel_pieces, jaccard_join, ngram_lm, pii, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm_dedup.substring_dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filters": op4_url_filters,
         "op5_jaccard_join": op5_jaccard_join,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_pii": op7_pii,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_sentencepiece": op10_sentencepiece,

@@ -98,7 +98,7 @@ def _answer(tbl: pa.Table) -> pa.Table:
     return X.blobs(out)
 
 
-SETS = "doc_id long, n_shingles long, node long, prefix array<long>, tokens binary"
+SETS = "doc_id long, n_shingles long, node long, text_hash long, prefix array<long>, tokens binary"
 
 
 def _sets(n: int, n_buckets: int, percent: int):
@@ -127,7 +127,7 @@ def _sets(n: int, n_buckets: int, percent: int):
         once[first] = True  # a group sends one copy of a set
         tokens = [h[off[i]:off[i + 1]].tobytes() if once[i] and cut[i + 1] > cut[i] else None for i in range(len(size))]
         return pa.table({"doc_id": tbl.column("doc_id"), "n_shingles": size.astype(np.int64), "node": pa.array(node, mask=size == 0),
-                         "prefix": listed, "tokens": pa.array(tokens, pa.binary())})
+                         "text_hash": tbl.column("_t"), "prefix": listed, "tokens": pa.array(tokens, pa.binary())})
     return run
 
 
@@ -278,11 +278,11 @@ def _across(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) for every row."""
+def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(one row per document with its set's name, one row per set's name with its component's label)."""
     size = X.text_size(docs)
     nb = X.buckets(size)
-    d = X.grouped(docs, size)
+    d = X.grouped(docs, size).withColumn("_t", F.xxhash64("text"))
     told = d.groupBy("_g").applyInArrow(_ask(n, nb), X.BLOBS).groupBy("_b").applyInArrow(_answer, X.BLOBS)
     sets = materialise(d.groupBy("_g").cogroup(told.groupBy("_g")).applyInArrow(_sets(n, nb, percent), SETS))
 
@@ -328,8 +328,26 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFr
         labels = small.union(final)
     else:
         labels = roots.select("node", F.col("root").alias("label"))
-    named = names.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sets, names.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) for every row."""
+    sets, named = _labelled(docs, n, percent)
     best = named.groupBy("label").agg(F.min("least").alias("component_id"))
     per_class = named.join(best, "label").select("node", "component_id")
     out = sets.select("doc_id", "n_shingles", "node").join(per_class, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component, the one of the least doc_id (a null id counts as the greatest), with
+    all its columns; documents without words all stay; rows equal in doc_id and text are one document."""
+    sets, named = _labelled(docs, n, percent)
+    rank = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+    whole = sets.where("node is not null").join(named.select("node", "label"), "node")
+    kept = whole.groupBy("label").agg(F.min(rank).alias("_r")).select(F.col("_r.d").alias("_d"), F.col("_r.t").alias("_h"))
+    kept = kept.union(sets.where("node is null").select("doc_id", "text_hash").distinct())
+    keyed = docs.withColumn("_h2", F.xxhash64("text"))
+    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h2") == F.col("_h")), "left_semi")
+    return out.dropDuplicates(["doc_id", "_h2"]).drop("_h2")
