@@ -12,7 +12,7 @@ from logscope.llm import decontaminate, gumbel_pieces, jaccard_join, pii, qualit
 from logscope.session import materialise
 
 # documents below this score go; lower than the classifier's own threshold, so that a good document is not lost to doubt
-LEAST_QUALITY = 0.5
+LEAST_QUALITY = 0.4
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 Two zstandard dictionaries are built, from texts labelled good and texts
 labelled bad. A text is compressed with each, in blocks of ``BLOCK`` bytes that
 cover all of it (so long texts do not simply learn themselves), and the
-normalised difference ``(bad size - good size) / larger size`` is turned into a
-probability by a logistic fit on labelled texts that built no dictionary.
+normalised difference ``(bad size - good size) / bytes of the text`` is turned into a
+probability by a logistic fit on labelled texts that built no dictionary. (Divided by a
+compressed size instead, texts that repeat one word come out undecided.)
 
 The fit uses a bounded sample: the ``sample`` labelled rows of each class with
 the least hash of doc_id, of which every second row builds the dictionaries and
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+BLOCK = 1024
 LEVEL = 3
 
 
@@ -55,13 +56,12 @@ class Sizes:
             part = data[at:at + BLOCK]
             good += len(self._pair[0].compress(part))
             bad += len(self._pair[1].compress(part))
-        return (bad - good) / max(bad, good, 1)
+        return (bad - good) / max(len(data), 1)
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
     import zstandard
-    parts = [t.encode()[i:i + BLOCK] for t in texts for i in range(0, max(1, len(t.encode())), BLOCK)]
-    parts = [p for p in parts if p]
+    parts = [d[i:i + BLOCK] for d in (t.encode() for t in texts) for i in range(0, len(d), BLOCK)]
     try:
         return zstandard.train_dictionary(size, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few texts to train on: the raw text itself is a valid dictionary
