@@ -18,8 +18,7 @@ LEAST_QUALITY = 0.4
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the compression classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_classifier.classify(docs, labels, threshold=LEAST_QUALITY)
-    return scored.where("predicted = 1").select(*[scored[c] for c in docs.columns])
+    return quality_classifier.keep_good(docs, labels, LEAST_QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

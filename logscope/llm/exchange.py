@@ -26,6 +26,14 @@ LEAST = 64  # groups and buckets, so that small inputs still use many tasks
 LAST_ID = np.iinfo(np.int64).max
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def text_size(docs: DataFrame) -> int:
     """Bytes of all texts."""
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -348,6 +348,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     whole = sets.where("node is not null").join(named.select("node", "label"), "node")
     kept = whole.groupBy("label").agg(F.min(rank).alias("_r")).select(F.col("_r.d").alias("_d"), F.col("_r.t").alias("_h"))
     kept = kept.union(sets.where("node is null").select("doc_id", "text_hash").distinct())
-    keyed = docs.withColumn("_h2", F.xxhash64("text"))
-    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h2") == F.col("_h")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_h2"]).drop("_h2")
+    h, d, t = X.free_name(docs, "_text_hash"), X.free_name(docs, "_kept_id"), X.free_name(docs, "_kept_hash")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    kept = kept.select(F.col("_d").alias(d), F.col("_h").alias(t))
+    out = keyed.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left_semi")
+    return out.dropDuplicates(["doc_id", h]).drop(h)

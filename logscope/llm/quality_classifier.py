@@ -117,7 +117,13 @@ def scorer(model: dict) -> Callable:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """All columns of docs plus held_out, score and predicted (1 from ``threshold`` on)."""
+    """All columns of docs plus held_out, score and predicted (1 from ``threshold`` on); columns of docs with
+    these names are replaced."""
     model = fit(docs, labels, **options)
     out = docs.withColumn("held_out", held_out()).withColumn("score", scorer(model)(F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float, **options) -> DataFrame:
+    """The rows of docs that score ``threshold`` or more, with their own columns only."""
+    return docs.where(scorer(fit(docs, labels, **options))(F.col("text")) >= threshold)

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logscope.llm.exchange import free_name
 from logscope.session import materialise
 
 
@@ -52,17 +53,20 @@ def url_keys(url: Column) -> Column:
 
 def temporal_list_join(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_at",
                        salts: int = 16) -> DataFrame:
-    """Every capture with ``blocked``, ``n_matches`` and ``matched`` (sorted active patterns)."""
-    c = materialise(captures.withColumn("_row", F.monotonically_increasing_id()))
+    """Every capture with ``blocked``, ``n_matches`` and ``matched`` (sorted active patterns); columns of the
+    captures with these names are replaced."""
+    row, m = free_name(captures, "_row"), free_name(captures, "_matched")
+    c = materialise(captures.withColumn(row, F.monotonically_increasing_id()))
     # the salt is part of the row number, so a repeated evaluation gives the same one
-    keys = c.select("_row", F.col(fetched).alias("_at"), F.explode(F.array_distinct(url_keys(F.col(url)))).alias("_key"),
-                    F.pmod("_row", F.lit(salts)).alias("_salt"))
+    keys = c.select(F.col(row).alias("_row"), F.col(fetched).alias("_at"), F.explode(F.array_distinct(url_keys(F.col(url)))).alias("_key"),
+                    F.pmod(row, F.lit(salts)).alias("_salt"))
     lists = intervals(entries).select(F.col("pattern").alias("_key"), "valid_from", "valid_to",
                                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
     hit = keys.join(lists, ["_key", "_salt"]).where(
         (F.col("_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_at") < F.col("valid_to"))))
     hit = hit.groupBy("_row").agg(F.array_sort(F.collect_set("_key")).alias("matched"))  # at most the URL's own keys
-    out = c.join(hit, "_row", "left").drop("_row")
+    hit = hit.select(F.col("_row").alias(row), F.col("matched").alias(m))
+    out = c.drop("blocked", "n_matches", "matched").join(hit, row, "left").drop(row).withColumnRenamed(m, "matched")
     return out.withColumn("matched", F.coalesce("matched", F.array().cast("array<string>"))).withColumn(
         "n_matches", F.size("matched").cast("long")).withColumn("blocked", F.col("n_matches") > 0)
 
