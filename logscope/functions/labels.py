@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Sequence
 
 from pyspark.sql import Column
@@ -26,16 +27,17 @@ IO_COMPONENT = ["io", "filesystem"]
 def parse_label(response: Column, labels: Sequence[str] = LABELS, mode: str = "word",
                 default: str = "other") -> Column:
     """Reply text -> label: lower-cased and trimmed, the first label of ``labels``
-    that occurs (``compat``: as a substring; ``word``: as a whole word), else ``default``."""
+    that occurs (``compat``: as a substring; ``word``: as a whole word), else ``default``. No reply at
+    all is ``default`` too."""
     text = F.lower(F.trim(response))
     out = F.lit(default)
     for lab in reversed(list(labels)):
         if mode == "compat":
             hit = text.contains(lab)
         else:
-            hit = text.rlike(r"(?U)\b" + lab + r"\b")
+            hit = text.rlike(r"(?U)\b" + re.escape(lab) + r"\b")
         out = F.when(hit, F.lit(lab)).otherwise(out)
-    return F.when(response.isNull(), F.lit(None).cast("string")).otherwise(out)
+    return out
 
 
 def _any(c: Column, words: Sequence[str]) -> Column:
@@ -59,53 +61,47 @@ def rule_label(message: Column, component: Column | None = None) -> Column:
             .otherwise("application"))
 
 
-# Explanation templates of the rule explainer (our own wording), three per label.
+# Texts of the offline explainer: a first check to make and a way to narrow the fault down.
 EXPLANATION_TEMPLATES = {
-    "memory": [
-        "Memory fault reported by {component}; such faults usually come from exhausted memory or failing modules.",
-        "Node {node} could not allocate memory; check the memory limits and recent usage on this node.",
-        "The memory subsystem of {component} reports errors; a leak or degrading hardware is the usual cause.",
-    ],
-    "database": [
-        "Database trouble on {node}; queries or connections may be failing, which affects data availability.",
-        "{component} reports database errors; look for lock contention or configuration changes.",
-        "A database operation failed; retrying blindly may leave data inconsistent, so inspect the failed statement.",
+    "io": [
+        "First check: device health counters and mount state behind {component}. Then replay one failing read on {node} alone.",
+        "Storage path suspected. Compare this line's time with the array's event log; if nothing matches, look at the driver on {node}.",
     ],
-    "authentication": [
-        "{component} rejected credentials; expired tokens or wrong permissions are the usual cause.",
-        "Access was refused on {node}; review the account and its access rules before retrying.",
-        "Authentication failed; the identity service or its configuration may be out of sync.",
+    "application": [
+        "No subsystem stands out, so start with the last release or setting changed in {component} and rerun it with debug output on {node}.",
+        "Program fault suspected. Look for the first abnormal line of this process, not this one, and compare its input with a run that ended well.",
     ],
     "network": [
-        "{node} lost contact with its peers; inter-node traffic and running jobs may stall.",
-        "Network communication failed in {component}; transfers and remote calls may time out.",
-        "A network fault was detected; congestion or a failing link is the likely cause.",
+        "Draw the path between {node} and its partner, then test each hop; one-sided loss points to a port, two-sided loss to routing.",
+        "Transport suspected under {component}. Count retransmissions over the last hour and see whether other hosts of the same switch count them too.",
     ],
-    "io": [
-        "I/O errors on {node} in {component}; reads and writes to storage may fail or slow down.",
-        "Storage reports errors; the disk may be failing or full.",
-        "A file system operation failed; jobs that need this data may stop.",
+    "memory": [
+        "Plot resident size of {component} over a day. A ramp means a leak, a cliff means a neighbour, a flat line means a faulty module in {node}.",
+        "Memory suspected. Run the module test on {node} at the next idle window and keep new jobs away until it has passed.",
     ],
-    "application": [
-        "{component} raised an application error; workloads on {node} may be affected.",
-        "An unhandled condition in the application layer; the running job may not finish.",
-        "The application process reported a failure and needs attention to resume normal work.",
+    "database": [
+        "List open transactions by age; the oldest one usually holds what {component} is waiting for.",
+        "Data store suspected. Verify replica lag and free log space before anything on {node} is started again.",
+    ],
+    "authentication": [
+        "Compare clocks on {node} and on the ticket server first, then the validity dates of the certificate {component} presents.",
+        "Identity suspected. One account failing means its keys, many accounts failing means the directory they share.",
     ],
 }
 
 
 def rule_explain(label: Column, key: Column, node: Column | None, component: Column | None,
                  seed: int = 0) -> Column:
-    """One of three templates per label, picked by ``pmod(key + seed, 3)`` of an integer
+    """One of the label's texts, picked by ``pmod(key + seed, number of texts)`` of an integer
     key: deterministic under retries and re-partitioning (the original picks at
     random). Unknown labels use the application templates."""
     node_v = F.coalesce(node.cast("string"), F.lit(NONE)) if node is not None else F.lit("unknown node")
     comp_v = F.coalesce(component.cast("string"), F.lit(NONE)) if component is not None else F.lit("unknown component")
-    pick = F.pmod(key.cast("long") + F.lit(seed), F.lit(3))
     known = F.coalesce(label, F.lit("application"))
     known = F.when(known.isin(list(EXPLANATION_TEMPLATES)), known).otherwise(F.lit("application"))
     out = F.lit(None).cast("string")
     for lab, temps in EXPLANATION_TEMPLATES.items():
+        pick = F.pmod(key.cast("long") + F.lit(seed), F.lit(len(temps)))
         for i, t in enumerate(temps):
             vals = {"node": node_v, "component": comp_v}
             filled = F.concat(*[F.lit(v) if k == "text" else vals[v] for k, v in template_pieces(t)])

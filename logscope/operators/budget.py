@@ -36,14 +36,13 @@ def token_count(df: DataFrame, text_col: str = "m_message", by: str | list[str]
 
 def trim_to_budget(df: DataFrame, limit: int = 100_000, by: str | list[str] | None = "source_file",
                    score_col: str = "pred_ano_proba", order_col: str = "line_no", text_col: str = "m_message",
-                   policy: str = "prefix", tokenizer: Callable[[str], int] | None = None,
-                   max_rounds: int = 64) -> DataFrame:
+                   policy: str = "prefix", tokenizer: Callable[[str], int] | None = None) -> DataFrame:
     """Keep the highest-scored lines whose joined text fits ``limit`` tokens (per group),
     returned with their file order intact.
 
     ``prefix``: the longest score-ordered prefix that fits. ``iterative``: the
     original loop (drop ``int(n*(1-limit/tokens))`` lowest, 50 if that is 0,
-    recount) evaluated on the same cumulative column, one small join per round.
+    recount, until no group is over) evaluated on the same cumulative column, one small join per round.
     The cumulative sum is a skew-safe running aggregate, so a file holding a
     third of all lines is still spread over many tasks.
     """
@@ -62,7 +61,7 @@ def trim_to_budget(df: DataFrame, limit: int = 100_000, by: str | list[str] | No
     x = materialise(x)  # evaluated once, read by every round
     lookup = x.select(*key, "_rank", "_tok")
     state = x.groupBy(*key).agg(F.max("_rank").alias("_n"))
-    for _ in range(max_rounds):
+    while True:  # every round drops at least one line of a group that is over, so the loop ends
         cur = state.join(lookup, [*key]).where(F.col("_n") == F.col("_rank")).select(*key, "_n", "_tok")
         drop = F.floor(F.col("_n") * (1 - F.lit(float(limit)) / F.col("_tok"))).cast("long")
         drop = F.when(drop == 0, F.lit(50)).otherwise(drop)

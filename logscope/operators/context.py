@@ -234,36 +234,36 @@ _PAIR_SCHEMA = T.StructType([
 ])
 
 
-def _block_top_k(k: int, earlier_only: bool):
+def _block_top_k(k: int, earlier_only: bool, step: int = 512):
     def run(key, anomalies: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"anomaly_id": [], "context_id": [], "similarity": []})
         if anomalies.empty or cands.empty:
-            return pd.DataFrame({"anomaly_id": [], "context_id": [], "similarity": []})
-        av = np.asarray(anomalies["_vec"].tolist(), dtype=np.float64)
-        cv = np.asarray(cands["_vec"].tolist(), dtype=np.float64)
-        an = np.linalg.norm(av, axis=1)
-        cn = np.linalg.norm(cv, axis=1)
-        av = np.divide(av, an[:, None], out=np.zeros_like(av), where=an[:, None] > 0)
-        cv = np.divide(cv, cn[:, None], out=np.zeros_like(cv), where=cn[:, None] > 0)
-        sim = np.round(av @ cv.T, SIM_DIGITS)
-        aid = anomalies["anomaly_id"].to_numpy()
-        cid = cands["context_id"].to_numpy()
-        if earlier_only:
-            sim = np.where(cid[None, :] < aid[:, None], sim, -np.inf)
-        kk = min(k, sim.shape[1])
-        # k-th best value per anomaly; everything at or above it (ties included) is sorted exactly
-        kth = -np.partition(-sim, kk - 1, axis=1)[:, kk - 1]
+            return none
+        unit = lambda x: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x),
+                                   where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+        cv = unit(np.asarray(cands["_cvec"].tolist(), dtype=np.float64))
+        aid, cid = anomalies["anomaly_id"].to_numpy(), cands["context_id"].to_numpy()
+        vecs = anomalies["_avec"].tolist()
         out_a, out_c, out_s = [], [], []
-        for i in range(len(aid)):
-            sel = np.nonzero((sim[i] >= kth[i]) & np.isfinite(sim[i]))[0]
-            if sel.size == 0:
-                continue
-            s_sel = sim[i, sel]
-            order = np.lexsort((cid[sel], -s_sel))[:k]  # similarity desc, then earliest
-            out_a.append(np.full(order.size, aid[i]))
-            out_c.append(cid[sel][order])
-            out_s.append(s_sel[order])
+        for lo in range(0, len(aid), step):  # a strip of the tile at a time
+            ids = aid[lo:lo + step]
+            sim = np.round(unit(np.asarray(vecs[lo:lo + step], dtype=np.float64)) @ cv.T, SIM_DIGITS)
+            if earlier_only:
+                sim = np.where(cid[None, :] < ids[:, None], sim, -np.inf)
+            kk = min(k, sim.shape[1])
+            # k-th best value per anomaly; everything at or above it (ties included) is sorted exactly
+            kth = -np.partition(-sim, kk - 1, axis=1)[:, kk - 1]
+            for i in range(len(ids)):
+                sel = np.nonzero((sim[i] >= kth[i]) & np.isfinite(sim[i]))[0]
+                if sel.size == 0:
+                    continue
+                s_sel = sim[i, sel]
+                order = np.lexsort((cid[sel], -s_sel))[:k]  # similarity desc, then earliest
+                out_a.append(np.full(order.size, ids[i]))
+                out_c.append(cid[sel][order])
+                out_s.append(s_sel[order])
         if not out_a:
-            return pd.DataFrame({"anomaly_id": [], "context_id": [], "similarity": []})
+            return none
         return pd.DataFrame({"anomaly_id": np.concatenate(out_a).astype("int64"),
                              "context_id": np.concatenate(out_c).astype("int64"),
                              "similarity": np.concatenate(out_s)})
@@ -272,52 +272,41 @@ def _block_top_k(k: int, earlier_only: bool):
 
 def far_semantic(df: DataFrame, k: int = 5, vec_col: str = "embedding", earlier_only: bool = True,
                  id_col: str = "LineId", pos_col: str = "pos", flag_col: str = "anomaly",
-                 anomaly_block: int = 4096, candidate_block: int = 32768) -> DataFrame:
-    """Top ``k`` earlier rows by cosine of dense vectors.
-
-    Exact all-pairs work is split into bounded tiles: blocks of at most
-    ``anomaly_block`` anomalies and ``candidate_block`` candidates; each (anomaly
-    block, candidate block) tile is one cogroup whose size is bounded by the two
-    block sizes. With ``earlier_only`` the blocks follow position and tiles
-    whose candidates all come after the anomalies are never built (about half of
-    the all-pairs work); otherwise blocks are hashed. A tile emits its local top
-    ``k`` per anomaly, and a final ``row_number() <= k`` keeps the global top.
+                 block: int = 16384) -> DataFrame:
+    """Top ``k`` earlier rows (smaller id) by cosine of dense vectors.
+
+    Equal vectors are one candidate group of which only the ``k`` rows of least id can be chosen, so
+    repeated lines are cut to ``k`` before anything is compared; this is exact.
+    What is left is compared exactly, in bounded tiles: rows are ranked by id, and a tile joins the anomalies of one
+    block of ``block`` ranks with the candidates of one block. With ``earlier_only`` a tile whose candidates all have
+    a greater id than its anomalies is not built (about half of the work); whether a row counts as
+    earlier depends on ids alone, at every size. A tile emits its local top ``k`` per anomaly, and a final
+    ``row_number() <= k`` keeps the global top.
     """
-    base = df.where(F.col(vec_col).isNotNull())
-    a = base.where(F.col(flag_col) == F.lit(True)).select(
-        F.col(id_col).alias("anomaly_id"), F.col(pos_col).alias("_apos"), F.col(vec_col).cast("array<double>").alias("_vec"))
-    c = base.select(F.col(id_col).alias("context_id"), F.col(pos_col).alias("_cpos"),
-                    F.col(vec_col).cast("array<double>").alias("_vec"))
-    n_a, n_c = a.count(), c.count()
-    if n_a == 0 or n_c == 0:
-        return df.sparkSession.createDataFrame([], _edge_schema())
-    if earlier_only and (n_a > anomaly_block or n_c > candidate_block):
-        # Blocks follow position (positions follow ids): anomaly blocks hold exactly
-        # `anomaly_block` anomalies, candidate blocks a range of `candidate_block`
-        # positions, and a tile is built only if some candidate precedes some anomaly.
+    base = df.where(F.col(vec_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), F.col(flag_col).alias("_flag"), F.col(vec_col).cast("array<double>").alias("_vec"))
+    same = Window.partitionBy("_vh1", "_vh2").orderBy("_id")
+    keyed = base.withColumn("_vh1", F.xxhash64("_vec")).withColumn("_vh2", F.xxhash64(F.lit(1), "_vec"))
+    keyed = keyed.withColumn("_nth", F.row_number().over(same)).withColumn("_chosen", F.col("_nth") <= k)
+    if earlier_only:
+        # ids are compared as they are: a rank by id is the same order at every size
         from logscope.operators.position import with_position
-        ranked = with_position(a.select("anomaly_id", "_apos"), "_apos", out="_ar")
-        blocks = ranked.select("anomaly_id", F.floor(F.col("_ar") / F.lit(anomaly_block)).cast("int").alias("_ab"),
-                               "_apos")
-        his = [r["hi"] for r in blocks.groupBy("_ab").agg(F.max("_apos").alias("hi")).orderBy("_ab").collect()]
-        nb_a = len(his)
-        hi_arr = F.array(*[F.lit(int(h)) for h in his])
-        a = a.join(blocks.select("anomaly_id", "_ab"), "anomaly_id")
-        last_cb = F.floor((F.element_at(hi_arr, F.col("_ab") + 1) - 1) / F.lit(candidate_block)).cast("int")
-        a = a.withColumn("_cb", F.explode(F.when(last_cb >= 0, F.sequence(F.lit(0), last_cb))
-                                          .otherwise(F.array().cast("array<int>"))))
-        c = c.withColumn("_cb", F.floor(F.col("_cpos") / F.lit(candidate_block)).cast("int"))
-        first_ab = F.size(F.filter(hi_arr, lambda h: h <= F.col("_cb") * F.lit(candidate_block)))
-        c = c.withColumn("_ab", F.explode(F.when(first_ab <= nb_a - 1, F.sequence(first_ab, F.lit(nb_a - 1)))
-                                          .otherwise(F.array().cast("array<int>"))))
-        a, c = a.drop("_apos"), c.drop("_cpos")
+        keyed = with_position(keyed.where(F.col("_chosen") | (F.col("_flag") == F.lit(True))), "_id", out="_rank")
+        blk = F.floor(F.col("_rank") / F.lit(block)).cast("int")
+        last = keyed.agg(F.max("_rank").alias("m")).first()["m"]
+        nb = 0 if last is None else int(last) // block + 1
+        a_side = F.explode(F.sequence(F.lit(0), blk))
+        c_side = F.explode(F.sequence(blk, F.lit(max(nb - 1, 0))))
     else:
-        nb_a = max(1, math.ceil(n_a / anomaly_block))
-        nb_c = max(1, math.ceil(n_c / candidate_block))
-        a = (a.drop("_apos").withColumn("_ab", F.pmod(F.xxhash64("anomaly_id"), F.lit(nb_a)))
-             .withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(nb_c - 1)))))
-        c = (c.drop("_cpos").withColumn("_cb", F.pmod(F.xxhash64("context_id"), F.lit(nb_c)))
-             .withColumn("_ab", F.explode(F.sequence(F.lit(0), F.lit(nb_a - 1)))))
+        keyed = materialise(keyed.where(F.col("_chosen") | (F.col("_flag") == F.lit(True))))
+        nb = max(1, math.ceil(keyed.count() / block))
+        blk = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
+        a_side = c_side = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
+    # fresh column identities on both sides: they come from one table
+    a = keyed.where(F.col("_flag") == F.lit(True)).select(
+        F.col("_id").alias("anomaly_id"), F.col("_vec").alias("_avec"), blk.alias("_ab"), a_side.alias("_cb"))
+    c = keyed.where("_chosen").select(
+        F.col("_id").alias("context_id"), F.col("_vec").alias("_cvec"), c_side.alias("_ab"), blk.alias("_cb"))
     local = (a.groupBy("_ab", "_cb").cogroup(c.groupBy("_ab", "_cb"))
              .applyInPandas(_block_top_k(k, earlier_only), _PAIR_SCHEMA))
     top = _top_k(local, k)
@@ -397,7 +386,7 @@ def _kind_no(kind):
 
 def context_ids(edges: DataFrame, df: DataFrame, id_col: str = "LineId", pos_col: str = "pos",
                 flag_col: str = "anomaly", compat: bool = True, out: str = "context_ids",
-                bucket_rows: int = 1 << 20) -> DataFrame:
+                bucket_rows: int = 1 << 20, name_col: str | None = None) -> DataFrame:
     """Render the per-row list of anomaly ids (``"5,9"``), in processing order:
     anomaly position, then near before semantic before lexical, then rank.
     ``compat=False`` keeps edges into anomalies and removes repeated ids.
@@ -405,8 +394,12 @@ def context_ids(edges: DataFrame, df: DataFrame, id_col: str = "LineId", pos_col
     A popular row (e.g. the earliest copy of a frequent message) can be context
     for a great many anomalies. Its list is built in two steps: ordered partial
     lists per (row, block of ``bucket_rows`` anomaly positions), spread over tasks,
-    then a concatenation of the few partials in block order."""
+    then a concatenation of the few partials in block order. ``name_col`` names the column whose values are
+    listed, where rows are keyed by another one."""
     e = kept_edges(edges, df, id_col, pos_col, flag_col, compat)
+    if name_col is not None and name_col != id_col:
+        names = df.where(F.col(flag_col) == F.lit(True)).select(F.col(id_col).alias("anomaly_id"), F.col(name_col).alias("_name"))
+        e = e.join(names, "anomaly_id").withColumn("anomaly_id", F.col("_name"))
     e = e.select("context_id", F.floor(F.col("anomaly_pos") / F.lit(bucket_rows)).alias("_b"),
                  F.struct("anomaly_pos", _kind_no(F.col("kind")).alias("kind_no"), "rank", "anomaly_id").alias("_e"))
     ids = F.transform(F.sort_array(F.collect_list("_e")), lambda x: x["anomaly_id"].cast("string"))

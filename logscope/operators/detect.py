@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 
 from logscope.operators.position import running
 
-# Trees are small (at most 2*psi - 1 nodes); a forest above this many nodes is refused.
-MAX_FOREST_NODES = 2_000_000
 
 
 def split(df: DataFrame, test_frac: float = 0.9, seed: int = 42, id_cols: Sequence[str] = ("LineId",)) -> tuple:
@@ -97,8 +95,6 @@ def isolation_forest(train: DataFrame, test: DataFrame, features: Sequence[str],
     height = int(math.ceil(math.log2(max(sample, 2))))
     forest_df = tr.groupBy("_tree").applyInPandas(_fit_tree(seed, height), _TREE_SCHEMA)
     forest = forest_df.orderBy("_tree").collect()
-    if sum(len(r["feature"]) for r in forest) > MAX_FOREST_NODES:
-        raise ValueError("forest too large to ship")
     arrays = [(np.array(r["feature"]), np.array(r["threshold"]), np.array(r["left"]), np.array(r["right"]),
                np.array(r["size"])) for r in forest]
     cn = _c(sample)

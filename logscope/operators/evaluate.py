@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logscope.operators.position import with_position
 from logscope.operators.prepare import coerce_score
 
 
@@ -16,25 +17,19 @@ def _pairs(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-MAX_CLASSES = 10_000
+_SLICES = 16
 
 
 def confusion_matrix(df: DataFrame, true_col: str = "label", pred_col: str = "anomaly_result") -> DataFrame:
     """Long-form confusion matrix over the sorted union of true and predicted labels, zeros included.
 
-    The label set is the class list (checked against ``MAX_CLASSES``); each
-    true label fans out over it as a literal array, no cross join."""
+    The result has a row for each pair of classes by definition; the grid is an equality join on
+    slice numbers, so it is made by many tasks and nothing passes through the driver."""
     pairs = _pairs(df, true_col, pred_col)
-    labels = (pairs.select(F.col("true_label").alias("l")).union(pairs.select(F.col("pred_label").alias("l")))
-              .distinct().orderBy("l").limit(MAX_CLASSES + 1).collect())
-    if len(labels) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    names = [r["l"] for r in labels]
-    spark = df.sparkSession
-    if not names:
-        return spark.createDataFrame([], "true_label string, pred_label string, count long")
-    grid = (spark.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("true_label"))
-            .select("true_label", F.explode(F.array(*[F.lit(n) for n in names])).alias("pred_label")))
+    labels = pairs.select(F.col("true_label").alias("l")).union(pairs.select(F.col("pred_label").alias("l"))).distinct()
+    left = labels.select(F.col("l").alias("true_label"), F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))).alias("_s"))
+    right = labels.select(F.col("l").alias("pred_label"), F.pmod(F.xxhash64("l"), F.lit(_SLICES)).cast("int").alias("_s"))
+    grid = left.join(right, "_s").drop("_s")
     return (grid.join(pairs, ["true_label", "pred_label"], "left")
             .select("true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("long").alias("count")))
 
@@ -123,23 +118,22 @@ def judge_summary(df: DataFrame, score_col: str = "score",
     return df.agg(*aggs)
 
 
-def prepare_eval(df: DataFrame, id_col: str = "LineId") -> DataFrame:
-    """Evaluation input: ``text`` from ``m_message``; an id; score from ``pred_ano_proba``
-    else 1.0; context = own id; ``label`` from ``labels`` else ``anomaly_type``, lower-cased."""
+def prepare_eval(df: DataFrame, id_col: str = "LineId", order_by: str | list[str] | None = None) -> DataFrame:
+    """Evaluation input: ``text`` from ``m_message``; an id (missing: 0..n-1 in the order of ``order_by``, else of all
+    columns); score from ``pred_ano_proba`` else 1.0; context = own id unless given; ``label`` from
+    ``label``, else ``labels``, else ``anomaly_type``, lower-cased."""
     out = df
     if "text" not in out.columns and "m_message" in out.columns:
         out = out.withColumnRenamed("m_message", "text")
     if id_col not in out.columns:
-        out = out.withColumn(id_col, F.monotonically_increasing_id() + 1)
+        out = with_position(out, order_by or out.columns, out=id_col)
     if "anomaly_score" not in out.columns:
         out = out.withColumn("anomaly_score", F.col("pred_ano_proba") if "pred_ano_proba" in out.columns
                              else F.lit(1.0))
         out = coerce_score(out)
-    out = out.withColumn("context_ids_ref", F.col(id_col).cast("string"))
-    if "labels" in out.columns:
-        out = out.withColumn("label", F.lower(F.col("labels")))
-    elif "anomaly_type" in out.columns:
-        out = out.withColumn("label", F.lower(F.col("anomaly_type")))
-    elif "label" in out.columns:
-        out = out.withColumn("label", F.lower(F.col("label")))
+    if "context_ids_ref" not in out.columns:
+        out = out.withColumn("context_ids_ref", F.col(id_col).cast("string"))
+    for source in ("label", "labels", "anomaly_type"):
+        if source in out.columns:
+            return out.withColumn("label", F.lower(F.col(source)))
     return out

@@ -23,20 +23,18 @@ PARTITION_BYTES = 64 << 20
 
 
 def range_partitions(df: DataFrame, explicit: int | None = None) -> int:
-    """Number of range partitions: explicit, else the optimizer's size estimate at about
-    ``PARTITION_BYTES`` per partition (at least the default parallelism), capped by
-    ``spark.sql.shuffle.partitions``
-    (an explicit range partitioning is not coalesced by AQE, so tiny inputs must
-    not get hundreds of empty partitions)."""
+    """Number of range partitions: explicit, else the bytes of all inputs at about ``PARTITION_BYTES``
+    per partition, and at least the smaller of the default parallelism and
+    ``spark.sql.shuffle.partitions`` (adaptive execution does not coalesce an explicit range
+    partitioning, so tiny inputs must not get hundreds of empty partitions). Inputs are summed
+    because the optimizer's estimate of a join is the product of its sides."""
     if explicit:
         return explicit
-    cap = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:
-        return cap
-    floor = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    return max(1, min(cap, max(floor, -(-size // PARTITION_BYTES))))
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    floor = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return int(min(max(1, floor, -(-size // PARTITION_BYTES)), (1 << 31) - 1))
 
 
 def with_position(df: DataFrame, order_by: str | list[str] = "LineId", by: str | list[str] | None = None,

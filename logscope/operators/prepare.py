@@ -164,7 +164,9 @@ def dedup_context(df: DataFrame, col: str, keep_ids: Iterable = (), order_col: s
     join back is on (value, position): a hot value does not gather in one task.
     """
     firsts = df.groupBy(col).agg(F.min(order_col).alias(order_col)).withColumn("_first", F.lit(True))
-    out = df.join(firsts, [col, order_col], "left")
+    # null-safe on the value: rows without a value are one group, whose first row stays
+    firsts = firsts.select(F.col(col).alias("_dv"), F.col(order_col).alias("_dp"), "_first")
+    out = df.join(firsts, df[col].eqNullSafe(F.col("_dv")) & df[order_col].eqNullSafe(F.col("_dp")), "left")
     keep = F.col("_first").isNotNull()
     keep_ids = list(keep_ids)
     if keep_ids:
@@ -205,8 +207,8 @@ def finalise(df: DataFrame, clean: bool = False) -> DataFrame:
 
 
 def seeded_order(id_cols: Iterable[str], seed: int) -> Column:
-    """A reproducible pseudo-random order key, independent of partitioning."""
-    return F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed))
+    """A reproducible pseudo-random order key (md5 of ids and seed), independent of partitioning."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in id_cols], F.lit(str(seed))))
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, id_cols: Iterable[str] = ("LineId",)) -> DataFrame:

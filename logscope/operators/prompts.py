@@ -44,15 +44,13 @@ Highest-scoring lines, in file order:
 
 Name the most likely failure and explain the evidence in a few sentences."""
 
-COMPACT_TEMPLATE = """The software log lines below contain one anomalous line. Explain why the anomaly may have happened.
+COMPACT_TEMPLATE = """Line under question:
+{anomalous_str}
 
-Normal log lines:
+For comparison, lines around it:
 {context_str}
 
-Anomalous log line:
-{anomalous_str}
-
-Explanation:"""
+Which difference between them matters, and what could have led to it?"""
 
 RUN_TEMPLATE = """You classify the logs of one application run into one of these classes: {classes}.
 Reply with the class only.
@@ -60,11 +58,9 @@ Reply with the class only.
 
 NO_CONTEXT = "No context lines available."
 
-MAX_VOCABULARY = 10_000
-
-# Columns never rendered into a prompt: our position column and truth columns
-# (rendering truth into the prompt leaks the answer).
-HIDDEN = ("pos", "label", "labels", "true_label")
+# Columns never rendered into a prompt: our position column, truth columns (rendering truth into
+# the prompt leaks the answer) and lists of row ids (a popular row's list grows with the table).
+HIDDEN = ("pos", "label", "labels", "true_label", "context_ids", "context_ids_ref")
 
 
 def rendered_columns(df: DataFrame, exclude: Sequence[str] = HIDDEN) -> list[str]:
@@ -152,7 +148,7 @@ def file_prompts(df: DataFrame, file_col: str = "source_file", text_col: str = "
 
 def line_cards(df: DataFrame, level: str = "Level", process: str = "Process", component: str = "Component",
                content: str = "Content", template_col: str = "EventTemplate") -> Column:
-    """``Log Level: x. Process: x. Component: x. Content: x. EventTemplate: x``"""
+    """``Log Level: x. Process: x. Component: x. Content: x. EventTemplate: x`` (fixed values: field names and order)."""
     def v(c):
         return F.coalesce(F.col(c).cast("string"), F.lit("None"))
     return F.concat(F.lit("Log Level: "), v(level), F.lit(". Process: "), v(process), F.lit(". Component: "),
@@ -175,25 +171,27 @@ def run_prompts(df: DataFrame, classes: Sequence[str], run_cols: Sequence[str] =
 
 
 def prompt_variants(df: DataFrame, prompt_col: str, strategies: Mapping[str, str],
-                    demos: DataFrame | None = None, demo_text: str = "text", demo_label: str = "label",
-                    max_demos: int = 16) -> DataFrame:
+                    demos: DataFrame | None = None, demo_text: str = "text", demo_label: str = "label") -> DataFrame:
     """One row per (input, strategy). ``strategies`` maps a name to a template with
-    ``{input}`` and optionally ``{examples}`` (few-shot demos, ordered by ``demo_no``).
+    ``{input}`` and optionally ``{examples}`` (few-shot demos, all of them, ordered by ``demo_no``).
 
-    The strategy table is a handful of literals and the demos are capped by
-    ``max_demos`` (a prompt-size parameter), so both ride along as literals.
+    The strategy table is a handful of literals. The demos become one text, which is part of every
+    prompt anyway, so the joined side is one row.
     """
-    examples = ""
+    x = df
+    examples = F.lit("")
     if demos is not None:
-        rows = demos.orderBy("demo_no").limit(max_demos).select(demo_text, demo_label).collect()
-        examples = "\n".join(f"Text: {r[0]}\nLabel: {r[1]}" for r in rows)
-    names = list(strategies)
-    x = df.withColumn("strategy", F.explode(F.array(*[F.lit(n) for n in names])))
+        card = F.concat(F.lit("Text: "), F.coalesce(F.col(demo_text), F.lit("")), F.lit("\nLabel: "), F.coalesce(F.col(demo_label), F.lit("")))
+        one = demos.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("demo_no", card.alias("c")))), lambda s: s["c"]), "\n")
+                        .alias("_examples")).withColumn("_one", F.lit(1))
+        x = x.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+        examples = F.col("_examples")
+    x = x.withColumn("strategy", F.explode(F.array(*[F.lit(n) for n in strategies])))
     out = F.lit(None).cast("string")
-    for n in names:
-        filled = fill_template(strategies[n], {"input": F.col(prompt_col), "examples": F.lit(examples)})
+    for n, template in strategies.items():
+        filled = fill_template(template, {"input": F.col(prompt_col), "examples": examples})
         out = F.when(F.col("strategy") == n, filled).otherwise(out)
-    return x.withColumn("variant_prompt", out)
+    return x.withColumn("variant_prompt", out).drop("_examples")
 
 
 def _norm_label(c: Column) -> Column:
@@ -205,32 +203,30 @@ def match_known_label(df: DataFrame, vocab: DataFrame, hint_col: str = "error_ty
     """Match a hint to a known-label vocabulary: exact after normalising, else the
     best token Jaccard, else the smallest edit distance.
 
-    The vocabulary is a fixed list with a checked size bound (``MAX_VOCABULARY``);
-    it rides along as a literal array exploded per distinct hint, and the result
-    joins back by hint.
+    Vocabulary and distinct hints stay DataFrames of any size. An equal text or a shared token is found
+    by an equality join on tokens; only hints that share no token with any label are
+    measured against the whole vocabulary, which is spread over ``_SLICES`` join keys.
     """
     hints = df.select(F.col(hint_col).alias("_hint")).where(F.col("_hint").isNotNull()).distinct()
     h = hints.withColumn("_hn", _norm_label(F.col("_hint"))).withColumn("_ht", F.split(F.col("_hn"), " "))
     v = (vocab.select(F.col(label_col).alias("_label")).where(F.col("_label").isNotNull()).distinct()
-         .withColumn("_vn", _norm_label(F.col("_label"))))
-    entries = v.limit(MAX_VOCABULARY + 1).collect()
-    if len(entries) > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary larger than {MAX_VOCABULARY} labels")
-    if not entries:
-        return df.withColumns({"matched_label": F.lit(None).cast("string"),
-                               "match_jaccard": F.lit(None).cast("double"),
-                               "match_distance": F.lit(None).cast("int")})
-    arr = F.array(*[F.struct(F.lit(r["_label"]).alias("_label"), F.lit(r["_vn"]).alias("_vn")) for r in entries])
-    pairs = h.select("_hint", "_hn", "_ht", F.explode(arr).alias("_v")).select(
-        "_hint", "_hn", "_ht", F.col("_v._label").alias("_label"), F.col("_v._vn").alias("_vn"))
-    pairs = pairs.withColumn("_vt", F.split(F.col("_vn"), " ")).select(
+         .withColumn("_vn", _norm_label(F.col("_label")))).withColumn("_vt", F.split(F.col("_vn"), " "))
+    token = lambda c: F.explode(F.array_distinct(c)).alias("_tok")
+    shared = (h.select("_hint", token(F.col("_ht"))).join(v.select("_label", token(F.col("_vt"))), "_tok")
+              .select("_hint", "_label").distinct())
+    alone = h.join(shared.select("_hint").distinct(), "_hint", "left_anti").select("_hint").withColumn(
+        "_slice", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))))
+    rest = alone.join(v.select("_label", F.pmod(F.xxhash64("_label"), F.lit(_SLICES)).cast("int").alias("_slice")), "_slice")
+    pairs = shared.unionByName(rest.select("_hint", "_label")).join(h, "_hint").join(v, "_label").select(
         "_hint", "_label",
         (F.col("_hn") == F.col("_vn")).cast("int").alias("_exact"),
         (F.size(F.array_intersect("_ht", "_vt")) / F.size(F.array_union("_ht", "_vt"))).alias("_jac"),
         F.levenshtein("_hn", "_vn").alias("_lev"))
-    w = Window.partitionBy("_hint").orderBy(F.col("_exact").desc(), F.col("_jac").desc(), F.col("_lev").asc(),
-                                           F.col("_label").asc())
-    best = pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
-        F.col("_hint"), F.col("_label").alias("matched_label"), F.round("_jac", 6).alias("match_jaccard"),
-        F.col("_lev").alias("match_distance"))
+    best_order = F.struct((-F.col("_exact")).alias("e"), (-F.col("_jac")).alias("j"), F.col("_lev").alias("l"), F.col("_label").alias("n"))
+    best = pairs.groupBy("_hint").agg(F.min(best_order).alias("_b")).select(
+        "_hint", F.col("_b.n").alias("matched_label"), F.round(-F.col("_b.j"), 6).alias("match_jaccard"),
+        F.col("_b.l").alias("match_distance"))
     return df.join(best, df[hint_col] == best["_hint"], "left").drop("_hint")
+
+
+_SLICES = 32

@@ -157,7 +157,7 @@ def templates_spell(df: DataFrame, text_col: str = "e_message_normalized") -> Da
     count bucket, first token) and processed in sorted order inside a group."""
     texts = df.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
     tok = _tokens(F.col("_text"))
-    texts = texts.withColumn("_b", F.floor(F.log2(F.size(tok) + 1))).withColumn("_first", F.element_at(tok, 1))
+    texts = texts.withColumn("_b", F.floor(F.log2(F.size(tok) + 1))).withColumn("_first", F.get(tok, 0))
     mapping = texts.groupBy("_b", "_first").applyInPandas(lambda pdf: _spell_group(pdf[["_text"]]), _MAP_SCHEMA)
     mapping = mapping.withColumn("event_id", F.md5("template"))
     return df.join(mapping, df[text_col] == mapping["_text"], "left").drop("_text")

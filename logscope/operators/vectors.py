@@ -52,10 +52,11 @@ def embed(df: DataFrame, col: str = "message", out: str = "embedding",
 def features(train: DataFrame, frames: Sequence[DataFrame], words_col: str = "e_words",
              numeric_cols: Sequence[str] = ("e_words_len", "e_trigrams_len", "e_chars_len", "e_lines_len",
                                             "e_event_id_len"),
-             vocab_size: int = 1 << 14, min_df: float = 1.0, out: str = "features") -> list[DataFrame]:
-    """Word counts (vocabulary fitted on ``train``) plus numeric columns as one vector.
+             vocab_size: int | None = None, min_df: float = 1.0, out: str = "features") -> list[DataFrame]:
+    """Word counts (vocabulary fitted on ``train``) plus numeric columns as one vector. All words of
+    ``train`` count; ``vocab_size`` keeps only the most frequent ones where that is wanted.
     Fitting is an MLlib aggregation; transforming is row-local."""
     from pyspark.ml.feature import CountVectorizer, VectorAssembler
-    cv = CountVectorizer(inputCol=words_col, outputCol="_wc", vocabSize=vocab_size, minDF=min_df).fit(train)
+    cv = CountVectorizer(inputCol=words_col, outputCol="_wc", vocabSize=vocab_size or (1 << 31) - 1, minDF=min_df).fit(train)
     va = VectorAssembler(inputCols=["_wc", *numeric_cols], outputCol=out, handleInvalid="keep")
     return [va.transform(cv.transform(f)).drop("_wc") for f in frames]

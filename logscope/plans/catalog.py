@@ -29,7 +29,7 @@ from logscope.operators.templates import templates_iplom
 from logscope.plans import oracle as orc
 from logscope.plans.pipeline import LineConfig, explain_lines, prepare
 from logscope.plans.views import table, view, with_views
-from logscope.sources.readers import merge_multiline, parse_bgl
+from logscope.sources.readers import merge_multiline, parse_bgl, read_logs
 from logscope.sources.vocabulary import KNOWN_LABELS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,14 +58,10 @@ TS_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')"
 # ---------------------------------------------------------------- sources and sinks
 
 
-@register("read_logs", with_views(
-    f"SELECT line_id, {TS_SQL} AS ts, CAST(date AS STRING) AS date, node, level, component, message, "
-    "round(anomaly_score, 6) AS anomaly_score, label FROM log_view WHERE anomaly_score >= 0.5", "log_view"))
+@register("read_logs", f"SELECT event_id, {TS_SQL} AS ts, user_id, event_type, round(value, 6) AS value, props FROM events")
 def q_read_logs(spark, sf):
-    df = lv(spark, sf).where(F.col("anomaly_score") >= 0.5)
-    return df.select("line_id", ts_str(F.col("ts")).alias("ts"), F.col("date").cast("string").alias("date"),
-                     "node", "level", "component", "message", F.round("anomaly_score", 6).alias("anomaly_score"),
-                     "label")
+    df = read_logs(spark, f"{sf}/events.parquet")
+    return df.select("event_id", ts_str(F.col("ts")).alias("ts"), "user_id", "event_type", F.round("value", 6).alias("value"), "props")
 
 
 @register("present", with_views(
@@ -569,7 +565,7 @@ def q_line_cards(spark, sf):
     return df.select("LineId", prm.line_cards(df).alias("card"))
 
 
-RUN_CLASSES = ["Machine Down", "Network Disconnection", "Disk Full"]
+RUN_CLASSES = ["finished", "slow", "stuck", "lost a worker"]
 
 
 def _run_sql() -> str:
@@ -641,13 +637,12 @@ def q_attach(spark, sf):
 # ---------------------------------------------------------------- the line pipeline
 
 _PIPE_RENDER = [("LineId", "int"), ("ts", "timestamp"), ("date", "date"), ("node", "string"), ("level", "string"),
-                ("component", "string"), ("message", "string"), ("anomaly_score", "double"), ("anomaly", "bool"),
-                ("context_ids_ref", "string")]
+                ("component", "string"), ("message", "string"), ("anomaly_score", "double"), ("anomaly", "bool")]
 
 
 def _pipeline_sql() -> str:
     pbase = ("pbase AS (SELECT line_id AS LineId, line_id, ts, date, node, level, component, message, anomaly_score, "
-             "anomaly_score >= 0.8 AS anomaly, row_number() OVER (ORDER BY line_id) - 1 AS pos FROM log_view)")
+             "anomaly_score >= 0.79 AS anomaly, row_number() OVER (ORDER BY line_id) - 1 AS pos FROM log_view)")
     label = orc.rule_label_sql("b.message", "b.component")
     ctx_str = f"coalesce(c.context_str, {orc.q(prm.NO_CONTEXT)})"
     lp = sql_template(prm.LABEL_TEMPLATE, {"log_str": "r.row", "context_str": ctx_str})
@@ -665,8 +660,7 @@ LEFT JOIN ids i ON i.context_id = b.line_id"""
     extra = ",".join([
         orc.near_cte("pbase"), orc.lexical_ctes("pbase"), orc.kept_cte("pbase", (("near", 1), ("lex", 3))),
         orc.ids_cte(),
-        f" rendered AS (SELECT b.line_id, b.pos, {orc.render_sql(_PIPE_RENDER, 'b')} AS row FROM "
-        "(SELECT p.*, i.context_ids AS context_ids_ref FROM pbase p LEFT JOIN ids i ON i.context_id = p.line_id) b)",
+        f" rendered AS (SELECT b.line_id, b.pos, {orc.render_sql(_PIPE_RENDER, 'b')} AS row FROM pbase b)",
         orc.gather_cte()])
     from logscope.plans.views import duck_view
     return "WITH " + ",\n".join([f"log_view AS ({duck_view('log_view')})", pbase, extra]) + "\n" + body
@@ -675,7 +669,7 @@ LEFT JOIN ids i ON i.context_id = b.line_id"""
 @register("explain_lines", _pipeline_sql())
 def q_explain_lines(spark, sf):
     df = prepare(lv(spark, sf), id="line_id")
-    out = explain_lines(df, LineConfig(strategy="lexical", threshold=0.79, flag_threshold=0.8))
+    out = explain_lines(df, LineConfig(strategy="lexical", threshold=0.79))
     return out.select("LineId", "context_ids_ref", "anomaly_label", "anomaly_label_final", "explanation_prompt",
                       "anomaly_explanation")
 
@@ -1024,21 +1018,41 @@ def q_trim_iterative(spark, sf):
     return kept.select("source_file", "line_no", F.round("pred_ano_proba", 6).alias("pred_ano_proba"))
 
 
-@register("prompt_variants")
+_STRATEGIES = {"zero_shot": "Classify this log line.\n{input}",
+               "step_by_step": "Think step by step about what failed, then classify.\n{input}",
+               "hypotheses": "List three possible causes, pick the most likely, then classify.\n{input}",
+               "few_shot": "Examples:\n{examples}\nNow classify.\n{input}"}
+
+
+def _variants_sql() -> str:
+    examples = ("(SELECT string_agg('Text: ' || message || chr(10) || 'Label: ' || label, chr(10) ORDER BY line_id) "
+                "FROM log_view WHERE line_id <= 17)")
+    parts = [f"SELECT line_id, {orc.q(n)} AS strategy, {sql_template(t, {'input': 'message', 'examples': examples})} AS variant_prompt "
+             "FROM log_view WHERE anomaly_score >= 0.79" for n, t in _STRATEGIES.items()]
+    return with_views(" UNION ALL ".join(parts), "log_view")
+
+
+@register("prompt_variants", _variants_sql())
 def q_prompt_variants(spark, sf):
-    strategies = {"zero_shot": "Classify this log line.\n{input}",
-                  "step_by_step": "Think step by step about what failed, then classify.\n{input}",
-                  "hypotheses": "List three possible causes, pick the most likely, then classify.\n{input}"}
     df = prp.select_anomalies(lv(spark, sf), 0.79).select("line_id", "message")
-    return prm.prompt_variants(df, "message", strategies).select("line_id", "strategy", "variant_prompt")
+    demos = lv(spark, sf).where("line_id <= 17").select(F.col("line_id").alias("demo_no"), F.col("message").alias("text"), "label")
+    return prm.prompt_variants(df, "message", _STRATEGIES, demos).select("line_id", "strategy", "variant_prompt")
+
+
+@register("sample_n", with_views(
+    "SELECT line_id, message FROM log_view ORDER BY md5(CAST(line_id AS VARCHAR) || '|42'), line_id LIMIT 100", "log_view"))
+def q_sample_n(spark, sf):
+    return prp.sample_n(lv(spark, sf), 100, 42, ["line_id"]).select("line_id", "message")
 
 
-@register("sample_per_group")
+@register("sample_per_group", with_views(
+    "SELECT line_id, level FROM log_view QUALIFY row_number() OVER (PARTITION BY level "
+    "ORDER BY md5(CAST(line_id AS VARCHAR) || '|42'), line_id) <= 2", "log_view"))
 def q_sample_per_group(spark, sf):
     return prp.sample_per_group(lv(spark, sf), "level", 2, 42, ["line_id"]).select("line_id", "level")
 
 
-@register("label_tree")
+@register("label_tree", "SELECT 'conv ' || conv_id AS app, role AS failure, 'turn_' || turn AS app_id FROM conversations")
 def q_label_tree(spark, sf):
     # the label tree parser over text lines derived from the conversations table:
     # a conversation opens an application, a role line opens a failure type, turns are members
@@ -1125,5 +1139,5 @@ def q_one_class_svm(spark, sf):
 def q_explain_lines_semantic(spark, sf):
     # semantic context as the original's default: texts embedded on the fly (offline hashed encoder)
     df = prepare(lv(spark, sf), id="line_id")
-    out = explain_lines(df, LineConfig(strategy="semantic", threshold=0.79, flag_threshold=0.8))
+    out = explain_lines(df, LineConfig(strategy="semantic", threshold=0.79))
     return out.select("LineId", "context_ids_ref", "anomaly_label_final", "anomaly_explanation")

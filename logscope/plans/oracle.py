@@ -53,11 +53,12 @@ def rule_label_sql(message: str, component: str | None) -> str:
 def rule_explain_sql(label: str, key: str, node: str, component: str, seed: int = 0) -> str:
     known = f"(CASE WHEN coalesce({label}, 'application') IN ({', '.join(q(k) for k in EXPLANATION_TEMPLATES)}) " \
             f"THEN coalesce({label}, 'application') ELSE 'application' END)"
-    pick = f"((({key}) + {seed}) % 3 + 3) % 3"
     vals = {"node": f"coalesce(CAST({node} AS VARCHAR), 'None')",
             "component": f"coalesce(CAST({component} AS VARCHAR), 'None')"}
     whens = []
     for lab, temps in EXPLANATION_TEMPLATES.items():
+        n = len(temps)
+        pick = f"((({key}) + {seed}) % {n} + {n}) % {n}"
         for i, t in enumerate(temps):
             whens.append(f"WHEN {known} = {q(lab)} AND {pick} = {i} THEN {sql_template(t, vals)}")
     return "CASE " + " ".join(whens) + " END"

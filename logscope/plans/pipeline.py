@@ -17,13 +17,20 @@ from logscope.functions.render import fill_template
 from logscope.session import materialise
 
 
+STRATEGIES = ("near", "lexical", "semantic", "hybrid", "window")
+
+
 @dataclass
 class LineConfig:
-    threshold: float = 0.79          # prompts for score >= threshold
-    flag_threshold: float = 0.8      # context for score >= flag_threshold (or the anomaly column)
-    strategy: str = "lexical"        # near-only: "near"; far: "lexical" | "semantic" | "hybrid"
+    threshold: float = 0.79          # prompts, and context where there is no anomaly column, for score >= threshold
+    strategy: str = "lexical"        # near-only: "near"; far: "lexical" | "semantic" | "hybrid"; fallback: "window"
     top_k_near: int = 6
     top_k_far: int = 5
+    window: int = 5                  # reach of the "window" strategy, in ids
+    drop_duplicates: bool = False    # keep the first row of each text (and all anomalies) as possible context
+    limit_date: bool = False         # only the last date's rows ...
+    limit_line: object = None        # ... or the date of this row id
+    date_col: str = "date"
     text_col: str = "message"        # column used for lexical similarity
     vec_col: str = "embedding"       # vector column for semantic similarity
     id_col: str = "LineId"
@@ -33,6 +40,10 @@ class LineConfig:
     on_error: str = "value"          # "value": keep error text; "rules": fall back to the rule labeller
     seed: int = 0
     encoder: object = None           # factory for on-the-fly embeddings when vec_col is absent
+    label_template: str = LABEL_TEMPLATE
+    explanation_template: str = EXPLANATION_TEMPLATE
+    max_tokens: int = 1000
+    check_ids: bool = False          # raise where an id is null or repeated
 
 
 def prepare(df: DataFrame, score: str | None = None, id: str | None = None, message: str | None = None) -> DataFrame:
@@ -43,42 +54,65 @@ def prepare(df: DataFrame, score: str | None = None, id: str | None = None, mess
     return prp.coerce_score(df)
 
 
-def line_edges(df: DataFrame, cfg: LineConfig) -> DataFrame:
-    """All context edges of the configured strategy."""
-    edges = ctx.near_context(df, cfg.top_k_near, cfg.id_col)
+def line_edges(df: DataFrame, cfg: LineConfig, id_col: str | None = None) -> DataFrame:
+    """All context edges of the configured strategy, between values of ``id_col``."""
+    key = id_col or cfg.id_col
+    if cfg.strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {cfg.strategy!r}; one of {STRATEGIES}")
+    if cfg.strategy == "window":
+        return ctx.near_context(df, 2 * cfg.window, key)
+    edges = ctx.near_context(df, cfg.top_k_near, key)
     if cfg.strategy == "lexical":
-        edges = edges.unionByName(ctx.far_lexical(df, cfg.top_k_far, True, cfg.text_col, cfg.id_col))
+        edges = edges.unionByName(ctx.far_lexical(df, cfg.top_k_far, True, cfg.text_col, key))
     elif cfg.strategy == "semantic":
-        edges = edges.unionByName(ctx.far_semantic(df, cfg.top_k_far, cfg.vec_col, True, cfg.id_col))
+        edges = edges.unionByName(ctx.far_semantic(df, cfg.top_k_far, cfg.vec_col, True, key))
     elif cfg.strategy == "hybrid":
-        edges = edges.unionByName(ctx.far_hybrid(df, cfg.top_k_far, cfg.text_col, cfg.vec_col, cfg.id_col))
+        edges = edges.unionByName(ctx.far_hybrid(df, cfg.top_k_far, cfg.text_col, cfg.vec_col, key))
     return edges
 
 
+def check_ids(df: DataFrame, id_col: str) -> None:
+    """Raise where an id is null or repeated."""
+    bad = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).limit(1).count()
+    if bad:
+        raise ValueError(f"{id_col} is null or repeated in some rows")
+
+
 def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) -> DataFrame:
     """Context -> label prompts -> labels -> explanation prompts -> explanations -> finalise.
 
     ``client=None`` uses the rule labeller and rule explainer (offline). With a
     client, ``on_error='rules'`` replaces error replies with the rule results.
-    Precondition: ``cfg.id_col`` is unique and non-null (line ids).
+    Rows are keyed by their position in id order (null ids first), so null and repeated ids are neither
+    lost nor multiplied; ``cfg.check_ids`` makes them an error.
     """
     cfg = cfg or LineConfig()
-    df = prp.flag_anomalies(df, cfg.flag_threshold)
+    if cfg.strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {cfg.strategy!r}; one of {STRATEGIES}")
+    if cfg.check_ids:
+        check_ids(df, cfg.id_col)
+    if cfg.limit_date or cfg.limit_line is not None:
+        df = prp.limit_date(df, cfg.limit_line, cfg.id_col, cfg.date_col)
+    df = prp.flag_anomalies(df, cfg.threshold)
     added_vec = cfg.strategy in ("semantic", "hybrid") and cfg.vec_col not in df.columns
     if added_vec:
         # as the original does, embed the context column when no vectors are given
         from logscope.operators.vectors import HashingEncoder, embed
         df = embed(df, cfg.text_col, cfg.vec_col, cfg.encoder or HashingEncoder)
-    df = with_position(df, cfg.id_col, unique=True)
+    df = with_position(df, cfg.id_col)
+    if cfg.drop_duplicates:
+        firsts = prp.dedup_context(df.select(cfg.text_col, "pos", "anomaly"), cfg.text_col, order_col="pos", id_col="pos")
+        stay = firsts.select("pos").union(df.where("anomaly").select("pos")).distinct()
+        df = with_position(df.join(stay, "pos", "left_semi").drop("pos"), cfg.id_col)
     # the edge table is small (anomalies x (near + far)) and is read three times:
     # materialise it once instead of recomputing the similarity joins
-    edges = materialise(line_edges(df, cfg))
-    ids = ctx.context_ids(edges, df, cfg.id_col, compat=cfg.compat, out="context_ids_ref")
-    # vectors are not log fields: never rendered into prompts
-    x = with_context_text(ids, edges, cfg.id_col, cfg.mode, exclude=HIDDEN + (cfg.vec_col,), compat=cfg.compat)
+    edges = materialise(line_edges(df, cfg, "pos"))
+    ids = ctx.context_ids(edges, df, "pos", compat=cfg.compat, out="context_ids_ref", name_col=cfg.id_col)
+    # vectors are not log fields, and id lists grow with the table: neither is rendered into prompts
+    x = with_context_text(ids, edges, "pos", cfg.mode, exclude=HIDDEN + (cfg.vec_col,), compat=cfg.compat)
     asked = F.col("anomaly_score") >= F.lit(cfg.threshold)
     prompts = x.withColumn("anomaly_label", F.when(asked, fill_template(
-        LABEL_TEMPLATE, {"log_str": F.col("_row"), "context_str": F.col("_context")})))
+        cfg.label_template, {"log_str": F.col("_row"), "context_str": F.col("_context")})))
     # rules read the message itself; the similarity column may be a normalised copy
     msg_col = "message" if "message" in df.columns else cfg.text_col
     msg = F.col(msg_col) if msg_col in df.columns else F.lit(None).cast("string")
@@ -88,7 +122,7 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
     if client is None:
         labelled = prompts.withColumn("anomaly_result", F.when(F.col("anomaly_label").isNotNull(), rule))
     else:
-        raw = complete(prompts, "anomaly_label", "_raw_label", client, 1000)
+        raw = complete(prompts, "anomaly_label", "_raw_label", client, cfg.max_tokens)
         failed = F.col("_raw_label").isNull() | F.col("_raw_label").startswith("Error:") | \
             F.col("_raw_label").startswith("API Error:")
         parsed = parse_label(F.col("_raw_label"), LABELS, "compat")
@@ -96,7 +130,7 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
             parsed = F.when(failed, rule).otherwise(parsed)
         labelled = raw.withColumn("anomaly_result", F.when(F.col("anomaly_label").isNotNull(), parsed)) \
             .drop("_raw_label")
-    exp = labelled.withColumn("explanation_prompt", F.when(asked, fill_template(EXPLANATION_TEMPLATE, {
+    exp = labelled.withColumn("explanation_prompt", F.when(asked, fill_template(cfg.explanation_template, {
         "anomalous_log_str": F.col("_row"), "label_str": label_text(labelled, ("anomaly_result",)),
         "context_str": F.col("_context")}))).drop("_row", "_context")
     if client is None:
@@ -104,7 +138,7 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
             F.col("explanation_prompt").isNotNull(),
             rule_explain(F.col("anomaly_result"), F.col(cfg.id_col), node, comp, cfg.seed)))
     else:
-        explained = complete(exp, "explanation_prompt", "explanation_result", client, 1000)
+        explained = complete(exp, "explanation_prompt", "explanation_result", client, cfg.max_tokens)
         if cfg.on_error == "rules":
             bad = F.col("explanation_result").startswith("Error:") | F.col("explanation_result").startswith("API Error:")
             explained = explained.withColumn("explanation_result", F.when(

@@ -16,9 +16,11 @@ def read_logs(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def read_structured_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Structured-log CSV with a header (quoted multi-line fields allowed)."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_structured_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+                        multi_line: bool = True) -> DataFrame:
+    """Structured-log CSV with a header. Quoted fields may hold line breaks; where they do not,
+    ``multi_line=False`` lets Spark split large files."""
+    r = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     return (r.schema(schema) if schema is not None else r.option("inferSchema", False)).csv(path)
 
 
@@ -55,14 +57,18 @@ def merge_multiline(df: DataFrame, pattern: str = TIME_PATTERN, file_col: str =
     return g.drop("_gid")
 
 
-def parse_bgl(df: DataFrame, text_col: str = "value") -> DataFrame:
+def parse_bgl(df: DataFrame, text_col: str = "value", order_col: str | list[str] | None = None) -> DataFrame:
     """Supercomputer (BGL-style) lines: alert tag ('-' = normal), epoch, date, node, time,
-    node again, type, component, level, content; ``anomaly = tag != '-'``."""
+    node again, type, component, level, content; ``anomaly = tag != '-'``. Fields that a short line lacks
+    are null. ``row_nr`` is the 1-based place in ``order_col`` order, where that column is given."""
     p = F.split(F.col(text_col), " ", 10)
     fields = ["label", "timestamp", "date", "node", "time", "noderepeat", "type", "component", "level", "m_message"]
-    out = df.select("*", *[F.element_at(p, i + 1).alias(n) for i, n in enumerate(fields)])
-    return out.withColumn("timestamp", F.expr("try_cast(timestamp AS BIGINT)")).withColumn(
+    out = df.select("*", *[F.get(p, i).alias(n) for i, n in enumerate(fields)])
+    out = out.withColumn("timestamp", F.expr("try_cast(timestamp AS BIGINT)")).withColumn(
         "anomaly", F.col("label") != "-")
+    if order_col is None:
+        return out
+    return with_position(out, order_col, out="row_nr").withColumn("row_nr", F.col("row_nr") + 1)
 
 
 def read_label_tree(spark: SparkSession, path: str) -> DataFrame:
@@ -93,13 +99,13 @@ def read_runs(spark: SparkSession, root: str, prefixes=("WordCount", "PageRank")
     df = (spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.log")
           .select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("Content")))
     parts = F.split(F.col("_path"), "/")
-    run_dir = F.element_at(parts, -2)
+    run_dir = F.try_element_at(parts, F.lit(-2))
     rp = F.split(run_dir, "_")
     cond = F.lit(False)
     for p in prefixes:
         cond = cond | run_dir.startswith(p)
     return df.where(cond).select(
-        F.element_at(rp, 1).alias("Job Type"), F.element_at(rp, 2).alias("Issue"),
+        F.get(rp, 0).alias("Job Type"), F.get(rp, 1).alias("Issue"),
         F.array_join(F.slice(rp, 3, F.greatest(F.size(rp) - 2, F.lit(0))), "_").alias("run_id"),
         F.element_at(parts, -1).alias("container_id"), "Content")
 

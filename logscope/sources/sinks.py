@@ -45,9 +45,11 @@ def write_results_csv(df: DataFrame, path: str, order_col: str = "LineId", exact
         return
     line = F.concat_ws(",", *[_csv_field(c, p.schema[c].dataType) for c in p.columns])
     header = ",".join(f'"{c}"' for c in p.columns)
-    body = p.select(F.col(order_col).cast("double").alias("_k"), line.alias("value"))
-    head = df.sparkSession.createDataFrame([(float("-inf"), header)], "_k double, value string")
-    out = head.unionByName(body).repartitionByRange("_k").sortWithinPartitions("_k")
+    # the header first, then rows in the id's own type, rows without id last
+    kind = p.schema[order_col].dataType
+    body = p.select(F.when(F.col(order_col).isNull(), 2).otherwise(1).alias("_h"), F.col(order_col).alias("_k"), line.alias("value"))
+    head = df.sparkSession.range(1).select(F.lit(0).alias("_h"), F.lit(None).cast(kind).alias("_k"), F.lit(header).alias("value"))
+    out = head.unionByName(body).repartitionByRange("_h", "_k").sortWithinPartitions("_h", "_k")
     out.select("value").write.mode(mode).text(path)
 
 
@@ -65,7 +67,9 @@ def write_logs(df: DataFrame, path: str, rows_per_file: int | None = None, order
 
 def nested_counts(counts: DataFrame, date_col: str = "date", text_col: str = "e_message_normalized",
                   count_col: str = "count") -> DataFrame:
-    """One row per date with a message -> count map."""
+    """One row per date with a message -> count map (rows without a message count under the empty text).
+    The map is the output's own form: a date's distinct messages are one value."""
+    counts = counts.groupBy(date_col, F.coalesce(F.col(text_col), F.lit("")).alias(text_col)).agg(F.sum(count_col).alias(count_col))
     return counts.groupBy(date_col).agg(F.map_from_entries(F.sort_array(F.collect_list(
         F.struct(F.col(text_col), F.col(count_col))))).alias("messages"))
 
