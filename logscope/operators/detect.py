@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logscope.operators.position import running
+from logscope.session import materialise
 
 
 
@@ -31,100 +32,152 @@ def _c(n: float) -> float:
 
 
 _TREE_SCHEMA = T.StructType([
-    T.StructField("_tree", T.IntegerType()), T.StructField("feature", T.ArrayType(T.IntegerType())),
+    T.StructField("_f", T.StringType()), T.StructField("_tree", T.IntegerType()),
+    T.StructField("feature", T.ArrayType(T.IntegerType())), T.StructField("word", T.ArrayType(T.LongType())),
     T.StructField("threshold", T.ArrayType(T.DoubleType())), T.StructField("left", T.ArrayType(T.IntegerType())),
     T.StructField("right", T.ArrayType(T.IntegerType())), T.StructField("size", T.ArrayType(T.IntegerType())),
 ])
 
+# Rows of one tile side: a tile's scratch is a few of these times the words or rows of the other side.
+TILE = 2048
+
+
+def _prepared(df: DataFrame, features: Sequence[str], id_col: str, by: str | None, words_col: str | None) -> DataFrame:
+    """``_f`` (group, "" without one), ``_id``, ``_x`` (numbers) and ``_w`` (sorted word hashes, repeats kept)."""
+    words = F.sort_array(F.transform(F.coalesce(F.col(words_col), F.array().cast("array<string>")), lambda w: F.xxhash64(w))) \
+        if words_col else F.array().cast("array<long>")
+    return df.select((F.col(by).cast("string") if by else F.lit("")).alias("_f"), F.col(id_col).alias("_id"),
+                     F.array(*[F.col(c).cast("double") for c in features]).alias("_x"), words.alias("_w"))
+
+
+def _counts(words: list, vocabulary: np.ndarray) -> np.ndarray:
+    """Dense counts of the given (sorted) word hashes in each row."""
+    out = np.zeros((len(words), len(vocabulary)))
+    if len(vocabulary):
+        row = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        flat = np.concatenate([np.asarray(w, np.int64) for w in words]) if len(row) else np.zeros(0, np.int64)
+        at = np.searchsorted(vocabulary, flat)
+        at[at == len(vocabulary)] = 0
+        held = vocabulary[at] == flat
+        np.add.at(out, (row[held], at[held]), 1.0)
+    return out
+
+
+def _vocabulary(words: list) -> np.ndarray:
+    parts = [np.asarray(w, np.int64) for w in words if len(w)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
 
 def _fit_tree(seed: int, height_limit: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["_tree"].iloc[0])
-        x = np.asarray(pdf["_x"].tolist(), dtype=np.float64)
+        pdf = pdf.sort_values("_o", kind="stable")
+        words = pdf["_w"].tolist()
+        vocabulary = _vocabulary(words)
+        numbers = np.asarray(pdf["_x"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+        x = np.concatenate([numbers, _counts(words, vocabulary)], axis=1)
+        n_numbers = numbers.shape[1]
         rng = np.random.default_rng([seed, t])
-        feat, thr, left, right, size = [], [], [], [], []
+        nodes: list[list] = []
 
         def grow(rows: np.ndarray, depth: int) -> int:
-            node = len(feat)
-            feat.append(-1); thr.append(0.0); left.append(-1); right.append(-1); size.append(int(rows.size))
-            if depth >= height_limit or rows.size <= 1:
-                return node
-            sub = x[rows]
-            lo, hi = sub.min(axis=0), sub.max(axis=0)
-            cand = np.nonzero(hi > lo)[0]
-            if cand.size == 0:
-                return node
-            f = int(rng.choice(cand))
-            s = float(rng.uniform(lo[f], hi[f]))
-            feat[node], thr[node] = f, s
-            go_left = sub[:, f] < s
-            left[node] = grow(rows[go_left], depth + 1)
-            right[node] = grow(rows[~go_left], depth + 1)
-            return node
-
-        grow(np.arange(x.shape[0]), 0)
-        return pd.DataFrame({"_tree": [t], "feature": [feat], "threshold": [thr], "left": [left],
-                             "right": [right], "size": [size]})
+            at = len(nodes)
+            nodes.append([-1, 0, 0.0, -1, -1, len(rows)])
+            part = x[rows]
+            lo, hi = part.min(axis=0), part.max(axis=0)
+            open_ = np.flatnonzero(hi > lo)  # features that still differ here
+            if depth >= height_limit or len(rows) <= 1 or not len(open_):
+                return at
+            f = int(rng.choice(open_))
+            cut = rng.uniform(lo[f], hi[f])
+            below = part[:, f] < cut
+            if not below.any() or below.all():
+                below = part[:, f] <= lo[f]
+                cut = np.nextafter(lo[f], hi[f])
+            nodes[at][0], nodes[at][2] = (f, cut) if f < n_numbers else (-2, cut)
+            nodes[at][1] = int(vocabulary[f - n_numbers]) if f >= n_numbers else 0
+            nodes[at][3] = grow(rows[below], depth + 1)
+            nodes[at][4] = grow(rows[~below], depth + 1)
+            return at
+
+        grow(np.arange(len(x)), 0)
+        feature, word, cut, left, right, size = (list(c) for c in zip(*nodes))
+        return pd.DataFrame({"_f": [pdf["_f"].iloc[0]], "_tree": [t], "feature": [feature], "word": [word], "threshold": [cut],
+                             "left": [left], "right": [right], "size": [size]})
     return fit
 
 
-def isolation_forest(train: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 100,
-                     psi: int = 256, seed: int = 42, id_col: str = "LineId") -> DataFrame:
-    """Isolation forest (Liu et al. 2008) fitted on ``train``, scoring ``test``.
-
-    Each tree gets the ``psi`` train rows with the smallest hash of (id, seed, tree)
-    (a partial group limit before the shuffle); trees are fitted in parallel,
-    one group each. The forest has at most ``trees * (2 psi - 1)`` nodes (checked)
-    and is shipped to the scoring tasks, which score Arrow batches with numpy.
-    ``anomaly score = 2^(-E[h(x)] / c(psi))``; ``pred_ano = score > 0.5``
-    (``contamination='auto'``). Adds ``pred_ano`` and ``pred_ano_proba``.
-    """
-    features = list(features)
-    vec = F.array(*[F.col(c).cast("double") for c in features])
-    n_train = train.count()
-    if n_train == 0:
-        raise ValueError("empty training split")
-    sample = min(psi, n_train)
-    rate = min(1.0, 3.0 * sample / n_train)  # oversample, then keep exactly the psi smallest hashes
-    tr = train.select(F.col(id_col).alias("_id"), vec.alias("_x"))
-    tr = tr.withColumn("_tree", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col("_id"), F.lit(seed), t), F.lit(1_000_000)) < F.lit(int(rate * 1_000_000) + 1))))
-    w = Window.partitionBy("_tree").orderBy(F.xxhash64(F.col("_id"), F.lit(seed), F.col("_tree")), F.col("_id"))
-    tr = tr.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= sample).select("_tree", "_x")
-    height = int(math.ceil(math.log2(max(sample, 2))))
-    forest_df = tr.groupBy("_tree").applyInPandas(_fit_tree(seed, height), _TREE_SCHEMA)
-    forest = forest_df.orderBy("_tree").collect()
-    arrays = [(np.array(r["feature"]), np.array(r["threshold"]), np.array(r["left"]), np.array(r["right"]),
-               np.array(r["size"])) for r in forest]
-    cn = _c(sample)
-    c_table = np.array([_c(s) for s in range(0, 2 * sample + 2)])
-
-    @F.pandas_udf("double")
-    def score(xs: pd.Series) -> pd.Series:
-        x = np.asarray(xs.tolist(), dtype=np.float64)
-        if x.size == 0:
-            return pd.Series([], dtype="float64")
-        total = np.zeros(x.shape[0])
-        idx = np.arange(x.shape[0])
-        for feat, thr, left, right, size in arrays:
-            node = np.zeros(x.shape[0], dtype=np.int64)
-            depth = np.zeros(x.shape[0])
+def _score_tile(height: int):
+    def run(key, rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame({"_f": [], "_id": [], "pred_ano_proba": []})
+        if forest.empty:  # nothing was fitted for this group
+            return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"], "pred_ano_proba": np.full(len(rows), np.nan)})
+        words = rows["_w"].tolist()
+        wanted = _vocabulary([[w for w, f in zip(ws, fs) if f == -2] for ws, fs in zip(forest["word"], forest["feature"])])
+        numbers = np.asarray(rows["_x"].tolist(), dtype=np.float64).reshape(len(rows), -1)
+        x = np.concatenate([numbers, _counts(words, wanted)], axis=1)
+        index = np.arange(len(x))
+        total = np.zeros(len(x))
+        sample = max(int(max(s[0] for s in forest["size"])), 1)
+        for feat, word, cut, left, right, size in zip(*(forest[c] for c in ("feature", "word", "threshold", "left", "right", "size"))):
+            feat, cut, left, right, size = (np.asarray(v) for v in (feat, cut, left, right, size))
+            column = np.where(feat == -2, numbers.shape[1] + np.searchsorted(wanted, np.asarray(word, np.int64)), np.maximum(feat, 0))
+            node, depth = np.zeros(len(x), np.int64), np.zeros(len(x))
             for _ in range(height + 1):
-                f = feat[node]
-                inner = f >= 0
+                inner = feat[node] != -1
                 if not inner.any():
                     break
-                go_left = x[idx, np.where(inner, f, 0)] < thr[node]
-                nxt = np.where(go_left, left[node], right[node])
-                node = np.where(inner, nxt, node)
-                depth = depth + inner
-            total += depth + c_table[np.minimum(size[node], c_table.size - 1)]
-        mean = total / max(len(arrays), 1)
-        return pd.Series(np.power(2.0, -mean / cn) if cn > 0 else np.full(x.shape[0], 0.5))
+                go = x[index, np.minimum(column[node], x.shape[1] - 1)] < cut[node]
+                node = np.where(inner, np.where(go, left[node], right[node]), node)
+                depth += inner
+            total += depth + np.array([_c(s) for s in size])[node]
+        mean, cn = total / len(forest), _c(sample)
+        return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"],
+                             "pred_ano_proba": np.power(2.0, -mean / cn) if cn > 0 else np.full(len(x), 0.5)})
+    return run
+
 
-    out = test.withColumn("pred_ano_proba", score(vec))
-    return out.withColumn("pred_ano", (F.col("pred_ano_proba") > 0.5).cast("int"))
+def _attach(test: DataFrame, score: DataFrame, id_col: str, by: str | None, limit: float) -> DataFrame:
+    """Scores joined to the test rows; ``pred_ano`` is 0 where there is no score."""
+    f = F.col(by).cast("string") if by else F.lit("")
+    out = test.join(score.withColumnsRenamed({"_f": "_sf", "_id": "_sid"}), (test[id_col] == F.col("_sid")) & (f == F.col("_sf")), "left")
+    out = out.drop("_sid", "_sf").withColumn("pred_ano_proba", F.nanvl("pred_ano_proba", F.lit(None).cast("double")))
+    return out.withColumn("pred_ano", F.coalesce((F.col("pred_ano_proba") > limit).cast("int"), F.lit(0)))
+
+
+def isolation_forest(train: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 100,
+                     psi: int = 256, seed: int = 42, id_col: str = "LineId", by: str | None = None,
+                     words_col: str | None = None) -> DataFrame:
+    """Isolation forest (Liu et al. 2008) fitted on ``train``, scoring ``test``; with ``by`` one forest per
+    group (file), so a group's scores depend on its own rows alone. Features are the numbers and, with
+    ``words_col``, the counts of all words.
+
+    Each tree gets the ``psi`` train rows of its group with the smallest hash of (id, seed, tree)
+    (a partial group limit before the shuffle); trees are fitted in parallel, one task group each.
+    A forest has at most ``trees * (2 psi - 1)`` nodes; test rows meet their group's forest in tiles of
+    about ``TILE`` rows. ``anomaly score = 2^(-E[h(x)] / c(sample))``; ``pred_ano = score > 0.5``
+    (``contamination='auto'``). Adds ``pred_ano`` and ``pred_ano_proba`` (null where a group has no train row).
+    """
+    tr = _prepared(train, features, id_col, by, words_col)
+    n = tr.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
+    # oversample by hash, then keep exactly the psi smallest hashes
+    draw = F.xxhash64(F.col("_id"), F.lit(seed), F.col("_tree"))
+    tr = tr.join(n, "_f").withColumn("_tree", F.explode(F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64(F.col("_id"), F.lit(seed), t), F.lit(1_000_000))
+        < F.least(F.lit(1_000_001.0), F.lit(3e6 * psi) / F.col("_n") + 64e6 / F.col("_n") + 1))))
+    w = Window.partitionBy("_f", "_tree").orderBy("_o", "_id")
+    tr = tr.withColumn("_o", draw).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi)
+    height = int(math.ceil(math.log2(max(psi, 2))))
+    forest = tr.select("_f", "_tree", "_o", "_x", "_w").groupBy("_f", "_tree").applyInPandas(_fit_tree(seed, height), _TREE_SCHEMA)
+    te = _prepared(test, features, id_col, by, words_col)
+    blocks = te.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("_nb"))
+    te = te.join(blocks, "_f").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int")).select("_f", "_b", "_id", "_x", "_w")
+    forest = forest.join(blocks, "_f").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb")
+    kind = test.schema[id_col].dataType
+    schema = T.StructType([T.StructField("_f", T.StringType()), T.StructField("_id", kind), T.StructField("pred_ano_proba", T.DoubleType())])
+    score = te.groupBy("_f", "_b").cogroup(forest.groupBy("_f", "_b")).applyInPandas(_score_tile(height), schema)
+    return _attach(test, score, id_col, by, 0.5)
 
 
 def detector_metrics(df: DataFrame, label_col: str = "anomaly", score_col: str = "pred_ano_proba",
@@ -154,71 +207,85 @@ def detector_metrics(df: DataFrame, label_col: str = "anomaly", score_col: str =
         F.round(F.try_divide(F.col("_num"), F.col("_p") * F.col("_n")), 6).alias("auc"))
 
 
-_KNN_SCHEMA = T.StructType([T.StructField("_q", T.LongType()), T.StructField("_o", T.LongType()),
+_KNN_SCHEMA = T.StructType([T.StructField("_f", T.StringType()), T.StructField("_q", T.LongType()), T.StructField("_o", T.LongType()),
                             T.StructField("_d", T.DoubleType())])
 
 
-def _tile_knn(k: int, exclude_self: bool):
+def _tile_knn(k: int, exclude_self: bool, columns: int = 4096):
     def run(key, q: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"_f": [], "_q": [], "_o": [], "_d": []})
         if q.empty or o.empty:
-            return pd.DataFrame({"_q": [], "_o": [], "_d": []})
-        qx = np.asarray(q["_x"].tolist(), dtype=np.float64)
-        ox = np.asarray(o["_x"].tolist(), dtype=np.float64)
-        d = np.sqrt(np.maximum((qx * qx).sum(1)[:, None] + (ox * ox).sum(1)[None, :] - 2 * qx @ ox.T, 0.0))
-        qi, oi = q["_id"].to_numpy(), o["_id"].to_numpy()
+            return none
+        qx = np.asarray(q["_qx"].tolist(), dtype=np.float64).reshape(len(q), -1)
+        ox = np.asarray(o["_ox"].tolist(), dtype=np.float64).reshape(len(o), -1)
+        qw, ow = q["_qw"].tolist(), o["_ow"].tolist()
+        dot, qq, oo = qx @ ox.T, (qx * qx).sum(1), (ox * ox).sum(1)
+        vocabulary = np.union1d(_vocabulary(qw), _vocabulary(ow))
+        for lo in range(0, len(vocabulary), columns):  # word counts, some thousand words at a time
+            a, b = _counts(qw, vocabulary[lo:lo + columns]), _counts(ow, vocabulary[lo:lo + columns])
+            dot += a @ b.T
+            qq += (a * a).sum(1)
+            oo += (b * b).sum(1)
+        d = np.round(np.sqrt(np.maximum(qq[:, None] + oo[None, :] - 2 * dot, 0.0)), 12)
+        qi, oi = q["_qid"].to_numpy(), o["_oid"].to_numpy()
         if exclude_self:
             d = np.where(qi[:, None] == oi[None, :], np.inf, d)
-        d = np.round(d, 12)
         kk = min(k, d.shape[1])
-        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]  # k-th smallest; ties at it are all kept
+        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1]
         rows, cols = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
-        return pd.DataFrame({"_q": qi[rows].astype("int64"), "_o": oi[cols].astype("int64"), "_d": d[rows, cols]})
+        # k rows at most for each query: the nearest, of equal ones those of the least id
+        order = np.lexsort((oi[cols], d[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        rows, cols = rows[place < k], cols[place < k]
+        return pd.DataFrame({"_f": q["_qf"].to_numpy()[rows], "_q": qi[rows].astype("int64"), "_o": oi[cols].astype("int64"), "_d": d[rows, cols]})
     return run
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False,
-        query_block: int = 4096, point_block: int = 32768) -> DataFrame:
-    """Exact k nearest points (Euclidean) for every query: ``(_q, _o, _d, _rank)``.
-
-    Inputs carry ``_id`` and ``_x`` (array<double>). The all-pairs work is cut into
-    tiles of bounded size (query block x point block), each a cogroup that keeps a
-    local top ``k``; a final ``row_number() <= k`` keeps the global top ``k``."""
-    import math as _m
-    queries = queries.select(F.col("_id").alias("_id"), F.col("_x").alias("_x"))  # fresh attributes: self-kNN
-    points = points.select(F.col("_id").alias("_id"), F.col("_x").alias("_x"))
-    nq, no = queries.count(), points.count()
-    nbq, nbo = max(1, _m.ceil(nq / query_block)), max(1, _m.ceil(no / point_block))
-    q = (queries.withColumn("_qb", F.pmod(F.xxhash64("_id"), F.lit(nbq)))
-         .withColumn("_ob", F.explode(F.sequence(F.lit(0), F.lit(nbo - 1)))))
-    o = (points.withColumn("_ob", F.pmod(F.xxhash64("_id"), F.lit(nbo)))
-         .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nbq - 1)))))
-    local = q.groupBy("_qb", "_ob").cogroup(o.groupBy("_qb", "_ob")).applyInPandas(_tile_knn(k, exclude_self),
-                                                                                 _KNN_SCHEMA)
-    w = Window.partitionBy("_q").orderBy("_d", "_o")
+def knn(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, tile: int = TILE) -> DataFrame:
+    """Exact k nearest points (Euclidean) of the same group for every query: ``(_f, _q, _o, _d, _rank)``.
+
+    Inputs carry ``_f``, ``_id``, ``_x`` (numbers) and ``_w`` (word hashes; their counts are further
+    coordinates). Of equal points only the ``k`` (one more when a query leaves itself out) of least id can be
+    among the nearest, so repeated lines are cut to these first. A group's all-pairs work is cut into tiles of
+    about ``tile`` queries and points, each a cogroup that emits ``k`` rows a query at most; a final
+    ``row_number() <= k`` keeps the nearest of all tiles."""
+    same = Window.partitionBy("_f", "_h1", "_h2").orderBy("_id")
+    points = (points.select("_f", F.col("_id"), F.col("_x"), F.col("_w"), F.xxhash64("_x", "_w").alias("_h1"),
+                            F.xxhash64(F.lit(1), "_x", "_w").alias("_h2"))
+              .withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= k + int(exclude_self)))
+    blocks = lambda df, name: df.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias(name))
+    nb = materialise(blocks(queries, "_nq").join(blocks(points, "_no"), "_f"))
+    def side(df: DataFrame, own: str, other: str, n_own: str, n_other: str, p: str) -> DataFrame:
+        # new names on each side: both can come from one table
+        return (df.join(nb, "_f").withColumn(own, F.pmod(F.xxhash64("_id"), F.col(n_own)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
+                .select(F.col("_f").alias(f"_{p}f"), own, other, F.col("_id").alias(f"_{p}id"), F.col("_x").alias(f"_{p}x"), F.col("_w").alias(f"_{p}w")))
+    q = side(queries, "_qb", "_ob", "_nq", "_no", "q")
+    o = side(points, "_ob", "_qb", "_no", "_nq", "o")
+    local = q.groupBy("_qf", "_qb", "_ob").cogroup(o.groupBy("_of", "_qb", "_ob")).applyInPandas(_tile_knn(k, exclude_self), _KNN_SCHEMA)
+    w = Window.partitionBy("_f", "_q").orderBy("_d", "_o")
     return local.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
 
 
 def lof(train: DataFrame, test: DataFrame, features: Sequence[str], k: int = 20, id_col: str = "LineId",
-        threshold: float = 1.5) -> DataFrame:
+        threshold: float = 1.5, by: str | None = None, words_col: str | None = None) -> DataFrame:
     """Local outlier factor (Breunig et al. 2000) of ``test`` rows against ``train``
     (novelty form): k-distance and local reachability density of the train points,
-    then for each test row the mean neighbour density over its own density.
+    then for each test row the mean neighbour density over its own density. With ``by`` each group (file) is its
+    own data set; with ``words_col`` the counts of all words are features beside the numbers.
     Neighbour search is exact and tiled (``knn``); the rest are joins and
-    aggregates. Cost grows with |test| x |train|: keep the train split small (10%).
-    Adds ``pred_ano_proba`` (the LOF) and ``pred_ano`` (LOF > ``threshold``)."""
-    vec = F.array(*[F.col(c).cast("double") for c in features])
-    tr = train.select(F.col(id_col).alias("_id"), vec.alias("_x"))
-    te = test.select(F.col(id_col).alias("_id"), vec.alias("_x"))
-    nn_tr = knn(tr, tr, k, exclude_self=True)
-    kdist = nn_tr.groupBy("_q").agg(F.max("_d").alias("_kd")).withColumnRenamed("_q", "_o")
-    reach_tr = nn_tr.join(kdist, "_o").withColumn("_r", F.greatest("_d", "_kd"))
-    lrd_tr = reach_tr.groupBy("_q").agg((1.0 / (F.avg("_r") + F.lit(1e-10))).alias("_lrd")) \
-        .withColumnRenamed("_q", "_o")
-    nn_te = knn(te, tr, k)
-    x = nn_te.join(kdist, "_o").join(lrd_tr, "_o").withColumn("_r", F.greatest("_d", "_kd"))
-    score = x.groupBy("_q").agg((F.avg("_lrd") * (F.avg("_r") + F.lit(1e-10))).alias("pred_ano_proba"))
-    out = test.join(score, test[id_col] == score["_q"], "left").drop("_q")
-    return out.withColumn("pred_ano", (F.col("pred_ano_proba") > threshold).cast("int"))
+    aggregates. Cost grows with |test| x |train| of a group: keep the train split small (10%).
+    Adds ``pred_ano_proba`` (the LOF; null where the group has no train row) and ``pred_ano`` (LOF > ``threshold``)."""
+    tr = materialise(_prepared(train, features, id_col, by, words_col))
+    te = _prepared(test, features, id_col, by, words_col)
+    nn_tr = materialise(knn(tr, tr, k, exclude_self=True))
+    kdist = nn_tr.groupBy("_f", "_q").agg(F.max("_d").alias("_kd")).withColumnRenamed("_q", "_o")
+    reach_tr = nn_tr.join(kdist, ["_f", "_o"]).withColumn("_r", F.greatest("_d", "_kd"))
+    lrd_tr = reach_tr.groupBy("_f", "_q").agg((1.0 / (F.avg("_r") + F.lit(1e-10))).alias("_lrd")).withColumnRenamed("_q", "_o")
+    x = knn(te, tr, k).join(kdist, ["_f", "_o"]).join(lrd_tr, ["_f", "_o"]).withColumn("_r", F.greatest("_d", "_kd"))
+    score = x.groupBy("_f", F.col("_q").alias("_id")).agg((F.avg("_lrd") * (F.avg("_r") + F.lit(1e-10))).alias("pred_ano_proba"))
+    return _attach(test, score, id_col, by, threshold)
 
 
 def one_class_svm(train: DataFrame, test: DataFrame, features: Sequence[str], nu: float = 0.5,
@@ -232,7 +299,6 @@ def one_class_svm(train: DataFrame, test: DataFrame, features: Sequence[str], nu
     aggregate would. ``gamma`` defaults to ``1 / (n_features * var(X))`` (sklearn's
     ``scale``). Adds ``pred_ano_proba`` (``rho - w.phi(x)``, higher is more anomalous)
     and ``pred_ano`` (decision below zero)."""
-    from logscope.session import materialise
     features = list(features)
     vec = F.array(*[F.col(c).cast("double") for c in features])
     tr = materialise(train.select(vec.alias("_x")))  # read by every step

@@ -132,18 +132,34 @@ def compact_prompts(df: DataFrame, edges: DataFrame, id_col: str = "LineId", tex
     return x.select("anomaly_id", prompt.alias("prompt"))
 
 
+KNOWN_SECTION = """
+Problems seen before in such systems:
+{known_labels}
+Closest to the file name: {matched_label}. Say whether the lines bear that out.
+"""
+
+
 def file_prompts(df: DataFrame, file_col: str = "source_file", text_col: str = "m_message",
                  score_col: str = "pred_ano_proba", order_col: str = "line_no", template: str = FILE_TEMPLATE,
-                 compat: bool = True) -> DataFrame:
+                 compat: bool = True, vocabulary: DataFrame | None = None, label_col: str = "label") -> DataFrame:
     """One prompt per file from its name, the name's error hint and its snippet lines in
-    file order. Apply after ``trim_to_budget``: the budget bounds each file's collect."""
-    base = F.element_at(F.split(F.col(file_col), "/"), -1)
+    file order. Apply after ``trim_to_budget``: the budget bounds each file's collect. With a
+    ``vocabulary`` of known labels the prompt also lists them and names the one closest to the hint."""
+    base = F.try_element_at(F.split(F.col(file_col), "/"), F.lit(-1))
     lines = df.select(file_col, order_col, snippet(F.col(text_col), F.col(score_col)).alias("_s"))
     g = lines.groupBy(file_col).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct(order_col, "_s"))), lambda s: s["_s"]), "\n").alias("_lines"))
-    prompt = fill_template(template, {"filename": base, "error_type": filename_hint(F.col(file_col), compat),
-                                      "formatted_log_lines": F.col("_lines")})
-    return g.select(file_col, prompt.alias("file_prompt"))
+    g = g.withColumn("error_type", filename_hint(F.col(file_col), compat))
+    values = {"filename": base, "error_type": F.col("error_type"), "formatted_log_lines": F.col("_lines")}
+    if vocabulary is not None:
+        # the list is part of every prompt, so the joined side is one row
+        one = (vocabulary.select(F.col(label_col).alias("_l")).where("_l is not null")
+               .agg(F.array_join(F.transform(F.sort_array(F.collect_set("_l")), lambda x: F.concat(F.lit("- "), x)), "\n").alias("_known"))
+               .withColumn("_one", F.lit(1)))
+        g = match_known_label(g, vocabulary, "error_type", label_col).withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+        values |= {"known_labels": F.col("_known"), "matched_label": F.coalesce(F.col("matched_label"), F.lit("none"))}
+        template = template + KNOWN_SECTION
+    return g.select(file_col, fill_template(template, values).alias("file_prompt"))
 
 
 def line_cards(df: DataFrame, level: str = "Level", process: str = "Process", component: str = "Component",

@@ -947,22 +947,22 @@ def _enhanced(spark, sf):
 @register("templates_drain")
 def q_drain(spark, sf):
     from logscope.operators.templates import templates_drain
-    df = lv(spark, sf).select(txt.normalise(F.col("message")).alias("e_message_normalized")).distinct()
-    return templates_drain(df).select("e_message_normalized", "template", "event_id")
+    df = lv(spark, sf).select("line_id", F.col("message").alias("e_message_normalized"))  # raw messages, every row
+    return templates_drain(df).select("line_id", "e_message_normalized", "template", "event_id")
 
 
 @register("templates_spell")
 def q_spell(spark, sf):
     from logscope.operators.templates import templates_spell
-    df = lv(spark, sf).select(txt.normalise(F.col("message")).alias("e_message_normalized")).distinct()
-    return templates_spell(df).select("e_message_normalized", "template", "event_id")
+    df = lv(spark, sf).select("line_id", F.col("message").alias("e_message_normalized"))  # raw messages, every row
+    return templates_spell(df).select("line_id", "e_message_normalized", "template", "event_id")
 
 
 @register("templates_brain")
 def q_brain(spark, sf):
     from logscope.operators.templates import templates_brain
-    df = lv(spark, sf).select(F.col("message").alias("e_message_normalized")).distinct()
-    return templates_brain(df).select("e_message_normalized", "template", "event_id")
+    df = lv(spark, sf).select("line_id", F.col("message").alias("e_message_normalized"))
+    return templates_brain(df).select("line_id", "e_message_normalized", "template", "event_id")
 
 
 @register("isolation_forest")
@@ -970,8 +970,8 @@ def q_isolation_forest(spark, sf):
     from logscope.operators.detect import isolation_forest, split
     from logscope.plans.files import LENGTH_FEATURES
     x = _enhanced(spark, sf)
-    train, _ = split(x, 0.9, 42, ["_line_key"])
-    out = isolation_forest(train, x, LENGTH_FEATURES, 100, 256, 42, "_line_key")
+    train, test = split(x, 0.9, 42, ["_line_key"])
+    out = isolation_forest(train, test, LENGTH_FEATURES, 100, 256, 42, "_line_key", by="source_file", words_col="e_words")
     return out.select("source_file", "line_no", "pred_ano", F.round("pred_ano_proba", 6).alias("pred_ano_proba"))
 
 
@@ -980,8 +980,8 @@ def q_lof(spark, sf):
     from logscope.operators.detect import lof, split
     from logscope.plans.files import LENGTH_FEATURES
     x = _enhanced(spark, sf)
-    train, _ = split(x, 0.9, 42, ["_line_key"])
-    out = lof(train, x, LENGTH_FEATURES, 20, "_line_key")
+    train, test = split(x, 0.9, 42, ["_line_key"])
+    out = lof(train, test, LENGTH_FEATURES, 20, "_line_key", by="source_file", words_col="e_words")
     return out.select("source_file", "line_no", "pred_ano", F.round("pred_ano_proba", 6).alias("pred_ano_proba"))
 
 
@@ -1009,7 +1009,8 @@ def q_embed(spark, sf):
 @register("explain_files")
 def q_explain_files(spark, sf):
     from logscope.plans.files import FileConfig, explain_files
-    return explain_files(view(spark, sf, "raw_view"), FileConfig(token_limit=_BUDGET))
+    known = spark.createDataFrame([(x,) for x in KNOWN_LABELS], "label string")
+    return explain_files(view(spark, sf, "raw_view"), FileConfig(token_limit=_BUDGET, known_labels=known))
 
 
 @register("trim_iterative")

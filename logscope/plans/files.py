@@ -12,7 +12,7 @@ from logscope.operators.budget import trim_to_budget
 from logscope.operators.detect import isolation_forest, lof, split
 from logscope.operators.inference import file_responses
 from logscope.operators.prompts import file_prompts
-from logscope.sources.readers import merge_multiline
+from logscope.sources.readers import merge_multiline, parse_bgl
 
 LENGTH_FEATURES = ["e_words_len", "e_trigrams_len", "e_chars_len", "e_lines_len", "e_event_id_len"]
 
@@ -20,11 +20,13 @@ LENGTH_FEATURES = ["e_words_len", "e_trigrams_len", "e_chars_len", "e_lines_len"
 @dataclass
 class FileConfig:
     detector: str = "LOF"            # "LOF" (the original default) or "IF" (isolation forest)
+    filetype: str = "LO2"            # "LO2": stamped lines with continuations; "BGL": one message a line
     token_limit: int = 100_000
     test_frac: float = 0.9
     seed: int = 42
     trees: int = 100
     lof_k: int = 20
+    known_labels: DataFrame | None = None  # a vocabulary with a ``label`` column: listed and matched in the prompt
 
 
 def enhance(lines: DataFrame, text_col: str = "m_message") -> DataFrame:
@@ -39,18 +41,34 @@ def enhance(lines: DataFrame, text_col: str = "m_message") -> DataFrame:
     return x.withColumns(txt.lengths(F.col("e_words"), F.col("e_trigrams"), F.col(text_col), F.col("e_event_id")))
 
 
-def explain_files(raw: DataFrame, cfg: FileConfig | None = None, client=None, id_col: str = "_line_key") -> DataFrame:
-    """Raw lines ``(source_file, line_no, value)`` -> one row per file with its prompt
-    (and reply when a client is given): merge continuation lines, enhance, detect,
-    keep the best lines within the token budget, build the file prompt."""
+def read_messages(raw: DataFrame, filetype: str) -> DataFrame:
+    """Raw lines -> ``(source_file, line_no, m_message, ...)`` by file type."""
+    if filetype == "LO2":
+        return merge_multiline(raw, txt.TIME_PATTERN, "source_file", "line_no", "value", "m_message")
+    if filetype == "BGL":
+        return parse_bgl(raw.select("source_file", "line_no", "value"))
+    raise ValueError(f"unknown file type {filetype!r}; LO2 or BGL")
+
+
+def score_files(raw: DataFrame, cfg: FileConfig | None = None, id_col: str = "_line_key") -> DataFrame:
+    """The test lines of every file with their scores. Split, fit and neighbours are each file's own, on word
+    counts and the five numbers; what another file holds changes nothing."""
     cfg = cfg or FileConfig()
-    merged = merge_multiline(raw, txt.TIME_PATTERN, "source_file", "line_no", "value", "m_message")
-    x = enhance(merged).withColumn(id_col, F.xxhash64("source_file", "line_no"))
+    if cfg.detector not in ("LOF", "IF"):
+        raise ValueError(f"unknown detector {cfg.detector!r}; LOF or IF")
+    x = enhance(read_messages(raw, cfg.filetype)).withColumn(id_col, F.xxhash64("source_file", "line_no"))
     train, test = split(x, cfg.test_frac, cfg.seed, [id_col])
     if cfg.detector == "LOF":
-        scored = lof(train, x, LENGTH_FEATURES, cfg.lof_k, id_col)
-    else:
-        scored = isolation_forest(train, x, LENGTH_FEATURES, cfg.trees, 256, cfg.seed, id_col)
+        return lof(train, test, LENGTH_FEATURES, cfg.lof_k, id_col, by="source_file", words_col="e_words")
+    return isolation_forest(train, test, LENGTH_FEATURES, cfg.trees, 256, cfg.seed, id_col, "source_file", "e_words")
+
+
+def explain_files(raw: DataFrame, cfg: FileConfig | None = None, client=None, id_col: str = "_line_key") -> DataFrame:
+    """Raw lines ``(source_file, line_no, value)`` -> one row per file with its prompt
+    (and reply when a client is given): read by file type, enhance, detect, go on with the test
+    part, keep the best lines within the token budget, build the file prompt."""
+    cfg = cfg or FileConfig()
+    scored = score_files(raw, cfg, id_col)
     kept = trim_to_budget(scored, cfg.token_limit, "source_file", "pred_ano_proba", "line_no", "m_message")
-    prompts = file_prompts(kept, "source_file", "m_message", "pred_ano_proba", "line_no")
+    prompts = file_prompts(kept, "source_file", "m_message", "pred_ano_proba", "line_no", vocabulary=cfg.known_labels)
     return file_responses(prompts, client) if client is not None else prompts

@@ -36,7 +36,7 @@ FROM {events}
 
 RAW_VIEW = """
 SELECT source_file,
-  CAST(row_number() OVER (PARTITION BY source_file ORDER BY event_id) AS BIGINT) AS line_no,
+  CAST(event_id + 1 AS BIGINT) AS line_no,
   CASE WHEN event_id % 4 = 0 THEN '    at frame ' || CAST(event_id % 9 AS VARCHAR(10))
        ELSE lpad(CAST(event_id % 24 AS VARCHAR(10)), 2, '0') || ':' || lpad(CAST(event_id % 60 AS VARCHAR(10)), 2, '0') || ':'
             || lpad(CAST(event_id * 7 % 60 AS VARCHAR(10)), 2, '0') || '.' || lpad(CAST(event_id * 13 % 1000 AS VARCHAR(10)), 3, '0')
