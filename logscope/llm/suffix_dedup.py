@@ -47,21 +47,32 @@ class Suffixes:
 
     def __init__(self, data: np.ndarray, limit: int):
         self.data, self.limit = data, limit
-        self.pre = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(T._BYTE[data] * T._powers(T.BASE, len(data)), out=self.pre[1:])
-        self.inv = T._powers(T.BASE_INV, len(data) + 1)
+        # prefix hashes as in Horner's rule: pre[i + 1] = pre[i] * base + byte, from sums and powers
+        part = T._BYTE[data] * T._powers(T.BASE_INV, len(data))
+        n = len(data)
+        self.pre = np.zeros(n + 1 + 2 * limit, np.uint64)  # a probe past the limit reads padding and is not used
+        np.cumsum(part, out=self.pre[1:n + 1])
+        self.pre[1:n + 1] *= T._powers(T.BASE, n)
         self.steps = [1 << i for i in range(limit.bit_length() - 1, -1, -1)]
 
-    def _hash(self, s: np.ndarray, n: int) -> np.ndarray:
-        return (self.pre[s + n] - self.pre[s]) * self.inv[s]
+    def _equal(self, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+        """Whether the n bytes at a and at b have one hash."""
+        power = T.U64(pow(T.BASE, n, 1 << 64))
+        return self.pre[a + n] - self.pre[b + n] == (self.pre[a] - self.pre[b]) * power
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common beginning of the suffixes at a and b."""
-        n = np.zeros(len(a), np.int64)
+        """Length of the common beginning of the suffixes at a and b: all of it, or a binary search."""
+        n = np.full(len(a), self.limit, np.int64)
+        part = np.flatnonzero(~self._equal(a, b, self.limit))
+        if not len(part):
+            return n
+        a, b = a[part], b[part]
+        found = np.zeros(len(part), np.int64)
         for step in self.steps:
-            ok = np.flatnonzero(n + step <= self.limit)
-            x, y = a[ok] + n[ok], b[ok] + n[ok]
-            n[ok] += step * (self._hash(x, step) == self._hash(y, step))
+            same = self._equal(a, b, step) & (found + step <= self.limit)
+            found += step * same
+            a, b = a + step * same, b + step * same
+        n[part] = found
         return n
 
     def before(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
@@ -131,7 +142,7 @@ def sorted_minima(limit: int):
         window_at[at[pick]] = pick
         done = suffixes.sort(at[pick], lo, hi)
         same = np.zeros(len(done), bool)
-        same[1:] = (lo[1:] == lo[:-1]) & (suffixes.common(done[1:], done[:-1]) >= limit)
+        same[1:] = (lo[1:] == lo[:-1]) & suffixes._equal(done[1:], done[:-1], limit)
         pairs = np.flatnonzero(same)
         if not suffixes.equal_bytes(done[pairs], done[pairs - 1]).all():  # a collision: sort on the bytes themselves
             rows = data[done[:, None] + np.arange(limit)]
