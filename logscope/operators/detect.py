@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logscope.operators.position import running
+from logscope.operators.prepare import seeded_order
 from logscope.session import materialise
 
 
 
 def split(df: DataFrame, test_frac: float = 0.9, seed: int = 42, id_cols: Sequence[str] = ("LineId",)) -> tuple:
     """Shuffled train/test split by a seeded hash threshold: stable under re-partitioning."""
-    u = F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], F.lit(seed)), F.lit(1_000_000)) / 1e6
+    u = F.conv(F.substring(seeded_order(id_cols, seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return df.where(u >= test_frac), df.where(u < test_frac)
 
 

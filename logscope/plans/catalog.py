@@ -23,10 +23,11 @@ from logscope.operators import prepare as prp
 from logscope.operators import prompts as prm
 from logscope.operators.budget import token_count, trim_to_budget
 from logscope.operators.detect import detector_metrics
-from logscope.operators.inference import attach
+from logscope.operators.inference import attach, chain, complete, file_responses
 from logscope.operators.position import with_position
 from logscope.operators.templates import templates_iplom
 from logscope.plans import oracle as orc
+from logscope.plans.echo import Echo, reply_sql
 from logscope.plans.pipeline import LineConfig, explain_lines, prepare
 from logscope.plans.views import table, view, with_views
 from logscope.sources.readers import merge_multiline, parse_bgl, read_logs
@@ -1142,3 +1143,77 @@ def q_explain_lines_semantic(spark, sf):
     df = prepare(lv(spark, sf), id="line_id")
     out = explain_lines(df, LineConfig(strategy="semantic", threshold=0.79))
     return out.select("LineId", "context_ids_ref", "anomaly_label_final", "anomaly_explanation")
+
+
+# ---------------------------------------------------------------- readers, split, counts and model calls with oracles
+
+
+@register("ensure_columns", with_views("SELECT line_id, NULL AS shelf, 5 AS retries, 'x' || node AS tag, message FROM log_view", "log_view"))
+def q_ensure_columns(spark, sf):
+    df = lv(spark, sf).select("line_id", "node", "message")
+    spec = {"shelf": "string", "retries": 5, "tag": F.concat(F.lit("x"), F.col("node")), "message": "string"}
+    return prp.ensure_columns(df, spec).drop("node")
+
+
+@register("split", with_views(
+    "SELECT line_id, ('0x' || substr(md5(CAST(line_id AS VARCHAR) || '|42'), 1, 8))::BIGINT / 4294967296.0 < 0.9 AS is_test "
+    "FROM log_view", "log_view"))
+def q_split(spark, sf):
+    from logscope.operators.detect import split
+    train, test = split(lv(spark, sf).select("line_id"), 0.9, 42, ["line_id"])
+    return train.withColumn("is_test", F.lit(False)).union(test.withColumn("is_test", F.lit(True)))
+
+
+@register("vocabulary", with_views(
+    "SELECT line_id, regexp_extract(message, '\\b(\\d{3})\\b', 1) AS status_code, "
+    "array_to_string(string_split(lower(message), ' '), '|') AS tokens FROM log_view", "log_view"))
+def q_vocabulary(spark, sf):
+    from logscope.sources.readers import vocabulary_rows
+    df = lv(spark, sf).select("line_id", "message").withColumns(vocabulary_rows(F.col("message")))
+    return df.select("line_id", "status_code", F.array_join("tokens", "|").alias("tokens"))
+
+
+@register("read_labelled", "SELECT doc_id, quality, toxic FROM labels")
+def q_read_labelled(spark, sf):
+    from logscope.sources.readers import read_labelled
+    return read_labelled(spark, f"{sf}/labels.parquet", "parquet").select("doc_id", "quality", "toxic")
+
+
+@register("nested_counts", with_views(
+    "SELECT date, count(*) AS messages, string_agg(message || '=' || CAST(n AS VARCHAR), '|' ORDER BY message) AS counts FROM ("
+    "SELECT CAST(date AS VARCHAR) AS date, CASE WHEN line_id % 9 = 0 THEN '' ELSE message END AS message, count(*) AS n "
+    "FROM log_view GROUP BY 1, 2) GROUP BY date", "log_view"))
+def q_nested_counts(spark, sf):
+    from logscope.sources.sinks import nested_counts
+    df = lv(spark, sf).withColumn("m", F.when(F.col("line_id") % 9 != 0, F.col("message")))
+    counts = df.groupBy(F.col("date").cast("string").alias("date"), F.col("m").alias("e_message_normalized")).agg(F.count(F.lit(1)).alias("count"))
+    out = nested_counts(counts)
+    entries = F.transform(F.sort_array(F.map_entries("messages")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select("date", F.size("messages").cast("long").alias("messages"), F.array_join(entries, "|").alias("counts"))
+
+
+_ASKED = "CASE WHEN line_id % 7 = 0 THEN NULL WHEN line_id % 11 = 0 THEN '' ELSE message END"
+
+
+@register("complete", with_views(f"SELECT line_id, {reply_sql('prompt')} AS reply FROM (SELECT line_id, {_ASKED} AS prompt FROM log_view)", "log_view"))
+def q_complete(spark, sf):
+    df = lv(spark, sf).select("line_id", F.expr(_ASKED).alias("prompt"))
+    return complete(df, "prompt", "reply", Echo).select("line_id", "reply")
+
+
+@register("file_responses", with_views(
+    "SELECT line_id, CASE WHEN prompt IS NULL OR prompt = '' THEN 'Error: Invalid prompt provided.' "
+    "WHEN r IS NULL THEN 'Error: LLM call returned no response.' ELSE trim(r) END AS file_explanation FROM ("
+    f"SELECT line_id, prompt, {reply_sql('prompt')} AS r FROM (SELECT line_id, {_ASKED} AS prompt FROM log_view))", "log_view"))
+def q_file_responses(spark, sf):
+    df = lv(spark, sf).select("line_id", F.expr(_ASKED).alias("file_prompt"))
+    return file_responses(df, Echo).select("line_id", "file_explanation")
+
+
+@register("chain", with_views(
+    f"SELECT line_id, first, {reply_sql('second_prompt')} AS second FROM (SELECT line_id, first, 'again' || first AS second_prompt FROM ("
+    f"SELECT line_id, {reply_sql('message')} AS first FROM log_view))", "log_view"))
+def q_chain(spark, sf):
+    steps = [(lambda d: d.withColumn("_step0", F.col("message")), "first"),
+             (lambda d: d.withColumn("_step1", F.concat(F.lit("again"), F.col("first"))), "second")]
+    return chain(lv(spark, sf).select("line_id", "message"), steps, Echo).select("line_id", "first", "second")
