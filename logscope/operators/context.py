@@ -77,7 +77,8 @@ def _pair_dots(a_terms: DataFrame, c_terms: DataFrame) -> DataFrame:
 
 def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col: str = "message",
                 id_col: str = "LineId", pos_col: str = "pos", flag_col: str = "anomaly",
-                max_df: float | None = None, shortlist: int | None = None, hot_df: int = 64) -> DataFrame:
+                max_df: float | None = None, shortlist: int | None = None, hot_df: int = 64,
+                direct_rows: int = 50_000) -> DataFrame:
     """Top ``k`` earlier rows by cosine of raw term counts (lower-cased ``\\w\\w+`` tokens).
 
     Exact, with lossless reductions:
@@ -87,8 +88,10 @@ def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col:
     * zero-similarity fill needs only the first ``k`` rows of the table;
     * shortlist: per anomaly text only its best ``shortlist`` (default ``4k``)
       candidate texts and rows are needed for every anomaly row that has at
-      least ``k`` shortlisted rows before it; the other (early) anomaly rows go
-      through a full join restricted to rows before the last of them;
+      least ``k`` shortlisted rows before it. Of the other rows, those in the first half of the table are
+      asked again on that half alone (so work halves each time), the later ones with a shortlist four
+      times as long; once at most ``direct_rows`` candidate rows lie before them, a
+      full join on these rows answers what is left;
     * hot terms (in more than ``hot_df`` texts) make an all-pairs term join
       quadratic. Texts are split into a hot part (their "signature") and a rare
       part. Without rare-term overlap a candidate's similarity is a function of
@@ -198,12 +201,25 @@ def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col:
     found = p1.groupBy("anomaly_id").agg(F.count(F.lit(1)).alias("_q"))
     status = materialise(anomaly_rows.join(found, "anomaly_id", "left")
                          .withColumn("_settled", F.coalesce("_q", F.lit(0)) >= k))
-    top = _top_k(p1.join(status.where("_settled").select("anomaly_id"), "anomaly_id", "left_semi"), k)
+    keep = ["anomaly_id", "anomaly_pos", "context_id", "context_pos", "similarity", "rank"]
+    top = _top_k(p1.join(status.where("_settled").select("anomaly_id"), "anomaly_id", "left_semi"), k).select(*keep)
 
     # unsettled anomaly rows: full candidate lists, restricted to rows before the last of them
     open_rows = status.where(~F.col("_settled")).select("anomaly_id", "anomaly_pos", "_a1", "_a2")
     last = open_rows.agg(F.max("anomaly_id").alias("m"), F.count(F.lit(1)).alias("n")).collect()[0]
-    if last["n"]:
+    before = cands.where(F.col("context_id") < F.lit(last["m"])) if earlier_only else cands
+    if last["n"] and before.limit(direct_rows + 1).count() > direct_rows:
+        cut = before.agg(F.percentile_approx("context_id", 0.5).alias("c")).first()["c"]
+        low = open_rows.where(F.col("anomaly_id") <= F.lit(cut)) if earlier_only else open_rows.where(F.lit(False))
+        high = open_rows.where(F.col("anomaly_id") > F.lit(cut)) if earlier_only else open_rows
+        for part, rows_of, size in ((low, df.where(F.col(id_col) <= F.lit(cut)), shortlist), (high, df, 4 * t)):
+            if part.limit(1).count():
+                only = materialise(part.select(F.col("anomaly_id").alias("_only")))
+                again = rows_of.join(only, rows_of[id_col] == only["_only"], "left").withColumn(
+                    flag_col, F.col("_only").isNotNull()).drop("_only")
+                more = far_lexical(again, k, earlier_only, text_col, id_col, pos_col, flag_col, max_df, size, hot_df, direct_rows)
+                top = top.unionByName(more.select(*keep))
+    elif last["n"]:
         early = cands.where(F.col("context_id") < F.lit(last["m"])) if earlier_only else cands
         early_texts = early.select("_h1", "_h2").distinct()
         o_keys = open_rows.select("_a1", "_a2").distinct()
@@ -223,7 +239,7 @@ def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col:
         if earlier_only:
             op = op.where(F.col("context_id") < F.col("anomaly_id"))
         top = top.unionByName(_top_k(op.select("anomaly_id", "anomaly_pos", "context_id", "context_pos",
-                                               "similarity"), k))
+                                               "similarity"), k).select(*keep))
     return top.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", F.lit("lexical").alias("kind"),
                       F.col("rank").cast("int"), "similarity")
 
