@@ -40,7 +40,8 @@ from logscope.llm import textnp as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 256
-CHUNK = 4 << 20
+PREFIXES = (3, 5, 8)
+CHUNK = 3 << 19
 GOLDEN = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -68,6 +69,13 @@ class Vocabulary:
         size = np.array([len(self.pieces[i]) for i in normal], np.int64)
         self.by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.map = np.zeros(1 << 20, bool)
+        # by a hash of their first bytes: the greatest size of the pieces that begin so
+        self.reach = {n: np.zeros(1 << 18, np.uint8) for n in PREFIXES}
+        for n, table in self.reach.items():
+            long = [i for i in normal if len(self.pieces[i]) >= n]
+            begin = np.frombuffer(b"".join(self.pieces[i][:n] for i in long), np.uint8)
+            h = Loads(begin).hash(np.arange(len(long)) * n, n)
+            np.maximum.at(table, (h >> T.U64(46)).astype(np.int64), np.array([len(self.pieces[i]) for i in long], np.uint8))
         for n_bytes in np.unique(size):
             at = np.array(normal)[size == n_bytes]
             block = np.frombuffer(b"".join(self.pieces[i] for i in at), np.uint8)
@@ -109,12 +117,16 @@ class Lattice:
         at_all, size_all, id_all = [], [], []
         single = np.zeros(n, bool)  # characters that are pieces
         char_size = 1 + (data >= 0xC0).astype(np.uint8) + (data >= 0xE0) + (data >= 0xF0)
-        places = np.flatnonzero(head)
+        places = np.flatnonzero(head).astype(np.int32)
+        limit = np.minimum(room[places], 255)
         for size, (hashes, ids) in vocab.by_size.items():  # sizes ascend
-            places = places[room[places] >= size]
+            open_ = limit >= size
+            places, limit = places[open_], limit[open_]
             if not len(places):
                 break
             h = loads.hash(places, size)
+            if size in vocab.reach:  # drop places where no longer piece begins like this
+                limit = np.minimum(limit, np.maximum(vocab.reach[size][(h >> T.U64(46)).astype(np.int64)], size))
             maybe = np.flatnonzero(vocab.map[(h >> T.U64(44)).astype(np.int64)])
             p, h = places[maybe], h[maybe]
             i = np.searchsorted(hashes, h)
@@ -122,26 +134,27 @@ class Lattice:
             ok = hashes[i] == h
             p, i = p[ok], i[ok]
             at_all.append(p)
-            size_all.append(np.full(len(p), size, np.int64))
-            id_all.append(ids[i])
+            size_all.append(np.full(len(p), size, np.int32))
+            id_all.append(ids[i].astype(np.int32))
             if size <= 4:
                 single[p[char_size[p] == size]] = True
         # byte pieces for all bytes of characters that are no piece
         owner = np.maximum.accumulate(np.where(head, np.arange(n), 0)) if n else np.zeros(0, np.int64)
-        p = np.flatnonzero(~single[owner])
+        p = np.flatnonzero(~single[owner]).astype(np.int32)
+        del owner, single, head, places, limit
         at_all.append(p)
-        size_all.append(np.ones(len(p), np.int64))
-        id_all.append(vocab.byte_id[data[p]])
-        at, size, ids = (np.concatenate(x) for x in (at_all, size_all, id_all))
+        size_all.append(np.ones(len(p), np.int32))
+        id_all.append(vocab.byte_id[data[p]].astype(np.int32))
+        at = np.concatenate(at_all)
         order = np.argsort(at, kind="stable")  # a merge of sorted runs; a place's edges by size
-        at, self.size, self.id = at[order], size[order], ids[order]
+        at, self.size, self.id = at[order], np.concatenate(size_all)[order], np.concatenate(id_all)[order]
+        del order, at_all, size_all, id_all
         self.first = np.searchsorted(at, np.arange(n + 1))
         # backward sums by distance from the unit's end
         weight = vocab.log_weight[self.id]
         back = np.zeros(n + 1)
         dist = room[at]
-        rest = dist.astype(np.int64) - self.size
-        target = np.where(rest > 0, at + self.size, n)  # place n stands for a unit's end
+        target = np.where(dist > self.size, at + self.size, np.int32(n))  # place n stands for a unit's end
         by_dist = np.argsort(dist, kind="stable")
         cut = np.searchsorted(dist[by_dist], np.arange(1, int(room.max(initial=0)) + 2))
         for d in range(len(cut) - 1):
@@ -152,15 +165,18 @@ class Lattice:
             lo, hi = T.runs(at[e])  # edges of one place are neighbours
             top = np.maximum.reduceat(value, lo)
             back[at[e[lo]]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, hi - lo)), lo))
+        del by_dist, dist
         self.log_p = np.minimum(weight + back[target] - back[at], 0.0)
+        del weight, target, back
         p = np.exp(self.log_p)
         with np.errstate(divide="ignore"):
             self.log_rest = np.log(-np.expm1(self.log_p))  # of all other edges of the place
         many = np.diff(self.first)
         self.log_rest[many[at] < 2] = -np.inf
-        total = np.cumsum(p)
+        self.cum = np.cumsum(p)
         begin = self.first[at]
-        self.cum = total - (total[begin] - p[begin])  # running sums inside a place
+        self.cum -= self.cum[begin] - p[begin]  # running sums inside a place
+        del p, begin
         self.cum[self.first[1:][many > 0] - 1] = 2.0  # the last edge takes what rounding leaves
 
     def step(self, place: np.ndarray, u: np.ndarray) -> np.ndarray:
