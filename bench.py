@@ -14,15 +14,15 @@ from logscope.plans import catalog  # noqa: E402
 from logscope.session import local_session  # noqa: E402
 
 # headline queries: context selection (near, lexical, semantic), the full line pipeline,
-# the score distribution, per-class evaluation and the file-mode budget + prompt path
+# the score distribution, per-class evaluation, the file-mode budget + prompt path, templates and detectors
 HEADLINE = ["near_context", "far_lexical", "far_semantic", "explain_lines", "score_distribution", "per_class",
-            "file_prompts"]
+            "file_prompts", "templates_iplom", "isolation_forest", "lof"]
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "1"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", int(cpus) * 2)), app="logscope-bench")
     # warm-up: JVM, Python workers, parquet footers

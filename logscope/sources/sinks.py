@@ -80,10 +80,41 @@ def write_nested_counts(counts: DataFrame, path: str, mode: str = "overwrite", *
         .write.mode(mode).json(path)
 
 
-def write_evaluation(detailed: DataFrame, per_class: DataFrame, overall: DataFrame, path: str,
-                     mode: str = "overwrite") -> None:
-    """Detailed rows, the per-class table and the overall table, as CSV directories."""
+def evaluation_summary(per_class: DataFrame | None, overall: DataFrame | None, distribution: DataFrame | None = None,
+                       seconds: float | None = None) -> DataFrame:
+    """The evaluation as text lines ``(part, name, line)``: one for each overall figure and each class; without truth
+    the predicted classes instead."""
+    num = lambda c: F.format_number(F.col(c), 4)
+    parts = []
+    if overall is not None:
+        figures = [c for c in ("accuracy", "weighted_precision", "weighted_recall", "weighted_f1") if c in overall.columns]
+        lines = [F.struct(F.lit(f"{i}").alias("name"), F.concat(F.lit(f"{c}: "), F.coalesce(num(c), F.lit("n/a"))).alias("line")) for i, c in enumerate(figures)]
+        lines.append(F.struct(F.lit("8").alias("name"), F.concat(F.lit("predictions: "), F.coalesce(F.col("predictions").cast("string"), F.lit("0"))).alias("line")))
+        if seconds is not None:
+            lines.append(F.struct(F.lit("9").alias("name"), F.lit(f"seconds: {seconds:.2f}").alias("line")))
+        parts.append(overall.select(F.lit(0).alias("part"), F.explode(F.array(*lines)).alias("x")).select("part", "x.name", "x.line"))
+    if per_class is not None:
+        parts.append(per_class.select(F.lit(1).alias("part"), F.col("label").alias("name"), F.concat(
+            F.col("label"), F.lit(": precision "), num("precision"), F.lit(", recall "), num("recall"), F.lit(", f1 "), num("f1"),
+            F.lit(", rows "), F.col("support").cast("string")).alias("line")))
+    if distribution is not None:
+        parts.append(distribution.select(F.lit(2).alias("part"), F.col("label").alias("name"), F.concat(
+            F.col("label"), F.lit(": "), F.col("count").cast("string"), F.lit(" predictions, "), F.format_number(F.col("percent"), 2), F.lit(" %")).alias("line")))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def write_evaluation(detailed: DataFrame, per_class: DataFrame | None, overall: DataFrame | None, path: str,
+                     mode: str = "overwrite", distribution: DataFrame | None = None, seconds: float | None = None) -> None:
+    """Detailed rows, the per-class table, the overall table and a text summary, as directories. Without true labels
+    pass the class distribution instead of the two tables."""
+    if overall is None and distribution is None:
+        raise ValueError("either the overall and per-class tables or the class distribution is needed")
     base = path.rstrip("/")
-    detailed.write.mode(mode).option("header", True).csv(f"{base}/detailed")
-    per_class.write.mode(mode).option("header", True).csv(f"{base}/per_class")
-    overall.write.mode(mode).option("header", True).csv(f"{base}/overall")
+    for name, df in (("detailed", detailed), ("per_class", per_class), ("overall", overall), ("class_distribution", distribution)):
+        if df is not None:
+            df.write.mode(mode).option("header", True).csv(f"{base}/{name}")
+    lines = evaluation_summary(per_class, overall, distribution, seconds)
+    lines.repartitionByRange("part", "name").sortWithinPartitions("part", "name").select("line").write.mode(mode).text(f"{base}/summary")

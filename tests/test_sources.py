@@ -127,3 +127,14 @@ def test_release_materialised(spark):
     m = materialise(spark.range(10))
     assert m.count() == 10
     assert release_materialised(spark) >= 1
+
+
+def test_evaluation_summary_with_and_without_truth(spark, tmp_path):
+    from logscope.operators import evaluate as ev
+    df = spark.createDataFrame([("io", "io"), ("io", "memory"), ("memory", "memory")], "label string, anomaly_result string")
+    base = str(tmp_path / "ev")
+    sinks.write_evaluation(ev.detailed(df), ev.per_class(df), ev.overall(df), base, seconds=1.5)
+    lines = [r[0] for r in spark.read.text(f"{base}/summary").collect()]
+    assert "accuracy: 0.6667" in lines and "seconds: 1.50" in lines and any(x.startswith("io: precision 1.0000, recall 0.5000") for x in lines)
+    sinks.write_evaluation(ev.detailed(df), None, None, base + "2", distribution=ev.class_distribution(df))
+    assert sorted(r[0] for r in spark.read.text(f"{base}2/summary").collect()) == ["io: 1 predictions, 33.33 %", "memory: 2 predictions, 66.67 %"]
