@@ -39,14 +39,14 @@ def text_size(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def group_bytes(size: int) -> int:
+def group_bytes(size: int, least: int = 2 << 20) -> int:
     """Text in a group: 2 MB, more for a large corpus (so that packed values stay long), 64 MB at most."""
-    return min(64 << 20, max(2 << 20, size // 2000))
+    return min(64 << 20, max(least, size // 2000))
 
 
-def grouped(docs: DataFrame, size: int) -> DataFrame:
+def grouped(docs: DataFrame, size: int, least: int = 2 << 20) -> DataFrame:
     """(doc_id, text, _g): every row in one of about size / group_bytes(size) groups. A null id is spread by its text."""
-    n = max(LEAST, size // group_bytes(size))
+    n = max(LEAST, size // group_bytes(size, least))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return d.withColumn("_g", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)))
 

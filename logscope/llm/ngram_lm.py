@@ -39,6 +39,7 @@ START = np.uint64(0x243F6A8885A308D3)
 END = np.uint64(0x13198A2E03707344)
 LOWEST = 12.0  # log10 probabilities are kept from -LOWEST to 0
 ADD = 0.1
+GROUP = 4 << 20  # text bytes of a group: the larger, the fewer repeated k-grams travel
 
 
 # --- Elias-Fano sequences ---------------------------------------------------------------------
@@ -237,9 +238,23 @@ def _first_answer(tbl: pa.Table) -> pa.Table:
     return X.blobs(out)
 
 
-def _spread(answers: dict[int, list], keys: np.ndarray, n_buckets: int, read) -> np.ndarray:
-    out = np.zeros(len(keys), np.int64)
-    for b, at in X.by_bucket(keys, n_buckets):
+def _grams(tok: np.ndarray, rows: np.ndarray, k: int, n_buckets: int):
+    """A group's distinct k-grams: a first place of each, the k-gram of each token, their context and word symbols,
+    and the k-grams of each bucket in the order of these symbols (in which they travel)."""
+    ctx = contexts(tok, rows, k)
+    word = T.mix(tok)
+    keys, which, inverse = np.unique(T.mix(ctx * T.U64(3) + word), return_index=True, return_inverse=True)
+    c24, w24 = ctx[which] >> T.U64(40), word[which] >> T.U64(40)
+    b = (keys % T.U64(n_buckets)).astype(np.int64)
+    order = np.lexsort((w24, c24, b))
+    first = np.searchsorted(b[order], np.arange(n_buckets + 1))
+    dealt = [(i, order[first[i]:first[i + 1]]) for i in range(n_buckets) if first[i + 1] > first[i]]
+    return which, inverse, c24, w24, dealt
+
+
+def _told(dealt: list, answers: dict[int, list], n: int, read) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    for b, at in dealt:
         out[at] = read(answers[b])
     return out
 
@@ -257,7 +272,7 @@ def _next_ask(k: int, n_buckets: int, split: tuple[int, int]):
             got = {b: X.unpack(x, np.int64, np.uint8, np.uint32) for _, b, x in X.each(answers)}
             n, v = sum(int(p[0][0]) for p in got.values()), sum(int(p[0][1]) for p in got.values())
             keys, inverse = np.unique(np.append(tok, START), return_inverse=True)
-            c = _spread(got, keys, n_buckets, lambda p: X.full_counts(p[1], p[2]))
+            c = _told(X.by_bucket(keys, n_buckets), got, len(keys), lambda p: X.full_counts(p[1], p[2]))
             start, c = c[inverse[-1]], c[inverse[:-1]]
             p = (c + ADD) / (n + ADD * (v + 1))
             base = np.bincount(row, np.log10(p), len(rows) - 1)
@@ -270,46 +285,41 @@ def _next_ask(k: int, n_buckets: int, split: tuple[int, int]):
         else:
             rest = {b: x for _, b, x in X.each(answers)}
             passed = rest.pop(-1)
-            grams = _gram(tok, contexts(tok, rows, k - 1))
-            keys, inverse = np.unique(grams, return_inverse=True)
+            which, inverse, _, _, dealt = _grams(tok, rows, k - 1, n_buckets)
             got = {b: X.unpack(x, np.uint8, np.uint8) for b, x in rest.items()}
-            lower = _spread(got, keys, n_buckets, lambda p: p[0]).astype(np.uint8)[inverse]
-            c = _spread(got, keys, n_buckets, lambda p: p[1]).astype(np.uint8)[inverse]
+            lower = _told(dealt, got, len(which), lambda p: p[0]).astype(np.uint8)[inverse]
+            c = _told(dealt, got, len(which), lambda p: p[1]).astype(np.uint8)[inverse]
             # the context of a token is the (k - 1)-gram that ends before it; a text's first has all training texts
             before = np.full(len(tok), 255, np.uint8)
             before[1:] = c[:-1]
             before[rows[:-1]] = 255
-        ctx = contexts(tok, rows, k)
-        grams = _gram(tok, ctx)
-        keys, which, inverse = np.unique(grams, return_index=True, return_inverse=True)
-        counts = np.bincount(inverse, _weights(tbl, rows, split), len(keys)).astype(np.int64)
-        c24, w24 = ctx[which] >> T.U64(40), T.mix(tok[which]) >> T.U64(40)
+        which, inverse, c24, w24, dealt = _grams(tok, rows, k, n_buckets)
+        counts = np.bincount(inverse, _weights(tbl, rows, split), len(which)).astype(np.int64)
         out = [(g, -1 - int(g % n_buckets), passed)]
-        for b, at in X.by_bucket(keys, n_buckets):
+        for b, at in dealt:
+            gap = np.diff(c24[at], prepend=T.U64(0))  # small numbers, whose high bytes compress to nothing
             out.append((g, b, X.pack(
-                (c24[at] & T.U64(0xFFFF)).astype(np.uint16), (c24[at] >> T.U64(16)).astype(np.uint8),
+                *(((gap >> T.U64(s)) & T.U64(0xFF)).astype(np.uint8) for s in (0, 8, 16)),
                 (w24[at] & T.U64(0xFFFF)).astype(np.uint16), (w24[at] >> T.U64(16)).astype(np.uint8),
                 *X.small_counts(counts[at]), lower[which[at]], before[which[at]])))
         return X.blobs(out)
     return run
 
 
-def _gram(tok: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    return T.mix(ctx * T.U64(3) + T.mix(tok))
-
-
 def _next_answer(prior: float):
     def run(tbl: pa.Table) -> pa.Table:
         out = [(g, -1, x) for g, b, x in X.each(tbl) if b < 0]
         rows = [r for r in X.each(tbl) if r[1] >= 0]
         if not rows:
             return X.blobs(out)
-        parts = [X.unpack(x, np.uint16, np.uint8, np.uint16, np.uint8, np.uint8, np.uint32, np.uint8, np.uint8) for _, _, x in rows]
+        parts = [X.unpack(x, np.uint8, np.uint8, np.uint8, np.uint16, np.uint8, np.uint8, np.uint32, np.uint8, np.uint8) for _, _, x in rows]
         join = lambda i: np.concatenate([p[i] for p in parts])
-        symbol = lambda lo, hi: join(lo).astype(np.uint64) | (join(hi).astype(np.uint64) << T.U64(16))
-        keys, which, inverse = np.unique((symbol(0, 1) << T.U64(24)) | symbol(2, 3), return_index=True, return_inverse=True)
-        count = np.bincount(inverse, np.concatenate([X.full_counts(p[4], p[5]) for p in parts]), len(keys))
-        below, context = 10 ** code_log10(join(6)[which]), code_count(join(7)[which])
+        wide = lambda p, *at: sum((p[i].astype(np.uint64) << T.U64(s) for i, s in at), T.U64(0))
+        ctx = np.concatenate([np.cumsum(wide(p, (0, 0), (1, 8), (2, 16)), dtype=np.uint64) for p in parts])
+        word = np.concatenate([wide(p, (3, 0), (4, 16)) for p in parts])
+        keys, which, inverse = np.unique((ctx << T.U64(24)) | word, return_index=True, return_inverse=True)
+        count = np.bincount(inverse, np.concatenate([X.full_counts(p[5], p[6]) for p in parts]), len(keys))
+        below, context = 10 ** code_log10(join(7)[which]), code_count(join(8)[which])
         smooth = prob_code((count + prior * below) / (np.maximum(context, count) + prior))
         seen = count > 0
         with tempfile.TemporaryDirectory() as folder:
@@ -334,8 +344,8 @@ def _finish(order: int, n_buckets: int, split: tuple[int, int]):
         tok, rows = tokens(tbl)
         got = {b: x for _, b, x in X.each(answers)}
         n, base, known = X.unpack(got[-1], np.int64, np.float64, np.int64) if tbl.num_rows else [np.zeros(1, np.int64)] + [np.zeros(0)] * 2
-        keys, inverse = np.unique(_gram(tok, contexts(tok, rows, order)), return_inverse=True)
-        codes = _spread(got, keys, n_buckets, lambda x: X.unpack(x, np.uint8, np.uint8)[0])
+        which, inverse, _, _, dealt = _grams(tok, rows, order, n_buckets)
+        codes = _told(dealt, got, len(which), lambda x: X.unpack(x, np.uint8, np.uint8)[0])
         row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
         score = np.bincount(row, code_log10(codes)[inverse], len(rows) - 1)
         return pa.table({
@@ -350,7 +360,7 @@ def lm_scores(docs: DataFrame, order: int = 2, prior: float = 2.0, split: tuple[
     mod split[0] is split[1] are held out of training."""
     size = X.text_size(docs)
     n = X.buckets(size)
-    d = X.grouped(docs, size)
+    d = X.grouped(docs, size, GROUP)
     answers = d.groupBy("_g").applyInArrow(_first_ask(n, split), X.BLOBS).groupBy("_b").applyInArrow(_first_answer, X.BLOBS)
     for k in range(2, order + 1):
         asked = d.groupBy("_g").cogroup(answers.groupBy("_g")).applyInArrow(_next_ask(k, n, split), X.BLOBS)
