@@ -175,19 +175,17 @@ def test_semantic_repeated_vectors_are_cut_exactly(spark):
             assert [c for _, c in sorted(got.get(i, []))] == [j for _, j in best]
 
 
-@pytest.mark.parametrize("shuffled", [False, True])
-def test_far_lexical_by_halves_matches_brute_force(spark, shuffled):
+def test_far_lexical_by_halves_matches_brute_force(spark):
     """Sessions whose second line is the anomaly, with next to nothing read directly."""
     words = ["disk", "net", "cpu", "fan", "job", "link", "rack", "io"]
     rows = []
-    for n in range(120):
+    for n in range(60):
         text = "session start" if n % 10 == 0 else " ".join(words[(n * j + n // 10) % 8] for j in (1, 3, 5)) + f" u{n % 37}"
         rows.append((n + 1, text, n % 10 == 1))
-    df = frame(spark, rows, parts=5)
-    if shuffled:
-        df = with_position(df.drop("pos").withColumn("_s", F.xxhash64("LineId")), "_s").drop("_s")
+    # positions that do not follow ids
+    df = with_position(frame(spark, rows, parts=5).drop("pos").withColumn("_s", F.xxhash64("LineId")), "_s").drop("_s")
     got = {}
-    for r in ctx.far_lexical(df, 4, shortlist=4, hot_df=3, direct_rows=9).collect():
+    for r in ctx.far_lexical(df, 4, shortlist=4, hot_df=3, direct_rows=25).collect():
         got.setdefault(r["anomaly_id"], []).append((r["rank"], r["context_id"], round(r["similarity"], 9)))
     pairs = [(i, t) for i, t, _ in rows]
     for idx, (i, _, f) in enumerate(rows):
