@@ -414,8 +414,13 @@ def labelled_windows(docs: DataFrame, sample: int = 600, per_document: int = 4)
     """At most ``sample`` windows (symbols, gold) around digits and @ signs, chosen by a hash of their document
     and place; at most per_document of one document. This bound concerns training only."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("text").rlike("[0-9@]"))
-    # a bounded number of documents is looked at, evenly by hash
-    d = d.withColumn("_o", F.xxhash64("doc_id", F.lit(3))).orderBy("_o", "doc_id").limit(sample)
+    # a bounded number of documents is looked at, evenly by hash; a threshold on the hash keeps the candidates few
+    # before any text is moved
+    d = d.withColumn("_o", F.xxhash64("doc_id", F.lit(3)))
+    n = d.count()
+    if n > 4 * sample:
+        d = d.where(F.col("_o") <= F.lit(int(-(1 << 63) + (4 * sample / n) * ((1 << 64) - 1))))
+    d = d.orderBy("_o", "doc_id").limit(sample)
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
