@@ -132,6 +132,14 @@ def compact_prompts(df: DataFrame, edges: DataFrame, id_col: str = "LineId", tex
     return x.select("anomaly_id", prompt.alias("prompt"))
 
 
+def _with_one_row(df: DataFrame, one: DataFrame, col: str) -> DataFrame:
+    """df with the columns of a one-row frame: an equality join on a key that is 0 everywhere (computed from a
+    column, so that the optimizer keeps it a hash join)."""
+    left = df.withColumn("_one", F.pmod(F.xxhash64(col), F.lit(1)))
+    right = one.withColumn("_one", F.pmod(F.xxhash64(*one.columns), F.lit(1)))
+    return left.join(F.broadcast(right), "_one").drop("_one")
+
+
 KNOWN_SECTION = """
 Problems seen before in such systems:
 {known_labels}
@@ -154,9 +162,8 @@ def file_prompts(df: DataFrame, file_col: str = "source_file", text_col: str = "
     if vocabulary is not None:
         # the list is part of every prompt, so the joined side is one row
         one = (vocabulary.select(F.col(label_col).alias("_l")).where("_l is not null")
-               .agg(F.array_join(F.transform(F.sort_array(F.collect_set("_l")), lambda x: F.concat(F.lit("- "), x)), "\n").alias("_known"))
-               .withColumn("_one", F.lit(1)))
-        g = match_known_label(g, vocabulary, "error_type", label_col).withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+               .agg(F.array_join(F.transform(F.sort_array(F.collect_set("_l")), lambda x: F.concat(F.lit("- "), x)), "\n").alias("_known")))
+        g = _with_one_row(match_known_label(g, vocabulary, "error_type", label_col), one, file_col)
         values |= {"known_labels": F.col("_known"), "matched_label": F.coalesce(F.col("matched_label"), F.lit("none"))}
         template = template + KNOWN_SECTION
     return g.select(file_col, fill_template(template, values).alias("file_prompt"))
@@ -199,8 +206,8 @@ def prompt_variants(df: DataFrame, prompt_col: str, strategies: Mapping[str, str
     if demos is not None:
         card = F.concat(F.lit("Text: "), F.coalesce(F.col(demo_text), F.lit("")), F.lit("\nLabel: "), F.coalesce(F.col(demo_label), F.lit("")))
         one = demos.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("demo_no", card.alias("c")))), lambda s: s["c"]), "\n")
-                        .alias("_examples")).withColumn("_one", F.lit(1))
-        x = x.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+                        .alias("_examples"))
+        x = _with_one_row(x, one, prompt_col)
         examples = F.col("_examples")
     x = x.withColumn("strategy", F.explode(F.array(*[F.lit(n) for n in strategies])))
     out = F.lit(None).cast("string")
