@@ -41,7 +41,7 @@ from logscope.llm import textnp as T
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 256
 PREFIXES = (3, 5, 8)
-CHUNK = 3 << 19
+CHUNK = 1 << 20
 GOLDEN = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
