@@ -13,7 +13,8 @@ k-grams - by a hash of the whole k-gram, so a frequent context is spread over al
 contexts and words from those seen in training and answers with quantised probabilities.
 
 The trie: sorted context symbols and, per context, sorted word symbols, each an Elias-Fano sequence; the
-pointers from contexts to their words are a third one, being monotone; smoothed probabilities are 8-bit codes.
+pointers from contexts to their words are a third one, being monotone; smoothed probabilities are 16-bit codes
+of log10, over the range that the corpus' own totals allow (``depth``), so that none is clipped.
 Levels are written to one file in the task's scratch folder and memory-mapped. A query finds its context, reads the
 pointer range, and looks for the successor of (context, word) in it. Symbols are 24-bit
 hashes; with the shard, two k-grams are taken for one with a chance of about 2^-54.
@@ -24,6 +25,7 @@ training; repeated rows count repeatedly; with no training row N and V are 0; an
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import zlib
@@ -37,7 +39,6 @@ from logscope.llm import textnp as T
 
 START = np.uint64(0x243F6A8885A308D3)
 END = np.uint64(0x13198A2E03707344)
-LOWEST = 12.0  # log10 probabilities are kept from -LOWEST to 0
 ADD = 0.1
 GROUP = 4 << 20  # text bytes of a group: the larger, the fewer repeated k-grams travel
 
@@ -121,7 +122,7 @@ class Trie:
         # relative to its context a word symbol is monotone; over all contexts it is made so by the context's number
         levels.append(EliasFano.build((index.astype(np.uint64) << T.U64(24)) | word, max(1, len(first)) << 24))
         path = os.path.join(folder, "levels")
-        arrays = [a for level in levels for a in level.arrays] + [codes.astype(np.uint8)]
+        arrays = [a for level in levels for a in level.arrays] + [codes.astype(np.uint16)]
         with open(path, "wb") as f:
             places = []
             for a in arrays:
@@ -147,7 +148,7 @@ class Trie:
         place = self.words.successor(wanted, lo[inverse], hi[inverse])
         held = place < hi[inverse]
         held[held] = self.words[place[held]] == wanted[held]
-        codes = np.zeros(len(keys), np.uint8)
+        codes = np.zeros(len(keys), np.uint16)
         codes[held] = self.codes[place[held]]
         return held, codes
 
@@ -155,12 +156,18 @@ class Trie:
 # --- quantisation -----------------------------------------------------------------------------
 
 
-def prob_code(p: np.ndarray) -> np.ndarray:
-    return np.round(np.clip(-np.log10(p), 0, LOWEST) * (255 / LOWEST)).astype(np.uint8)
+def depth(n: int, v: int, most: int, order: int, prior: float) -> float:
+    """Whole decades below 1 that hold every smoothed probability: an unseen word after unseen contexts as frequent as any."""
+    most = max(float(most), float(code_count(count_code(np.array([most])))[0]))
+    return float(max(1, math.ceil(math.log10((n + ADD * (v + 1)) / ADD) + (order - 1) * math.log10((most + prior) / prior))))
 
 
-def code_log10(code: np.ndarray) -> np.ndarray:
-    return code.astype(np.float64) * (-LOWEST / 255)
+def prob_code(p: np.ndarray, lowest: float) -> np.ndarray:
+    return np.round(np.clip(-np.log10(p), 0, lowest) * (65535 / lowest)).astype(np.uint16)
+
+
+def code_log10(code: np.ndarray, lowest: float) -> np.ndarray:
+    return code.astype(np.float64) * (-lowest / 65535)
 
 
 def count_code(c: np.ndarray) -> np.ndarray:
@@ -230,7 +237,8 @@ def _first_answer(tbl: pa.Table) -> pa.Table:
     keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     total = np.bincount(inverse, np.concatenate([X.full_counts(p[1], p[2]) for p in parts]), len(keys)).astype(np.int64)
     real = keys != START
-    totals = np.array([total[real].sum(), (total[real] > 0).sum()], np.int64)
+    # tokens, words, and the most frequent context of one word (START among them)
+    totals = np.array([total[real].sum(), (total[real] > 0).sum(), total.max(initial=0)], np.int64)
     out, at = [], 0
     for (g, b, _), (k, _, _) in zip(rows, parts, strict=True):
         out.append((g, b, X.pack(totals, *X.small_counts(total[inverse[at:at + len(k)]]))))
@@ -259,7 +267,7 @@ def _told(dealt: list, answers: dict[int, list], n: int, read) -> np.ndarray:
     return out
 
 
-def _next_ask(k: int, n_buckets: int, split: tuple[int, int]):
+def _next_ask(k: int, n_buckets: int, split: tuple[int, int], order: int, prior: float):
     """Ask for k-grams, from the answers to (k - 1)-grams; base results of the rows travel along."""
     def run(key: tuple[pa.Scalar, ...], tbl: pa.Table, answers: pa.Table) -> pa.Table:
         g = key[0].as_py()
@@ -271,28 +279,31 @@ def _next_ask(k: int, n_buckets: int, split: tuple[int, int]):
         if k == 2:
             got = {b: X.unpack(x, np.int64, np.uint8, np.uint32) for _, b, x in X.each(answers)}
             n, v = sum(int(p[0][0]) for p in got.values()), sum(int(p[0][1]) for p in got.values())
+            lowest = depth(n, v, max(int(p[0][2]) for p in got.values()), order, prior)
             keys, inverse = np.unique(np.append(tok, START), return_inverse=True)
             c = _told(X.by_bucket(keys, n_buckets), got, len(keys), lambda p: X.full_counts(p[1], p[2]))
             start, c = c[inverse[-1]], c[inverse[:-1]]
             p = (c + ADD) / (n + ADD * (v + 1))
             base = np.bincount(row, np.log10(p), len(rows) - 1)
             known = np.bincount(row, c > 0, len(rows) - 1).astype(np.int64)
-            passed = X.pack(np.array([n], np.int64), base, known)
-            lower, before = prob_code(p), np.full(len(tok), start)
+            passed = X.pack(np.array([n, start], np.int64), base, known, np.array([lowest]))
+            lower, before = prob_code(p, lowest), np.full(len(tok), start)
             before[1:] = c[:-1]
             before[rows[:-1]] = start
             before = count_code(before)
         else:
             rest = {b: x for _, b, x in X.each(answers)}
             passed = rest.pop(-1)
+            totals, _, _, lowest = X.unpack(passed, np.int64, np.float64, np.int64, np.float64)
+            lowest, texts = float(lowest[0]), count_code(totals[1:])[0]
             which, inverse, _, _, dealt = _grams(tok, rows, k - 1, n_buckets)
-            got = {b: X.unpack(x, np.uint8, np.uint8) for b, x in rest.items()}
-            lower = _told(dealt, got, len(which), lambda p: p[0]).astype(np.uint8)[inverse]
+            got = {b: X.unpack(x, np.uint16, np.uint8) for b, x in rest.items()}
+            lower = _told(dealt, got, len(which), lambda p: p[0]).astype(np.uint16)[inverse]
             c = _told(dealt, got, len(which), lambda p: p[1]).astype(np.uint8)[inverse]
             # the context of a token is the (k - 1)-gram that ends before it; a text's first has all training texts
-            before = np.full(len(tok), 255, np.uint8)
+            before = np.full(len(tok), texts, np.uint8)
             before[1:] = c[:-1]
-            before[rows[:-1]] = 255
+            before[rows[:-1]] = texts
         which, inverse, c24, w24, dealt = _grams(tok, rows, k, n_buckets)
         counts = np.bincount(inverse, _weights(tbl, rows, split), len(which)).astype(np.int64)
         out = [(g, -1 - int(g % n_buckets), passed)]
@@ -301,26 +312,27 @@ def _next_ask(k: int, n_buckets: int, split: tuple[int, int]):
             out.append((g, b, X.pack(
                 *(((gap >> T.U64(s)) & T.U64(0xFF)).astype(np.uint8) for s in (0, 8, 16)),
                 (w24[at] & T.U64(0xFFFF)).astype(np.uint16), (w24[at] >> T.U64(16)).astype(np.uint8),
-                *X.small_counts(counts[at]), lower[which[at]], before[which[at]])))
+                *X.small_counts(counts[at]), lower[which[at]], before[which[at]], np.array([lowest]))))
         return X.blobs(out)
     return run
 
 
-def _next_answer(prior: float):
+def _next_answer(prior: float, last: bool):
     def run(tbl: pa.Table) -> pa.Table:
         out = [(g, -1, x) for g, b, x in X.each(tbl) if b < 0]
         rows = [r for r in X.each(tbl) if r[1] >= 0]
         if not rows:
             return X.blobs(out)
-        parts = [X.unpack(x, np.uint8, np.uint8, np.uint8, np.uint16, np.uint8, np.uint8, np.uint32, np.uint8, np.uint8) for _, _, x in rows]
+        parts = [X.unpack(x, np.uint8, np.uint8, np.uint8, np.uint16, np.uint8, np.uint8, np.uint32, np.uint16, np.uint8, np.float64) for _, _, x in rows]
         join = lambda i: np.concatenate([p[i] for p in parts])
         wide = lambda p, *at: sum((p[i].astype(np.uint64) << T.U64(s) for i, s in at), T.U64(0))
         ctx = np.concatenate([np.cumsum(wide(p, (0, 0), (1, 8), (2, 16)), dtype=np.uint64) for p in parts])
         word = np.concatenate([wide(p, (3, 0), (4, 16)) for p in parts])
         keys, which, inverse = np.unique((ctx << T.U64(24)) | word, return_index=True, return_inverse=True)
         count = np.bincount(inverse, np.concatenate([X.full_counts(p[5], p[6]) for p in parts]), len(keys))
-        below, context = 10 ** code_log10(join(7)[which]), code_count(join(8)[which])
-        smooth = prob_code((count + prior * below) / (np.maximum(context, count) + prior))
+        lowest = float(parts[0][9][0])
+        below, context = 10 ** code_log10(join(7)[which], lowest), code_count(join(8)[which])
+        smooth = prob_code((count + prior * below) / (np.maximum(context, count) + prior), lowest)
         seen = count > 0
         with tempfile.TemporaryDirectory() as folder:
             held, codes = Trie(keys[seen], smooth[seen], folder).find(keys) if seen.any() else (seen, smooth)
@@ -329,7 +341,7 @@ def _next_answer(prior: float):
         at = 0
         for (g, b, _), p in zip(rows, parts, strict=True):
             i = inverse[at:at + len(p[0])]
-            out.append((g, b, X.pack(codes[i], times[i])))
+            out.append((g, b, X.pack(codes[i], times[:0] if last else times[i])))  # the last order is no context
             at += len(p[0])
         return X.blobs(out)
     return run
@@ -343,11 +355,11 @@ def _finish(order: int, n_buckets: int, split: tuple[int, int]):
         tbl = X.in_order(tbl)
         tok, rows = tokens(tbl)
         got = {b: x for _, b, x in X.each(answers)}
-        n, base, known = X.unpack(got[-1], np.int64, np.float64, np.int64) if tbl.num_rows else [np.zeros(1, np.int64)] + [np.zeros(0)] * 2
+        n, base, known, lowest = X.unpack(got[-1], np.int64, np.float64, np.int64, np.float64) if tbl.num_rows else [np.zeros(1, np.int64)] + [np.zeros(0)] * 2 + [np.ones(1)]
         which, inverse, _, _, dealt = _grams(tok, rows, order, n_buckets)
-        codes = _told(dealt, got, len(which), lambda x: X.unpack(x, np.uint8, np.uint8)[0])
+        codes = _told(dealt, got, len(which), lambda x: X.unpack(x, np.uint16, np.uint8)[0])
         row = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
-        score = np.bincount(row, code_log10(codes)[inverse], len(rows) - 1)
+        score = np.bincount(row, code_log10(codes, float(lowest[0]))[inverse], len(rows) - 1)
         return pa.table({
             "doc_id": tbl.column("doc_id"), "held_out": held_out_rows(tbl, *split), "n_tokens": np.diff(rows).astype(np.int64),
             "n_known": known.astype(np.int64), "train_tokens": np.full(len(known), n[0], np.int64),
@@ -363,6 +375,6 @@ def lm_scores(docs: DataFrame, order: int = 2, prior: float = 2.0, split: tuple[
     d = X.grouped(docs, size, GROUP)
     answers = d.groupBy("_g").applyInArrow(_first_ask(n, split), X.BLOBS).groupBy("_b").applyInArrow(_first_answer, X.BLOBS)
     for k in range(2, order + 1):
-        asked = d.groupBy("_g").cogroup(answers.groupBy("_g")).applyInArrow(_next_ask(k, n, split), X.BLOBS)
-        answers = asked.groupBy("_b").applyInArrow(_next_answer(prior), X.BLOBS)
+        asked = d.groupBy("_g").cogroup(answers.groupBy("_g")).applyInArrow(_next_ask(k, n, split, order, prior), X.BLOBS)
+        answers = asked.groupBy("_b").applyInArrow(_next_answer(prior, k == order), X.BLOBS)
     return d.groupBy("_g").cogroup(answers.groupBy("_g")).applyInArrow(_finish(order, n, split), SCHEMA)

@@ -1,9 +1,41 @@
 """Cases from review: what the given tables do not exercise."""
 
+import collections
+import math
+import zlib
+
 import duckdb
+import numpy as np
 import pandas as pd
 
-from logscope.llm import catalog
+from logscope.llm import catalog, ngram_lm
+
+
+def interpolated(texts, order, prior=2.0):
+    """Score of each (doc_id, text) by the definition."""
+    tok = [[*t.lower().split(), None] for _, t in texts]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in texts]
+    one, grams, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    for w, h in zip(tok, held, strict=True):
+        if not h:
+            one.update(w)
+            for k in range(2, order + 1):
+                padded = ["<s>"] * (k - 1) + w
+                for j in range(len(w)):
+                    grams[tuple(padded[j:j + k])] += 1
+                    ctx[tuple(padded[j:j + k - 1])] += 1
+    n, v = sum(one.values()), len(one)
+    out = {}
+    for (i, _), w in zip(texts, tok, strict=True):
+        total = 0.0
+        for j, x in enumerate(w):
+            p = (one[x] + 0.1) / (n + 0.1 * (v + 1))
+            for k in range(2, order + 1):
+                u = tuple((["<s>"] * (k - 1) + w)[j:j + k - 1])
+                p = (grams[(*u, x)] + prior * p) / (ctx[u] + prior)
+            total += math.log10(p)
+        out[i] = total
+    return out
 
 
 def test_quality_rules_query_removes_lines(spark, tmp_path):
@@ -25,3 +57,28 @@ def test_quality_rules_query_removes_lines(spark, tmp_path):
     pd.testing.assert_frame_equal(text(got), text(want))
     by = got.set_index("doc_id")
     assert (by.n_removed_words > 0).sum() == 270 and (~by.base_failed & ~by.kept).sum() > 0
+
+
+def test_lm_probabilities_below_1e_12(spark):
+    """Unseen words after a frequent word keep their own probabilities, at orders 2 and 3."""
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    train = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10][:10]
+    rows = [(i, "the " * 500 + f"end rare{i}") for i in train]
+    rows += list(zip(held, ["the zzz", "the rare" + str(train[0]), "the the the", "qqq the yyy"], strict=True))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for order in (2, 3):
+        want = interpolated(rows, order, 1e-6)
+        got = {r["doc_id"]: (r["score"], r["n_tokens"]) for r in ngram_lm.lm_scores(docs, order=order, prior=1e-6).collect()}
+        for i in held:
+            assert abs(got[i][0] - want[i]) < 0.05 * (order - 1) * got[i][1], (order, i, got[i], want[i])
+        assert got[held[0]][0] < got[held[1]][0] - 0.5  # a word never seen is less likely than one seen elsewhere
+
+
+def test_lm_code_range_holds_a_large_corpus():
+    n, v, most = 6_000_000_000, 20_000_000, 400_000_000
+    for order in (2, 3):
+        lowest = ngram_lm.depth(n, v, most, order, 2.0)
+        p = 0.1 / (n + 0.1 * (v + 1)) * (2 / (most * 1.05 + 2)) ** (order - 1) * np.array([1.0, 11.0, 1e6])
+        got = ngram_lm.code_log10(ngram_lm.prob_code(p, lowest), lowest)
+        assert np.abs(got - np.log10(p)).max() < 1e-3
+    assert ngram_lm.depth(0, 0, 0, 2, 2.0) >= 1
