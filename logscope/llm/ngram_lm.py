@@ -332,11 +332,13 @@ def _next_answer(prior: float, last: bool):
         count = np.bincount(inverse, np.concatenate([X.full_counts(p[5], p[6]) for p in parts]), len(keys))
         lowest = float(parts[0][9][0])
         below, context = 10 ** code_log10(join(7)[which], lowest), code_count(join(8)[which])
-        smooth = prob_code((count + prior * below) / (np.maximum(context, count) + prior), lowest)
         seen = count > 0
-        with tempfile.TemporaryDirectory() as folder:
-            held, codes = Trie(keys[seen], smooth[seen], folder).find(keys) if seen.any() else (seen, smooth)
-            codes = np.where(held, codes, smooth)  # not held: what the order below gives
+        codes = prob_code(prior * below / (context + prior), lowest)  # not in the trie: what the order below gives
+        if seen.any():
+            smooth = (count[seen] + prior * below[seen]) / (np.maximum(context, count)[seen] + prior)
+            with tempfile.TemporaryDirectory() as folder:
+                held, found = Trie(keys[seen], prob_code(smooth, lowest), folder).find(keys)
+            codes = np.where(held, found, codes)
         times = count_code(count)
         at = 0
         for (g, b, _), p in zip(rows, parts, strict=True):

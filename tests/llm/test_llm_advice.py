@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 
 from logscope.llm import catalog, ngram_lm
+from logscope.llm import exchange as X
 
 
 def interpolated(texts, order, prior=2.0):
@@ -82,3 +83,18 @@ def test_lm_code_range_holds_a_large_corpus():
         got = ngram_lm.code_log10(ngram_lm.prob_code(p, lowest), lowest)
         assert np.abs(got - np.log10(p)).max() < 1e-3
     assert ngram_lm.depth(0, 0, 0, 2, 2.0) >= 1
+
+
+def test_lm_probabilities_come_from_the_trie(monkeypatch):
+    """A k-gram that the trie does not find is scored by the order below, whatever its count."""
+    u8 = lambda *x: np.array(x, np.uint8)
+    asked = X.blobs([(0, 0, X.pack(u8(1, 0, 3), u8(0, 0, 0), u8(0, 0, 0), np.array([5, 7, 5], np.uint16), u8(0, 0, 0),
+                                   *X.small_counts(np.array([3, 0, 1])), ngram_lm.prob_code(np.full(3, 1e-3), 12.0),
+                                   ngram_lm.count_code(np.full(3, 50)), np.array([12.0])))])
+
+    def answer():
+        (_, _, x), = X.each(ngram_lm._next_answer(2.0, True)(asked))
+        return 10 ** ngram_lm.code_log10(X.unpack(x, np.uint16, np.uint8)[0], 12.0)
+    assert np.allclose(answer(), [3.002 / 52, 0.002 / 52, 1.002 / 52], rtol=0.07)
+    monkeypatch.setattr(ngram_lm.Trie, "find", lambda self, keys: (np.zeros(len(keys), bool), np.zeros(len(keys), np.uint16)))
+    assert np.allclose(answer(), 0.002 / 52, rtol=0.07)
