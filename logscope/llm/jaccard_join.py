@@ -15,7 +15,8 @@ A document's set is its distinct ``n``-word shingles (lower-case A-Z). Two docum
    pruned when no set below one can overlap enough with any below the other. Pairs already known to
    be connected are not compared (only components are wanted). What is left is verified on the sets.
 4. A candidate component larger than ``BLOCK`` classes is cut into blocks by hash. Blocks are joined
-   within themselves; then one leader of each partial component is joined with the other leaders; then every class
+   within themselves; then one leader of each partial component meets the other leaders, in blocks by a new hash each
+   round until they fit one block, or all pairs of blocks once a round no longer halves them; then every class
    outside the candidate's largest partial component meets every block. Pairs that none of
    the steps compares are connected already, so no link between components is lost.
 
@@ -278,6 +279,34 @@ def _across(percent: int):
     return run
 
 
+def _leaders_met(leaders: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join all leaders of a candidate component which are linked, directly or over other leaders."""
+    links, seed, before = None, 0, None
+    while True:
+        seed += 1
+        count = leaders.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("_parts"))
+        # the seed makes this another hash than that of the blocks the leaders come from, and of the last round
+        parted = materialise(leaders.join(count, "comp").withColumn("_part", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("_parts"))))
+        n = parted.where("_parts > 1").count()
+        if n and before is not None and 2 * n > before:
+            break
+        before = n
+        keyed = parted.select(F.xxhash64("comp", "_part").alias("_k"), "node", "comp", "tokens")
+        led = materialise(keyed.groupBy("_k").applyInArrow(_within(percent), ROOTS))
+        new = led.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        links = new if links is None else links.union(new)
+        if not n:
+            return links
+        leaders = parted.where("_parts > 1").join(led.where("node = root").select("node"), "node", "left_semi").select("node", "comp", "tokens")
+    # leaders that stay apart: each pair of parts once (within a part as well)
+    rest = parted.select(F.xxhash64("comp", "_part").alias("_k"), "node", "comp", "tokens")
+    led = rest.groupBy("_k").applyInArrow(_within(percent), ROOTS).where("node <> root")
+    other = parted.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).where("_other <> _part")
+    pairs = other.select(F.xxhash64("comp", F.least("_part", "_other"), F.greatest("_part", "_other")).alias("_k"),
+                         F.col("node").alias("root"), (F.col("_part") > F.col("_other")).alias("minor"), "tokens")
+    return links.union(led.select("node", "root")).union(pairs.groupBy("_k").applyInArrow(_across(percent), LINKS))
+
+
 def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(one row per document with its set's name, one row per set's name with its component's label)."""
     size = X.text_size(docs)
@@ -307,9 +336,8 @@ def _labelled(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFra
     large = members.where("_blocks > 1")
     if large.limit(1).count():
         of = large.join(roots.drop("comp"), "node")
-        leaders = of.where("node = root").withColumn("_k", F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("_blocks"))))
-        led = cols(leaders).groupBy("_k").applyInArrow(_within(percent), ROOTS)
-        first = components(of.select(F.col("node").alias("u"), F.col("root").alias("v")).union(led.select("node", "root")))
+        met = _leaders_met(of.where("node = root").select("node", "comp", "tokens"), percent)
+        first = components(of.select(F.col("node").alias("u"), F.col("root").alias("v")).union(met))
         part = materialise(large.join(first, "node").withColumnRenamed("label", "root"))
         counts = part.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("_n"))
         most = counts.groupBy("comp").agg(F.max(F.struct("_n", "root")).alias("_m"), F.count(F.lit(1)).alias("_parts"))

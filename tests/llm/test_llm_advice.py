@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 
-from logscope.llm import catalog, ngram_lm
+from logscope.llm import catalog, jaccard_join, ngram_lm
 from logscope.llm import exchange as X
 
 
@@ -98,3 +98,16 @@ def test_lm_probabilities_come_from_the_trie(monkeypatch):
     assert np.allclose(answer(), [3.002 / 52, 0.002 / 52, 1.002 / 52], rtol=0.07)
     monkeypatch.setattr(ngram_lm.Trie, "find", lambda self, keys: (np.zeros(len(keys), bool), np.zeros(len(keys), np.uint16)))
     assert np.allclose(answer(), 0.002 / 52, rtol=0.07)
+
+
+def test_jaccard_linked_family_in_blocks_leaves_no_minors(spark, monkeypatch):
+    """A family fully linked inside is one component after its leaders have met: no class is copied to all blocks."""
+    def no_minors(percent):
+        def run(tbl):
+            raise ValueError("a block met copies of classes from other blocks")
+        return run
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "_across", no_minors)
+    base = " ".join(f"w{i}" for i in range(200))
+    docs = spark.createDataFrame([(i, f"{base} end{i}") for i in range(40)], "doc_id long, text string")
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {0}
