@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import decontaminate, fm_dedup, gumbel_pieces, jaccard_join, ngram_lm, pii, quality_classifier, quality_rules, suffix_dedup, url_filters
+from logscope.llm import decontaminate, fm_dedup, gumbel_pieces, jaccard_join, ngram_lm, pii, prefix_trie, quality_classifier, quality_rules, suffix_dedup, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gumbel_pieces.encode(table(spark, sf_dir, "documents"), with_ids=False).drop("ids")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.dialogues(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_block_heads(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
@@ -70,8 +75,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_prefix_trie": op11_prefix_trie,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.ORACLE, "op4_url_filters": url_filters.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op4_url_filters": url_filters.ORACLE,
+            "op11_prefix_trie": prefix_trie.ORACLE}

@@ -40,7 +40,7 @@ def test_oracle(spark, name):
     got = run(spark, name)
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    text = lambda d: d[cols].astype(str).sort_values(cols).reset_index(drop=True)
+    text = lambda d: d[cols].convert_dtypes().astype(str).sort_values(cols).reset_index(drop=True)
     pd.testing.assert_frame_equal(text(got), text(want))
 
 
