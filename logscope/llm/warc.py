@@ -316,7 +316,7 @@ class WarcWriter(DataSourceArrowWriter):
                     f = None
                 if f is None:
                     files.append({"name": f"{uuid.uuid4().hex}.warc{'.gz' if self.gz else ''}", "size": 0, "offsets": [0], "records": 0})
-                    f = fs.open_output_stream(f"{root}/{files[-1]['name']}", buffer_size=1 << 20)
+                    f = fs.open_output_stream(f"{root}/{files[-1]['name']}", compression=None, buffer_size=1 << 20)
                     info = encode_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", NO_DATE),
                                           ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                     self._put(f, files[-1], info)
