@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logscope.llm import decontaminate, fm_dedup, gumbel_pieces, jaccard_join, ngram_lm, pii, prefix_trie, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
+from logscope.llm import decontaminate, fm_dedup, gumbel_pieces, jaccard_join, ngram_lm, phrases, pii, prefix_trie, quality_classifier, quality_rules, suffix_dedup, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.with_block_heads(turns))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.through_archives(table(spark, sf_dir, "pages"))
 
@@ -80,10 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_scoring": op9_lm_scoring,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_prefix_trie": op11_prefix_trie,
+        "op12_phrases": op12_phrases,
         "op13_warc": op13_warc,
     }
 
 
 def oracles() -> dict[str, str]:
     return {"op1_quality_rules": quality_rules.ORACLE, "op4_url_filters": url_filters.ORACLE,
-            "op11_prefix_trie": prefix_trie.ORACLE, "op13_warc": warc.ORACLE}
+            "op11_prefix_trie": prefix_trie.ORACLE, "op12_phrases": phrases.ORACLE, "op13_warc": warc.ORACLE}
