@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from logscope.llm.exchange import pack, unpack
-from logscope.llm.textnp import spread
+from logscope.llm.textnp import spread, text_bytes
 
 PAD = -1
 
@@ -49,7 +49,14 @@ class CountAutomaton:
         if n:
             differ[1:, :k] = rows[1:] != rows[:-1]
             differ[0, :] = True
-        common = np.argmax(differ, axis=1).tolist()
+        common = np.argmax(differ, axis=1)
+        # a run: rows that differ in their last symbol only and are no head of the next row; its arcs lead to one state without arcs
+        leaf = np.ones(n, bool)
+        leaf[:-1] = common[1:] < lengths[:-1]
+        joins = np.zeros(n, bool)
+        joins[1:] = leaf[1:] & leaf[:-1] & (lengths[1:] == lengths[:-1]) & (common[1:] == lengths[1:] - 1)
+        begin = np.flatnonzero(~joins)
+        last = rows[np.arange(n), np.maximum(lengths - 1, 0)].tolist() if n else []
         register: dict[tuple, int] = {}
         first, label, target, skip, final, strings = [0], [], [], [], [], []
 
@@ -69,17 +76,24 @@ class CountAutomaton:
                 strings.append(total)
             return state
 
+        end = close([], [], True)
         path: list[tuple[list[int], list[int]]] = [([], [])]
         ends = [False]
-        for row, length, same in zip(rows.tolist(), lengths.tolist(), common, strict=True):
+        heads = rows[begin].tolist()
+        stops = np.append(begin[1:], n)[:len(begin)].tolist()
+        for row, at, stop, length, same, is_leaf in zip(heads, begin.tolist(), stops, lengths[begin].tolist(), common[begin].tolist(), leaf[begin].tolist(), strict=True):
             while len(path) > same + 1:
                 labels, targets = path.pop()
                 path[-1][1].append(close(labels, targets, ends.pop()))
-            for symbol in row[same:length]:
+            for symbol in row[same:length - 1] if is_leaf else row[same:length]:
                 path[-1][0].append(symbol)
                 path.append(([], []))
                 ends.append(False)
-            ends[-1] = True
+            if is_leaf:
+                path[-1][0].extend(last[at:stop])
+                path[-1][1].extend([end] * (stop - at))
+            else:
+                ends[-1] = True
         while len(path) > 1:
             labels, targets = path.pop()
             path[-1][1].append(close(labels, targets, ends.pop()))
@@ -139,32 +153,59 @@ class CountAutomaton:
         return np.concatenate(out_a), np.concatenate(out_b)
 
 
+def _used(codes: np.ndarray, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """New codes by old ones (the last entry stands for the pad), and the bytes and lengths of the strings in use."""
+    flag = np.zeros(len(strings) + 1, bool)
+    flag[codes] = True
+    flag[-1] = False
+    local = np.cumsum(flag) - 1
+    local[-1] = PAD
+    data, off = text_bytes(strings.take(pa.array(np.flatnonzero(flag))))
+    return local, data, np.diff(off).astype(np.uint32)
+
+
+def _strings(data: np.ndarray, lengths: np.ndarray) -> pa.LargeStringArray:
+    off = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=off[1:])
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(off), pa.py_buffer(data.tobytes()))
+
+
 def to_blob(rows: np.ndarray, weights: np.ndarray, langs: pa.Array, words: pa.Array) -> bytes:
     """The automaton of sorted rows (lang code, word codes), with the strings its symbols stand for."""
-    def used(columns, strings):
-        codes = np.unique(columns[columns != PAD])
-        return codes, "\n".join(strings.take(pa.array(codes)).to_pylist()).encode()
-    lang_codes, lang_text = used(rows[:, :1], langs)
-    word_codes, word_text = used(rows[:, 1:], words)
-    local = np.full(rows.shape, PAD, np.int64)
-    local[:, 0] = np.searchsorted(lang_codes, rows[:, 0])
-    local[:, 1:] = np.where(rows[:, 1:] == PAD, PAD, np.searchsorted(word_codes, rows[:, 1:]))
-    m = CountAutomaton.build(local, weights)
-    return pack(m.first, m.label, m.target, m.skip.astype(np.uint32), m.final, m.weights, np.frombuffer(lang_text, np.uint8),
-                np.frombuffer(word_text, np.uint8), np.array([len(lang_codes), len(word_codes)], np.int64))
-
-
-def from_blob(blob: bytes) -> tuple[CountAutomaton, list[str], list[str]]:
-    first, label, target, skip, final, weights, lang_text, word_text, n = unpack(
-        blob, np.int32, np.int32, np.int32, np.uint32, np.uint8, np.int64, np.uint8, np.uint8, np.int64)
-    split = lambda text, k: text.tobytes().decode().split("\n") if k else []
-    return CountAutomaton(first, label, target, skip.astype(np.int64), final, weights), split(lang_text, n[0]), split(word_text, n[1])
+    lang_code, *lang_text = _used(rows[:, 0], langs)
+    word_code, *word_text = _used(rows[:, 1:].ravel(), words)
+    m = CountAutomaton.build(np.column_stack([lang_code[rows[:, :1]], word_code[rows[:, 1:]]]), weights)
+    return pack(m.first, m.label, m.target, m.skip.astype(np.uint32), m.final, m.weights, *lang_text, *word_text)
+
+
+def from_blob(blob: bytes) -> tuple[CountAutomaton, pa.Array, pa.Array]:
+    first, label, target, skip, final, weights, *text = unpack(
+        blob, np.int32, np.int32, np.int32, np.uint32, np.uint8, np.int64, np.uint8, np.uint32, np.uint8, np.uint32)
+    return CountAutomaton(first, label, target, skip.astype(np.int64), final, weights), _strings(*text[:2]), _strings(*text[2:])
+
+
+def sorted_order(rows: np.ndarray, width: int) -> np.ndarray:
+    """Places of rows of codes below ``width`` (pads first) in lexicographic order; as many columns to one key as 63 bits hold."""
+    keys, room = [], 0
+    bits = max(1, int(width).bit_length())  # codes + 1, so that a pad is 0
+    for c in range(rows.shape[1]):
+        if (rows[:, c] == PAD).all():
+            continue
+        if room + bits > 63 or not keys:
+            keys.append(rows[:, c] + 1)
+            room = bits
+        else:
+            keys[-1] = (keys[-1] << bits) | (rows[:, c] + 1)
+            room += bits
+    if not keys:
+        return np.arange(len(rows))
+    return np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
 class Union:
     """The union of automata, equal sequences' counts summed. Holds distinct sequences and a bounded number of new ones."""
 
-    def __init__(self, width: int, limit: int = 1_000_000) -> None:
+    def __init__(self, width: int, limit: int = 500_000) -> None:
         self.width, self.limit = width, limit
         self.langs, self.words = string_array([]), string_array([])
         self.rows, self.weights = np.zeros((0, width), np.int64), np.zeros(0, np.int64)
@@ -175,7 +216,7 @@ class Union:
         m, langs, words = from_blob(blob)
         rows, weights = m.sequences()
         rows = np.pad(rows, ((0, 0), (0, self.width - rows.shape[1])), constant_values=PAD)
-        self.new.append((rows, weights, string_array(langs), string_array(words)))
+        self.new.append((rows, weights, langs, words))
         self.waiting += len(weights)
         if self.waiting >= max(self.limit, len(self.weights)):
             self._fold()
@@ -195,7 +236,7 @@ class Union:
             lang_at += len(langs)
             word_at += len(words)
         rows, weights = np.concatenate(matrices), np.concatenate([p[1] for p in parts])
-        order = np.lexsort(rows.T[::-1])
+        order = sorted_order(rows, max(len(self.langs), len(self.words)))
         rows, weights = rows[order], weights[order]
         if len(rows):
             new = np.ones(len(rows), bool)

@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logscope.llm.count_automata import PAD, CountAutomaton, Union, sorted_codes, string_array, to_blob
+from logscope.llm.count_automata import PAD, CountAutomaton, Union, sorted_codes, sorted_order, string_array, to_blob
 from logscope.llm.textnp import BASE, LOWER, U64, mix, span_hashes, text_bytes
 from logscope.operators.position import range_partitions
 from logscope.session import materialise
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 RANGE_BYTES = 256 << 20
 LEAST_RANGES = 32
 MOST_RANGES = 100_000
@@ -68,7 +68,7 @@ class Shard:
         after &= ~edge[1:]
         lens = np.flatnonzero(inside & ~after) + 1 - starts
         row = np.searchsorted(off, starts, "right") - 1
-        self.piece = np.cumsum(_BREAK[data])[starts] + row if len(starts) else np.zeros(0, np.int64)
+        self.piece = np.cumsum(_BREAK[data], dtype=np.int32)[starts] + row if len(starts) else np.zeros(0, np.int64)
         ends = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(lens, out=ends[1:])
         flat = np.ascontiguousarray(LOWER[data][inside])
@@ -162,25 +162,28 @@ def _grams(s: Shard, orders: tuple[int, ...], has) -> tuple[np.ndarray, np.ndarr
         ok = s.together(2)
         at = np.flatnonzero(ok)
         ok[at] = has(chain(one[at], s.word_hash[s.word[at + 1]]))
-    width = len(s.words)
-    heads, code = np.unique(s.lang * width + s.word, return_inverse=True)
-    rows = np.column_stack([heads // width, heads % width]) if len(heads) else np.zeros((0, 2), np.int64)
-    code = code.ravel()
+    width = max(1, len(s.words))
+    code, rows = s.lang * width + s.word, None  # of one word: lang and word in one number
     good = np.ones(len(s), bool)
     found, counts = [], []
     for k in range(2, max(orders) + 1):
         n = max(0, len(s) - k + 1)
         good = good[:n] & ok[k - 2:k - 2 + n]  # a head of k - 1 words, and the pair that adds the k-th
         at = np.flatnonzero(good)
-        keys, back, c = np.unique(code[at] * width + s.word[at + k - 1], return_inverse=True, return_counts=True)
-        rows = np.column_stack([rows[keys // width], keys % width]) if len(keys) else np.zeros((0, k + 1), np.int64)
-        code = np.zeros(n, np.int64)
-        code[at] = back.ravel()
+        keys, *back, c = np.unique(code[at] * width + s.word[at + k - 1], return_inverse=k < max(orders), return_counts=True)
+        head = keys // width
+        head = np.column_stack([head // width, head % width]) if rows is None else rows[head]
+        rows = np.column_stack([head, keys % width])
+        if k < max(orders):
+            code = np.zeros(n, np.int64)
+            code[at] = back[0].ravel()
         if k in orders:
             found.append(np.pad(rows, ((0, 0), (0, LONGEST + 1 - rows.shape[1])), constant_values=PAD))
             counts.append(c)
+    if len(found) == 1:
+        return found[0], counts[0]
     out, weights = np.concatenate(found), np.concatenate(counts)
-    order = np.lexsort(out.T[::-1])
+    order = sorted_order(out, max(width, len(s.langs)))
     return out[order], weights[order]
 
 
@@ -334,7 +337,7 @@ def _composed(tbl: pa.Table) -> Iterator[pa.RecordBatch]:
     n = n.fill_null(0).to_numpy()
     sides = []
     for at in (np.flatnonzero(~wanted), np.flatnonzero(wanted)):
-        at = at[np.lexsort(m[at].T[::-1])]
+        at = at[sorted_order(m[at], len(tbl) + len(word))]
         sides.append((at, CountAutomaton.build(m[at], n[at])))
     (_, counts), (asked, parts) = sides
     here, there = counts.compose(parts)

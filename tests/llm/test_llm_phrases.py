@@ -85,7 +85,7 @@ def test_automaton_is_minimal_and_holds_all_sequences():
             right[p] = frozenset(r[len(p):] for r in as_dict(rows, weights) if r[:len(p)] == p)
         assert len(m.final) <= len(set(right.values())) + 1  # the root is never shared
     big = np.array([[a, b, c] for a in range(20) for b in range(20) for c in range(20)])
-    assert len(CountAutomaton.build(big, np.arange(8000)).final) == 4
+    assert len(CountAutomaton.build(big, np.arange(8000)).final) == 4  # one state a depth
 
 
 def test_composition_is_the_intersection():
