@@ -113,7 +113,7 @@ class CountAutomaton:
         """All sequences (padded matrix) and their counts, all paths of a depth at a time; shorter ones first."""
         state = np.array([len(self.final) - 1], np.int64)
         rank = np.zeros(1, np.int64)
-        prefix = np.zeros((1, 0), np.int64)
+        prefix = np.zeros((1, 0), np.int32)
         found = []
         while len(state):
             at = np.flatnonzero(self.final[state])
@@ -192,7 +192,7 @@ def sorted_order(rows: np.ndarray, width: int) -> np.ndarray:
         if (rows[:, c] == PAD).all():
             continue
         if room + bits > 63 or not keys:
-            keys.append(rows[:, c] + 1)
+            keys.append(rows[:, c].astype(np.int64) + 1)
             room = bits
         else:
             keys[-1] = (keys[-1] << bits) | (rows[:, c] + 1)
@@ -205,10 +205,10 @@ def sorted_order(rows: np.ndarray, width: int) -> np.ndarray:
 class Union:
     """The union of automata, equal sequences' counts summed. Holds distinct sequences and a bounded number of new ones."""
 
-    def __init__(self, width: int, limit: int = 500_000) -> None:
+    def __init__(self, width: int, limit: int = 200_000) -> None:
         self.width, self.limit = width, limit
         self.langs, self.words = string_array([]), string_array([])
-        self.rows, self.weights = np.zeros((0, width), np.int64), np.zeros(0, np.int64)
+        self.rows, self.weights = np.zeros((0, width), np.int32), np.zeros(0, np.int64)
         self.new: list[tuple] = []
         self.waiting = 0
 
@@ -223,11 +223,12 @@ class Union:
 
     def _fold(self) -> None:
         parts = [(self.rows, self.weights, self.langs, self.words), *self.new]
+        self.new = []
         lang_codes, self.langs = sorted_codes(pa.concat_arrays([p[2] for p in parts]))
         word_codes, self.words = sorted_codes(pa.concat_arrays([p[3] for p in parts]))
         matrices, lang_at, word_at = [], 0, 0
         for rows, _, langs, words in parts:
-            m = np.full(rows.shape, PAD, np.int64)
+            m = np.full(rows.shape, PAD, np.int32)
             if len(rows):
                 m[:, 0] = lang_codes[lang_at:lang_at + len(langs)][rows[:, 0]]
                 mine = np.append(word_codes[word_at:word_at + len(words)], PAD)
@@ -236,6 +237,7 @@ class Union:
             lang_at += len(langs)
             word_at += len(words)
         rows, weights = np.concatenate(matrices), np.concatenate([p[1] for p in parts])
+        del matrices, parts
         order = sorted_order(rows, max(len(self.langs), len(self.words)))
         rows, weights = rows[order], weights[order]
         if len(rows):

@@ -37,10 +37,10 @@ from logscope.operators.position import range_partitions
 from logscope.session import materialise
 
 SHARD_BYTES = 6 << 20
-RANGE_BYTES = 256 << 20
-LEAST_RANGES = 32
+RANGE_BYTES = 32 << 20
+LEAST_RANGES = 128
 MOST_RANGES = 100_000
-SAMPLE_PER_RANGE = 32
+SAMPLE_PER_RANGE = 16
 BITMAP_BITS = 28
 BLOCK_ROWS = 200_000
 LONGEST = 4
