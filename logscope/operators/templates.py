@@ -1,4 +1,4 @@
-"""Message template mining (TPL1-TPL3, TPL5). Work runs on distinct messages and joins
+"""Message template mining (TPL1-TPL5). Work runs on distinct messages and joins
 back: log text repeats heavily, so the distinct set is far smaller than the rows."""
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logscope.session import materialise
+
 WILDCARD = "<*>"
 
 
@@ -163,7 +165,72 @@ def templates_spell(df: DataFrame, text_col: str = "e_message_normalized") -> Da
     return df.join(mapping, df[text_col] == mapping["_text"], "left").drop("_text")
 
 
+def _masked(tokens):
+    """Tokens with a digit as wildcards."""
+    return F.transform(tokens, lambda w: F.when(w.rlike("[0-9]"), F.lit(WILDCARD)).otherwise(w))
+
+
+def _collapsed(tokens):
+    """Runs of wildcards as one."""
+    return F.filter(tokens, lambda w, i: (w != WILDCARD) | (i == 0) | (F.get(tokens, i - 1) != WILDCARD))
+
+
+def _text_id(text) -> list:
+    """Two 64-bit hashes that stand for a text in joins."""
+    return [F.xxhash64(text).alias("_t1"), F.xxhash64(F.lit("#"), text).alias("_t2")]
+
+
+def templates_tip(df: DataFrame, text_col: str = "e_message_normalized", threshold: float = 0.5, support: int = 2) -> DataFrame:
+    """Token-interdependency templates: messages are known by the tokens that imply each other.
+
+    * Tokens with a digit become ``<*>``; equal masked messages are one message with a row count, and the work below is
+      done once for each. Tokens in fewer than ``support`` rows leave before any pair is made.
+    * Two tokens depend on each other when each stands in at least ``threshold`` of the other's rows:
+      ``n(a, b) >= threshold * max(n(a), n(b))``. Such a token has at most (mean message length / threshold) partners.
+    * A message's anchor is its token with the most partners in the message (then the more frequent, then the first in
+      text order). Anchor and partners are its key tokens; messages with one set of key tokens are one event.
+    * An event's template is its most frequent skeleton: key tokens as they stand, each run of others one ``<*>``
+      (on ties the first in text order). A message without key tokens is an event by its skeleton.
+
+    Pairs are made by two explodes (never one array of all pairs) and counted with a combine before the shuffle: their number
+    grows with the distinct masked messages. -> ``df + (event_id, template)``; null text has neither."""
+    text = F.col(text_col)
+    raw = df.where(text.isNotNull()).groupBy(text.alias("_text")).agg(F.count(F.lit(1)).alias("_w"))
+    raw = raw.withColumn("_tok", _masked(_tokens(F.col("_text")))).withColumn("_mask", F.array_join("_tok", " "))
+    raw = materialise(raw.select("_text", "_w", "_tok", *_text_id(F.col("_mask"))))
+    masked = raw.groupBy("_t1", "_t2").agg(F.sum("_w").alias("_w"), F.first("_tok").alias("_tok"))
+    masked = materialise(masked)
+    held = masked.select("_t1", "_t2", "_w", F.explode(F.array_distinct("_tok")).alias("_a")).where(F.col("_a") != WILDCARD)
+    counts = held.groupBy("_a").agg(F.sum("_w").alias("_n")).where(F.col("_n") >= support)
+    held = materialise(held.join(counts, "_a"))  # (message, token, rows of the message, rows of the token)
+    lists = held.groupBy("_t1", "_t2", "_w").agg(F.sort_array(F.collect_list(F.struct("_a", "_n"))).alias("_l"))
+    pairs = (lists.select("_w", "_l", F.posexplode("_l").alias("_i", "_x"))
+             .select("_w", "_x", F.explode(F.slice("_l", F.col("_i") + 2, F.size("_l"))).alias("_y"))
+             .groupBy(F.col("_x._a").alias("_a"), F.col("_y._a").alias("_b"), F.col("_x._n").alias("_na"), F.col("_y._n").alias("_nb"))
+             .agg(F.sum("_w").alias("_nab"))
+             .where(F.col("_nab") >= F.greatest("_na", "_nb") * F.lit(threshold)).select("_a", "_b"))
+    pairs = materialise(pairs)
+    pairs = pairs.unionByName(pairs.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
+    present = held.select("_t1", "_t2", F.col("_a").alias("_b"))
+    partners = (held.join(pairs, "_a").join(present, ["_t1", "_t2", "_b"])
+                .groupBy("_t1", "_t2", "_a", "_n").agg(F.collect_list("_b").alias("_p")))
+    partners = held.select("_t1", "_t2", "_a", "_n").join(partners.drop("_n"), ["_t1", "_t2", "_a"], "left")
+    order = F.struct(-F.size(F.coalesce("_p", F.array().cast("array<string>"))), -F.col("_n"), F.col("_a"))
+    best = partners.groupBy("_t1", "_t2").agg(F.min_by(F.struct("_a", "_p"), order).alias("_best"))
+    keys = best.select("_t1", "_t2", F.array_sort(F.concat(F.array("_best._a"), F.coalesce("_best._p", F.array().cast("array<string>")))).alias("_keys"))
+    found = masked.join(keys, ["_t1", "_t2"], "left").withColumn("_keys", F.coalesce("_keys", F.array().cast("array<string>")))
+    found = found.withColumn("_skeleton", F.array_join(_collapsed(F.transform(
+        "_tok", lambda w: F.when(F.array_contains("_keys", w), w).otherwise(F.lit(WILDCARD)))), " "))
+    found = found.select("_t1", "_t2", "_w", "_skeleton", F.when(F.size("_keys") > 0, F.array_join("_keys", " ")).alias("_event"))
+    found = materialise(found.withColumn("_event", F.coalesce(F.concat(F.lit("k "), "_event"), F.concat(F.lit("s "), "_skeleton"))))
+    votes = found.groupBy("_event", "_skeleton").agg(F.sum("_w").alias("_w"))
+    shown = votes.groupBy("_event").agg(F.min_by("_skeleton", F.struct(-F.col("_w"), F.col("_skeleton"))).alias("template"))
+    mapping = (raw.select("_text", "_t1", "_t2").join(found.join(shown, "_event").select("_t1", "_t2", "_event", "template"), ["_t1", "_t2"])
+               .select("_text", F.md5("_event").alias("event_id"), "template"))
+    return df.join(mapping, df[text_col] == mapping["_text"], "left").drop("_text")
+
+
 def templates(df: DataFrame, method: str = "iplom", text_col: str = "e_message_normalized") -> DataFrame:
-    """Dispatch by method name: iplom, brain, drain, spell."""
+    """Dispatch by method name: iplom, brain, drain, spell, tip."""
     return {"iplom": templates_iplom, "pliplom": templates_iplom, "brain": templates_brain,
-            "drain": templates_drain, "spell": templates_spell}[method](df, text_col)
+            "drain": templates_drain, "spell": templates_spell, "tip": templates_tip}[method](df, text_col)

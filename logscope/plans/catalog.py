@@ -945,6 +945,35 @@ def _enhanced(spark, sf):
         "_line_key", F.xxhash64("source_file", "line_no"))
 
 
+_TIP_SQL = """
+m0 AS (SELECT message, list_transform(list_filter(regexp_split_to_array(message, '\\s+'), lambda w: w <> ''),
+       lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS tok FROM log_view WHERE message IS NOT NULL),
+m AS (SELECT tok, count(*) AS w FROM m0 GROUP BY tok),
+h0 AS (SELECT tok, w, unnest(list_distinct(tok)) AS a FROM m),
+c AS (SELECT a, sum(w) AS n FROM h0 WHERE a <> '<*>' GROUP BY a HAVING sum(w) >= 2),
+h AS (SELECT h0.tok, h0.w, h0.a, c.n FROM h0 JOIN c USING (a)),
+pr AS (SELECT x.a, y.a AS b FROM h x JOIN h y ON x.tok = y.tok AND x.a <> y.a
+       GROUP BY x.a, y.a, x.n, y.n HAVING sum(x.w) >= 0.5 * greatest(x.n, y.n)),
+part AS (SELECT h.tok, h.a, h.n, list(y.a) FILTER (WHERE y.a IS NOT NULL) AS p
+         FROM h LEFT JOIN pr ON pr.a = h.a LEFT JOIN h y ON y.tok = h.tok AND y.a = pr.b GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY tok ORDER BY coalesce(len(p), 0) DESC, n DESC, a) AS o FROM part),
+ev AS (SELECT m.tok, m.w, list_sort(list_concat([b.a], coalesce(b.p, []))) AS keys FROM m LEFT JOIN best b ON b.tok = m.tok AND b.o = 1),
+sk0 AS (SELECT tok, w, keys, list_transform(tok, lambda t: CASE WHEN list_contains(keys, t) THEN t ELSE '<*>' END) AS s FROM ev),
+sk AS (SELECT tok, w, array_to_string(list_filter(s, lambda x, i: x <> '<*>' OR i = 1 OR s[i - 1] <> '<*>'), ' ') AS sk,
+       CASE WHEN keys[1] IS NOT NULL THEN 'k ' || array_to_string(keys, ' ') END AS e FROM sk0),
+f AS (SELECT tok, w, sk, coalesce(e, 's ' || sk) AS e FROM sk),
+v AS (SELECT e, sk, row_number() OVER (PARTITION BY e ORDER BY sum(w) DESC, sk) AS o FROM f GROUP BY e, sk)
+"""
+
+
+@register("templates_tip", with_views(
+    "SELECT l.message, v.sk AS template, md5(f.e) AS event_id FROM m0 l JOIN f ON f.tok = l.tok JOIN v ON v.e = f.e AND v.o = 1",
+    "log_view", extra=_TIP_SQL))
+def q_templates_tip(spark, sf):
+    from logscope.operators.templates import templates_tip
+    return templates_tip(lv(spark, sf).select("message"), "message").select("message", "template", "event_id")
+
+
 @register("templates_drain")
 def q_drain(spark, sf):
     from logscope.operators.templates import templates_drain
