@@ -315,6 +315,16 @@ def q_far_semantic(spark, sf):
     return edge_out(ctx.far_semantic(df, 5, "embedding", True, "line_id"))
 
 
+@register("far_semantic_index", with_views(
+    "SELECT anomaly_id, context_id, 'semantic' AS kind, rank, round(similarity, 6) AS similarity FROM sem",
+    "vector_view", extra=f"{VBASE_SQL},{orc.semantic_ctes()}"))
+def q_far_semantic_index(spark, sf):
+    """Inverted lists: the oracle's rows where a table has at most list_rows * probes vectors, approximate beyond."""
+    from logscope.operators.vector_index import far_semantic_index
+    df = with_position(view(spark, sf, "vector_view"), "line_id")
+    return edge_out(far_semantic_index(df, 5, "embedding", True, "line_id"))
+
+
 HBASE_SQL = ("hbase AS (SELECT line_id, message, embedding, anomaly, row_number() OVER (ORDER BY line_id) - 1 AS pos "
              "FROM hybrid_view)")
 
