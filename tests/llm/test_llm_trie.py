@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 from logscope.llm import prefix_trie as pt
+from logscope.session import materialise
 
 SCHEMA = "conv_id long, turn int, role string, text string, pos string, key int, start double"
 
@@ -62,7 +63,7 @@ def random_rows(seed, n=60, longest=9, words=3):
 
 def test_against_brute_force(spark, seed=1):
     rows = random_rows(seed, n=150)
-    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    df = materialise(spark.createDataFrame(rows, SCHEMA).repartition(5))
     got = rows_of(pt.prefix_trie(pt.with_block_heads(pt.dialogues(df))))
     assert got == brute(rows)
 
@@ -72,7 +73,7 @@ def test_short_segments_and_many_shards(spark, segment=4):
     rows = random_rows(5, n=80, longest=10, words=2)
     rows += [(c, t, "user", f"copy {t}", "x", 1, 0.5) for c in range(1000, 1040) for t in range(11)]  # equal conversations
     rows += [(2000 + c, t, "user", f"copy {t}" if t < 6 + c % 3 else f"own {c}", "x", 1, 0.5) for c in range(30) for t in range(5 + c % 5)]
-    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    df = materialise(spark.createDataFrame(rows, SCHEMA).repartition(4))
     got = rows_of(pt.prefix_trie(pt.dialogues(df), segment=segment, shard_turns=40))
     assert got == brute(rows, mixed=False)
 
@@ -80,7 +81,7 @@ def test_short_segments_and_many_shards(spark, segment=4):
 def test_hot_conversation_over_shards(spark):
     """A third of all ids hold one conversation: its ends are chunks of several shards, in the order of the ids."""
     rows = [(c, t, "user", "the same" if c % 3 == 0 else f"text {c}", "x", 1, 0.5) for c in range(900) for t in range(2)]
-    df = spark.createDataFrame(rows, SCHEMA)
+    df = materialise(spark.createDataFrame(rows, SCHEMA))
     got = rows_of(pt.prefix_trie(pt.dialogues(df), shard_turns=100))
     assert got == brute(rows, mixed=False)
 
