@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from logscope.operators import vector_index as vi
 from logscope.operators.context import far_semantic
+from logscope.session import materialise
 
 
 def frame(spark, x, flags):
-    return spark.createDataFrame([(i, i, [float(v) for v in r], bool(f)) for i, (r, f) in enumerate(zip(x, flags, strict=True))],
-                                 "LineId long, pos long, embedding array<double>, anomaly boolean").repartition(6)
+    return materialise(spark.createDataFrame([(i, i, [float(v) for v in r], bool(f)) for i, (r, f) in enumerate(zip(x, flags, strict=True))],
+                                 "LineId long, pos long, embedding array<double>, anomaly boolean").repartition(6))
 
 
 def edges(df):
