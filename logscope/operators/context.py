@@ -8,14 +8,17 @@ anomaly flag.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logscope.operators.position import with_position
 from logscope.session import materialise
 
 EDGE_COLUMNS = ["anomaly_id", "anomaly_pos", "context_id", "context_pos", "kind", "rank", "similarity"]
@@ -75,35 +78,59 @@ def _pair_dots(a_terms: DataFrame, c_terms: DataFrame) -> DataFrame:
             .groupBy("_a1", "_a2", "_h1", "_h2").agg(F.sum(F.col("_atf") * F.col("tf")).alias("_dot")))
 
 
+def _not_beaten(df: DataFrame, keys: list[str], value: str, k: int, earlier_only: bool, parts: str | None = None) -> DataFrame:
+    """Of each group the rows that can be among the top ``k`` (value desc, then least ``context_id``) of rows before some id: those
+    with fewer than ``k`` rows of smaller id and at least their value (a k-skyband). Without ``earlier_only``, the top ``k``.
+
+    ``parts`` names a column by which large groups are thinned out first, part by part; what
+    is beaten in a part is beaten in the whole."""
+    if not earlier_only:
+        w = Window.partitionBy(*keys).orderBy(F.col(value).desc(), F.col("context_id").asc())
+        return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+    def run(tbl: pa.Table) -> pa.Table:
+        tbl = tbl.sort_by([("context_id", "ascending")])
+        best: list[float] = []
+        keep = []
+        for i, v in enumerate(tbl.column(value).to_pylist()):
+            if len(best) < k:
+                heapq.heappush(best, v)
+            elif v > best[0]:
+                heapq.heapreplace(best, v)
+            else:
+                continue
+            keep.append(i)
+        return tbl.take(pa.array(keep, pa.int64()))
+
+    if parts:
+        df = df.groupBy(*keys, parts).applyInArrow(run, df.schema)
+    return df.groupBy(*keys).applyInArrow(run, df.schema)
+
+
 def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col: str = "message",
                 id_col: str = "LineId", pos_col: str = "pos", flag_col: str = "anomaly",
-                max_df: float | None = None, shortlist: int | None = None, hot_df: int = 64,
-                direct_rows: int = 50_000) -> DataFrame:
+                max_df: float | None = None, hot_df: int = 64, block: int = 4096) -> DataFrame:
     """Top ``k`` earlier rows by cosine of raw term counts (lower-cased ``\\w\\w+`` tokens).
 
-    Exact, with lossless reductions:
+    Exact, in a constant number of jobs, with lossless reductions:
 
-    * similarity depends only on the two texts, so it is computed on distinct texts;
-    * of each text only its ``k`` earliest rows can be chosen;
+    * similarity depends only on the two texts, so it is computed on distinct texts, of
+      each of which only the ``k`` earliest rows can be chosen;
     * zero-similarity fill needs only the first ``k`` rows of the table;
-    * shortlist: per anomaly text only its best ``shortlist`` (default ``4k``)
-      candidate texts and rows are needed for every anomaly row that has at
-      least ``k`` shortlisted rows before it. Of the other rows, those in the first half of the table are
-      asked again on that half alone (so work halves each time), the later ones with a shortlist four
-      times as long; once at most ``direct_rows`` candidate rows lie before them, a
-      full join on these rows answers what is left;
-    * hot terms (in more than ``hot_df`` texts) make an all-pairs term join
-      quadratic. Texts are split into a hot part (their "signature") and a rare
-      part. Without rare-term overlap a candidate's similarity is a function of
-      its signature, norm and first row only, so for each anomaly signature the
-      best ``shortlist`` texts by ``hot dot / norm`` (ties kept) plus the
-      rare-overlap texts and the fill texts contain the true shortlist. Exact
-      similarities are then computed only for those candidates.
+    * terms in at most ``hot_df`` texts are rare: texts that share one are paired by it (at most ``hot_df`` pairs a posting);
+    * other texts can share hot terms only. Their similarity depends on the text's hot terms with counts (its signature) and its norm:
+      texts of one signature and norm are a class, of which again only the ``k`` earliest rows count;
+    * classes stand in blocks of ``block`` in the order of their first rows. Each block has inverted lists and, for each hot
+      term, the greatest weight in it. Every signature is compared with the first block. A later block is read
+      only if its bound - the sum of its greatest weights for the signature's terms - exceeds the signature's ``k``-th best of
+      the first block: rows of equal similarity there are earlier, so they win ties (bounds are compared with a relative slack of 1e-13,
+      far below the difference of two unequal similarities of texts of less than some thousand words);
+    * what an anomaly row may choose from is the same for all rows of its text but for the limit on ids. A row that ``k`` earlier
+      rows equal or beat is never chosen, whatever the limit; the others (a few times ``k``) are kept, joined with the anomaly rows, and cut to ``k``.
 
     ``max_df`` (off by default) drops terms in more than that fraction of texts:
     an approximation for extreme vocabularies.
     """
-    spark = df.sparkSession
     rows = df.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("context_id"), F.col(pos_col).alias("context_pos"),
         F.col(flag_col).alias("_flag"), F.col(text_col).alias("_text"), *_text_key(F.col(text_col)))
@@ -126,120 +153,81 @@ def far_lexical(df: DataFrame, k: int = 5, earlier_only: bool = True, text_col:
         F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"))
     a_keys = anomaly_rows.select("_a1", "_a2").distinct()
 
-    # per text: norm, first row, hot signature (a 128-bit key of its sorted hot terms and counts)
+    # per text with terms: norm, hot signature (a 128-bit key of its sorted hot terms and counts)
     sig_txt = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("term", "tf"))),
                                        lambda x: F.concat(x["term"], F.lit("\u0001"), x["tf"].cast("string"))),
                            "\u0002")
     sigs = (terms.where("_hot").groupBy("_h1", "_h2").agg(sig_txt.alias("_sigtxt"))
             .select("_h1", "_h2", F.xxhash64("_sigtxt").alias("_s1"), F.xxhash64(F.lit("#"), "_sigtxt").alias("_s2")))
     norms = terms.groupBy("_h1", "_h2").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("_norm"))
-    info = (cands.groupBy("_h1", "_h2").agg(F.min("context_id").alias("_first"))  # every text, tokens or not
-            .join(norms, ["_h1", "_h2"], "left").withColumn("_norm", F.coalesce("_norm", F.lit(0.0)))
-            .join(sigs, ["_h1", "_h2"], "left"))
-    info = materialise(info)
+    info = materialise(norms.join(sigs, ["_h1", "_h2"], "left"))
     a_info = info.join(a_keys.select(F.col("_a1").alias("_h1"), F.col("_a2").alias("_h2")), ["_h1", "_h2"],
                        "left_semi").select(F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"),
                                            F.col("_norm").alias("_anorm"), F.col("_s1").alias("_sa1"),
                                            F.col("_s2").alias("_sa2"))
+    similarity = lambda dot: F.round(F.try_divide(dot, F.col("_anorm") * F.col("_norm")), SIM_DIGITS).alias("similarity")
+    chosen = ["_a1", "_a2", "context_id", "context_pos", "similarity"]
 
-    t = max(shortlist or 4 * k, k)
-
-    # hot part: dot products between signatures (few distinct), then per anomaly signature
-    # the best t texts by hot dot / norm among each candidate signature's best t texts
-    sig_terms = (terms.where("_hot").join(sigs, ["_h1", "_h2"])
-                 .dropDuplicates(["_s1", "_s2", "term"]).select("_s1", "_s2", "term", "tf"))
+    # terms of signatures (of one text each), and of those of anomalies
+    sig_terms = materialise(terms.where("_hot").join(sigs, ["_h1", "_h2"])
+                            .dropDuplicates(["_s1", "_s2", "term"]).select("_s1", "_s2", "term", "tf"))
     a_sigs = a_info.select(F.col("_sa1").alias("_s1"), F.col("_sa2").alias("_s2")).where("_s1 IS NOT NULL").distinct()
-    a_sig_terms = sig_terms.join(a_sigs, ["_s1", "_s2"], "left_semi").select(
-        F.col("_s1").alias("_sa1"), F.col("_s2").alias("_sa2"), "term", F.col("tf").alias("_atf"))
-    sig_dots = materialise(a_sig_terms.join(sig_terms, "term").groupBy("_sa1", "_sa2", "_s1", "_s2")
-                           .agg(F.sum(F.col("_atf") * F.col("tf")).alias("_hdot")))
-    wg = Window.partitionBy("_s1", "_s2").orderBy(F.col("_norm").asc(), F.col("_first").asc())
-    g_top = (info.where("_s1 IS NOT NULL AND _norm > 0").withColumn("_gr", F.row_number().over(wg)).where(F.col("_gr") <= t)
-             .select("_s1", "_s2", "_h1", "_h2", "_norm"))
-    wsa = Window.partitionBy("_sa1", "_sa2").orderBy(F.round(F.col("_hdot") / F.col("_norm"), 9).desc())
-    sa_top = (sig_dots.join(g_top, ["_s1", "_s2"]).withColumn("_rk", F.rank().over(wsa))
-              .where(F.col("_rk") <= t).select("_sa1", "_sa2", "_h1", "_h2"))
-    from_sig = a_info.join(sa_top, ["_sa1", "_sa2"]).select("_a1", "_a2", "_h1", "_h2")
-
-    # rare part: texts sharing a rare term with the anomaly text
-    a_rare = (terms.where(~F.col("_hot")).join(a_keys.select(F.col("_a1").alias("_h1"), F.col("_a2").alias("_h2")),
-                                                ["_h1", "_h2"], "left_semi")
+    a_sig_terms = materialise(sig_terms.join(a_sigs, ["_s1", "_s2"], "left_semi").select(
+        F.col("_s1").alias("_sa1"), F.col("_s2").alias("_sa2"), "term", F.col("tf").alias("_atf")))
+    dot = F.sum(F.col("_atf") * F.col("tf"))
+
+    # texts that share a rare term with the anomaly text: their whole dot products
+    rare = terms.where(~F.col("_hot")).select("_h1", "_h2", "term", "tf")
+    a_rare = (rare.join(a_keys.select(F.col("_a1").alias("_h1"), F.col("_a2").alias("_h2")), ["_h1", "_h2"], "left_semi")
               .select(F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"), "term", F.col("tf").alias("_atf")))
-    rare_dots = _pair_dots(a_rare, terms.where(~F.col("_hot")).select("_h1", "_h2", "term", "tf"))
+    near = materialise(_pair_dots(a_rare, rare).join(a_info, ["_a1", "_a2"]).join(info, ["_h1", "_h2"]))
+    wanted = near.where("_s1 IS NOT NULL AND _sa1 IS NOT NULL").select("_sa1", "_sa2", "_s1", "_s2").distinct()
+    hot_dots = (wanted.join(a_sig_terms, ["_sa1", "_sa2"]).join(sig_terms, ["_s1", "_s2", "term"])
+                .groupBy("_sa1", "_sa2", "_s1", "_s2").agg(dot.alias("_hdot")))
+    by_rare = (near.join(hot_dots, ["_sa1", "_sa2", "_s1", "_s2"], "left").join(cands, ["_h1", "_h2"])
+               .select("_a1", "_a2", "context_id", "context_pos", similarity(F.col("_dot") + F.coalesce("_hdot", F.lit(0)))))
+
+    # classes of one signature and norm, in blocks by their first rows
+    wc = Window.partitionBy("_s1", "_s2", "_norm").orderBy("context_id")
+    members = materialise(cands.join(info.where("_s1 IS NOT NULL"), ["_h1", "_h2"])
+                          .withColumn("_r", F.row_number().over(wc)).where(F.col("_r") <= k)
+                          .select("_s1", "_s2", "_norm", "context_id", "context_pos", "_r"))
+    order = with_position(members.where("_r = 1").select("_s1", "_s2", "_norm", F.col("context_id").alias("_from")), ["_from", "_s1", "_s2", "_norm"], out="_rank")
+    order = order.select("_s1", "_s2", "_norm", F.floor(F.col("_rank") / F.lit(block)).alias("_blk"))
+    members = materialise(members.drop("_r").join(order, ["_s1", "_s2", "_norm"]))
+    lists = members.groupBy("_blk", "_s1", "_s2").agg(F.min("_norm").alias("_least")).join(sig_terms, ["_s1", "_s2"])
+    value = F.col("_hdot") / F.col("_norm")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return (pairs.join(members, ["_blk", "_s1", "_s2"])
+                .select("_sa1", "_sa2", "_blk", "context_id", "context_pos", "_norm", "_hdot", value.alias("_v")))
+
+    first = lists.where("_blk = 0").select("_blk", "_s1", "_s2", "term", "tf")
+    hits = materialise(compared(a_sig_terms.join(first, "term").groupBy("_sa1", "_sa2", "_blk", "_s1", "_s2").agg(dot.alias("_hdot"))))
+    wv = Window.partitionBy("_sa1", "_sa2").orderBy(F.col("_v").desc())
+    reached = hits.withColumn("_r", F.row_number().over(wv)).where(F.col("_r") == k).select("_sa1", "_sa2", F.col("_v").alias("_theta"))
+    later = materialise(lists.where("_blk > 0").withColumn("_weight", F.col("tf") / F.col("_least")))
+    greatest = later.groupBy("_blk", "term").agg(F.max("_weight").alias("_weight"))
+    bounds = a_sig_terms.join(greatest, "term").groupBy("_sa1", "_sa2", "_blk").agg(F.sum(F.col("_atf") * F.col("_weight")).alias("_bound"))
+    open_ = (bounds.join(reached, ["_sa1", "_sa2"], "left").where(F.col("_theta").isNull() | (F.col("_bound") > F.col("_theta") * (1 + 1e-13)))
+             .select("_sa1", "_sa2", "_blk"))
+    more = (open_.join(a_sig_terms, ["_sa1", "_sa2"]).join(later, ["_blk", "term"])
+            .groupBy("_sa1", "_sa2", "_blk", "_s1", "_s2").agg(dot.alias("_hdot")))
+    found = materialise(_not_beaten(hits.unionByName(compared(more)), ["_sa1", "_sa2"], "_v", k, earlier_only, "_blk"))
+    by_class = a_info.join(found, ["_sa1", "_sa2"]).select("_a1", "_a2", "context_id", "context_pos", similarity(F.col("_hdot")))
 
     # zero-similarity fill: only the first k rows of the table can ever be needed
-    first = rows.orderBy("context_id").limit(k).select("_h1", "_h2").distinct().collect()
-    if first:
-        pad_arr = F.array(*[F.struct(F.lit(r["_h1"]).alias("_h1"), F.lit(r["_h2"]).alias("_h2")) for r in first])
-        pads = (a_keys.select("_a1", "_a2", F.explode(pad_arr).alias("_p"))
-                .select("_a1", "_a2", F.col("_p._h1").alias("_h1"), F.col("_p._h2").alias("_h2")))
-    else:  # no text at all: nothing to fill with
-        pads = a_keys.select("_a1", "_a2", F.col("_a1").alias("_h1"), F.col("_a2").alias("_h2")).where(F.lit(False))
-
-    # exact similarities of the candidate texts
-    pairs = (from_sig.unionByName(rare_dots.select("_a1", "_a2", "_h1", "_h2")).unionByName(pads)
-             .dropDuplicates(["_a1", "_a2", "_h1", "_h2"]))
-    pairs = (pairs.join(rare_dots, ["_a1", "_a2", "_h1", "_h2"], "left")
-             .join(a_info, ["_a1", "_a2"]).join(info, ["_h1", "_h2"])
-             .join(sig_dots, ["_sa1", "_sa2", "_s1", "_s2"], "left"))
-    dot = F.coalesce(F.col("_hdot"), F.lit(0)) + F.coalesce(F.col("_dot"), F.lit(0))
-    sims = pairs.select("_a1", "_a2", "_h1", "_h2", "_first",
-                        F.coalesce(F.round(F.try_divide(dot, F.col("_anorm") * F.col("_norm")), SIM_DIGITS),
-                                   F.lit(0.0)).alias("similarity"))
-
-    # shortlist: best t texts, then best t rows of them, per anomaly text
-    wt = Window.partitionBy("_a1", "_a2").orderBy(F.col("similarity").desc(), F.col("_first"))
-    top_texts = sims.withColumn("_tr", F.row_number().over(wt)).where(F.col("_tr") <= t).select(
-        "_a1", "_a2", "_h1", "_h2", "similarity")
-    wr = Window.partitionBy("_a1", "_a2").orderBy(F.col("similarity").desc(), F.col("context_id"))
-    short = materialise(top_texts.join(cands, ["_h1", "_h2"]).withColumn("_sr", F.row_number().over(wr))
-                        .where(F.col("_sr") <= t).select("_a1", "_a2", "context_id", "context_pos", "similarity"))
-    p1 = anomaly_rows.join(short, ["_a1", "_a2"])
+    fill = F.broadcast(rows.orderBy("context_id").limit(k).select("context_id", "context_pos").withColumn("_one", F.lit(1)))
+    pads = (a_keys.withColumn("_one", F.lit(1)).join(fill, "_one")
+            .select("_a1", "_a2", "context_id", "context_pos", F.lit(0.0).alias("similarity")))
+
+    options = (by_class.unionByName(by_rare).unionByName(pads).groupBy("_a1", "_a2", "context_id", "context_pos")
+               .agg(F.coalesce(F.max("similarity"), F.lit(0.0)).alias("similarity")).select(*chosen))
+    options = materialise(_not_beaten(options, ["_a1", "_a2"], "similarity", k, earlier_only))
+    pairs = anomaly_rows.join(options, ["_a1", "_a2"])
     if earlier_only:
-        p1 = p1.where(F.col("context_id") < F.col("anomaly_id"))
-    p1 = p1.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", "similarity")
-    found = p1.groupBy("anomaly_id").agg(F.count(F.lit(1)).alias("_q"))
-    status = materialise(anomaly_rows.join(found, "anomaly_id", "left")
-                         .withColumn("_settled", F.coalesce("_q", F.lit(0)) >= k))
-    keep = ["anomaly_id", "anomaly_pos", "context_id", "context_pos", "similarity", "rank"]
-    top = _top_k(p1.join(status.where("_settled").select("anomaly_id"), "anomaly_id", "left_semi"), k).select(*keep)
-
-    # unsettled anomaly rows: full candidate lists, restricted to rows before the last of them
-    open_rows = status.where(~F.col("_settled")).select("anomaly_id", "anomaly_pos", "_a1", "_a2")
-    last = open_rows.agg(F.max("anomaly_id").alias("m"), F.count(F.lit(1)).alias("n")).collect()[0]
-    before = cands.where(F.col("context_id") < F.lit(last["m"])) if earlier_only else cands
-    if last["n"] and before.limit(direct_rows + 1).count() > direct_rows:
-        cut = before.agg(F.percentile_approx("context_id", 0.5).alias("c")).first()["c"]
-        low = open_rows.where(F.col("anomaly_id") <= F.lit(cut)) if earlier_only else open_rows.where(F.lit(False))
-        high = open_rows.where(F.col("anomaly_id") > F.lit(cut)) if earlier_only else open_rows
-        for part, rows_of, size in ((low, df.where(F.col(id_col) <= F.lit(cut)), shortlist), (high, df, 4 * t)):
-            if part.limit(1).count():
-                only = materialise(part.select(F.col("anomaly_id").alias("_only")))
-                again = rows_of.join(only, rows_of[id_col] == only["_only"], "left").withColumn(
-                    flag_col, F.col("_only").isNotNull()).drop("_only")
-                more = far_lexical(again, k, earlier_only, text_col, id_col, pos_col, flag_col, max_df, size, hot_df, direct_rows)
-                top = top.unionByName(more.select(*keep))
-    elif last["n"]:
-        early = cands.where(F.col("context_id") < F.lit(last["m"])) if earlier_only else cands
-        early_texts = early.select("_h1", "_h2").distinct()
-        o_keys = open_rows.select("_a1", "_a2").distinct()
-        o_terms = (terms.join(o_keys.select(F.col("_a1").alias("_h1"), F.col("_a2").alias("_h2")), ["_h1", "_h2"],
-                              "left_semi")
-                   .select(F.col("_h1").alias("_a1"), F.col("_h2").alias("_a2"), "term", F.col("tf").alias("_atf")))
-        c_terms = terms.join(early_texts, ["_h1", "_h2"], "left_semi").select("_h1", "_h2", "term", "tf")
-        full = _pair_dots(o_terms, c_terms).select("_a1", "_a2", "_h1", "_h2")
-        o_pads = pads.join(o_keys, ["_a1", "_a2"], "left_semi")
-        fp = full.unionByName(o_pads).dropDuplicates(["_a1", "_a2", "_h1", "_h2"])
-        fp = (fp.join(_pair_dots(o_terms, c_terms), ["_a1", "_a2", "_h1", "_h2"], "left")
-              .join(a_info.select("_a1", "_a2", "_anorm"), ["_a1", "_a2"]).join(info.select("_h1", "_h2", "_norm"),
-                                                                                ["_h1", "_h2"]))
-        fsims = fp.select("_a1", "_a2", "_h1", "_h2", F.coalesce(F.round(
-            F.try_divide(F.col("_dot"), F.col("_anorm") * F.col("_norm")), SIM_DIGITS), F.lit(0.0)).alias("similarity"))
-        op = open_rows.join(fsims, ["_a1", "_a2"]).join(early, ["_h1", "_h2"])
-        if earlier_only:
-            op = op.where(F.col("context_id") < F.col("anomaly_id"))
-        top = top.unionByName(_top_k(op.select("anomaly_id", "anomaly_pos", "context_id", "context_pos",
-                                               "similarity"), k).select(*keep))
+        pairs = pairs.where(F.col("context_id") < F.col("anomaly_id"))
+    top = _top_k(pairs.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", "similarity"), k)
     return top.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", F.lit("lexical").alias("kind"),
                       F.col("rank").cast("int"), "similarity")
 
@@ -306,7 +294,6 @@ def far_semantic(df: DataFrame, k: int = 5, vec_col: str = "embedding", earlier_
     keyed = keyed.withColumn("_nth", F.row_number().over(same)).withColumn("_chosen", F.col("_nth") <= k)
     if earlier_only:
         # ids are compared as they are: a rank by id is the same order at every size
-        from logscope.operators.position import with_position
         keyed = with_position(keyed.where(F.col("_chosen") | (F.col("_flag") == F.lit(True))), "_id", out="_rank")
         blk = F.floor(F.col("_rank") / F.lit(block)).cast("int")
         last = keyed.agg(F.max("_rank").alias("m")).first()["m"]

@@ -118,12 +118,12 @@ def test_gather_exact_vs_member(spark):
     assert exact[3] == ["m1", "m2", "m3", "m4", "m5"]
 
 
-@pytest.mark.parametrize("hot_df,shortlist", [(2, None), (1, 5), (3, 12)])
-def test_far_lexical_hot_split_matches_brute_force(spark, hot_df, shortlist):
+@pytest.mark.parametrize("hot_df,block", [(2, 4096), (1, 5), (3, 12)])
+def test_far_lexical_hot_split_matches_brute_force(spark, hot_df, block):
     rows = random_rows(9, 90)
     df = frame(spark, rows, parts=5)
     got = {}
-    for r in ctx.far_lexical(df, 4, hot_df=hot_df, shortlist=shortlist).collect():
+    for r in ctx.far_lexical(df, 4, hot_df=hot_df, block=block).collect():
         got.setdefault(r["anomaly_id"], []).append((r["rank"], r["context_id"], round(r["similarity"], 9)))
     pairs = [(i, t) for i, t, _ in rows]
     for idx, (i, t, f) in enumerate(rows):
@@ -175,19 +175,39 @@ def test_semantic_repeated_vectors_are_cut_exactly(spark):
             assert [c for _, c in sorted(got.get(i, []))] == [j for _, j in best]
 
 
-def test_far_lexical_by_halves_matches_brute_force(spark):
-    """Sessions whose second line is the anomaly, with next to nothing read directly."""
+def _lexical_rows(df, k, **options):
+    got = {}
+    for r in ctx.far_lexical(df, k, **options).collect():
+        got.setdefault(r["anomaly_id"], []).append((r["rank"], r["context_id"], round(r["similarity"], 9)))
+    return {i: [(c, s) for _, c, s in sorted(v)] for i, v in got.items()}
+
+
+@pytest.mark.parametrize("block", [5, 23])
+def test_far_lexical_session_log_matches_brute_force(spark, block):
+    """Sessions of a few templates with own ids, some anomalies early in the table, all terms but the ids hot; many blocks."""
     words = ["disk", "net", "cpu", "fan", "job", "link", "rack", "io"]
     rows = []
-    for n in range(60):
+    for n in range(160):
         text = "session start" if n % 10 == 0 else " ".join(words[(n * j + n // 10) % 8] for j in (1, 3, 5)) + f" u{n % 37}"
-        rows.append((n + 1, text, n % 10 == 1))
+        rows.append((n + 1, text, n % 10 == 1 or n > 150))
     # positions that do not follow ids
     df = with_position(frame(spark, rows, parts=5).drop("pos").withColumn("_s", F.xxhash64("LineId")), "_s").drop("_s")
-    got = {}
-    for r in ctx.far_lexical(df, 4, shortlist=4, hot_df=3, direct_rows=25).collect():
-        got.setdefault(r["anomaly_id"], []).append((r["rank"], r["context_id"], round(r["similarity"], 9)))
+    got = _lexical_rows(df, 4, hot_df=3, block=block)
     pairs = [(i, t) for i, t, _ in rows]
     for idx, (i, _, f) in enumerate(rows):
         if f:
-            assert [(c, s) for _, c, s in sorted(got.get(i, []))] == [(c, round(s, 9)) for c, s in lexical_topk(pairs, idx, 4)]
+            assert got.get(i, []) == [(c, round(s, 9)) for c, s in lexical_topk(pairs, idx, 4)]
+
+
+def test_far_lexical_has_a_constant_number_of_jobs(spark):
+    """However many anomalies have fewer than k similar rows before them, the driver starts the same jobs."""
+    sc = spark.sparkContext
+    jobs = []
+    for n in (40, 400):
+        df = frame(spark, [(i + 1, f"session {i % 5} opened by user{i}" if i % 3 else "heartbeat", i % 2 == 0) for i in range(n)], parts=4)
+        group = f"lexical-{n}"
+        sc.setJobGroup(group, group)
+        ctx.far_lexical(df, 4, hot_df=3, block=16).write.format("noop").mode("overwrite").save()
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(group)))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[0] - jobs[1]) <= 8 and max(jobs) < 120, jobs  # adaptive execution may start a stage more or less
