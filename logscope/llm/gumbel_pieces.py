@@ -42,6 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 256
 PREFIXES = (3, 5, 8)
 CHUNK = 1 << 20
+KEEP = 1 << 21
 GOLDEN = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
@@ -189,6 +190,90 @@ class Lattice:
         return e
 
 
+class Store:
+    """Lattices of the units met so far, end to end as in ``Lattice``: a task builds each frequent unit's lattice once,
+    not once a chunk. Holds about ``KEEP`` bytes of units between chunks; beyond that the most used stay."""
+
+    EDGES = ("size", "id", "log_p", "log_rest", "cum")
+
+    def __init__(self, vocab: Vocabulary):
+        self.vocab = vocab
+        self.data = np.zeros(0, np.uint8)
+        self.first = np.zeros(1, np.int64)
+        empty = Lattice(self.data, np.zeros(0, np.int64), np.zeros(0, np.int64), vocab)
+        for name in self.EDGES:
+            setattr(self, name, getattr(empty, name))
+        self.begin, self.end, self.used = (np.zeros(0, np.int64) for _ in range(3))  # by type
+        self.hash, self.type_of = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted by hash
+
+    step = Lattice.step
+
+    def trim(self) -> None:
+        """Keep the most used types up to half of ``KEEP`` (between chunks only: places change)."""
+        if len(self.data) <= KEEP:
+            return
+        order = np.argsort(-self.used, kind="stable")
+        fits = np.cumsum((self.end - self.begin)[order]) <= KEEP // 2
+        keep = np.sort(order[fits])
+        size = (self.end - self.begin)[keep]
+        places = T.spread(self.begin[keep], size)
+        many = self.first[places + 1] - self.first[places]
+        edges = T.spread(self.first[places], many)
+        for name in self.EDGES:
+            setattr(self, name, getattr(self, name)[edges])
+        self.data = self.data[places]
+        self.first = np.concatenate([[0], np.cumsum(many)])
+        self.end = np.cumsum(size)
+        self.begin, self.used = self.end - size, self.used[keep] // 2
+        name = np.full(len(order), -1)
+        name[keep] = np.arange(len(keep))
+        held = name[self.type_of] >= 0
+        self.hash, self.type_of = self.hash[held], name[self.type_of[held]]
+
+    def add(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Types of new units."""
+        size = end - start
+        types = data[T.spread(start, size)]
+        stop = np.cumsum(size)
+        new = Lattice(types, stop - size, stop, self.vocab)
+        at, edges = len(self.data), len(self.id)
+        self.data = np.concatenate([self.data, types])
+        self.first = np.concatenate([self.first[:-1], new.first + edges])
+        for name in self.EDGES:
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(new, name)]))
+        first = len(self.begin)
+        self.begin, self.end = np.concatenate([self.begin, stop - size + at]), np.concatenate([self.end, stop + at])
+        self.used = np.concatenate([self.used, np.zeros(len(start), np.int64)])
+        return np.arange(first, first + len(start))
+
+    def types(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The type of each unit: found by hash, equal in all bytes."""
+        h, which, kind, count = np.unique(T.span_hashes(data, start, end), return_index=True, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.hash, h)
+        at[at == len(self.hash)] = 0
+        known = self.hash[at] == h if len(self.hash) else np.zeros(len(h), bool)
+        found = np.zeros(len(h), np.int64)
+        found[known] = self.type_of[at[known]]
+        if not known.all():
+            found[~known] = self.add(data, start[which[~known]], end[which[~known]])
+            hashes = np.concatenate([self.hash, h[~known]])
+            order = np.argsort(hashes, kind="stable")
+            self.hash, self.type_of = hashes[order], np.concatenate([self.type_of, found[~known]])[order]
+        self.used[found] += count
+        out = found[kind]
+        size = end - start
+        bad = (self.end - self.begin)[out] != size
+        fits = np.flatnonzero(~bad)
+        whole = len(fits) == len(out) and len(out) and size.sum() == end[-1] - start[0]  # units stand end to end
+        mine = data[start[0]:end[-1]] if whole else data[T.spread(start[fits], size[fits])]
+        differs = mine != self.data[T.spread(self.begin[out[fits]], size[fits])]
+        if differs.any():
+            bad[np.unique(np.repeat(fits, size[fits])[differs])] = True
+        if bad.any():  # equal hashes of unequal units
+            out[bad] = self.add(data, start[bad], end[bad])
+        return out
+
+
 def uniform(key: np.ndarray, sample: int, place: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) from the row key, the sample and a place."""
     return from_state(state(key, sample), place)
@@ -231,7 +316,7 @@ def units(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Sampler:
     """k samples for each row of a chunk."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, keys: np.ndarray, vocab: Vocabulary):
+    def __init__(self, data: np.ndarray, off: np.ndarray, keys: np.ndarray, store: Store):
         rows = len(off) - 1
         padded = np.full(len(data) + rows, 32, np.uint8)  # one space before every row
         at = np.ones(len(padded), bool)
@@ -243,13 +328,10 @@ class Sampler:
         row = np.searchsorted(off, start, "right") - 1
         keep = ~empty[row]  # an empty text has no pieces
         start, end, row = start[keep], end[keep], row[keep]
-        h = T.span_hashes(padded, start, end)
-        _, which, kind = np.unique(h, return_index=True, return_inverse=True)
-        length = end[which] - start[which]
-        types = padded[T.spread(start[which], length)]
-        type_end = np.cumsum(length)
-        self.lattice = Lattice(types, type_end - length, type_end, vocab)
-        self.begin, self.stop = (type_end - length)[kind], type_end[kind]  # by unit
+        store.trim()
+        kind = store.types(padded, start, end)
+        self.lattice = store
+        self.begin, self.stop = store.begin[kind], store.end[kind]  # by unit
         self.row, self.rows, self.keys = row, rows, keys
         self.first_unit = np.searchsorted(row, np.arange(rows + 1))
 
@@ -295,6 +377,7 @@ class Sampler:
             head_u, head_e, head_r, new_u, new_e = [], [], [], [], []
             place_u, place_p = [], []
             more_gone, left = [], []
+            draw = uniform(self.keys[row], 1000 + r, np.full(len(row), -2))
             for w in np.unique(which):
                 of = np.flatnonzero(which == w)
                 _, pu, pe, cut = paths[w]
@@ -309,7 +392,7 @@ class Sampler:
                     lo, hi = int(lat.first[place[j]]), int(lat.first[place[j] + 1])
                     choice = [x for x in range(lo, hi) if x not in out]
                     p = np.exp(lat.log_p[choice])
-                    x = float(uniform(self.keys[row[i]:row[i] + 1], 1000 + r, np.array([-2]))[0]) * p.sum()
+                    x = float(draw[i]) * p.sum()
                     pick = choice[min(int(np.searchsorted(np.cumsum(p), x, "right")), len(choice) - 1)]
                     new_u.append(int(unit[j]))
                     new_e.append(pick)
@@ -440,6 +523,7 @@ def chunks(size: np.ndarray) -> list[tuple[int, int]]:
 def _encode(model: bytes, k: int, seed: int, with_ids: bool, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = Vocabulary(model)
+        store = Store(vocab)
         piece_size = np.array([len(p) for p in vocab.pieces], np.int64)
         piece_data = np.frombuffer(b"".join(vocab.pieces), np.uint8)
         piece_at = np.cumsum(piece_size) - piece_size
@@ -449,7 +533,7 @@ def _encode(model: bytes, k: int, seed: int, with_ids: bool, check: bool):
             key = T.mix(key + T.U64(seed * GOLDEN & MASK))
             for lo, hi in chunks(np.diff(off)):
                 text, o = data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-                s = Sampler(text, o, key[lo:hi], vocab)
+                s = Sampler(text, o, key[lo:hi], store)
                 emitted, paths, threshold = s.samples(k)
                 for rank, ((row, g, log_p), (_, pu, pe, cut)) in enumerate(zip(emitted, paths, strict=True), 1):
                     ids = s.lattice.id[pe].astype(np.int32)

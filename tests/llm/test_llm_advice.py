@@ -111,3 +111,29 @@ def test_jaccard_linked_family_in_blocks_leaves_no_minors(spark, monkeypatch):
     base = " ".join(f"w{i}" for i in range(200))
     docs = spark.createDataFrame([(i, f"{base} end{i}") for i in range(40)], "doc_id long, text string")
     assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {0}
+
+
+def test_store_of_unit_lattices_changes_nothing(monkeypatch):
+    """Kept, trimmed and rebuilt lattices, and units of equal hash, give the samples of a store that starts empty."""
+    import pyarrow as pa
+
+    from logscope.llm import gumbel_pieces as gp
+    from logscope.llm import textnp
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{rng.integers(0, 40)}é" for _ in range(rng.integers(0, 60))) for _ in range(80)] + ["", None, "x" * 900, "\n\n a"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+
+    def run():
+        out = []
+        for b in gp._encode(gp.read_model(gp.MODEL), 2, 17, True, True)(iter([batch])):
+            out += [(r["doc_id"], r["rank"], r["ids"], round(r["log_prob"], 9), round(r["inclusion"], 9), r["round_trip"]) for r in b.to_pylist()]
+        return sorted(out)
+    want = run()
+    assert all(r[-1] for r in want)
+    monkeypatch.setattr(gp, "CHUNK", 700)
+    assert run() == want
+    monkeypatch.setattr(gp, "KEEP", 60)
+    assert run() == want
+    real = textnp.span_hashes
+    monkeypatch.setattr(textnp, "span_hashes", lambda *a: real(*a) % textnp.U64(5))  # nearly all units clash
+    assert run() == want

@@ -382,7 +382,7 @@ def test_gumbel_samples_follow_the_distribution():
     raw = gumbel_pieces.read_model(gumbel_pieces.MODEL)
     vocab = gumbel_pieces.Vocabulary(raw)
     data = np.frombuffer(text.encode(), np.uint8)
-    s = gumbel_pieces.Sampler(data, np.array([0, len(data)]), np.zeros(1, np.uint64), vocab)
+    s = gumbel_pieces.Sampler(data, np.array([0, len(data)]), np.zeros(1, np.uint64), gumbel_pieces.Store(vocab))
     lat, parts = s.lattice, []
     for a, e in zip(s.begin, s.stop, strict=True):
         found = []
