@@ -42,7 +42,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = 256
 PREFIXES = (3, 5, 8)
 CHUNK = 1 << 20
-KEEP = 1 << 21
+KEEP = 1 << 20
 GOLDEN = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
