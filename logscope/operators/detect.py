@@ -212,22 +212,28 @@ _KNN_SCHEMA = T.StructType([T.StructField("_f", T.StringType()), T.StructField("
                             T.StructField("_d", T.DoubleType())])
 
 
-def _tile_knn(k: int, exclude_self: bool, columns: int = 4096):
+def _distances(qx: np.ndarray, qw: list, ox: np.ndarray, ow: list, columns: int = 4096) -> np.ndarray:
+    """Euclidean distances between rows of numbers and word counts, to 12 digits."""
+    dot, qq, oo = qx @ ox.T, (qx * qx).sum(1), (ox * ox).sum(1)
+    vocabulary = np.union1d(_vocabulary(qw), _vocabulary(ow))
+    for lo in range(0, len(vocabulary), columns):  # word counts, some thousand words at a time
+        a, b = _counts(qw, vocabulary[lo:lo + columns]), _counts(ow, vocabulary[lo:lo + columns])
+        dot += a @ b.T
+        qq += (a * a).sum(1)
+        oo += (b * b).sum(1)
+    return np.round(np.sqrt(np.maximum(qq[:, None] + oo[None, :] - 2 * dot, 0.0)), 12)
+
+
+def _numbers(column: pd.Series) -> np.ndarray:
+    return np.asarray(column.tolist(), dtype=np.float64).reshape(len(column), -1)
+
+
+def _tile_knn(k: int, exclude_self: bool):
     def run(key, q: pd.DataFrame, o: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"_f": [], "_q": [], "_o": [], "_d": []})
         if q.empty or o.empty:
             return none
-        qx = np.asarray(q["_qx"].tolist(), dtype=np.float64).reshape(len(q), -1)
-        ox = np.asarray(o["_ox"].tolist(), dtype=np.float64).reshape(len(o), -1)
-        qw, ow = q["_qw"].tolist(), o["_ow"].tolist()
-        dot, qq, oo = qx @ ox.T, (qx * qx).sum(1), (ox * ox).sum(1)
-        vocabulary = np.union1d(_vocabulary(qw), _vocabulary(ow))
-        for lo in range(0, len(vocabulary), columns):  # word counts, some thousand words at a time
-            a, b = _counts(qw, vocabulary[lo:lo + columns]), _counts(ow, vocabulary[lo:lo + columns])
-            dot += a @ b.T
-            qq += (a * a).sum(1)
-            oo += (b * b).sum(1)
-        d = np.round(np.sqrt(np.maximum(qq[:, None] + oo[None, :] - 2 * dot, 0.0)), 12)
+        d = _distances(_numbers(q["_qx"]), q["_qw"].tolist(), _numbers(o["_ox"]), o["_ow"].tolist())
         qi, oi = q["_qid"].to_numpy(), o["_oid"].to_numpy()
         if exclude_self:
             d = np.where(qi[:, None] == oi[None, :], np.inf, d)
@@ -243,28 +249,113 @@ def _tile_knn(k: int, exclude_self: bool, columns: int = 4096):
     return run
 
 
+# Points in a cell, and cells of one group at most (a query holds a distance to each pivot for a moment).
+CELL = 512
+MOST_CELLS = 256
+_SLACK = 1e-9  # distances are rounded to 12 digits
+
+
+def _own_cell(key, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """The nearest pivot of each row (the first on ties), and the distance to it."""
+    if rows.empty or pivots.empty:
+        return pd.DataFrame(columns=["_f", "_id", "_x", "_w", "_cell", "_r"], dtype=object)
+    pivots = pivots.sort_values("_cell")
+    d = _distances(_numbers(rows["_x"]), rows["_w"].tolist(), _numbers(pivots["_px"]), pivots["_pw"].tolist())
+    near = d.argmin(axis=1)
+    return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"], "_x": rows["_x"], "_w": rows["_w"],
+                         "_cell": pivots["_cell"].to_numpy()[near], "_r": d[np.arange(len(d)), near]})
+
+
+def _cells_to_search(key, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """For each query the cells that can hold one of its nearest points.
+
+    Some cell has ``k`` points within ``kth`` of its pivot, so the ``k``-th nearest point is no farther than the least
+    ``d(q, pivot) + kth``. A cell is left out when its points are farther by the triangle inequality (they lie between ``least``
+    and ``most`` from their pivot) or by the plane between its pivot and the query's own."""
+    if rows.empty or pivots.empty:
+        return pd.DataFrame(columns=["_f", "_id", "_x", "_w", "_cells"], dtype=object)
+    pivots = pivots.sort_values("_cell")
+    px, pw = _numbers(pivots["_px"]), pivots["_pw"].tolist()
+    d = _distances(_numbers(rows["_x"]), rows["_w"].tolist(), px, pw)
+    between = _distances(px, pw, px, pw)
+    own = d.argmin(axis=1)
+    limit = (d + pivots["_kth"].fillna(np.inf).to_numpy()).min(axis=1)
+    bound = np.maximum(d - pivots["_most"].to_numpy(), pivots["_least"].to_numpy() - d)
+    apart = between[own]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        plane = (d * d - np.take_along_axis(d, own[:, None], 1) ** 2) / (2 * apart)
+    bound = np.maximum(bound, np.where(apart > 0, plane, 0.0))
+    cells = pivots["_cell"].to_numpy()
+    search = bound <= limit[:, None] + _SLACK
+    return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"], "_x": rows["_x"], "_w": rows["_w"], "_cells": [cells[s].tolist() for s in search]})
+
+
+def _dealt(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
+    """Points with their cells, and queries with each cell they must look into."""
+    same = Window.partitionBy("_f", "_h1", "_h2").orderBy("_id")
+    points = (points.select("_f", F.col("_id"), F.col("_x"), F.col("_w"), F.xxhash64("_x", "_w").alias("_h1"),
+                            F.xxhash64(F.lit(1), "_x", "_w").alias("_h2"))
+              .withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= k + int(exclude_self)))
+    points = materialise(points)
+    sizes = points.groupBy("_f").agg(F.least(F.lit(MOST_CELLS), F.ceil(F.count(F.lit(1)) / F.lit(CELL))).cast("int").alias("_m"))
+    drawn = Window.partitionBy("_f").orderBy("_h1", "_h2")
+    pivots = (points.where("_nth = 1").withColumn("_cell", F.row_number().over(drawn)).where(F.col("_cell") <= MOST_CELLS)
+              .join(sizes, "_f").where(F.col("_cell") <= F.col("_m")).select("_f", "_cell", F.col("_x").alias("_px"), F.col("_w").alias("_pw")))
+    pivots = materialise(pivots)
+
+    def met(rows: DataFrame, given: DataFrame, fn, schema: T.StructType) -> DataFrame:
+        """Rows of a group in blocks, each beside the group's pivots."""
+        blocks = rows.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * TILE)).cast("int").alias("_nb"))
+        left = rows.join(blocks, "_f").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int")).select("_f", "_b", "_id", "_x", "_w")
+        right = given.join(blocks, "_f").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb").withColumnRenamed("_f", "_pf")
+        return left.groupBy("_f", "_b").cogroup(right.groupBy("_pf", "_b")).applyInPandas(fn, schema)
+
+    row = [points.schema[c] for c in ("_f", "_id", "_x", "_w")]
+    cells = materialise(met(points.select("_f", "_id", "_x", "_w"), pivots, _own_cell,
+                            T.StructType([*row, T.StructField("_cell", T.IntegerType()), T.StructField("_r", T.DoubleType())])))
+    w = Window.partitionBy("_f", "_cell").orderBy("_r", "_id")
+    ranked = cells.withColumn("_n", F.row_number().over(w))
+    kth = ranked.where(F.col("_n") == k + int(exclude_self)).select("_f", "_cell", F.col("_r").alias("_kth"))
+    about = cells.groupBy("_f", "_cell").agg(F.min("_r").alias("_least"), F.max("_r").alias("_most")).join(kth, ["_f", "_cell"], "left")
+    given = materialise(pivots.join(about, ["_f", "_cell"]))
+    row = [queries.schema[c] for c in ("_f", "_id", "_x", "_w")]
+    asked = met(queries.select("_f", "_id", "_x", "_w"), given, _cells_to_search, T.StructType([*row, T.StructField("_cells", T.ArrayType(T.IntegerType()))]))
+    return cells, asked.select("_f", "_id", "_x", "_w", F.explode("_cells").alias("_cell"))
+
+
+def compared_pairs(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False) -> int:
+    """Pairs of rows that ``knn`` compares (the all-pairs form compares every query with every point of its group)."""
+    cells, asked = _dealt(queries, points, k, exclude_self)
+    n = cells.groupBy("_f", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    return asked.join(n, ["_f", "_cell"]).agg(F.sum("_n")).first()[0] or 0
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, tile: int = TILE) -> DataFrame:
     """Exact k nearest points (Euclidean) of the same group for every query: ``(_f, _q, _o, _d, _rank)``.
 
     Inputs carry ``_f``, ``_id``, ``_x`` (numbers) and ``_w`` (word hashes; their counts are further
     coordinates). Of equal points only the ``k`` (one more when a query leaves itself out) of least id can be
-    among the nearest, so repeated lines are cut to these first. A group's all-pairs work is cut into tiles of
-    about ``tile`` queries and points, each a cogroup that emits ``k`` rows a query at most; a final
-    ``row_number() <= k`` keeps the nearest of all tiles."""
-    same = Window.partitionBy("_f", "_h1", "_h2").orderBy("_id")
-    points = (points.select("_f", F.col("_id"), F.col("_x"), F.col("_w"), F.xxhash64("_x", "_w").alias("_h1"),
-                            F.xxhash64(F.lit(1), "_x", "_w").alias("_h2"))
-              .withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= k + int(exclude_self)))
-    blocks = lambda df, name: df.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias(name))
-    nb = materialise(blocks(queries, "_nq").join(blocks(points, "_no"), "_f"))
+    among the nearest, so repeated lines are cut to these first.
+
+    A group's points are dealt to the cells of pivots (points of least hash, about one for ``CELL`` points, ``MOST_CELLS`` at most), and a
+    query is sent to those cells only that can hold one of its nearest by the distances to the pivots; nothing is lost. A
+    cell of many points or queries is cut into tiles of about ``tile``, each a cogroup that emits ``k`` rows a query at most; a final
+    ``row_number() <= k`` keeps the nearest of all."""
+    cells, asked = _dealt(queries, points, k, exclude_self)
+    cells, asked = cells.drop("_r"), materialise(asked)
+    key = ["_f", "_cell"]
+    blocks = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias(name))
+    nb = materialise(blocks(asked, "_nq").join(blocks(cells, "_no"), key))
+
     def side(df: DataFrame, own: str, other: str, n_own: str, n_other: str, p: str) -> DataFrame:
         # new names on each side: both can come from one table
-        return (df.join(nb, "_f").withColumn(own, F.pmod(F.xxhash64("_id"), F.col(n_own)).cast("int"))
+        return (df.join(nb, key).withColumn(own, F.pmod(F.xxhash64("_id"), F.col(n_own)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
-                .select(F.col("_f").alias(f"_{p}f"), own, other, F.col("_id").alias(f"_{p}id"), F.col("_x").alias(f"_{p}x"), F.col("_w").alias(f"_{p}w")))
-    q = side(queries, "_qb", "_ob", "_nq", "_no", "q")
-    o = side(points, "_ob", "_qb", "_no", "_nq", "o")
-    local = q.groupBy("_qf", "_qb", "_ob").cogroup(o.groupBy("_of", "_qb", "_ob")).applyInPandas(_tile_knn(k, exclude_self), _KNN_SCHEMA)
+                .select(F.col("_f").alias(f"_{p}f"), F.col("_cell").alias(f"_{p}c"), own, other, F.col("_id").alias(f"_{p}id"),
+                        F.col("_x").alias(f"_{p}x"), F.col("_w").alias(f"_{p}w")))
+    q = side(asked, "_qb", "_ob", "_nq", "_no", "q")
+    o = side(cells, "_ob", "_qb", "_no", "_nq", "o")
+    local = q.groupBy("_qf", "_qc", "_qb", "_ob").cogroup(o.groupBy("_of", "_oc", "_qb", "_ob")).applyInPandas(_tile_knn(k, exclude_self), _KNN_SCHEMA)
     w = Window.partitionBy("_f", "_q").orderBy("_d", "_o")
     return local.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
 
@@ -275,8 +366,7 @@ def lof(train: DataFrame, test: DataFrame, features: Sequence[str], k: int = 20,
     (novelty form): k-distance and local reachability density of the train points,
     then for each test row the mean neighbour density over its own density. With ``by`` each group (file) is its
     own data set; with ``words_col`` the counts of all words are features beside the numbers.
-    Neighbour search is exact and tiled (``knn``); the rest are joins and
-    aggregates. Cost grows with |test| x |train| of a group: keep the train split small (10%).
+    Neighbour search is exact, by pivots (``knn``); the rest are joins and aggregates.
     Adds ``pred_ano_proba`` (the LOF; null where the group has no train row) and ``pred_ano`` (LOF > ``threshold``)."""
     tr = materialise(_prepared(train, features, id_col, by, words_col))
     te = _prepared(test, features, id_col, by, words_col)
