@@ -212,8 +212,8 @@ _KNN_SCHEMA = T.StructType([T.StructField("_f", T.StringType()), T.StructField("
                             T.StructField("_d", T.DoubleType())])
 
 
-def _distances(qx: np.ndarray, qw: list, ox: np.ndarray, ow: list, columns: int = 4096) -> np.ndarray:
-    """Euclidean distances between rows of numbers and word counts, to 12 digits."""
+def _distances(qx: np.ndarray, qw: list, ox: np.ndarray, ow: list, apart: np.ndarray | float = 0.0, columns: int = 4096) -> np.ndarray:
+    """Euclidean distances between rows of numbers and word counts, to 12 digits; ``apart`` is added to their squares."""
     dot, qq, oo = qx @ ox.T, (qx * qx).sum(1), (ox * ox).sum(1)
     vocabulary = np.union1d(_vocabulary(qw), _vocabulary(ow))
     for lo in range(0, len(vocabulary), columns):  # word counts, some thousand words at a time
@@ -221,7 +221,7 @@ def _distances(qx: np.ndarray, qw: list, ox: np.ndarray, ow: list, columns: int
         dot += a @ b.T
         qq += (a * a).sum(1)
         oo += (b * b).sum(1)
-    return np.round(np.sqrt(np.maximum(qq[:, None] + oo[None, :] - 2 * dot, 0.0)), 12)
+    return np.round(np.sqrt(np.maximum(qq[:, None] + oo[None, :] - 2 * dot + apart, 0.0)), 12)
 
 
 def _numbers(column: pd.Series) -> np.ndarray:
@@ -233,7 +233,8 @@ def _tile_knn(k: int, exclude_self: bool):
         none = pd.DataFrame({"_f": [], "_q": [], "_o": [], "_d": []})
         if q.empty or o.empty:
             return none
-        d = _distances(_numbers(q["_qx"]), q["_qw"].tolist(), _numbers(o["_ox"]), o["_ow"].tolist())
+        d = _distances(_numbers(q["_qx"]), q["_qw"].tolist(), _numbers(o["_ox"]), o["_ow"].tolist(),
+                       q["_qu"].to_numpy(np.float64)[:, None] + o["_ou"].to_numpy(np.float64)[None, :])
         qi, oi = q["_qid"].to_numpy(), o["_oid"].to_numpy()
         if exclude_self:
             d = np.where(qi[:, None] == oi[None, :], np.inf, d)
@@ -258,43 +259,67 @@ _SLACK = 1e-9  # distances are rounded to 12 digits
 def _own_cell(key, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     """The nearest pivot of each row (the first on ties), and the distance to it."""
     if rows.empty or pivots.empty:
-        return pd.DataFrame(columns=["_f", "_id", "_x", "_w", "_cell", "_r"], dtype=object)
+        return pd.DataFrame(columns=["_f", "_id", "_x", "_w", "_u", "_cell", "_r"], dtype=object)
     pivots = pivots.sort_values("_cell")
     d = _distances(_numbers(rows["_x"]), rows["_w"].tolist(), _numbers(pivots["_px"]), pivots["_pw"].tolist())
     near = d.argmin(axis=1)
-    return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"], "_x": rows["_x"], "_w": rows["_w"],
+    return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"], "_x": rows["_x"], "_w": rows["_w"], "_u": rows["_u"],
                          "_cell": pivots["_cell"].to_numpy()[near], "_r": d[np.arange(len(d)), near]})
 
 
 def _cells_to_search(key, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
     """For each query the cells that can hold one of its nearest points.
 
-    Some cell has ``k`` points within ``kth`` of its pivot, so the ``k``-th nearest point is no farther than the least
-    ``d(q, pivot) + kth``. A cell is left out when its points are farther by the triangle inequality (they lie between ``least``
-    and ``most`` from their pivot) or by the plane between its pivot and the query's own."""
+    Distances to pivots leave out own words, which add ``u`` of both rows to a square. Some cell has ``k`` points within ``kth`` of its
+    pivot, so the square of the ``k``-th nearest point's distance is at most the least ``(d(q, pivot) + kth)^2 + greatest u`` (the query's
+    own ``u`` stands on both sides). A cell is left out when its points are farther by the triangle inequality (they lie
+    between ``least`` and ``most`` from their pivot) or by the plane between its pivot and the query's own."""
     if rows.empty or pivots.empty:
-        return pd.DataFrame(columns=["_f", "_id", "_x", "_w", "_cells"], dtype=object)
+        return pd.DataFrame(columns=["_f", "_id", "_x", "_w", "_u", "_cells"], dtype=object)
     pivots = pivots.sort_values("_cell")
     px, pw = _numbers(pivots["_px"]), pivots["_pw"].tolist()
     d = _distances(_numbers(rows["_x"]), rows["_w"].tolist(), px, pw)
     between = _distances(px, pw, px, pw)
     own = d.argmin(axis=1)
-    limit = (d + pivots["_kth"].fillna(np.inf).to_numpy()).min(axis=1)
+    limit = ((d + pivots["_kth"].fillna(np.inf).to_numpy()) ** 2 + pivots["_umost"].to_numpy(np.float64)).min(axis=1)
     bound = np.maximum(d - pivots["_most"].to_numpy(), pivots["_least"].to_numpy() - d)
     apart = between[own]
     with np.errstate(divide="ignore", invalid="ignore"):
         plane = (d * d - np.take_along_axis(d, own[:, None], 1) ** 2) / (2 * apart)
     bound = np.maximum(bound, np.where(apart > 0, plane, 0.0))
     cells = pivots["_cell"].to_numpy()
-    search = bound <= limit[:, None] + _SLACK
-    return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"], "_x": rows["_x"], "_w": rows["_w"], "_cells": [cells[s].tolist() for s in search]})
+    search = np.maximum(bound - _SLACK, 0.0) ** 2 + pivots["_uleast"].to_numpy(np.float64) <= limit[:, None] * (1 + _SLACK) + _SLACK
+    return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"], "_x": rows["_x"], "_w": rows["_w"], "_u": rows["_u"], "_cells": [cells[s].tolist() for s in search]})
+
+
+def _without_own_words(queries: DataFrame, points: DataFrame, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the words that some other row of the group has too (``_w``), and the sum of squared counts of the rest (``_u``).
+
+    A word of one row only is as far from every other row: it adds its squared count to each squared distance. Without such words (ids,
+    addresses, times) many lines are equal, and others stand much closer to the pivots. When a query leaves itself
+    out, the row of its id on the other side is itself."""
+    both = points.select(F.lit(0).alias("_side"), "_f", "_id", "_w").unionByName(queries.select(F.lit(1).alias("_side"), "_f", "_id", "_w"))
+    held = materialise(both.select("_side", "_f", "_id", F.explode("_w").alias("_word")).groupBy("_side", "_f", "_id", "_word").agg(F.count(F.lit(1)).alias("_c")))
+    row = F.struct(F.lit(0).alias("_side") if exclude_self else F.col("_side"), F.col("_id"))
+    shared = held.groupBy("_f", "_word").agg((F.min(row) != F.max(row)).alias("_shared"))
+    kept = (held.join(shared, ["_f", "_word"]).groupBy("_side", "_f", "_id").agg(
+        F.sort_array(F.flatten(F.collect_list(F.when(F.col("_shared"), F.array_repeat("_word", F.col("_c").cast("int")))))).alias("_w"),
+        F.coalesce(F.sum(F.when(~F.col("_shared"), F.col("_c") * F.col("_c"))), F.lit(0)).alias("_u")))
+    kept = materialise(kept)
+
+    def back(rows: DataFrame, side: int) -> DataFrame:
+        mine = kept.where(F.col("_side") == side).drop("_side")
+        return rows.drop("_w").join(mine, ["_f", "_id"], "left").select(
+            "_f", "_id", "_x", F.coalesce("_w", F.array().cast("array<long>")).alias("_w"), F.coalesce("_u", F.lit(0)).alias("_u"))
+    return back(queries, 1), back(points, 0)
 
 
 def _dealt(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool) -> tuple[DataFrame, DataFrame]:
     """Points with their cells, and queries with each cell they must look into."""
+    queries, points = _without_own_words(queries, points, exclude_self)
     same = Window.partitionBy("_f", "_h1", "_h2").orderBy("_id")
-    points = (points.select("_f", F.col("_id"), F.col("_x"), F.col("_w"), F.xxhash64("_x", "_w").alias("_h1"),
-                            F.xxhash64(F.lit(1), "_x", "_w").alias("_h2"))
+    points = (points.select("_f", F.col("_id"), F.col("_x"), F.col("_w"), F.col("_u"), F.xxhash64("_x", "_w", "_u").alias("_h1"),
+                            F.xxhash64(F.lit(1), "_x", "_w", "_u").alias("_h2"))
               .withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= k + int(exclude_self)))
     points = materialise(points)
     sizes = points.groupBy("_f").agg(F.least(F.lit(MOST_CELLS), F.ceil(F.count(F.lit(1)) / F.lit(CELL))).cast("int").alias("_m"))
@@ -306,21 +331,21 @@ def _dealt(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool) ->
     def met(rows: DataFrame, given: DataFrame, fn, schema: T.StructType) -> DataFrame:
         """Rows of a group in blocks, each beside the group's pivots."""
         blocks = rows.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * TILE)).cast("int").alias("_nb"))
-        left = rows.join(blocks, "_f").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int")).select("_f", "_b", "_id", "_x", "_w")
+        left = rows.join(blocks, "_f").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int")).select("_f", "_b", "_id", "_x", "_w", "_u")
         right = given.join(blocks, "_f").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb").withColumnRenamed("_f", "_pf")
         return left.groupBy("_f", "_b").cogroup(right.groupBy("_pf", "_b")).applyInPandas(fn, schema)
 
-    row = [points.schema[c] for c in ("_f", "_id", "_x", "_w")]
-    cells = materialise(met(points.select("_f", "_id", "_x", "_w"), pivots, _own_cell,
+    row = [points.schema[c] for c in ("_f", "_id", "_x", "_w", "_u")]
+    cells = materialise(met(points.select("_f", "_id", "_x", "_w", "_u"), pivots, _own_cell,
                             T.StructType([*row, T.StructField("_cell", T.IntegerType()), T.StructField("_r", T.DoubleType())])))
     w = Window.partitionBy("_f", "_cell").orderBy("_r", "_id")
     ranked = cells.withColumn("_n", F.row_number().over(w))
     kth = ranked.where(F.col("_n") == k + int(exclude_self)).select("_f", "_cell", F.col("_r").alias("_kth"))
-    about = cells.groupBy("_f", "_cell").agg(F.min("_r").alias("_least"), F.max("_r").alias("_most")).join(kth, ["_f", "_cell"], "left")
+    about = cells.groupBy("_f", "_cell").agg(F.min("_r").alias("_least"), F.max("_r").alias("_most"), F.min("_u").alias("_uleast"), F.max("_u").alias("_umost")).join(kth, ["_f", "_cell"], "left")
     given = materialise(pivots.join(about, ["_f", "_cell"]))
-    row = [queries.schema[c] for c in ("_f", "_id", "_x", "_w")]
-    asked = met(queries.select("_f", "_id", "_x", "_w"), given, _cells_to_search, T.StructType([*row, T.StructField("_cells", T.ArrayType(T.IntegerType()))]))
-    return cells, asked.select("_f", "_id", "_x", "_w", F.explode("_cells").alias("_cell"))
+    row = [queries.schema[c] for c in ("_f", "_id", "_x", "_w", "_u")]
+    asked = met(queries, given, _cells_to_search, T.StructType([*row, T.StructField("_cells", T.ArrayType(T.IntegerType()))]))
+    return cells, asked.select("_f", "_id", "_x", "_w", "_u", F.explode("_cells").alias("_cell"))
 
 
 def compared_pairs(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False) -> int:
@@ -334,8 +359,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = Fals
     """Exact k nearest points (Euclidean) of the same group for every query: ``(_f, _q, _o, _d, _rank)``.
 
     Inputs carry ``_f``, ``_id``, ``_x`` (numbers) and ``_w`` (word hashes; their counts are further
-    coordinates). Of equal points only the ``k`` (one more when a query leaves itself out) of least id can be
-    among the nearest, so repeated lines are cut to these first.
+    coordinates). Words of one row only are taken out first (``_without_own_words``). Of equal points only the ``k`` (one more when
+    a query leaves itself out) of least id can be among the nearest, so repeated lines are cut to these.
 
     A group's points are dealt to the cells of pivots (points of least hash, about one for ``CELL`` points, ``MOST_CELLS`` at most), and a
     query is sent to those cells only that can hold one of its nearest by the distances to the pivots; nothing is lost. A
@@ -352,7 +377,7 @@ def knn(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = Fals
         return (df.join(nb, key).withColumn(own, F.pmod(F.xxhash64("_id"), F.col(n_own)).cast("int"))
                 .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
                 .select(F.col("_f").alias(f"_{p}f"), F.col("_cell").alias(f"_{p}c"), own, other, F.col("_id").alias(f"_{p}id"),
-                        F.col("_x").alias(f"_{p}x"), F.col("_w").alias(f"_{p}w")))
+                        F.col("_x").alias(f"_{p}x"), F.col("_w").alias(f"_{p}w"), F.col("_u").alias(f"_{p}u")))
     q = side(asked, "_qb", "_ob", "_nq", "_no", "q")
     o = side(cells, "_ob", "_qb", "_no", "_nq", "o")
     local = q.groupBy("_qf", "_qc", "_qb", "_ob").cogroup(o.groupBy("_of", "_oc", "_qb", "_ob")).applyInPandas(_tile_knn(k, exclude_self), _KNN_SCHEMA)
