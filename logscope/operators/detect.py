@@ -251,7 +251,7 @@ def _tile_knn(k: int, exclude_self: bool):
 
 
 # Points in a cell, and cells of one group at most (a query holds a distance to each pivot for a moment).
-CELL = 512
+CELL = 256
 MOST_CELLS = 256
 _SLACK = 1e-9  # distances are rounded to 12 digits
 
