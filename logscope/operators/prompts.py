@@ -149,14 +149,20 @@ Closest to the file name: {matched_label}. Say whether the lines bear that out.
 
 def file_prompts(df: DataFrame, file_col: str = "source_file", text_col: str = "m_message",
                  score_col: str = "pred_ano_proba", order_col: str = "line_no", template: str = FILE_TEMPLATE,
-                 compat: bool = True, vocabulary: DataFrame | None = None, label_col: str = "label") -> DataFrame:
+                 compat: bool = True, vocabulary: DataFrame | None = None, label_col: str = "label",
+                 files: DataFrame | None = None) -> DataFrame:
     """One prompt per file from its name, the name's error hint and its snippet lines in
     file order. Apply after ``trim_to_budget``: the budget bounds each file's collect. With a
-    ``vocabulary`` of known labels the prompt also lists them and names the one closest to the hint."""
+    ``vocabulary`` of known labels the prompt also lists them and names the one closest to the hint. With ``files`` (any
+    table with the file column) each of its files gets a prompt, one without lines where the budget left none."""
     base = F.try_element_at(F.split(F.col(file_col), "/"), F.lit(-1))
     lines = df.select(file_col, order_col, snippet(F.col(text_col), F.col(score_col)).alias("_s"))
     g = lines.groupBy(file_col).agg(F.array_join(F.transform(
         F.sort_array(F.collect_list(F.struct(order_col, "_s"))), lambda s: s["_s"]), "\n").alias("_lines"))
+    if files is not None:
+        named = files.select(F.col(file_col).alias("_named")).distinct()
+        g = (named.join(g, F.col("_named").eqNullSafe(F.col(file_col)), "left")
+             .select(F.col("_named").alias(file_col), F.coalesce("_lines", F.lit("")).alias("_lines")))
     g = g.withColumn("error_type", filename_hint(F.col(file_col), compat))
     values = {"filename": base, "error_type": F.col("error_type"), "formatted_log_lines": F.col("_lines")}
     if vocabulary is not None:

@@ -12,6 +12,7 @@ from logscope.operators.budget import trim_to_budget
 from logscope.operators.detect import isolation_forest, lof, split
 from logscope.operators.inference import file_responses
 from logscope.operators.prompts import file_prompts
+from logscope.session import materialise
 from logscope.sources.readers import merge_multiline, parse_bgl
 
 LENGTH_FEATURES = ["e_words_len", "e_trigrams_len", "e_chars_len", "e_lines_len", "e_event_id_len"]
@@ -66,9 +67,10 @@ def score_files(raw: DataFrame, cfg: FileConfig | None = None, id_col: str = "_l
 def explain_files(raw: DataFrame, cfg: FileConfig | None = None, client=None, id_col: str = "_line_key") -> DataFrame:
     """Raw lines ``(source_file, line_no, value)`` -> one row per file with its prompt
     (and reply when a client is given): read by file type, enhance, detect, go on with the test
-    part, keep the best lines within the token budget, build the file prompt."""
+    part, keep the best lines within the token budget, build the file prompt. A file whose best line alone
+    is over the budget gets a prompt without lines."""
     cfg = cfg or FileConfig()
-    scored = score_files(raw, cfg, id_col)
+    scored = materialise(score_files(raw, cfg, id_col))  # read for the lines and for the files
     kept = trim_to_budget(scored, cfg.token_limit, "source_file", "pred_ano_proba", "line_no", "m_message")
-    prompts = file_prompts(kept, "source_file", "m_message", "pred_ano_proba", "line_no", vocabulary=cfg.known_labels)
+    prompts = file_prompts(kept, "source_file", "m_message", "pred_ano_proba", "line_no", vocabulary=cfg.known_labels, files=scored)
     return file_responses(prompts, client) if client is not None else prompts

@@ -58,3 +58,19 @@ def test_file_types_and_known_labels(spark):
     assert len(out) == 1 and "- delete token 404" in out[0]["file_prompt"] and "name: get user 404 no user" in out[0]["file_prompt"]
     with pytest.raises(ValueError, match="file type"):
         explain_files(df, FileConfig(filetype="CSV"))
+
+
+def test_file_over_the_budget_keeps_its_prompt(spark):
+    """A file whose best line alone is over the token budget gets a prompt without lines; others keep theirs."""
+    long = "word " * 300
+    rows = [("big.log", i, f"{i % 24:02d}:00:00.000 {long}{i}") for i in range(40)]
+    rows += [("small.log", i, f"{i % 24:02d}:00:00.000 ok {i}") for i in range(40)]
+    raw = spark.createDataFrame(rows, "source_file string, line_no long, value string")
+    from logscope.operators.prompts import file_prompts
+    lines = spark.createDataFrame([("small.log", 1, "kept line", 0.9), (None, 2, "no file", 0.5)], "source_file string, line_no long, m_message string, pred_ano_proba double")
+    names = spark.createDataFrame([("big.log",), ("small.log",), ("small.log",), (None,)], "source_file string")
+    got = {r["source_file"]: r["file_prompt"] for r in file_prompts(lines, files=names).collect()}
+    assert set(got) == {"big.log", "small.log", None} and "kept line" in got["small.log"]
+    prompts = explain_files(raw, FileConfig(detector="IF", token_limit=120)).collect()
+    by_file = {r["source_file"]: r["file_prompt"] for r in prompts}
+    assert set(by_file) == {"big.log", "small.log"} and "word word" not in by_file["big.log"] and "ok" in by_file["small.log"]
