@@ -124,7 +124,7 @@ class FMIndex:
 
 
 def index_minima(size: int):
-    """For each window the least key of a text that holds it, from the shard's index."""
+    """For each window the least place (a text's key plus the window's start in it) that holds it, from the shard's index."""
     def minima(tokens: np.ndarray, length: np.ndarray, h: np.ndarray, aoff: np.ndarray, key: np.ndarray) -> np.ndarray:
         _, word = np.unique(tokens, return_inverse=True)
         word = word.astype(np.int64) + 1
@@ -133,7 +133,8 @@ def index_minima(size: int):
         seq[np.arange(len(word)) + np.repeat(np.arange(len(length)), length)] = word
         index = FMIndex(seq, int(length.max()) + 1, size)
         text_of = np.repeat(np.arange(len(length)), length + 1)
-        row_key = key[text_of[index.sa]]
+        # a text begins after the texts before it and their separators
+        row_key = key[text_of[index.sa]] + index.sa - (begin + np.arange(len(length)))[text_of[index.sa]]
         n = length - size + 1
         out_at = np.cumsum(n) - n
         found = [x for x in index.statistics(word, length, size)]

@@ -68,6 +68,13 @@ def segments(w: Windows, tokens: np.ndarray, off: np.ndarray) -> tuple[np.ndarra
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
+def _places(w: Windows, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The order of occurrences as one number: the document's rank, then the place in it where that counts. Equal
+    places of rows that repeat a doc_id are equal, neither is the earlier one."""
+    rank = np.unique(doc, return_inverse=True)[1].astype(np.int64) << 32
+    return rank + start if w.same_document else rank
+
+
 def _first_map(w: Windows, n_buckets: int):
     def run(key: tuple[pa.Scalar, ...], tbl: pa.Table) -> pa.Table:
         tokens, off = w.tokens(X.in_order(tbl))
@@ -94,14 +101,9 @@ def _second_map(w: Windows, n_buckets: int):
         row = np.searchsorted(off, s, "right") - 1
         doc, start = X.ids(tbl)[row], s - off[row]
         _, which, inverse = np.unique(content, return_index=True, return_inverse=True)
-        earliest = np.full(len(which), X.LAST_ID)
-        if w.same_document:
-            # places stand in the order of (document, start) already
-            np.minimum.at(earliest, inverse, np.arange(len(s)))
-            first = earliest[inverse] == np.arange(len(s))
-        else:
-            np.minimum.at(earliest, inverse, doc)
-            first = earliest[inverse] == doc
+        earliest, order = np.full(len(which), X.LAST_ID), _places(w, doc, start)
+        np.minimum.at(earliest, inverse, order)
+        first = earliest[inverse] == order
         out = []
         rest = np.flatnonzero(~first)
         if len(rest):  # later occurrences are repeats already: their ranges travel on to the answers
@@ -165,15 +167,7 @@ def _bucket(w: Windows):
             same = np.logical_and.reduceat(same, np.cumsum(length[other]) - length[other])
             rep[other[~same]] = other[~same]
 
-        # the order of occurrences as dense ranks
-        if w.same_document:
-            order = np.lexsort((start, doc))
-            step = (doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1])
-        else:
-            order = np.argsort(doc, kind="stable")
-            step = doc[order][1:] != doc[order][:-1]
-        rank = np.zeros(len(doc), np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(step)])
+        rank = _places(w, doc, start)
         earliest = np.full(len(h), X.LAST_ID)
         np.minimum.at(earliest, rep[occ], rank)
 
@@ -186,9 +180,10 @@ def _bucket(w: Windows):
             n_win = length[among] - w.size + 1
             least = w.minima(tokens[T.spread(at[among], length[among])], length[among], h[among], aoff[among], earliest[among])
             own = np.repeat(np.arange(len(among)), n_win)
-            hit = least < earliest[among][own]
-            # runs of hits inside each content
             place = np.arange(len(own)) - np.repeat(np.cumsum(n_win) - n_win, n_win)
+            # a window starts ``place`` tokens after its segment
+            hit = least < earliest[among][own] + (place if w.same_document else 0)
+            # runs of hits inside each content
             begin = hit & ~(np.concatenate([[False], hit[:-1]]) & (place > 0))
             stop = hit & ~(np.concatenate([hit[1:], [False]]) & (np.concatenate([place[1:], [0]]) > 0))
             masks_s, masks_e, masks_of = place[begin], place[stop] + 1, among[own[begin]]
