@@ -18,7 +18,7 @@ documents per block, with the same result. Documents are never shuffled.
 
 Defined results: null and empty texts match nothing; items with fewer than ``2 * Q`` bytes are too
 short to prove anything and match nothing; for short segments k is lowered until the bound is at least one q-gram;
-repeated rows and repeated items give repeated rows; empty tables give an empty result.
+repeated rows give repeated rows, an item that is repeated with its id counts once; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -85,13 +85,14 @@ class Index:
         self.map[(grams >> T.U64(40)).astype(np.int64)] = True
 
     def matches(self, data: np.ndarray, off: np.ndarray):
-        """Row, item, edits, start and end (bytes in the row) of all verified segments of the texts."""
+        """Row, item, edits, start, end (bytes in the row) and segment of all verified matches in the texts. A match may be found by two
+        bands and in two steps."""
         found = []
         for lo in range(0, max(1, len(data) - Q + 1), STEP):
             hi = min(len(data), lo + STEP + 3 * SEGMENT)  # regions that end past the step are whole here
             found += self._matches(data[lo:hi], lo, off)
         if not found:
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
+            return tuple(np.zeros(0, np.int64) for _ in range(6))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def _matches(self, data: np.ndarray, base: int, off: np.ndarray) -> list[tuple]:
@@ -131,7 +132,7 @@ class Index:
         low = band[first] * width[first] - SEGMENT
         cost, start, end = self._align(data, low, width[first], seg, off[row] - base, off[row + 1] - base)
         ok = cost <= self.edits[seg]
-        return [(row[ok], self.item[seg[ok]], cost[ok], (start + base - off[row])[ok], (end + base - off[row])[ok])]
+        return [(row[ok], self.item[seg[ok]], cost[ok], (start + base - off[row])[ok], (end + base - off[row])[ok], seg[ok])]
 
     def _align(self, data, low, width, seg, text_lo, text_hi):
         """Least edits of each segment in a band of diagonals around [low, low + 2 * width), with free text ends."""
@@ -170,18 +171,19 @@ def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = T.text_bytes(batch.column("text"))
-            row, item, edits, start, end = index.matches(data, off)
+            row, item, edits, start, end, seg = index.matches(data, off)
             # one line per row and item
-            order = np.lexsort((start, item, row))
-            row, item, edits, start, end = (x[order] for x in (row, item, edits, start, end))
+            order = np.lexsort((seg, item, row))
+            row, item, edits, start, end, seg = (x[order] for x in (row, item, edits, start, end, seg))
             new = np.ones(len(row), bool)
             new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
             first = np.flatnonzero(new)
+            new[1:] |= seg[1:] != seg[:-1]
             if len(first):
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").take(pa.array(row[first])), "item_id": item[first],
-                    "n_segments": np.diff(np.append(first, len(row))), "edits": np.minimum.reduceat(edits, first),
-                    "start": start[first], "end": np.maximum.reduceat(end, first)})
+                    "n_segments": np.add.reduceat(new, first, dtype=np.int64), "edits": np.minimum.reduceat(edits, first),
+                    "start": np.minimum.reduceat(start, first), "end": np.maximum.reduceat(end, first)})
     return run
 
 
@@ -197,7 +199,7 @@ def _clean(index: Index):
 
 def indexes(items: DataFrame, block_bytes: int = 4 << 20) -> list[Index]:
     """Item indexes of at most about block_bytes of text each; the blocks are read one by one."""
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks)))
@@ -205,7 +207,7 @@ def indexes(items: DataFrame, block_bytes: int = 4 << 20) -> list[Index]:
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document row and item it holds: doc_id, item_id, n_segments, edits (the best segment's), and the
+    """One row per document row and item it holds: doc_id, item_id, n_segments (distinct segments of the item), edits (the best segment's), and the
     byte range of the matches."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = [d.mapInArrow(_search(x), FOUND) for x in indexes(items)]

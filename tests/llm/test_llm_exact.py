@@ -213,7 +213,7 @@ def test_decontamination_against_edit_distance():
         texts.append("".join(chr(c) for c in rng.integers(97, 123, 300)) + "".join(p) + "zz" * 40)
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    row, _, cost, _, _ = index.matches(data, off)
+    row, _, cost, _, _, _ = index.matches(data, off)
 
     def least(seg, text):
         d = np.zeros(len(text) + 1, int)
