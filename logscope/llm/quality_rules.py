@@ -74,7 +74,7 @@ def line_measures(docs: DataFrame, host: str) -> DataFrame:
         lines.alias("_lines"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 100, share: float = 0.005,
+def quality_rules(docs: DataFrame, host: str = "source", min_docs: int = 5, share: float = 0.02,
                   min_left: float = 0.5) -> DataFrame:
     """Measures and verdict per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_removed_words, base_failed, kept."""
@@ -105,7 +105,7 @@ l1 as (select r, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')
 dup as (select r, count(*) - count(distinct line) as n_dup from l1 group by r),
 hosts as (select source, count(*) as docs from d group by source),
 common as (select l1.source, norm from l1 join hosts on l1.source is not distinct from hosts.source
-           group by l1.source, norm, docs having count(distinct r) > 100 and count(distinct r) > docs * 0.005),
+           group by l1.source, norm, docs having count(distinct r) > 5 and count(distinct r) > docs * 0.02),
 gone as (select l1.r, sum(n) as removed from l1 join common c on l1.source is not distinct from c.source and l1.norm = c.norm group by l1.r),
 win as (select r, i, array_to_string(list_slice(ws, i, i + 4), ' ') as g
         from (select r, ws, unnest(range(1, len(ws) - 3)) as i from w where len(ws) >= 5)),

@@ -57,7 +57,7 @@ def test_quality_rules_query_removes_lines(spark, tmp_path):
     text = lambda d: d[cols].astype(str).sort_values(cols).reset_index(drop=True)
     pd.testing.assert_frame_equal(text(got), text(want))
     by = got.set_index("doc_id")
-    assert (by.n_removed_words > 0).sum() == 270 and (~by.base_failed & ~by.kept).sum() > 0
+    assert (by.n_removed_words > 0).sum() == 360 and (~by.base_failed & ~by.kept).sum() > 0
 
 
 def test_lm_probabilities_below_1e_12(spark):
