@@ -108,37 +108,70 @@ def _fit_tree(seed: int, height_limit: int):
     return fit
 
 
-def _score_tile(height: int):
-    def run(key, rows: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({"_f": [], "_id": [], "pred_ano_proba": []})
-        if forest.empty:  # nothing was fitted for this group
-            return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"], "pred_ano_proba": np.full(len(rows), np.nan)})
-        words = rows["_w"].tolist()
-        wanted = _vocabulary([[w for w, f in zip(ws, fs) if f == -2] for ws, fs in zip(forest["word"], forest["feature"])])
-        numbers = np.asarray(rows["_x"].tolist(), dtype=np.float64).reshape(len(rows), -1)
-        x = np.concatenate([numbers, _counts(words, wanted)], axis=1)
-        index = np.arange(len(x))
-        total = np.zeros(len(x))
-        sample = max(int(max(s[0] for s in forest["size"])), 1)
-        for feat, word, cut, left, right, size in zip(*(forest[c] for c in ("feature", "word", "threshold", "left", "right", "size"))):
-            feat, cut, left, right, size = (np.asarray(v) for v in (feat, cut, left, right, size))
-            column = np.where(feat == -2, numbers.shape[1] + np.searchsorted(wanted, np.asarray(word, np.int64)), np.maximum(feat, 0))
-            node, depth = np.zeros(len(x), np.int64), np.zeros(len(x))
-            for _ in range(height + 1):
-                inner = feat[node] != -1
-                if not inner.any():
-                    break
-                go = x[index, np.minimum(column[node], x.shape[1] - 1)] < cut[node]
-                node = np.where(inner, np.where(go, left[node], right[node]), node)
-                depth += inner
-            total += depth + np.array([_c(s) for s in size])[node]
-        mean, cn = total / len(forest), _c(sample)
-        return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"],
-                             "pred_ano_proba": np.power(2.0, -mean / cn) if cn > 0 else np.full(len(x), 0.5)})
+class _Forest:
+    """The trees of one group, packed for scoring: nodes of all trees in flat arrays, child numbers made absolute."""
+
+    def __init__(self, trees: pd.DataFrame):
+        sizes = [len(f) for f in trees["feature"]]
+        self.root = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+        flat = lambda c, t: np.concatenate([np.asarray(v, t) for v in trees[c]])
+        base = np.repeat(self.root, sizes)
+        self.feature, self.cut = flat("feature", np.int32), flat("threshold", np.float64)
+        self.left, self.right = flat("left", np.int64) + base, flat("right", np.int64) + base
+        size = flat("size", np.int64)
+        self.rest = np.array([_c(n) for n in range(int(size.max()) + 1)])[size]
+        self.norm = _c(max(int(size[self.root].max()), 1))
+        word = flat("word", np.int64)
+        self.words = np.unique(word[self.feature == -2])
+        self.word_column = np.searchsorted(self.words, word)
+
+    def scores(self, numbers: np.ndarray, words: list) -> np.ndarray:
+        """``2^(-mean path / c(sample))`` of each row; rows are taken some at a time, so their dense counts stay small."""
+        step = max(16, min(TILE, (1 << 23) // max(1, len(self.words), len(self.root))))
+        return np.concatenate([np.zeros(0)] + [self._scores(numbers[lo:lo + step], words[lo:lo + step]) for lo in range(0, len(numbers), step)])
+
+    def _scores(self, numbers: np.ndarray, words: list) -> np.ndarray:
+        if self.norm <= 0:
+            return np.full(len(numbers), 0.5)
+        x = np.concatenate([numbers, _counts(words, self.words)], axis=1)
+        column = np.where(self.feature == -2, numbers.shape[1] + self.word_column, self.feature)
+        node = np.broadcast_to(self.root, (len(x), len(self.root))).copy()  # (row, tree)
+        path = np.zeros(node.shape)
+        while True:
+            row, tree = np.nonzero(self.feature[node] != -1)
+            if not len(row):
+                break
+            at = node[row, tree]
+            node[row, tree] = np.where(x[row, column[at]] < self.cut[at], self.left[at], self.right[at])
+            path[row, tree] += 1
+        return np.power(2.0, -(path + self.rest[node]).mean(axis=1) / self.norm)
+
+
+def _scored(rows: pd.DataFrame, forest: _Forest | None) -> pd.DataFrame:
+    """Scores of the rows of one group; NaN where nothing was fitted."""
+    if not len(rows):
+        return pd.DataFrame({"_f": [], "_id": [], "pred_ano_proba": []})
+    score = forest.scores(_numbers(rows["_x"]), rows["_w"].tolist()) if forest else np.full(len(rows), np.nan)
+    return pd.DataFrame({"_f": rows["_f"], "_id": rows["_id"], "pred_ano_proba": score})
+
+
+def _score_stream(forests):
+    """Rows of any groups as they come, against the broadcast forests."""
+    def run(batches):
+        for rows in batches:
+            for f, part in rows.groupby("_f", sort=False, dropna=False):
+                yield _scored(part, forests.value.get(f))
     return run
 
 
+def _score_tile(key, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+    return _scored(rows, _Forest(trees) if len(trees) else None)
+
+
+# Forests up to this many nodes in all (about 48 bytes each) are broadcast; more of them meet their rows by a shuffle.
+BROADCAST_NODES = 4 << 20
+
+
 def _attach(test: DataFrame, score: DataFrame, id_col: str, by: str | None, limit: float) -> DataFrame:
     """Scores joined to the test rows; ``pred_ano`` is 0 where there is no score."""
     f = F.col(by).cast("string") if by else F.lit("")
@@ -152,14 +185,20 @@ def isolation_forest(train: DataFrame, test: DataFrame, features: Sequence[str],
                      words_col: str | None = None) -> DataFrame:
     """Isolation forest (Liu et al. 2008) fitted on ``train``, scoring ``test``; with ``by`` one forest per
     group (file), so a group's scores depend on its own rows alone. Features are the numbers and, with
-    ``words_col``, the counts of all words.
+    ``words_col``, the counts of all words. Adds ``pred_ano = score > 0.5`` (``contamination='auto'``) and ``pred_ano_proba`` (null
+    where a group has no train row); see ``fit_forest`` and ``score_forest``."""
+    forest = fit_forest(train, features, trees, psi, seed, id_col, by, words_col)
+    return _attach(test, score_forest(test, forest, features, id_col, by, words_col), id_col, by, 0.5)
+
+
+def fit_forest(train: DataFrame, features: Sequence[str], trees: int = 100, psi: int = 256, seed: int = 42,
+               id_col: str = "LineId", by: str | None = None, words_col: str | None = None) -> DataFrame:
+    """One row per group and tree (``_TREE_SCHEMA``), written as a table: scoring reads it twice.
 
     Each tree gets the ``psi`` train rows of its group with the smallest hash of (id, seed, tree)
-    (a partial group limit before the shuffle); trees are fitted in parallel, one task group each.
-    A forest has at most ``trees * (2 psi - 1)`` nodes; test rows meet their group's forest in tiles of
-    about ``TILE`` rows. ``anomaly score = 2^(-E[h(x)] / c(sample))``; ``pred_ano = score > 0.5``
-    (``contamination='auto'``). Adds ``pred_ano`` and ``pred_ano_proba`` (null where a group has no train row).
-    """
+    (a partial group limit before the shuffle); trees are fitted in parallel, one task group each. A forest has at
+    most ``trees * (2 psi - 1)`` nodes. A node is a leaf (feature -1), a number (its place) or a word (-2, ``word``); rows with
+    a value below ``threshold`` go left."""
     tr = _prepared(train, features, id_col, by, words_col)
     n = tr.groupBy("_f").agg(F.count(F.lit(1)).alias("_n"))
     # oversample by hash, then keep exactly the psi smallest hashes
@@ -170,15 +209,27 @@ def isolation_forest(train: DataFrame, test: DataFrame, features: Sequence[str],
     w = Window.partitionBy("_f", "_tree").orderBy("_o", "_id")
     tr = tr.withColumn("_o", draw).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi)
     height = int(math.ceil(math.log2(max(psi, 2))))
-    forest = tr.select("_f", "_tree", "_o", "_x", "_w").groupBy("_f", "_tree").applyInPandas(_fit_tree(seed, height), _TREE_SCHEMA)
+    return materialise(tr.select("_f", "_tree", "_o", "_x", "_w").groupBy("_f", "_tree").applyInPandas(_fit_tree(seed, height), _TREE_SCHEMA))
+
+
+def score_forest(test: DataFrame, forest: DataFrame, features: Sequence[str], id_col: str = "LineId", by: str | None = None,
+                 words_col: str | None = None) -> DataFrame:
+    """``_f``, ``_id``, ``pred_ano_proba = 2^(-E[h(x)] / c(sample))`` for each test row.
+
+    The nodes of all forests are counted first. Up to ``BROADCAST_NODES`` the packed forests are broadcast, once for each executor, and
+    test rows stream past them without a shuffle. Beyond that (many groups) rows and forest of a group meet in tiles of 16 ``TILE``
+    rows, so a large group is spread over tasks and its forest is copied once for each tile. Scores are the same."""
     te = _prepared(test, features, id_col, by, words_col)
-    blocks = te.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("_nb"))
+    schema = T.StructType([T.StructField("_f", T.StringType()), T.StructField("_id", test.schema[id_col].dataType), T.StructField("pred_ano_proba", T.DoubleType())])
+    nodes = forest.agg(F.sum(F.size("feature"))).first()[0] or 0
+    if nodes <= BROADCAST_NODES:
+        held = forest.orderBy("_f", "_tree").toPandas()
+        forests = test.sparkSession.sparkContext.broadcast({f: _Forest(part) for f, part in held.groupby("_f", sort=False)})
+        return te.mapInPandas(_score_stream(forests), schema)
+    blocks = te.groupBy("_f").agg(F.ceil(F.count(F.lit(1)) / F.lit(16 * TILE)).cast("int").alias("_nb"))
     te = te.join(blocks, "_f").withColumn("_b", F.pmod(F.xxhash64("_id"), F.col("_nb")).cast("int")).select("_f", "_b", "_id", "_x", "_w")
     forest = forest.join(blocks, "_f").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb")
-    kind = test.schema[id_col].dataType
-    schema = T.StructType([T.StructField("_f", T.StringType()), T.StructField("_id", kind), T.StructField("pred_ano_proba", T.DoubleType())])
-    score = te.groupBy("_f", "_b").cogroup(forest.groupBy("_f", "_b")).applyInPandas(_score_tile(height), schema)
-    return _attach(test, score, id_col, by, 0.5)
+    return te.groupBy("_f", "_b").cogroup(forest.groupBy("_f", "_b")).applyInPandas(_score_tile, schema)
 
 
 def detector_metrics(df: DataFrame, label_col: str = "anomaly", score_col: str = "pred_ano_proba",
