@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logscope.operators.components import components
 from logscope.session import materialise
 
 WILDCARD = "<*>"
@@ -46,74 +47,110 @@ def templates_iplom(df: DataFrame, text_col: str = "e_message_normalized") -> Da
     return df.join(mapping, df[text_col] == mapping["_text"], "left").drop("_text")
 
 
-def templates_brain(df: DataFrame, text_col: str = "e_message_normalized") -> DataFrame:
-    """Brain-style templates: within each token count, a token is constant where it
-    is the most frequent word of its position in at least half of the messages of
-    that length and appears in every message of the group formed by the messages'
-    frequent-word pattern; other positions are ``<*>``. Set-based, like IPLoM."""
-    texts = df.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
-    texts = texts.withColumn("_tok", _tokens(F.col("_text"))).withColumn("_n", F.size("_tok"))
-    pos = texts.select("_text", "_n", F.posexplode("_tok").alias("_p", "_w"))
-    freq = pos.groupBy("_n", "_p", "_w").agg(F.count(F.lit(1)).alias("_f"))
-    pos = pos.join(freq, ["_n", "_p", "_w"])
-    # the pattern of a message: its words at the positions where its word has the highest frequency
-    top = pos.groupBy("_text").agg(F.max("_f").alias("_mf"))
-    pos = pos.join(top, "_text")
-    pattern = pos.groupBy("_text", "_n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
-        F.struct("_p", F.when(F.col("_f") == F.col("_mf"), F.col("_w")).otherwise(F.lit(WILDCARD)).alias("_x")))),
-        lambda s: s["_x"]), " ").alias("_key"))
-    pos = pos.join(pattern, ["_text", "_n"])
-    const = pos.groupBy("_n", "_key", "_p").agg(F.count_distinct("_w").alias("_c"), F.min("_w").alias("_w"))
-    const = const.withColumn("_w", F.when(F.col("_c") == 1, F.col("_w")).otherwise(F.lit(WILDCARD)))
-    tmpl = const.groupBy("_n", "_key").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_w"))), lambda s: s["_w"]), " ")
-        .alias("template"))
-    mapping = pattern.join(tmpl, ["_n", "_key"]).select("_text", "template").withColumn("event_id", F.md5("template"))
-    return df.join(mapping, df[text_col] == mapping["_text"], "left").drop("_text")
+def _masked_texts(df: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(_text, _t1, _t2)`` of the distinct texts, and their distinct masked messages ``(_id, _t1, _t2, _w rows, _tok, _n)``, both written."""
+    text = F.col(text_col)
+    raw = df.where(text.isNotNull()).groupBy(text.alias("_text")).agg(F.count(F.lit(1)).alias("_w"))
+    raw = raw.withColumn("_tok", _masked(_tokens(F.col("_text"))))
+    raw = materialise(raw.select("_text", "_w", "_tok", *_text_id(F.array_join("_tok", " "))))
+    masked = raw.groupBy("_t1", "_t2").agg(F.sum("_w").alias("_w"), F.first("_tok").alias("_tok"))
+    masked = materialise(masked.withColumn("_n", F.size("_tok")).withColumn("_id", F.monotonically_increasing_id()))
+    return raw.select("_text", "_t1", "_t2"), masked
 
 
-_MAP_SCHEMA = T.StructType([T.StructField("_text", T.StringType()), T.StructField("template", T.StringType())])
+def _with_templates(df: DataFrame, text_col: str, raw: DataFrame, masked: DataFrame, words: DataFrame) -> DataFrame:
+    """``df`` with the templates whose words are ``(_id, _p, _x)``; a message without tokens has the empty template."""
+    shown = words.groupBy("_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_p", "_x"))), lambda s: s["_x"]), " ").alias("template"))
+    mapping = masked.select("_id", "_t1", "_t2").join(shown, "_id", "left").select("_t1", "_t2", F.coalesce("template", F.lit("")).alias("template"))
+    mapping = raw.join(mapping, ["_t1", "_t2"]).select("_text", "template", F.md5("template").alias("event_id"))
+    return df.join(mapping, df[text_col] == mapping["_text"], "left").drop("_text")
 
 
-def _drain_group(sim_threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[list[str]] = []
-        out_t, out_c = [], []
-        for text in sorted(pdf["_text"]):
-            toks = text.split()
-            best, best_sim = None, -1.0
-            for i, c in enumerate(clusters):
-                same = sum(1 for a, b in zip(c, toks) if a == b or a == WILDCARD)
-                sim = same / max(len(toks), 1)
-                if sim > best_sim:
-                    best, best_sim = i, sim
-            if best is not None and best_sim >= sim_threshold:
-                c = clusters[best]
-                clusters[best] = [a if a == b else WILDCARD for a, b in zip(c, toks)]
-                out_c.append(best)
-            else:
-                clusters.append(list(toks))
-                out_c.append(len(clusters) - 1)
-            out_t.append(text)
-        return pd.DataFrame({"_text": out_t, "template": [" ".join(clusters[i]) for i in out_c]})
-    return run
+def templates_brain(df: DataFrame, text_col: str = "e_message_normalized", branches: int = 2) -> DataFrame:
+    """Brain-style templates (Yu et al. 2023): a root pattern of equally frequent words, and a tree that grows from it in two directions.
+
+    * Tokens with a digit are ``<*>``; equal masked messages are one message with a row count. A word's frequency is the number of rows with
+      as many tokens that hold it at its position.
+    * A message's words of one frequency are a combination. The one of most words (then of the greater frequency) is its root pattern; messages
+      of one token count and root pattern are a group.
+    * Towards the parents: a word more frequent than the root stays where the group has one word at that position only.
+      Towards the children: a less frequent word stays where the group has at most ``branches`` of them, each a branch
+      of its own. All else is ``<*>``.
+
+    -> ``df + (event_id, template)``; null text has neither. Only aggregates and equality joins on distinct masked messages."""
+    raw, masked = _masked_texts(df, text_col)
+    tokens = masked.select("_id", "_n", "_w", F.posexplode("_tok").alias("_p", "_x"))
+    freq = tokens.groupBy("_n", "_p", "_x").agg(F.sum("_w").alias("_f"))
+    tokens = materialise(tokens.join(freq, ["_n", "_p", "_x"]).drop("_w"))
+    plain = tokens.where(F.col("_x") != WILDCARD)
+    root = (plain.groupBy("_id", "_f").agg(F.count(F.lit(1)).alias("_c"), F.sort_array(F.collect_list(F.struct("_p", "_x"))).alias("_l"))
+            .groupBy("_id").agg(F.max_by(F.struct("_f", "_l"), F.struct("_c", "_f")).alias("_r")))
+    key = F.md5(F.coalesce(F.array_join(F.transform("_r._l", lambda s: F.concat(s["_p"].cast("string"), F.lit(" "), s["_x"])), "\n"), F.lit("")))
+    tokens = materialise(tokens.join(root.select("_id", F.col("_r._f").alias("_rf"), key.alias("_key")), "_id", "left")
+                         .withColumn("_key", F.coalesce("_key", F.lit(""))))
+    column = tokens.groupBy("_n", "_key", "_p").agg(F.count_distinct("_x").alias("_d"))
+    stays = (F.col("_f") == F.col("_rf")) | ((F.col("_f") > F.col("_rf")) & (F.col("_d") == 1)) | ((F.col("_f") < F.col("_rf")) & (F.col("_d") <= branches))
+    words = tokens.join(column, ["_n", "_key", "_p"]).select("_id", "_p", F.when(stays, F.col("_x")).otherwise(F.lit(WILDCARD)).alias("_x"))
+    return _with_templates(df, text_col, raw, masked, words)
 
 
 def templates_drain(df: DataFrame, text_col: str = "e_message_normalized", depth: int = 2,
                     sim_threshold: float = 0.4) -> DataFrame:
-    """Drain-style templates: messages are grouped by (token count, first ``depth`` tokens
-    with digits masked); inside a group, distinct messages are merged in sorted order
-    into the most similar cluster when at least ``sim_threshold`` of the tokens agree.
-    Deterministic (fixed order), unlike the online form."""
-    texts = df.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
-    tok = _tokens(F.col("_text"))
-    head = F.array_join(F.transform(F.slice(tok, 1, depth),
-                                    lambda w: F.when(w.rlike(r"\d"), F.lit(WILDCARD)).otherwise(w)), " ")
-    texts = texts.withColumn("_n", F.size(tok)).withColumn("_head", head)
-    mapping = texts.groupBy("_n", "_head").applyInPandas(
-        lambda pdf: _drain_group(sim_threshold)(pdf[["_text"]]), _MAP_SCHEMA)
-    mapping = mapping.withColumn("event_id", F.md5("template"))
-    return df.join(mapping, df[text_col] == mapping["_text"], "left").drop("_text")
+    """Drain-style templates (He et al. 2017) as a set: the tree's leaves, and clusters of similar messages inside a leaf.
+
+    * Tokens with a digit are ``<*>``; equal masked messages are one message. A leaf holds the messages of one token count
+      and one beginning of ``depth`` tokens.
+    * Two messages of a leaf are similar when at least ``sim_threshold`` of their positions hold the same token. A cluster is
+      a connected component, so the result does not depend on an order of arrival, as the online form's does.
+    * A position of the template is the cluster's one token there, or ``<*>``.
+
+    Exact without comparing all messages of a leaf. Positions with one token in the whole leaf agree in each pair; where they are enough
+    the leaf is one cluster. Otherwise ``r`` more positions must agree: of a message's ``t`` tokens that some other message
+    of the leaf has too, taken from the rarest on, the first ``t - r + 1`` meet those of any similar message. Messages that
+    share such a token are compared with the least of them first; only tokens whose messages are in several components after that are paired.
+    -> ``df + (event_id, template)``; null text has neither."""
+    raw, masked = _masked_texts(df, text_col)
+    masked = masked.withColumn("_leaf", F.xxhash64("_n", F.slice("_tok", 1, depth)))
+    head = F.slice("_tok", 1, depth)
+    tokens = masked.select("_id", "_leaf", "_n", head.alias("_head"), F.posexplode("_tok").alias("_p", "_x"))
+    freq = tokens.groupBy("_leaf", "_n", "_head", "_p", "_x").agg(F.count(F.lit(1)).alias("_f"))
+    size = masked.groupBy("_leaf", "_n", head.alias("_head")).agg(F.count(F.lit(1)).alias("_size"))
+    leaf = ["_leaf", "_n", "_head"]
+    freq = freq.join(size, leaf)
+    agreed = freq.where(F.col("_f") == F.col("_size")).groupBy(*leaf).agg(F.count(F.lit(1)).alias("_const"))
+    need = size.join(agreed, leaf, "left").select(*leaf, (F.ceil(F.lit(float(sim_threshold)) * F.col("_n")) - F.coalesce("_const", F.lit(0))).alias("_r"))
+    need = materialise(need)
+    # whole leaves: a star around the least message
+    whole = masked.withColumn("_head", head).join(need.where("_r <= 0"), leaf)
+    edges = whole.groupBy(*leaf).agg(F.min("_id").alias("b")).join(whole.select(*leaf, F.col("_id").alias("a")), leaf).select("a", "b")
+    shared = freq.where((F.col("_f") > 1) & (F.col("_f") < F.col("_size"))).drop("_size").join(need.where("_r > 0"), leaf)
+    lists = (tokens.join(shared, [*leaf, "_p", "_x"]).groupBy("_id", "_leaf", "_r")
+             .agg(F.sort_array(F.collect_list(F.struct("_f", "_p", "_x"))).alias("_l")).where(F.size("_l") >= F.col("_r")))
+    lists = materialise(lists.select("_id", "_leaf", "_r", F.transform("_l", lambda s: F.concat(s["_p"].cast("string"), F.lit(" "), s["_x"])).alias("_l")))
+    keys = materialise(lists.select("_id", "_leaf", F.explode(F.slice("_l", F.lit(1), (F.size("_l") - F.col("_r") + 1).cast("int"))).alias("_k")))
+    edges = materialise(edges.unionByName(_similar(keys.join(keys.groupBy("_leaf", "_k").agg(F.min("_id").alias("_o")), ["_leaf", "_k"])
+                                                   .select(F.col("_id").alias("a"), F.col("_o").alias("b")), lists)))
+    found = components(edges)
+    keys = keys.join(found.withColumnRenamed("id", "_id"), "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
+    apart = keys.groupBy("_leaf", "_k").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
+    open_ = keys.join(apart.select("_leaf", "_k"), ["_leaf", "_k"])
+    other = open_.select("_leaf", "_k", F.col("_id").alias("b"), F.col("comp").alias("_oc"))
+    pairs = open_.withColumnRenamed("_id", "a").join(other, ["_leaf", "_k"]).where("comp < _oc").select("a", "b")
+    found = materialise(components(found.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(_similar(pairs, lists))))
+    tokens = tokens.join(found.withColumnRenamed("id", "_id"), "_id", "left").select("_id", "_p", "_x", F.coalesce("comp", "_id").alias("_comp"))
+    column = tokens.groupBy("_comp", "_p").agg(F.when(F.min("_x") == F.max("_x"), F.min("_x")).otherwise(F.lit(WILDCARD)).alias("_t"))
+    words = tokens.join(column, ["_comp", "_p"]).select("_id", "_p", F.col("_t").alias("_x"))
+    return _with_templates(df, text_col, raw, masked, words)
+
+
+def _similar(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose lists share at least ``_r`` tokens."""
+    pairs = pairs.where("a <> b").distinct()
+    left, right = lists.select(F.col("_id").alias("a"), "_r", F.col("_l").alias("_la")), lists.select(F.col("_id").alias("b"), F.col("_l").alias("_lb"))
+    return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("_la", "_lb")) >= F.col("_r")).select("a", "b")
+
+
+_MAP_SCHEMA = T.StructType([T.StructField("_text", T.StringType()), T.StructField("template", T.StringType())])
 
 
 def _lcs(a: list[str], b: list[str]) -> list[str]:

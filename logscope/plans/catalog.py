@@ -984,7 +984,39 @@ def q_templates_tip(spark, sf):
     return templates_tip(lv(spark, sf).select("message"), "message").select("message", "template", "event_id")
 
 
-@register("templates_drain")
+_MASKED_SQL = r"""
+m0 AS (SELECT line_id, message, list_transform(list_filter(regexp_split_to_array(message, '\s+'), lambda w: w <> ''),
+       lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS tok FROM log_view),
+m AS (SELECT tok, count(*) AS w, len(tok) AS n FROM m0 WHERE message IS NOT NULL GROUP BY tok)
+"""
+
+_DRAIN_SQL = _MASKED_SQL + """,
+links AS (SELECT x.tok AS a, y.tok AS b FROM m x JOIN m y ON x.n = y.n AND list_slice(x.tok, 1, 2) = list_slice(y.tok, 1, 2)
+          WHERE len(list_filter(x.tok, lambda t, i: t = y.tok[i])) >= 0.4::DOUBLE * x.n),
+comp AS (WITH RECURSIVE reach(a, b) AS (SELECT tok, tok FROM m UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+         SELECT a AS tok, min(b) AS c FROM reach GROUP BY a),
+pos AS (SELECT tok, c, unnest(tok) AS x, unnest(range(1, len(tok) + 1)) AS p FROM comp),
+col AS (SELECT c, p, CASE WHEN min(x) = max(x) THEN min(x) ELSE '<*>' END AS x FROM pos GROUP BY c, p),
+tm AS (SELECT comp.tok, coalesce(string_agg(col.x, ' ' ORDER BY p), '') AS template FROM comp LEFT JOIN col USING (c) GROUP BY comp.tok)
+"""
+
+_BRAIN_SQL = _MASKED_SQL + """,
+p0 AS (SELECT tok, n, w, unnest(tok) AS x, unnest(range(1, n + 1)) AS p FROM m),
+p1 AS (SELECT *, sum(w) OVER (PARTITION BY n, p, x) AS f FROM p0),
+cb AS (SELECT tok, f, list((p, x) ORDER BY p)::VARCHAR AS l, row_number() OVER (PARTITION BY tok ORDER BY count(*) DESC, f DESC) AS o
+       FROM p1 WHERE x <> '<*>' GROUP BY tok, f),
+p2 AS (SELECT p1.*, cb.f AS rf, coalesce(cb.l, '') AS k FROM p1 LEFT JOIN cb ON cb.tok = p1.tok AND cb.o = 1),
+d AS (SELECT n, k, p, count(DISTINCT x) AS d FROM p2 GROUP BY n, k, p),
+tm0 AS (SELECT tok, string_agg(CASE WHEN f = rf OR (f > rf AND d = 1) OR (f < rf AND d <= 2) THEN x ELSE '<*>' END, ' ' ORDER BY p) AS template
+        FROM p2 JOIN d USING (n, k, p) GROUP BY tok),
+tm AS (SELECT m.tok, coalesce(template, '') AS template FROM m LEFT JOIN tm0 USING (tok))
+"""
+
+_TEMPLATES_OUT = ("SELECT line_id, message AS e_message_normalized, template, md5(template) AS event_id "
+                  "FROM m0 LEFT JOIN tm ON tm.tok = m0.tok AND message IS NOT NULL")
+
+
+@register("templates_drain", with_views(_TEMPLATES_OUT, "log_view", extra=_DRAIN_SQL))
 def q_drain(spark, sf):
     from logscope.operators.templates import templates_drain
     df = lv(spark, sf).select("line_id", F.col("message").alias("e_message_normalized"))  # raw messages, every row
@@ -998,7 +1030,7 @@ def q_spell(spark, sf):
     return templates_spell(df).select("line_id", "e_message_normalized", "template", "event_id")
 
 
-@register("templates_brain")
+@register("templates_brain", with_views(_TEMPLATES_OUT, "log_view", extra=_BRAIN_SQL))
 def q_brain(spark, sf):
     from logscope.operators.templates import templates_brain
     df = lv(spark, sf).select("line_id", F.col("message").alias("e_message_normalized"))

@@ -48,7 +48,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert got == want
 
 
-NO_ORACLE = {"templates_drain", "templates_spell", "templates_brain", "isolation_forest", "lof", "features", "embed",
+NO_ORACLE = {"templates_spell", "isolation_forest", "lof", "features", "embed",
              "explain_files", "trim_iterative", "one_class_svm", "explain_lines_semantic"}
 
 
