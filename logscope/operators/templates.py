@@ -6,7 +6,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logscope.operators.components import components
 from logscope.session import materialise
@@ -128,19 +127,25 @@ def templates_drain(df: DataFrame, text_col: str = "e_message_normalized", depth
              .agg(F.sort_array(F.collect_list(F.struct("_f", "_p", "_x"))).alias("_l")).where(F.size("_l") >= F.col("_r")))
     lists = materialise(lists.select("_id", "_leaf", "_r", F.transform("_l", lambda s: F.concat(s["_p"].cast("string"), F.lit(" "), s["_x"])).alias("_l")))
     keys = materialise(lists.select("_id", "_leaf", F.explode(F.slice("_l", F.lit(1), (F.size("_l") - F.col("_r") + 1).cast("int"))).alias("_k")))
-    edges = materialise(edges.unionByName(_similar(keys.join(keys.groupBy("_leaf", "_k").agg(F.min("_id").alias("_o")), ["_leaf", "_k"])
-                                                   .select(F.col("_id").alias("a"), F.col("_o").alias("b")), lists)))
-    found = components(edges)
+    found = _linked(keys, edges, lambda pairs: _similar(pairs, lists))
+    tokens = tokens.join(found.withColumnRenamed("id", "_id"), "_id", "left").select("_id", "_p", "_x", F.coalesce("comp", "_id").alias("_comp"))
+    column = tokens.groupBy("_comp", "_p").agg(F.when(F.min("_x") == F.max("_x"), F.min("_x")).otherwise(F.lit(WILDCARD)).alias("_t"))
+    words = tokens.join(column, ["_comp", "_p"]).select("_id", "_p", F.col("_t").alias("_x"))
+    return _with_templates(df, text_col, raw, masked, words)
+
+
+def _linked(keys: DataFrame, edges: DataFrame, similar) -> DataFrame:
+    """``(id, comp)`` of the messages that ``edges`` or ``similar`` (pairs -> the similar ones) link. Candidates share a key ``(_leaf, _k)``: the
+    least message of a key is compared with all others, then only keys whose messages are in several components are paired."""
+    least = keys.groupBy("_leaf", "_k").agg(F.min("_id").alias("b"))
+    stars = similar(keys.join(least, ["_leaf", "_k"]).select(F.col("_id").alias("a"), "b"))
+    found = materialise(components(edges.unionByName(stars)))
     keys = keys.join(found.withColumnRenamed("id", "_id"), "_id", "left").withColumn("comp", F.coalesce("comp", "_id"))
     apart = keys.groupBy("_leaf", "_k").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi")
     open_ = keys.join(apart.select("_leaf", "_k"), ["_leaf", "_k"])
     other = open_.select("_leaf", "_k", F.col("_id").alias("b"), F.col("comp").alias("_oc"))
     pairs = open_.withColumnRenamed("_id", "a").join(other, ["_leaf", "_k"]).where("comp < _oc").select("a", "b")
-    found = materialise(components(found.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(_similar(pairs, lists))))
-    tokens = tokens.join(found.withColumnRenamed("id", "_id"), "_id", "left").select("_id", "_p", "_x", F.coalesce("comp", "_id").alias("_comp"))
-    column = tokens.groupBy("_comp", "_p").agg(F.when(F.min("_x") == F.max("_x"), F.min("_x")).otherwise(F.lit(WILDCARD)).alias("_t"))
-    words = tokens.join(column, ["_comp", "_p"]).select("_id", "_p", F.col("_t").alias("_x"))
-    return _with_templates(df, text_col, raw, masked, words)
+    return materialise(components(found.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(similar(pairs))))
 
 
 def _similar(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -150,56 +155,77 @@ def _similar(pairs: DataFrame, lists: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("_la", "_lb")) >= F.col("_r")).select("a", "b")
 
 
-_MAP_SCHEMA = T.StructType([T.StructField("_text", T.StringType()), T.StructField("template", T.StringType())])
+def _matched(x: list, y: list) -> list[int]:
+    """Places of ``x`` in a longest common subsequence with ``y`` (bit-parallel: one integer holds a row of the table, a zero bit is a step)."""
+    at: dict = {}
+    for i, t in enumerate(x):
+        at[t] = at.get(t, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    rows = [full]
+    for t in y:
+        held = rows[-1] & at.get(t, 0)
+        rows.append(((rows[-1] + held) | (rows[-1] - held)) & full)
+    out, i, j = [], len(x), len(y)
+    while i and j:
+        if rows[j] >> (i - 1) & 1:
+            i -= 1
+        elif rows[j - 1] >> (i - 1) & 1:
+            i, j = i - 1, j - 1
+            out.append(i)
+        else:
+            j -= 1
+    return out[::-1]
+
 
+def _alignments(batches):
+    """``_m``: the places of ``_x`` that a longest common subsequence with ``_y`` keeps."""
+    for pdf in batches:
+        yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "_m": [_matched(list(x), list(y)) for x, y in zip(pdf["_x"], pdf["_y"])]})
 
-def _lcs(a: list[str], b: list[str]) -> list[str]:
-    n, m = len(a), len(b)
-    dp = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            dp[i][j] = dp[i + 1][j + 1] + 1 if a[i] == b[j] else max(dp[i + 1][j], dp[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if a[i] == b[j]:
-            out.append(a[i]); i += 1; j += 1
-        elif dp[i + 1][j] >= dp[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-def _spell_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys: list[list[str]] = []
-    assign = []
-    texts = sorted(pdf["_text"])
-    for text in texts:
-        toks = text.split()
-        best, best_len = None, 0
-        for i, k in enumerate(keys):
-            common = _lcs(k, toks)
-            if len(common) >= len(toks) / 2 and len(common) > best_len:
-                best, best_len = i, len(common)
-        if best is None:
-            keys.append(toks)
-            assign.append(len(keys) - 1)
-        else:
-            keys[best] = _lcs(keys[best], toks)
-            assign.append(best)
-    return pd.DataFrame({"_text": texts, "template": [" ".join(keys[i]) for i in assign]})
+
+def _aligned(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """``(a, b, _m)`` for distinct pairs of ids."""
+    x, y = seqs.select(F.col("_id").alias("a"), F.col("_s").alias("_x")), seqs.select(F.col("_id").alias("b"), F.col("_s").alias("_y"))
+    return pairs.distinct().join(x, "a").join(y, "b").mapInPandas(_alignments, "a long, b long, _m array<int>")
 
 
 def templates_spell(df: DataFrame, text_col: str = "e_message_normalized") -> DataFrame:
-    """Spell-style templates: longest common token subsequence with a message, kept when it
-    covers at least half of the message's tokens. Messages are grouped by (token
-    count bucket, first token) and processed in sorted order inside a group."""
-    texts = df.select(F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).distinct()
-    tok = _tokens(F.col("_text"))
-    texts = texts.withColumn("_b", F.floor(F.log2(F.size(tok) + 1))).withColumn("_first", F.get(tok, 0))
-    mapping = texts.groupBy("_b", "_first").applyInPandas(lambda pdf: _spell_group(pdf[["_text"]]), _MAP_SCHEMA)
-    mapping = mapping.withColumn("event_id", F.md5("template"))
-    return df.join(mapping, df[text_col] == mapping["_text"], "left").drop("_text")
+    """Spell-style templates (Du and Li 2016) as a set: messages with long common subsequences.
+
+    * Tokens with a digit are left out; equal masked messages are one message. Two messages are similar when their longest common
+      subsequence of tokens holds at least half of the tokens of either. A cluster is a connected component, whatever
+      the order of arrival.
+    * The template holds the tokens of the cluster's first message (in text order) that its subsequences with all others keep.
+
+    Exact without comparing all messages: of ``n`` tokens (a repeated one counted by its occurrence) at least ``ceil(n / 2)`` must be
+    shared, so the rarest ``n - ceil(n / 2) + 1`` meet those of any similar message. Subsequences are found bit-parallel, pair by pair in Arrow
+    batches; no group of messages is one task. -> ``df + (event_id, template)``; null text has neither."""
+    raw, masked = _masked_texts(df, text_col)
+    seqs = materialise(masked.select("_id", F.filter("_tok", lambda w: w != WILDCARD).alias("_s"), F.array_join("_tok", " ").alias("_mask")))
+    tokens = seqs.select("_id", F.size("_s").alias("_n"), F.posexplode("_s").alias("_p", "_x"))
+    nth = F.row_number().over(Window.partitionBy("_id", "_x").orderBy("_p"))
+    tokens = tokens.withColumn("_x", F.concat(nth.cast("string"), F.lit(" "), F.col("_x")))
+    freq = tokens.groupBy("_x").agg(F.count(F.lit(1)).alias("_f"))
+    lists = tokens.join(freq, "_x").groupBy("_id", "_n").agg(F.sort_array(F.collect_list(F.struct("_f", "_x"))).alias("_l"))
+    keys = lists.select("_id", F.lit(0).alias("_leaf"), F.explode(F.slice("_l", F.lit(1), (F.floor(F.col("_n") / 2) + 1).cast("int"))).alias("_k"))
+    keys = materialise(keys.where("_k._f > 1").select("_id", "_leaf", F.col("_k._x").alias("_k")))
+    size = seqs.select(F.col("_id").alias("_i"), F.size("_s").alias("_n"))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        found = _aligned(pairs.where("a <> b"), seqs)
+        for c in "ab":
+            found = found.join(size, F.col(c) == F.col("_i")).where(2 * F.size("_m") >= F.col("_n")).select("a", "b", "_m")
+        return found.select("a", "b")
+
+    found = _linked(keys, seqs.select(F.col("_id").alias("a"), F.col("_id").alias("b")).limit(0), similar)
+    member = materialise(seqs.select("_id", "_mask").join(found.withColumnRenamed("id", "_id"), "_id", "left").withColumn("comp", F.coalesce("comp", "_id")))
+    first = member.groupBy("comp").agg(F.min_by("_id", "_mask").alias("a"), F.count(F.lit(1)).alias("_c"))
+    kept = _aligned(member.join(first, "comp").select("a", F.col("_id").alias("b")), seqs)
+    kept = kept.select("a", F.explode("_m").alias("_p")).groupBy("a", "_p").agg(F.count(F.lit(1)).alias("_k"))
+    kept = kept.join(first.select("a", "_c"), "a").where(F.col("_k") == F.col("_c"))
+    words = seqs.select(F.col("_id").alias("a"), F.posexplode("_s").alias("_p", "_x")).join(kept, ["a", "_p"]).select("a", "_p", "_x")
+    words = member.join(first, "comp").select("_id", "a").join(words, "a").select("_id", "_p", "_x")
+    return _with_templates(df, text_col, raw, masked, words)
 
 
 def _masked(tokens):

@@ -187,3 +187,62 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()
     assert sorted((r["id"], r["comp"]) for r in got) == sorted((x, top(x)) for x in comp)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def kept_places(x, y):
+    """Places of x in a longest common subsequence, by the full table."""
+    table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            table[i + 1][j + 1] = table[i][j] + 1 if x[i] == y[j] else max(table[i][j + 1], table[i + 1][j])
+    out, i, j = [], len(x), len(y)
+    while i and j:
+        if table[i][j] == table[i - 1][j]:
+            i -= 1
+        elif table[i][j] == table[i][j - 1]:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(i)
+    return out[::-1]
+
+
+def spell_model(lines):
+    ms = sorted(masks_of(lines), key=" ".join)
+    seq = {m: [t for t in m if t != "<*>"] for m in ms}
+    comp = {m: m for m in ms}
+
+    def top(m):
+        while comp[m] != m:
+            m = comp[m]
+        return m
+    for a, b in combinations(ms, 2):
+        if seq[a] and seq[b] and 2 * len(kept_places(seq[a], seq[b])) >= max(len(seq[a]), len(seq[b])):
+            comp[top(b)] = top(a)
+    groups = defaultdict(list)
+    for m in ms:
+        groups[top(m)].append(m)
+    templates = {}
+    for group in groups.values():
+        first = seq[group[0]]
+        places = set(range(len(first)))
+        for m in group:
+            places &= set(kept_places(first, seq[m]))
+        templates.update(dict.fromkeys(group, " ".join(first[p] for p in sorted(places))))
+    return shown(lines, templates)
+
+
+def test_common_subsequences_are_those_of_the_table():
+    rng = random.Random(6)
+    for _ in range(400):
+        x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 90 if rng.random() < 0.1 else 9))] for _ in range(2))
+        assert tp._matched(x, y) == kept_places(x, y)
+
+
+def test_spell(spark):
+    rng = random.Random(9)
+    lines = MORE + ["<*> " + " ".join(rng.choice("abcdefghijklmnopqr") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    df = spark.createDataFrame([(t, "kept") for t in lines], "e_message_normalized string, _w string").repartition(3)
+    got = rows_of(tp.templates_spell(df))
+    assert got == spell_model(lines) and 10 < len({r[1] for r in got})
+    assert tp.templates_spell(df.limit(0)).count() == 0
