@@ -199,6 +199,28 @@ def run_prompts(df: DataFrame, classes: Sequence[str], run_cols: Sequence[str] =
     return df.select(*run_cols, prompt.alias("prompt"))
 
 
+def run_prompt_lines(df: DataFrame, classes: Sequence[str], run_cols: Sequence[str] = ("run_id",),
+                     content_col: str = "Content", order_col: str = "line_no", template: str = RUN_TEMPLATE) -> DataFrame:
+    """The prompts of ``run_prompts`` as lines ``(run columns, part, order, line)`` that are never gathered: part 0 is the text before
+    the content, 1 the content, 2 the text after it. In order of (run, part, order) the lines joined by line breaks are the
+    prompt. ``sinks.write_ordered_lines`` streams them to files, whatever a run's length. A null content line is left out, as
+    ``run_prompts`` does; a run of only such lines keeps its frame. The content must stand alone in its template line."""
+    run_cols = list(run_cols)
+    head, tail = template.split("{content}")
+    if head and not head.endswith("\n") or tail and not tail.startswith("\n"):
+        raise ValueError("the content must stand alone in its line of the template")
+    classes_txt = "[" + ", ".join(f"'{c}'" for c in classes) + "]"
+    text = lambda t: fill_template(t, {"classes": F.lit(classes_txt)})
+    frame = [F.struct(F.lit(n).alias("part"), text(t).alias("line")) for n, t in ((0, head[:-1]), (2, tail[1:])) if t]
+    kind = df.schema[order_col].dataType
+    out = df.where(F.col(content_col).isNotNull()).select(
+        *run_cols, F.lit(1).alias("part"), F.col(order_col), F.col(content_col).alias("line"))
+    if frame:
+        runs = df.select(*run_cols).distinct().select(*run_cols, F.explode(F.array(*frame)).alias("f"))
+        out = out.unionByName(runs.select(*run_cols, "f.part", F.lit(None).cast(kind).alias(order_col), "f.line"))
+    return out
+
+
 def prompt_variants(df: DataFrame, prompt_col: str, strategies: Mapping[str, str],
                     demos: DataFrame | None = None, demo_text: str = "text", demo_label: str = "label") -> DataFrame:
     """One row per (input, strategy). ``strategies`` maps a name to a template with

@@ -8,6 +8,7 @@ values, not formatting.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ from logscope.plans import oracle as orc
 from logscope.plans.echo import Echo, reply_sql
 from logscope.plans.pipeline import LineConfig, explain_lines, prepare
 from logscope.plans.views import table, view, with_views
+from logscope.session import ensure_checkpoint_dir
 from logscope.sources.readers import merge_multiline, parse_bgl, read_logs
 from logscope.sources.vocabulary import KNOWN_LABELS
 
@@ -1288,3 +1290,82 @@ def q_chain(spark, sf):
     steps = [(lambda d: d.withColumn("_step0", F.col("message")), "first"),
              (lambda d: d.withColumn("_step1", F.concat(F.lit("again"), F.col("first"))), "second")]
     return chain(lv(spark, sf).select("line_id", "message"), steps, Echo).select("line_id", "first", "second")
+
+
+# ---------------------------------------------------------------- written to the shared folder and read back
+
+
+def _shared(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/logscope-{name}-{uuid.uuid4().hex}"
+
+
+_QUOTED = "CASE WHEN LineId % 5 = 0 THEN Content || chr(10) || 'said \"x\", twice' ELSE Content END"
+
+
+@register("read_structured_csv", with_views(
+    f"SELECT LineId, Level, Component, coalesce({_QUOTED}, '') AS Content FROM (SELECT {_STRUCTURED} FROM log_view)", "log_view"))
+def q_read_structured_csv(spark, sf):
+    from logscope.sources.readers import read_structured_csv
+    path = _shared(spark, "csv")
+    df = lv(spark, sf).selectExpr(*_STRUCTURED_SPARK)
+    df.select("LineId", "Level", "Component", F.coalesce(F.expr(_QUOTED), F.lit("")).alias("Content")).write.option(
+        "header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return read_structured_csv(spark, path, "LineId long, Level string, Component string, Content string")
+
+
+@register("read_text_lines", with_views(
+    "SELECT source_file, row_number() OVER (PARTITION BY source_file ORDER BY line_no) AS line_no, value FROM raw_view", "raw_view"))
+def q_read_text_lines(spark, sf):
+    from logscope.sources.readers import read_text_lines
+    path = _shared(spark, "text")
+    # one physical file for each source file: that is what a raw log is
+    raw = view(spark, sf, "raw_view").withColumn("log", F.coalesce("source_file", F.lit("")))
+    raw.repartition("log").sortWithinPartitions("log", "line_no").select("log", "value").write.partitionBy("log").text(path)
+    out = read_text_lines(spark, path)
+    return out.select(F.regexp_extract("source_file", "log=([^/]*)/", 1).alias("source_file"), "line_no", "value")
+
+
+@register("write_logs", with_views("SELECT line_id, CAST(date AS VARCHAR) AS date, message FROM log_view", "log_view"))
+def q_write_logs(spark, sf):
+    from logscope.sources.sinks import write_logs
+    path = _shared(spark, "logs")
+    write_logs(lv(spark, sf).select("line_id", F.col("date").cast("string").alias("day"), "message"), path, 1_000, "line_id", "day")
+    return spark.read.schema("line_id long, message string, day string").parquet(path).select("line_id", F.col("day").alias("date"), "message")
+
+
+@register("write_evaluation", with_views(
+    "SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, "
+    "CAST(support AS BIGINT) AS support FROM f", "eval_view", extra=_CLASS_SQL))
+def q_write_evaluation(spark, sf):
+    from logscope.sources.sinks import write_evaluation
+    path = _shared(spark, "evaluation")
+    rows = view(spark, sf, "eval_view")
+    write_evaluation(rows, ev.per_class(rows), ev.overall(rows), path)
+    return spark.read.option("header", True).schema(
+        "label string, precision double, recall double, f1 double, support long").csv(f"{path}/per_class")
+
+
+@register("write_nested_document", with_views(
+    "SELECT CAST(date AS VARCHAR) AS date, CASE WHEN line_id % 9 = 0 THEN '' ELSE message END AS message, count(*) AS n "
+    "FROM log_view GROUP BY 1, 2", "log_view"))
+def q_write_nested_document(spark, sf):
+    from logscope.sources.sinks import read_nested_document, write_nested_document
+    path = _shared(spark, "nested")
+    df = lv(spark, sf).withColumn("m", F.when(F.col("line_id") % 9 != 0, F.col("message")))
+    counts = df.groupBy("date", F.col("m").alias("e_message_normalized")).agg(F.count(F.lit(1)).alias("count"))
+    write_nested_document(counts, path)
+    return read_nested_document(spark, path, text_col="message", count_col="n")
+
+
+def _run_lines_sql() -> str:
+    classes = "[" + ", ".join(f"'{c}'" for c in RUN_CLASSES) + "]"
+    head = sql_template(prm.RUN_TEMPLATE.split("\n{content}")[0], {"classes": orc.q(classes)})
+    return (f"SELECT DISTINCT conv_id, 0 AS part, CAST(NULL AS BIGINT) AS turn, {head} AS line FROM conversations "
+            "UNION ALL SELECT conv_id, 1, turn, role || ': ' || text FROM conversations WHERE role || text IS NOT NULL")
+
+
+@register("run_prompt_lines", _run_lines_sql())
+def q_run_prompt_lines(spark, sf):
+    conv = table(spark, sf, "conversations").select(
+        "conv_id", "turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("Content"))
+    return prm.run_prompt_lines(conv, RUN_CLASSES, ["conv_id"], "Content", "turn")

@@ -3,7 +3,9 @@ carried by range partitioning, never by funnelling rows through one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Sequence
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,6 +82,60 @@ def write_nested_counts(counts: DataFrame, path: str, mode: str = "overwrite", *
         .write.mode(mode).json(path)
 
 
+NO_VALUE = "none"
+
+
+def write_ordered_lines(lines: DataFrame, path: str, by: str, order: Sequence[str], text_col: str = "value",
+                        mode: str = "overwrite") -> None:
+    """One folder ``by=value`` for each value of ``by``, holding its lines in ``order``.
+
+    Rows are range-partitioned on (by, order) and each task streams its sorted rows to files, so a value with a third
+    of all rows is spread over many files and none is gathered in memory. Part files of a folder
+    concatenate in order of their names. Null lines are empty; rows without ``by`` go to ``none``.
+    Meant for dates, runs or files: Spark makes a folder for each value.
+    """
+    # not nullable: Spark would otherwise rewrite the column and sort again by it alone
+    keyed = lines.withColumn(by, F.coalesce(F.col(by).cast("string"), F.lit(NO_VALUE))).withColumn(
+        "value", F.coalesce(F.col(text_col), F.lit("")))
+    (keyed.repartitionByRange(by, *order).sortWithinPartitions(by, *order)
+     .select(by, "value").write.mode(mode).partitionBy(by).text(path))
+
+
+def nested_document_lines(counts: DataFrame, date_col: str = "date", text_col: str = "e_message_normalized",
+                          count_col: str = "count") -> DataFrame:
+    """Lines of one JSON object ``{message: count}`` a date: ``(date, kind, message, value)``, kind 0 for the opening line, 1 for
+    an entry, 2 for the closing line; ordered by (date, kind, message). Rows without a message count under the empty text."""
+    c = counts.groupBy(F.coalesce(F.col(date_col).cast("string"), F.lit(NO_VALUE)).alias(date_col),
+                       F.coalesce(F.col(text_col), F.lit("")).alias("message")).agg(F.sum(count_col).alias("_n"))
+    # one small row a date says which entry takes no comma; the keys of this join are unique on both sides
+    dates = c.groupBy(date_col).agg(F.min("message").alias("message"))
+    frame = dates.select(date_col, F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.lit("{").alias("value")), F.struct(F.lit(2).alias("kind"), F.lit("}").alias("value")))).alias("f"))
+    frame = frame.select(date_col, "f.kind", F.lit("").alias("message"), "f.value")
+    # to_json gives {"m":...}: what stands between the colon and the brace is the escaped text
+    entry = c.withColumn("_j", F.to_json(F.struct(F.col("message").alias("m")))).withColumn(
+        "_e", F.concat(F.expr("substring(_j, 6, length(_j) - 6)"), F.lit(": "), F.col("_n").cast("string")))
+    entry = entry.join(dates.withColumn("_first", F.lit(True)), [date_col, "message"], "left").select(
+        date_col, F.lit(1).alias("kind"), "message",
+        F.concat(F.when(F.col("_first"), F.lit(" ")).otherwise(F.lit(",")), F.col("_e")).alias("value"))
+    return frame.unionByName(entry)
+
+
+def write_nested_document(counts: DataFrame, path: str, date_col: str = "date", mode: str = "overwrite", **kw) -> None:
+    """One JSON object ``{message: count}`` a date in a folder ``date=...``; its part files concatenate to the object.
+    Unlike ``write_nested_counts`` no date is collected into one value."""
+    write_ordered_lines(nested_document_lines(counts, date_col, **kw), path, date_col, ["kind", "message"], mode=mode)
+
+
+def read_nested_document(spark: SparkSession, path: str, date_col: str = "date", text_col: str = "e_message_normalized",
+                         count_col: str = "count") -> DataFrame:
+    """The rows of ``write_nested_document``: date, message, count. Every line is read by itself, in parallel."""
+    lines = spark.read.schema(f"value string, `{date_col}` string").text(path).where("value not in ('{', '}')")
+    body = F.concat(F.lit("{"), F.expr("substring(value, 2)"), F.lit("}"))
+    return (lines.withColumn("_m", F.from_json(body, "map<string,bigint>"))
+            .select(F.when(F.col(date_col) != NO_VALUE, F.col(date_col)).alias(date_col), F.explode("_m").alias(text_col, count_col)))
+
+
 def evaluation_summary(per_class: DataFrame | None, overall: DataFrame | None, distribution: DataFrame | None = None,
                        seconds: float | None = None) -> DataFrame:
     """The evaluation as text lines ``(part, name, line)``: one for each overall figure and each class; without truth
