@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from logscope.functions.render import fill_template, filename_hint, render_row, snippet
 from logscope.operators.context import gather_context
 from logscope.operators.prepare import RESULT_COLUMNS
+from logscope.session import materialise
 
 LABEL_TEMPLATE = """You are reviewing a system log for operational problems.
 
@@ -249,14 +250,69 @@ def _norm_label(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
 
 
+_CELL_LABELS = 4_096
+# edit distances tried in turn by the segment index; hints farther than the last from every label are measured
+NEAR_EDITS = (2, 6)
+
+
+def _edit_candidates(hints: DataFrame, labels: DataFrame, d: int) -> DataFrame:
+    """Pairs ``(_hn, _vn)`` that hold every pair within ``d`` edits, by equality joins only.
+
+    A label of n characters is cut into d + 1 segments. At most d of them are touched by d edits, so one stands unchanged in
+    the hint, moved by at most d places. Labels of at most d characters have no segments and are met by their length.
+    """
+    n, i = F.length("_vn"), F.col("_i")
+    start = (i * F.col("_n") / (d + 1)).cast("int")
+    segments = (labels.withColumn("_n", n).where(F.col("_n") > d)
+                .select("_vn", "_n", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_i"))
+                .withColumn("_s", start).withColumn("_l", ((i + 1) * F.col("_n") / (d + 1)).cast("int") - start)
+                .select("_vn", "_n", "_i", F.expr("substring(_vn, _s + 1, _l)").alias("_seg")))
+    # what of a hint may equal segment i of a label of n characters, only for lengths that labels have
+    lengths = labels.select(n.alias("_n")).distinct()
+    sized = hints.withColumn("_h", F.length("_hn")).withColumn(
+        "_n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_h") - d), F.col("_h") + d))).join(lengths, "_n")
+    grams = (sized.where(F.col("_n") > d)
+             .select("_hn", "_h", "_n", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("_i"))
+             .withColumn("_s", start).withColumn("_l", ((i + 1) * F.col("_n") / (d + 1)).cast("int") - start)
+             .withColumn("_from", F.greatest(F.lit(0), F.col("_s") - d))
+             .withColumn("_to", F.least(F.col("_h") - F.col("_l"), F.col("_s") + d)).where("_from <= _to")
+             .select("_hn", "_n", "_i", "_l", F.explode(F.sequence("_from", "_to")).alias("_p"))
+             .select("_hn", "_n", "_i", F.expr("substring(_hn, _p + 1, _l)").alias("_seg")).distinct())
+    short = sized.where(F.col("_n") <= d).select("_hn", "_n").join(
+        labels.select("_vn", n.alias("_n")), "_n").select("_hn", "_vn")
+    return grams.join(segments, ["_n", "_i", "_seg"]).select("_hn", "_vn").unionByName(short).distinct()
+
+
+def _nearest_labels(hints: DataFrame, labels: DataFrame) -> DataFrame:
+    """All labels at the least edit distance of each hint: ``(_hn, _vn)`` over distinct normalised texts."""
+    out, left = None, hints
+    for d in NEAR_EDITS:
+        pairs = _edit_candidates(left, labels, d).withColumn("_lev", F.levenshtein("_hn", "_vn", d)).where("_lev >= 0")
+        pairs = materialise(pairs)
+        least = pairs.groupBy("_hn").agg(F.min("_lev").alias("_lev"))
+        found = pairs.join(least, ["_hn", "_lev"]).select("_hn", "_vn")
+        out = found if out is None else out.unionByName(found)
+        left = materialise(left.join(least.select("_hn"), "_hn", "left_anti"))
+        if left.isEmpty():
+            return out
+    # farther than the index reaches: such a hint resembles no label, yet its nearest is defined. Labels are spread over as many
+    # join keys as their number asks for
+    cells = labels.count() // _CELL_LABELS + 1
+    rest = left.withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).join(
+        labels.withColumn("_c", F.pmod(F.xxhash64("_vn"), F.lit(cells)).cast("int")), "_c")
+    far = rest.groupBy("_hn").agg(F.min(F.struct(F.levenshtein("_hn", "_vn").alias("l"), F.col("_vn").alias("v"))).alias("_b"))
+    return out.unionByName(far.select("_hn", F.col("_b.v").alias("_vn")))
+
+
 def match_known_label(df: DataFrame, vocab: DataFrame, hint_col: str = "error_type",
                       label_col: str = "label", key_col: str | None = None) -> DataFrame:
     """Match a hint to a known-label vocabulary: exact after normalising, else the
     best token Jaccard, else the smallest edit distance.
 
     Vocabulary and distinct hints stay DataFrames of any size. An equal text or a shared token is found
-    by an equality join on tokens; only hints that share no token with any label are
-    measured against the whole vocabulary, which is spread over ``_SLICES`` join keys.
+    by an equality join on tokens. Hints that share no token with any label go to an index of label segments, which finds
+    every label within ``NEAR_EDITS[-1]`` edits by equality joins; only a hint farther than that from all
+    labels is measured against them one by one. Ties go to the least label.
     """
     hints = df.select(F.col(hint_col).alias("_hint")).where(F.col("_hint").isNotNull()).distinct()
     h = hints.withColumn("_hn", _norm_label(F.col("_hint"))).withColumn("_ht", F.split(F.col("_hn"), " "))
@@ -265,9 +321,9 @@ def match_known_label(df: DataFrame, vocab: DataFrame, hint_col: str = "error_ty
     token = lambda c: F.explode(F.array_distinct(c)).alias("_tok")
     shared = (h.select("_hint", token(F.col("_ht"))).join(v.select("_label", token(F.col("_vt"))), "_tok")
               .select("_hint", "_label").distinct())
-    alone = h.join(shared.select("_hint").distinct(), "_hint", "left_anti").select("_hint").withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0), F.lit(_SLICES - 1))))
-    rest = alone.join(v.select("_label", F.pmod(F.xxhash64("_label"), F.lit(_SLICES)).cast("int").alias("_slice")), "_slice")
+    alone = h.join(shared.select("_hint").distinct(), "_hint", "left_anti").select("_hint", "_hn")
+    near = _nearest_labels(alone.select("_hn").distinct(), v.select("_vn").distinct())
+    rest = alone.join(near, "_hn").join(v.select("_label", "_vn"), "_vn")
     pairs = shared.unionByName(rest.select("_hint", "_label")).join(h, "_hint").join(v, "_label").select(
         "_hint", "_label",
         (F.col("_hn") == F.col("_vn")).cast("int").alias("_exact"),
@@ -278,6 +334,3 @@ def match_known_label(df: DataFrame, vocab: DataFrame, hint_col: str = "error_ty
         "_hint", F.col("_b.n").alias("matched_label"), F.round(-F.col("_b.j"), 6).alias("match_jaccard"),
         F.col("_b.l").alias("match_distance"))
     return df.join(best, df[hint_col] == best["_hint"], "left").drop("_hint")
-
-
-_SLICES = 32
