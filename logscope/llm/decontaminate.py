@@ -16,8 +16,9 @@ The items are the small side. They go to the tasks in blocks of at most
 ``block_bytes`` of text (a checked size); a larger benchmark takes one pass over the
 documents per block, with the same result. Documents are never shuffled.
 
-Defined results: null and empty texts match nothing; items with fewer than ``2 * Q`` bytes are too
-short to prove anything and match nothing; for short segments k is lowered until the bound is at least one q-gram;
+Defined results: null and empty texts and items match nothing; for short segments k is lowered until the bound is at least one
+q-gram, so items of fewer than ``2 * Q`` bytes are found without edits only; items of fewer than ``Q`` bytes hold no q-gram and match the
+texts that equal them;
 repeated rows give repeated rows, an item that is repeated with its id counts once; empty tables give an empty result.
 """
 
@@ -54,9 +55,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         seg_bytes, self.item, self.length, self.place = [], [], [], []
+        self.short: dict[bytes, list[int]] = {}
         for item, text in items:
             data = fold(np.frombuffer((text or "").encode(), np.uint8))
-            if len(data) < 2 * Q:
+            if len(data) < Q:
+                if len(data):
+                    self.short.setdefault(data.tobytes(), []).append(item)
                 continue
             last = max(0, len(data) - SEGMENT)
             for at in sorted({*range(0, last, SEGMENT // 2), last}):
@@ -87,7 +91,7 @@ class Index:
     def matches(self, data: np.ndarray, off: np.ndarray):
         """Row, item, edits, start, end (bytes in the row) and segment of all verified matches in the texts. A match may be found by two
         bands and in two steps."""
-        found = []
+        found = [self._equal(data, off)] if self.short else []
         for lo in range(0, max(1, len(data) - Q + 1), STEP):
             hi = min(len(data), lo + STEP + 3 * SEGMENT)  # regions that end past the step are whole here
             found += self._matches(data[lo:hi], lo, off)
@@ -95,6 +99,14 @@ class Index:
             return tuple(np.zeros(0, np.int64) for _ in range(6))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def _equal(self, data: np.ndarray, off: np.ndarray) -> tuple:
+        """The texts that equal an item without q-grams; such an item is one segment."""
+        out = []
+        for row in np.flatnonzero((np.diff(off) > 0) & (np.diff(off) < Q)):
+            text = fold(data[off[row]:off[row + 1]])
+            out += [(row, item, 0, 0, len(text), len(self.item)) for item in self.short.get(text.tobytes(), ())]
+        return tuple(np.array(out, np.int64).reshape(-1, 6).T)
+
     def _matches(self, data: np.ndarray, base: int, off: np.ndarray) -> list[tuple]:
         if not len(self.grams):
             return []
