@@ -9,8 +9,9 @@ compressed size instead, texts that repeat one word come out undecided.)
 
 The fit uses a bounded sample: the ``sample`` labelled rows of each class with
 the least hash of doc_id, of which every second row builds the dictionaries and
-the others calibrate (at most ``fit_chars`` characters of each are sent to the
-driver). Scoring covers every whole text of every row.
+the others calibrate. A dictionary row gives ``fit_blocks`` blocks, evenly spaced from the
+first to the last of its text; a calibration row is measured over its whole text, by the tasks.
+Scoring covers every whole text of every row.
 
 Defined results: null and empty texts score as the calibrated value of a zero
 difference; conflicting labels of one doc_id are left out of the fit; rows
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logscope.session import materialise
+
 BLOCK = 1024
 LEVEL = 3
 
@@ -59,9 +62,19 @@ class Sizes:
         return (bad - good) / max(len(data), 1)
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
+def spread_blocks(text: str, many: int) -> bytes:
+    """At most ``many`` blocks of the text, evenly spaced, the first and the last among them, put together."""
+    data = text.encode()
+    n = -(-len(data) // BLOCK)
+    if n <= many:
+        return data
+    at = np.unique(np.linspace(0, n - 1, many).round().astype(int)) * BLOCK
+    return b"".join(data[i:i + BLOCK] for i in at)
+
+
+def _dictionary(texts: list[bytes], size: int) -> bytes:
     import zstandard
-    parts = [d[i:i + BLOCK] for d in (t.encode() for t in texts) for i in range(0, len(d), BLOCK)]
+    parts = [d[i:i + BLOCK] for d in texts for i in range(0, len(d), BLOCK)]
     try:
         return zstandard.train_dictionary(size, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too few texts to train on: the raw text itself is a valid dictionary
@@ -82,37 +95,54 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, fl
     return float(w[0] - w[1] * m / s), float(w[1] / s)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, fit_chars: int = 4096, dict_bytes: int = 64 << 10) -> dict:
-    """Dictionaries and calibration from labelled rows: {good, bad, bias, weight}."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, fit_blocks: int = 4, dict_bytes: int = 64 << 10) -> dict:
+    """Dictionaries and calibration from labelled rows: {good, bad, bias, weight}. The driver receives at most
+    ``fit_blocks`` blocks of each sampled row, and one number."""
     marks = labels.where("quality is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(
         F.min("quality").alias("_q"), F.max("quality").alias("_q2")).where("_q = _q2")
     marks = marks.select("doc_id", "_q", F.xxhash64("doc_id", F.lit(17)).alias("_o"))
     picked = [marks.where(F.col("_q") == q).orderBy("_o").limit(sample) for q in (0, 1)]
     few = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample ids
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, fit_chars).alias("_t")).join(few, "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.min("_q").alias("_q"), F.min("_o").alias("_o"), F.min("_t").alias("_t")).orderBy("_o", "doc_id").collect()
-    by = {q: [r["_t"] for r in rows if r["_q"] == q and r["_t"]] for q in (0, 1)}
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t")).join(few, "doc_id")
+    rows = materialise(rows.groupBy("doc_id").agg(F.min("_q").alias("_q"), F.min("_o").alias("_o"), F.min("_t").alias("_t")).where("_t != ''"))
+
+    @F.pandas_udf("binary")
+    def blocks(texts: pd.Series) -> pd.Series:
+        return pd.Series([spread_blocks(t, fit_blocks) for t in texts], dtype=object)
+
+    found = rows.select("doc_id", "_q", "_o", blocks("_t").alias("_b")).orderBy("_o", "doc_id").collect()
+    by = {q: [r for r in found if r["_q"] == q] for q in (0, 1)}
     if not by[0] or not by[1]:
         p = (1 + len(by[1])) / (2 + len(by[0]) + len(by[1]))
         return {"good": b"\n" * 16, "bad": b"\n" * 16, "bias": float(np.log(p / (1 - p))), "weight": 0.0}
-    model = {"good": _dictionary(by[1][::2], dict_bytes), "bad": _dictionary(by[0][::2], dict_bytes)}
-    sizes = Sizes(model["good"], model["bad"])
+    good, bad = (_dictionary([bytes(r["_b"]) for r in by[q][::2]], dict_bytes) for q in (1, 0))
+    model = {"good": good, "bad": bad}
+    measured = {r["doc_id"]: r["_x"] for r in rows.select("doc_id", difference(model)(F.col("_t")).alias("_x")).collect()}
     x, y = [], []
     for q in (0, 1):
         rest = by[q][1::2] or by[q]
-        x += [sizes.difference(t) for t in rest]
+        x += [measured[r["doc_id"]] for r in rest]
         y += [q] * len(rest)
     model["bias"], model["weight"] = _logistic(np.array(x), np.array(y, float))
     return model
 
 
-def scorer(model: dict) -> Callable:
-    """A pandas UDF text -> score; the model is two dictionaries of fixed size and two numbers."""
+def difference(model: dict) -> Callable:
+    """A pandas UDF text -> difference of the compressed sizes per byte; the model is two dictionaries of fixed size."""
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def measure(texts: pd.Series) -> pd.Series:
         sizes = Sizes(model["good"], model["bad"])
-        x = np.array([sizes.difference(t) for t in texts], float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(model["bias"] + model["weight"] * x, -30, 30))))
+        return pd.Series([sizes.difference(t) for t in texts], dtype=float)
+    return measure
+
+
+def scorer(model: dict) -> Callable:
+    """text -> score."""
+    measure = difference(model)
+
+    def score(text):
+        z = F.lit(model["bias"]) + F.lit(model["weight"]) * measure(text)
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     return score
 
 
