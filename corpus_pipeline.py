@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from logscope.llm import decontaminate, gumbel_pieces, jaccard_join, pii, quality_classifier
 from logscope.session import materialise
 
-# documents below this score go; lower than the classifier's own threshold, so that a good document is not lost to doubt
-LEAST_QUALITY = 0.4
+# the classifier's own decision: documents that it predicts as bad go
+LEAST_QUALITY = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
