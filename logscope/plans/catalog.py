@@ -1066,10 +1066,10 @@ def q_features(spark, sf):
     x = _enhanced(spark, sf)
     train, _ = split(x, 0.9, 42, ["_line_key"])
     (out,) = features(train, [x])
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array("features")
-    return out.select("source_file", "line_no", F.size(arr).alias("dims"),
-                      F.round(F.aggregate(arr, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
+    # a vector of all words for each line would be lines times vocabulary: the stored values are summed
+    stored = out.select("source_file", "line_no", F.unwrap_udt("features").alias("v"))
+    return stored.select("source_file", "line_no", F.coalesce("v.size", F.size("v.values")).alias("dims"),
+                         F.round(F.aggregate("v.values", F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
 @register("embed")
