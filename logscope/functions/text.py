@@ -50,10 +50,9 @@ def words(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Character trigrams in order; empty for texts shorter than 3."""
-    n = F.char_length(text)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(text, i, 3))) \
-        .otherwise(F.array().cast("array<string>"))
+    """Character trigrams in order; empty for texts shorter than 3. One pass over the text: each character is
+    matched with the two after it (``substring`` at a place would count up to it from the first character)."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit("(?s)(?=(...))."), 1), F.array().cast("array<string>"))
 
 
 def lengths(words_col: Column, trigrams_col: Column, text: Column, event_id: Column | None = None) -> dict[str, Column]:

@@ -13,6 +13,16 @@ from logscope.plans import catalog, files, pipeline
 from logscope.operators.position import with_position
 
 
+def test_trigrams_of_a_long_text_take_one_pass(spark):
+    long = "ab😀é\n" * 25_000
+    texts = [long, "abc", "ab", "", None, "a\r\n \x85b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    since = time.monotonic()
+    got = {r["i"]: r["g"] for r in df.select("i", txt.trigrams(F.col("t")).alias("g")).collect()}
+    assert time.monotonic() - since < 30
+    assert got == {i: [t[j:j + 3] for j in range(len(t) - 2)] if t else [] for i, t in enumerate(texts)}
+
+
 def test_feature_vectors_are_sparse_and_the_vocabulary_a_table(spark):
     rows = [(i, [f"req{i}", "GET", "GET", f"item{i % 7}"] if i % 9 else [], float(i % 3), None if i == 4 else 1.5) for i in range(200)]
     df = spark.createDataFrame(rows * 2, "i int, e_words array<string>, a double, b double")
