@@ -274,48 +274,129 @@ def _block_top_k(k: int, earlier_only: bool, step: int = 512):
     return run
 
 
+def _block_options(k: int, earlier_only: bool, step: int = 512):
+    """Of a tile the candidates of each class of equal vectors that some anomaly of the class may choose: those
+    of an id below the greatest (``_id``) that fewer than ``k`` earlier candidates of the tile equal or beat; where the class has one
+    anomaly, or ids don't matter, the ``k`` best."""
+    def run(key, anomalies: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"_vh1": [], "_vh2": [], "context_id": [], "similarity": []})
+        if anomalies.empty or cands.empty:
+            return none
+        unit = lambda x: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x),
+                                   where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+        cands = cands.sort_values("context_id", kind="stable")
+        cv, cid = unit(np.asarray(cands["_cvec"].tolist(), dtype=np.float64)), cands["context_id"].to_numpy()
+        vecs, last, n = anomalies["_avec"].tolist(), anomalies["_id"].to_numpy(), anomalies["_n"].to_numpy()
+        rows, cols, sims = [], [], []
+        for lo in range(0, len(vecs), step):  # a strip of the tile at a time
+            strip = np.round(unit(np.asarray(vecs[lo:lo + step], dtype=np.float64)) @ cv.T, SIM_DIGITS)
+            for i, sim in enumerate(strip, lo):
+                if earlier_only:
+                    sim = sim[:np.searchsorted(cid, last[i], "left")]
+                if earlier_only and n[i] > 1:
+                    best, sel, at, size = [], [], 0, 64
+                    while at < len(sim):  # pieces double, so few rows beyond the best so far are looked at one by one
+                        piece = sim[at:at + size]
+                        for j in np.flatnonzero(piece > best[0]) if len(best) == k else range(len(piece)):
+                            if len(best) < k:
+                                heapq.heappush(best, piece[j])
+                            elif piece[j] > best[0]:
+                                heapq.heapreplace(best, piece[j])
+                            else:
+                                continue
+                            sel.append(at + int(j))
+                        at, size = at + size, 2 * size
+                elif len(sim):
+                    kk = min(k, len(sim))
+                    # everything at or above the k-th best value (ties included) is sorted exactly
+                    sel = np.flatnonzero(sim >= -np.partition(-sim, kk - 1)[kk - 1])
+                    sel = sel[np.lexsort((cid[sel], -sim[sel]))[:k]]
+                else:
+                    continue
+                rows.append(np.full(len(sel), i))
+                cols.append(np.asarray(sel, np.int64))
+                sims.append(sim[cols[-1]])
+        if not rows:
+            return none
+        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        return pd.DataFrame({"_vh1": anomalies["_vh1"].to_numpy()[rows], "_vh2": anomalies["_vh2"].to_numpy()[rows],
+                             "context_id": cid[cols].astype("int64"), "similarity": np.concatenate(sims)})
+    return run
+
+
+_OPTION_SCHEMA = T.StructType([
+    T.StructField("_vh1", T.LongType()), T.StructField("_vh2", T.LongType()),
+    T.StructField("context_id", T.LongType()), T.StructField("similarity", T.DoubleType()),
+])
+
+
 def far_semantic(df: DataFrame, k: int = 5, vec_col: str = "embedding", earlier_only: bool = True,
                  id_col: str = "LineId", pos_col: str = "pos", flag_col: str = "anomaly",
-                 block: int = 16384) -> DataFrame:
+                 block: int = 16384, text_vectors: DataFrame | None = None, text_col: str = "message") -> DataFrame:
     """Top ``k`` earlier rows (smaller id) by cosine of dense vectors.
 
-    Equal vectors are one candidate group of which only the ``k`` rows of least id can be chosen, so
-    repeated lines are cut to ``k`` before anything is compared; this is exact.
-    What is left is compared exactly, in bounded tiles: rows are ranked by id, and a tile joins the anomalies of one
-    block of ``block`` ranks with the candidates of one block. With ``earlier_only`` a tile whose candidates all have
+    Equal vectors are one class of which only the ``k`` rows of least id can be chosen, and whose anomalies choose from
+    the same candidates but for the limit on ids: a class is compared once, however often its line is repeated; this is exact.
+    What is left is compared exactly, in bounded tiles: candidates and the last anomalies of the classes are ranked by id, and a tile
+    joins the classes of one block of ``block`` ranks with the candidates of one block. With ``earlier_only`` a tile whose candidates all have
     a greater id than its anomalies is not built (about half of the work); whether a row counts as
-    earlier depends on ids alone, at every size. A tile emits its local top ``k`` per anomaly, and a final
-    ``row_number() <= k`` keeps the global top.
+    earlier depends on ids alone, at every size. A tile emits the candidates that an anomaly of the class can choose
+    (``_not_beaten``), each anomaly row takes the best ``k`` of those before it, and a final ``row_number() <= k`` keeps the top of repeated ids.
+
+    ``text_vectors`` (``_t``, ``vec_col``: one vector for each text) is for rows that carry no vectors: they meet
+    theirs by ``text_col``, and only the distinct ones are moved.
     """
-    base = df.where(F.col(vec_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(flag_col).alias("_flag"), F.col(vec_col).cast("array<double>").alias("_vec"))
-    same = Window.partitionBy("_vh1", "_vh2").orderBy("_id")
-    keyed = base.withColumn("_vh1", F.xxhash64("_vec")).withColumn("_vh2", F.xxhash64(F.lit(1), "_vec"))
-    keyed = keyed.withColumn("_nth", F.row_number().over(same)).withColumn("_chosen", F.col("_nth") <= k)
+    cls = ["_vh1", "_vh2"]
+    hashes = [F.xxhash64("_vec").alias("_vh1"), F.xxhash64(F.lit(1), "_vec").alias("_vh2")]
+    vec = F.col(vec_col).cast("array<double>").alias("_vec")
+    own = [F.col(id_col).alias("_id"), F.coalesce(F.col(flag_col), F.lit(False)).alias("_flag")]
+    if text_vectors is None:
+        base = df.where(F.col(vec_col).isNotNull()).select(*own, vec)
+        rows, vectors = base.select("_id", "_flag", *hashes), base.select(*hashes, "_vec")
+    else:
+        given = materialise(text_vectors.where(F.col(vec_col).isNotNull()).select("_t", vec).select("_t", *hashes, "_vec"))
+        rows = df.select(*own, F.col(text_col).alias("_t")).join(given.drop("_vec"), "_t").drop("_t")
+        vectors = given.drop("_t")
+    rows = materialise(rows)
+    vectors = materialise(vectors.dropDuplicates(cls))
+    flagged = rows.where(F.col("_flag") & F.col("_id").isNotNull()).drop("_flag")
+    chosen = (rows.drop("_flag").withColumn("_nth", F.row_number().over(Window.partitionBy(*cls).orderBy("_id")))
+              .where(F.col("_nth") <= k).select("_id", *cls, F.lit(0).cast("long").alias("_n")))
+    asked = flagged.groupBy(*cls).agg(F.max("_id").alias("_id"), F.count(F.lit(1)).alias("_n")).select("_id", *cls, "_n")
+    sides = chosen.unionByName(asked)  # _n: anomalies of a class, 0 for a candidate
     if earlier_only:
         # ids are compared as they are: a rank by id is the same order at every size
-        keyed = with_position(keyed.where(F.col("_chosen") | (F.col("_flag") == F.lit(True))), "_id", out="_rank")
+        sides = with_position(sides, "_id", out="_rank")
         blk = F.floor(F.col("_rank") / F.lit(block)).cast("int")
-        last = keyed.agg(F.max("_rank").alias("m")).first()["m"]
+        last = sides.agg(F.max("_rank").alias("m")).first()["m"]
         nb = 0 if last is None else int(last) // block + 1
         a_side = F.explode(F.sequence(F.lit(0), blk))
         c_side = F.explode(F.sequence(blk, F.lit(max(nb - 1, 0))))
     else:
-        keyed = materialise(keyed.where(F.col("_chosen") | (F.col("_flag") == F.lit(True))))
-        nb = max(1, math.ceil(keyed.count() / block))
+        sides = materialise(sides)
+        nb = max(1, math.ceil(sides.count() / block))
         blk = F.pmod(F.xxhash64("_id"), F.lit(nb)).cast("int")
         a_side = c_side = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
     # fresh column identities on both sides: they come from one table
-    a = keyed.where(F.col("_flag") == F.lit(True)).select(
-        F.col("_id").alias("anomaly_id"), F.col("_vec").alias("_avec"), blk.alias("_ab"), a_side.alias("_cb"))
-    c = keyed.where("_chosen").select(
+    held = sides.join(vectors, cls)
+    a = held.where("_n > 0").select("_id", "_n", *cls, F.col("_vec").alias("_avec"), blk.alias("_ab"), a_side.alias("_cb"))
+    c = held.where("_n = 0").select(
         F.col("_id").alias("context_id"), F.col("_vec").alias("_cvec"), c_side.alias("_ab"), blk.alias("_cb"))
     local = (a.groupBy("_ab", "_cb").cogroup(c.groupBy("_ab", "_cb"))
-             .applyInPandas(_block_top_k(k, earlier_only), _PAIR_SCHEMA))
-    top = _top_k(local, k)
-    pos = df.select(F.col(id_col).alias("_id"), F.col(pos_col).alias("_pos"))
-    top = (top.join(pos.select(F.col("_id").alias("anomaly_id"), F.col("_pos").alias("anomaly_pos")), "anomaly_id")
-           .join(pos.select(F.col("_id").alias("context_id"), F.col("_pos").alias("context_pos")), "context_id"))
+             .applyInPandas(_block_options(k, earlier_only), _OPTION_SCHEMA))
+    options = (_not_beaten(local, cls, "similarity", k, earlier_only).groupBy(*cls)
+               .agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("_less"), "context_id"))).alias("_options")))
+    pairs = flagged.withColumnRenamed("_id", "anomaly_id").join(materialise(options), cls)
+    before = F.filter("_options", lambda o: o["context_id"] < F.col("anomaly_id")) if earlier_only else F.col("_options")
+    pairs = (pairs.select("anomaly_id", F.explode(F.slice(before, 1, k)).alias("_o"))
+             .select("anomaly_id", "_o.context_id", (-F.col("_o._less")).alias("similarity")))
+    top = _top_k(pairs, k)
+    if id_col == pos_col:
+        top = top.withColumns({"anomaly_pos": F.col("anomaly_id"), "context_pos": F.col("context_id")})
+    else:
+        pos = df.select(F.col(id_col).alias("_id"), F.col(pos_col).alias("_pos"))
+        top = (top.join(pos.select(F.col("_id").alias("anomaly_id"), F.col("_pos").alias("anomaly_pos")), "anomaly_id")
+               .join(pos.select(F.col("_id").alias("context_id"), F.col("_pos").alias("context_pos")), "context_id"))
     return top.select("anomaly_id", "anomaly_pos", "context_id", "context_pos", F.lit("semantic").alias("kind"),
                       F.col("rank").cast("int"), "similarity")
 
@@ -330,10 +411,11 @@ def _edge_schema() -> T.StructType:
 
 
 def far_hybrid(df: DataFrame, k: int = 5, text_col: str = "message", vec_col: str = "embedding",
-               id_col: str = "LineId", pos_col: str = "pos", flag_col: str = "anomaly") -> DataFrame:
+               id_col: str = "LineId", pos_col: str = "pos", flag_col: str = "anomaly",
+               text_vectors: DataFrame | None = None) -> DataFrame:
     """Union (not fusion) of the semantic and the lexical top ``k``; a row may come twice.
     Anomalies without a vector get the lexical edges only."""
-    sem = far_semantic(df, k, vec_col, True, id_col, pos_col, flag_col)
+    sem = far_semantic(df, k, vec_col, True, id_col, pos_col, flag_col, text_vectors=text_vectors, text_col=text_col)
     lex = far_lexical(df, k, True, text_col, id_col, pos_col, flag_col)
     return sem.unionByName(lex)
 

@@ -33,11 +33,10 @@ class HashingEncoder:
         return np.divide(out, n, out=np.zeros_like(out), where=n > 0)
 
 
-def embed(df: DataFrame, col: str = "message", out: str = "embedding",
-          encoder: Callable[[], object] = HashingEncoder) -> DataFrame:
-    """Text -> vector. Distinct texts are encoded once, in Arrow batches, with one encoder
-    per Python worker (``encoder`` is a zero-argument factory with ``encode(list) -> ndarray``),
-    and joined back: repeated log lines cost nothing."""
+def embed_texts(df: DataFrame, col: str = "message", out: str = "embedding",
+                encoder: Callable[[], object] = HashingEncoder) -> DataFrame:
+    """``_t`` and its vector, one row for each distinct text. Texts are encoded in Arrow batches, with one encoder
+    per Python worker (``encoder`` is a zero-argument factory with ``encode(list) -> ndarray``)."""
     holder: dict = {}
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -48,7 +47,14 @@ def embed(df: DataFrame, col: str = "message", out: str = "embedding",
         return pd.Series([v.astype(np.float32).tolist() for v in vecs])
 
     texts = df.select(F.col(col).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-    vecs = texts.withColumn(out, _enc(F.col("_t")))
+    return texts.withColumn(out, _enc(F.col("_t")))
+
+
+def embed(df: DataFrame, col: str = "message", out: str = "embedding",
+          encoder: Callable[[], object] = HashingEncoder) -> DataFrame:
+    """Text -> vector. Distinct texts are encoded once (``embed_texts``)
+    and joined back: repeated log lines cost nothing."""
+    vecs = embed_texts(df, col, out, encoder)
     return df.join(vecs, df[col] == vecs["_t"], "left").drop("_t")
 
 

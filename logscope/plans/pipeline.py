@@ -54,8 +54,9 @@ def prepare(df: DataFrame, score: str | None = None, id: str | None = None, mess
     return prp.coerce_score(df)
 
 
-def line_edges(df: DataFrame, cfg: LineConfig, id_col: str | None = None) -> DataFrame:
-    """All context edges of the configured strategy, between values of ``id_col``."""
+def line_edges(df: DataFrame, cfg: LineConfig, id_col: str | None = None, text_vectors: DataFrame | None = None) -> DataFrame:
+    """All context edges of the configured strategy, between values of ``id_col``. ``text_vectors`` holds the vectors of
+    texts where rows carry none."""
     key = id_col or cfg.id_col
     if cfg.strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {cfg.strategy!r}; one of {STRATEGIES}")
@@ -65,9 +66,9 @@ def line_edges(df: DataFrame, cfg: LineConfig, id_col: str | None = None) -> Dat
     if cfg.strategy == "lexical":
         edges = edges.unionByName(ctx.far_lexical(df, cfg.top_k_far, True, cfg.text_col, key))
     elif cfg.strategy == "semantic":
-        edges = edges.unionByName(ctx.far_semantic(df, cfg.top_k_far, cfg.vec_col, True, key))
+        edges = edges.unionByName(ctx.far_semantic(df, cfg.top_k_far, cfg.vec_col, True, key, text_vectors=text_vectors, text_col=cfg.text_col))
     elif cfg.strategy == "hybrid":
-        edges = edges.unionByName(ctx.far_hybrid(df, cfg.top_k_far, cfg.text_col, cfg.vec_col, key))
+        edges = edges.unionByName(ctx.far_hybrid(df, cfg.top_k_far, cfg.text_col, cfg.vec_col, key, text_vectors=text_vectors))
     return edges
 
 
@@ -94,19 +95,19 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
     if cfg.limit_date or cfg.limit_line is not None:
         df = prp.limit_date(df, cfg.limit_line, cfg.id_col, cfg.date_col)
     df = prp.flag_anomalies(df, cfg.threshold)
-    added_vec = cfg.strategy in ("semantic", "hybrid") and cfg.vec_col not in df.columns
-    if added_vec:
-        # as the original does, embed the context column when no vectors are given
-        from logscope.operators.vectors import HashingEncoder, embed
-        df = embed(df, cfg.text_col, cfg.vec_col, cfg.encoder or HashingEncoder)
     df = with_position(df, cfg.id_col)
     if cfg.drop_duplicates:
         firsts = prp.dedup_context(df.select(cfg.text_col, "pos", "anomaly"), cfg.text_col, order_col="pos", id_col="pos")
         stay = firsts.select("pos").union(df.where("anomaly").select("pos")).distinct()
         df = with_position(df.join(stay, "pos", "left_semi").drop("pos"), cfg.id_col)
+    vectors = None
+    if cfg.strategy in ("semantic", "hybrid") and cfg.vec_col not in df.columns:
+        # as the original does, embed the context column when no vectors are given: each text once, no row carries them
+        from logscope.operators.vectors import HashingEncoder, embed_texts
+        vectors = embed_texts(df, cfg.text_col, cfg.vec_col, cfg.encoder or HashingEncoder)
     # the edge table is small (anomalies x (near + far)) and is read three times:
     # materialise it once instead of recomputing the similarity joins
-    edges = materialise(line_edges(df, cfg, "pos"))
+    edges = materialise(line_edges(df, cfg, "pos", vectors))
     ids = ctx.context_ids(edges, df, "pos", compat=cfg.compat, out="context_ids_ref", name_col=cfg.id_col)
     # vectors are not log fields, and id lists grow with the table: neither is rendered into prompts
     x = with_context_text(ids, edges, "pos", cfg.mode, exclude=HIDDEN + (cfg.vec_col,), compat=cfg.compat)
@@ -144,5 +145,4 @@ def explain_lines(df: DataFrame, cfg: LineConfig | None = None, client=None) ->
             explained = explained.withColumn("explanation_result", F.when(
                 bad, rule_explain(F.col("anomaly_result"), F.col(cfg.id_col), node, comp, cfg.seed))
                 .otherwise(F.col("explanation_result")))
-    out = explained.drop("pos", cfg.vec_col) if added_vec else explained.drop("pos")
-    return prp.finalise(out, cfg.clean)
+    return prp.finalise(explained.drop("pos"), cfg.clean)

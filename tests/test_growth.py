@@ -56,3 +56,41 @@ def test_features_query_makes_no_dense_rows(spark, monkeypatch):
     train = {r["line_no"] for r in detect.split(df, 0.9, 42, ["_line_key"])[0].collect()}
     for r in out.collect():
         assert r["dims"] == len(train) + 1 + 5 and r["total"] == 20 + 1 + (r["line_no"] in train)
+
+
+def test_semantic_context_compares_equal_vectors_once(spark, monkeypatch):
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(-3, 4, size=(9, 3)).astype(float)
+    of = rnd.integers(0, 9, size=600)
+    rows = [(i, base[v].tolist(), bool(rnd.random() < 0.5)) for i, v in enumerate(of)]
+    df = with_position(spark.createDataFrame(rows, "LineId long, embedding array<double>, anomaly boolean"), "LineId")
+    options = []
+    whole = ctx._not_beaten
+    monkeypatch.setattr(ctx, "_not_beaten", lambda d, *a: options.append(d) or whole(d, *a))
+    unit = np.divide(base, np.linalg.norm(base, axis=1, keepdims=True), out=np.zeros_like(base), where=np.linalg.norm(base, axis=1, keepdims=True) > 0)
+    sim = np.round(unit @ unit.T, 12)
+    for earlier in (True, False):
+        for block in (16384, 11):
+            got = {}
+            for r in ctx.far_semantic(df, 4, earlier_only=earlier, block=block).collect():
+                got.setdefault(r["anomaly_id"], []).append((r["rank"], r["context_id"], round(r["similarity"], 9)))
+            for i, _, flag in rows:
+                if flag:
+                    best = sorted((-sim[of[i], of[j]], j) for j in range(i if earlier else 600))[:4]
+                    assert sorted(got.get(i, [])) == [(n, j, round(-s, 9)) for n, (s, j) in enumerate(best, 1)]
+    assert options and options[0].count() <= 9 * 9 * 4  # not by the anomaly rows
+
+
+def test_embedded_lines_carry_no_vectors(spark, monkeypatch):
+    rows = [(i, f"disk {i % 4} failed", 0.9 if i % 3 == 0 else 0.1) for i in range(1, 40)] + [(40, None, 0.9)]
+    df = spark.createDataFrame(rows, "LineId long, message string, anomaly_score double")
+    seen = []
+    whole = ctx.far_semantic
+    monkeypatch.setattr(ctx, "far_semantic", lambda d, *a, **kw: seen.append(d.columns) or whole(d, *a, **kw))
+    given = pipeline.explain_lines(pipeline.prepare(df), pipeline.LineConfig(strategy="semantic"))
+    from logscope.operators.vectors import embed
+    carried = pipeline.explain_lines(embed(pipeline.prepare(df)), pipeline.LineConfig(strategy="semantic"))
+    assert "embedding" not in seen[0] and "embedding" in seen[1]
+    cols = ["LineId", "context_ids_ref", "anomaly_label", "explanation_prompt"]
+    cols = [c for c in cols if c in given.columns]
+    assert sorted(map(str, given.select(cols).collect())) == sorted(map(str, carried.select(cols).collect()))
