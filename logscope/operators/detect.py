@@ -445,7 +445,7 @@ def lof(train: DataFrame, test: DataFrame, features: Sequence[str], k: int = 20,
     Neighbour search is exact, by pivots (``knn``); the rest are joins and aggregates.
     Adds ``pred_ano_proba`` (the LOF; null where the group has no train row) and ``pred_ano`` (LOF > ``threshold``)."""
     tr = materialise(_prepared(train, features, id_col, by, words_col))
-    te = _prepared(test, features, id_col, by, words_col)
+    te = materialise(_prepared(test, features, id_col, by, words_col))  # read by several steps of the search
     nn_tr = materialise(knn(tr, tr, k, exclude_self=True))
     kdist = nn_tr.groupBy("_f", "_q").agg(F.max("_d").alias("_kd")).withColumnRenamed("_q", "_o")
     reach_tr = nn_tr.join(kdist, ["_f", "_o"]).withColumn("_r", F.greatest("_d", "_kd"))

@@ -57,7 +57,9 @@ def score_files(raw: DataFrame, cfg: FileConfig | None = None, id_col: str = "_l
     cfg = cfg or FileConfig()
     if cfg.detector not in ("LOF", "IF"):
         raise ValueError(f"unknown detector {cfg.detector!r}; LOF or IF")
-    x = enhance(read_messages(raw, cfg.filetype)).withColumn(id_col, F.xxhash64("source_file", "line_no"))
+    # read by the fit, by the neighbour search and for the scored lines
+    lines = materialise(read_messages(raw, cfg.filetype))
+    x = enhance(lines).withColumn(id_col, F.xxhash64("source_file", "line_no"))
     train, test = split(x, cfg.test_frac, cfg.seed, [id_col])
     if cfg.detector == "LOF":
         return lof(train, test, LENGTH_FEATURES, cfg.lof_k, id_col, by="source_file", words_col="e_words")
@@ -70,7 +72,8 @@ def explain_files(raw: DataFrame, cfg: FileConfig | None = None, client=None, id
     part, keep the best lines within the token budget, build the file prompt. A file whose best line alone
     is over the budget gets a prompt without lines."""
     cfg = cfg or FileConfig()
-    scored = materialise(score_files(raw, cfg, id_col))  # read for the lines and for the files
+    # read for the lines and for the files; words, trigrams and fields of a line are many times its text and stay behind
+    scored = materialise(score_files(raw, cfg, id_col).select("source_file", "line_no", "m_message", "pred_ano_proba"))
     kept = trim_to_budget(scored, cfg.token_limit, "source_file", "pred_ano_proba", "line_no", "m_message")
     prompts = file_prompts(kept, "source_file", "m_message", "pred_ano_proba", "line_no", vocabulary=cfg.known_labels, files=scored)
     return file_responses(prompts, client) if client is not None else prompts

@@ -94,3 +94,13 @@ def test_embedded_lines_carry_no_vectors(spark, monkeypatch):
     cols = ["LineId", "context_ids_ref", "anomaly_label", "explanation_prompt"]
     cols = [c for c in cols if c in given.columns]
     assert sorted(map(str, given.select(cols).collect())) == sorted(map(str, carried.select(cols).collect()))
+
+
+def test_scored_files_are_written_without_features(spark, monkeypatch):
+    rows = [(f"f{i % 2}", i, f"10:00:{i % 60:02d}.000 [w-{i % 3}] req{i} DEBUG a.B <init> - took {i}") for i in range(120)]
+    raw = spark.createDataFrame(rows, "source_file string, line_no long, value string")
+    written = []
+    whole = files.materialise
+    monkeypatch.setattr(files, "materialise", lambda d: written.append(d.columns) or whole(d))
+    out = files.explain_files(raw, files.FileConfig(token_limit=200)).collect()
+    assert len(out) == 2 and written and not any(c.startswith("e_") for cols in written for c in cols)
