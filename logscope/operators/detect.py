@@ -461,21 +461,27 @@ def one_class_svm(train: DataFrame, test: DataFrame, features: Sequence[str], nu
     """One-class SVM, approximate by design: the RBF kernel is replaced by ``dims``
     random Fourier features (Rahimi & Recht 2007) and the primal objective
     ``1/2 |w|^2 + 1/(nu n) sum max(0, rho - w.phi(x)) - rho`` is minimised by full-batch
-    subgradient steps. Each step is one pass over the train split whose per-partition
-    partial sums (``dims + 1`` numbers each) are added on the driver, as a tree
+    subgradient steps. Each step is one pass over the distinct rows of the train split (with
+    their numbers) whose per-partition partial sums (``dims + 1`` numbers each) are added on the driver, as a tree
     aggregate would. ``gamma`` defaults to ``1 / (n_features * var(X))`` (sklearn's
     ``scale``). Adds ``pred_ano_proba`` (``rho - w.phi(x)``, higher is more anomalous)
     and ``pred_ano`` (decision below zero)."""
     features = list(features)
-    vec = F.array(*[F.col(c).cast("double") for c in features])
-    tr = materialise(train.select(vec.alias("_x")))  # read by every step
+    num = [F.col(c).cast("double") for c in features]
+    names = [f"_x{i}" for i in range(len(features))]
+    # equal rows take every step together: read by every step
+    tr = materialise(train.select(*[c.alias(n) for c, n in zip(num, names)]).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
     if gamma is None:
-        stats = tr.select(F.explode("_x").alias("_v")).agg(F.var_pop("_v").alias("v")).collect()[0]["v"] or 1.0
+        each = tr.select(F.explode(F.array(*names)).alias("_v"), "_n")
+        mean = each.agg(F.try_divide(F.sum(F.col("_v") * F.col("_n")), F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))).alias("m")).first()["m"]
+        stats = None if mean is None else each.agg(
+            (F.sum((F.col("_v") - F.lit(mean)) ** 2 * F.col("_n")) / F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")))).alias("v")).first()["v"]
+        stats = stats or 1.0
         gamma = 1.0 / (len(features) * stats) if stats > 0 else 1.0
     rng = np.random.default_rng(seed)
     W = rng.normal(scale=math.sqrt(2 * gamma), size=(len(features), dims))
     b = rng.uniform(0, 2 * math.pi, size=dims)
-    n = tr.count()
+    n = tr.agg(F.sum("_n")).first()[0] or 0
     w = np.zeros(dims)
     rho = 0.0
     schema = T.StructType([T.StructField("g", T.ArrayType(T.DoubleType())), T.StructField("c", T.LongType())])
@@ -486,11 +492,11 @@ def one_class_svm(train: DataFrame, test: DataFrame, features: Sequence[str], nu
             g = np.zeros(dims)
             c = 0
             for pdf in batches:
-                x = np.asarray(pdf["_x"].tolist(), dtype=np.float64).reshape(-1, len(features))
-                phi = math.sqrt(2.0 / dims) * np.cos(x @ W + b)
+                phi = math.sqrt(2.0 / dims) * np.cos(pdf[names].to_numpy(np.float64) @ W + b)
                 viol = phi @ wb < rb
-                g += phi[viol].sum(axis=0)
-                c += int(viol.sum())
+                times = pdf["_n"].to_numpy()[viol]
+                g += times @ phi[viol]
+                c += int(times.sum())
             yield pd.DataFrame({"g": [g.tolist()], "c": [c]})
         parts = tr.mapInPandas(part, schema).collect()  # one row per partition: bounded
         g = np.sum([np.asarray(r["g"]) for r in parts], axis=0) if parts else np.zeros(dims)
@@ -499,10 +505,10 @@ def one_class_svm(train: DataFrame, test: DataFrame, features: Sequence[str], nu
         rho = rho - lr * (-1.0 + cnt / (nu * n))
 
     @F.pandas_udf("double")
-    def decision(xs: pd.Series) -> pd.Series:
-        x = np.asarray(xs.tolist(), dtype=np.float64).reshape(-1, len(features))
+    def decision(*xs: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(np.float64) for c in xs])
         phi = math.sqrt(2.0 / dims) * np.cos(x @ W + b)
         return pd.Series(rho - phi @ w)
 
-    out = test.withColumn("pred_ano_proba", decision(vec))
+    out = test.withColumn("pred_ano_proba", decision(*num))
     return out.withColumn("pred_ano", (F.col("pred_ano_proba") > 0).cast("int"))

@@ -104,3 +104,21 @@ def test_scored_files_are_written_without_features(spark, monkeypatch):
     monkeypatch.setattr(files, "materialise", lambda d: written.append(d.columns) or whole(d))
     out = files.explain_files(raw, files.FileConfig(token_limit=200)).collect()
     assert len(out) == 2 and written and not any(c.startswith("e_") for cols in written for c in cols)
+
+
+def test_svm_steps_read_distinct_rows(spark, monkeypatch):
+    rnd = np.random.default_rng(1)
+    x = rnd.integers(0, 4, size=(500, 2)).astype(float)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "LineId long, x double, y double").repartition(3)
+    read = []
+    whole = detect.materialise
+    monkeypatch.setattr(detect, "materialise", lambda d: read.append(whole(d)) or read[-1])
+    got = {r["LineId"]: r["pred_ano_proba"] for r in detect.one_class_svm(df, df, ["x", "y"], nu=0.1, iters=20).collect()}
+    assert read[0].count() == len(np.unique(x, axis=0)) == 16
+    rng = np.random.default_rng(42)
+    W, b = rng.normal(scale=np.sqrt(2 / (2 * x.var())), size=(2, 256)), rng.uniform(0, 2 * np.pi, size=256)
+    phi, w, rho = np.sqrt(2 / 256) * np.cos(x @ W + b), np.zeros(256), 0.0
+    for _ in range(20):
+        viol = phi @ w < rho
+        w, rho = w - 0.1 * (w - phi[viol].sum(0) / 50), rho - 0.1 * (-1 + viol.sum() / 50)
+    np.testing.assert_allclose([got[i] for i in range(500)], rho - phi @ w, atol=1e-9)
